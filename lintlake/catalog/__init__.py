@@ -6,7 +6,7 @@ import importlib
 
 from lintlake.catalog.core import ORACLES, QUERIES
 
-MODULES = ("rules",)
+MODULES = ("rules", "structure")
 
 
 def _load() -> None:

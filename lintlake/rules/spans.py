@@ -33,7 +33,10 @@ SWITCH = r"\bswitch\s*\("
 TRY = r"\btry\s*\{"
 CATCH = r"\bcatch\b"
 EFFECT = r"\buseEffect\s*\("
-ANY_START = "|".join((FUNCTION, METHOD, LOOP, IF, SWITCH, TRY, CATCH, EFFECT))
+CLASS = rf"\bclass\s+({IDENT})"
+INTERFACE = rf"\binterface\s+({IDENT})"
+ENUM = rf"\benum\s+({IDENT})"
+ANY_START = "|".join((FUNCTION, METHOD, LOOP, IF, SWITCH, TRY, CATCH, EFFECT, CLASS, INTERFACE, ENUM))
 
 BRANCHES = r"\b(?:if|for|while|catch|case)\b|&&|\|\||\?\?|\?[^.:?]"
 CONTROL = r"\b(?:if|for|while|catch|switch)\b|\?\?|\?[^.:?]"
@@ -88,6 +91,9 @@ def _starts(line: Column, i: Column) -> Column:
             start("try", line.rlike(TRY)),
             start("catch", line.rlike(CATCH)),
             start("effect", line.rlike(EFFECT)),
+            start("class", line.rlike(CLASS), F.regexp_extract(line, CLASS, 1)),
+            start("interface", line.rlike(INTERFACE), F.regexp_extract(line, INTERFACE, 1)),
+            start("enum", line.rlike(ENUM), F.regexp_extract(line, ENUM, 1)),
         )
     )
 
