@@ -6,7 +6,7 @@ import importlib
 
 from lintlake.catalog.core import ORACLES, QUERIES
 
-MODULES = ("rules", "structure")
+MODULES = ("rules", "structure", "ingest", "triage")
 
 
 def _load() -> None:

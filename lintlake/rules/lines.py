@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lintlake.functions.bind import let
 from lintlake.functions.paths import basename, daemon_context, dot_extension, is_cli_script, language_of, web_context
 from lintlake.functions.text import trimmed
 from lintlake.rules.matches import rule_literals
@@ -110,40 +111,58 @@ def _end(rule: LineRule) -> Column:
     return F.lit(0) if rule.end == "zero" else F.length("line")
 
 
-def _in_family(family: str) -> Column:
-    if family == "web-js":
-        return language_of(F.col("path")).isin("javascript", "typescript")
-    if family == "web-js-py":
-        return language_of(F.col("path")).isin("javascript", "typescript", "python")
-    return family_of(F.col("path"), F.col("content")) == family
+WEB_FAMILIES = {
+    "web-js": ("javascript", "typescript"),
+    "web-js-py": ("javascript", "typescript", "python"),
+}
 
 
-def family_lines(files: DataFrame, family: str, max_length: int = MAX_LINE_LENGTH) -> DataFrame:
-    """The lines of one family with the per-file columns its rules test.
+def file_lines(files: DataFrame, families: Sequence[str], max_length: int = MAX_LINE_LENGTH) -> DataFrame:
+    """The lines of all files that some family wants, in one pass, with the columns rules test.
 
     SQL lines also carry the lines ahead and whether a WHERE follows; both are computed inside
     the file row before it is exploded, so no window over the file is needed.
     """
-    picked = files.select("project_id", "path", "content").where(_in_family(family))
-    lines = F.split(F.col("content"), "\n", -1)
-    if family == "sql":
-        upper = F.upper(F.col("content"))
-        ahead = lambda i: F.array_join(F.slice(lines, i + 1, F.lit(LOOKAHEAD)), "\n")
-        after = lambda x: F.instr(F.substr(upper, F.instr(upper, F.upper(x))), "WHERE") > 0
-        lines = F.transform(
-            lines,
+    picked = files.select(
+        "project_id",
+        "path",
+        "content",
+        family_of(F.col("path"), F.col("content")).alias("family"),
+        language_of(F.col("path")).alias("language"),
+    )
+    wanted = F.col("family").isin(*[f for f in families if f not in WEB_FAMILIES])
+    for family in families:
+        if family in WEB_FAMILIES:
+            wanted = wanted | F.col("language").isin(*WEB_FAMILIES[family])
+    content, is_sql = F.col("content"), F.col("family") == "sql"
+    lines = F.split(content, "\n", -1)
+
+    def look(all_lines: Column, upper: Column) -> Column:
+        ahead = lambda i: F.array_join(F.slice(all_lines, i + 1, F.lit(LOOKAHEAD)), "\n")
+        rest = lambda x: F.substr(upper, F.instr(upper, F.upper(x)))
+        return F.transform(
+            all_lines,
             lambda x, i: F.struct(
                 x.alias("line"),
-                F.when(x.rlike(r"(?i)ORDER\s+BY"), ahead(i)).otherwise("").alias("ahead"),
-                F.when(x.rlike(r"(?i)\b(UPDATE|DELETE)\b"), after(x)).otherwise(False).alias("where_after"),
+                F.when(x.rlike(r"(?i)ORDER\s+BY"), ahead(i)).alias("ahead"),
+                F.when(x.rlike(r"(?i)\b(UPDATE|DELETE)\b"), F.contains(rest(x), F.lit("WHERE")))
+                .otherwise(False)
+                .alias("where_after"),
             ),
         )
-        exploded = picked.select("project_id", "path", F.posexplode(lines).alias("line_no", "l"))
-        exploded = exploded.select("project_id", "path", "line_no", "l.line", "l.ahead", "l.where_after")
-    else:
-        exploded = picked.select("project_id", "path", F.posexplode(lines).alias("line_no", "line"))
-        exploded = exploded.withColumns({"ahead": F.lit(""), "where_after": F.lit(False)})
-    return exploded.withColumns(
+
+    looked = let(lines, lambda ls: let(F.upper(content), lambda up: look(ls, up)))
+    plain = F.transform(
+        lines,
+        lambda x: F.struct(
+            x.alias("line"), F.lit(None).cast("string").alias("ahead"), F.lit(False).alias("where_after")
+        ),
+    )
+    rows = picked.where(wanted).select(
+        "project_id", "path", "family", "language",
+        F.posexplode(F.when(is_sql, looked).otherwise(plain) if "sql" in families else plain).alias("line_no", "l"),
+    )
+    return rows.select("project_id", "path", "family", "language", "line_no", "l.*").withColumns(
         {
             "trim": trimmed(F.col("line")),
             "max_length": F.lit(max_length),
@@ -162,13 +181,14 @@ LINE_HIT = T.StructType(
 def line_issues(
     files: DataFrame, rules: Sequence[LineRule] = LINE_RULES, max_length: int = MAX_LINE_LENGTH
 ) -> DataFrame:
-    """Issues of all line ``rules``: a union over file families, one generator within each."""
-    parts = []
+    """Issues of all line ``rules`` from one scan, one line generator and one hit generator."""
     rules = list(rules)
-    meta_array = rule_literals(rules)
-    for family in dict.fromkeys(r.family for r in rules):
-        inputs, guards = _inputs(), _guards()
-        tests = [
+    families = list(dict.fromkeys(r.family for r in rules))
+    inputs, guards = _inputs(), _guards()
+    none = F.array().cast(T.ArrayType(LINE_HIT))
+
+    def tests(family: str) -> Column:
+        hits = [
             F.when(
                 _condition(rule, inputs, guards),
                 F.struct(F.lit(i).alias("ord"), _column(rule).alias("col"), _end(rule).alias("end")).cast(LINE_HIT),
@@ -176,29 +196,41 @@ def line_issues(
             for i, rule in enumerate(rules)
             if rule.family == family
         ]
-        hits = family_lines(files, family, max_length).select(
-            "project_id", "path", "line_no", "line", "trim", F.explode(F.array_compact(F.array(*tests))).alias("h")
-        )
-        meta = F.get(meta_array, F.col("h.ord"))
-        parts.append(
-            hits.select(
-                "project_id",
-                F.col("path").alias("file_path"),
-                meta["rule_id"].alias("rule_id"),
-                F.col("h.ord").alias("ord"),
-                F.col("line_no").alias("line_start"),
-                F.col("h.col").alias("col_start"),
-                F.col("line_no").alias("line_end"),
-                F.col("h.end").alias("col_end"),
-                meta["title"].alias("title"),
-                meta["description"].alias("description"),
-                meta["category"].alias("category"),
-                meta["severity"].alias("severity"),
-                meta["confidence"].alias("confidence"),
-                meta["impact"].alias("impact"),
-                F.col("trim").alias("code_snippet"),
-                F.lit("static").alias("source"),
-                meta["engine"].alias("engine"),
-            )
+        return F.array_compact(F.array(*hits))
+
+    groups = []
+    by_family = [f for f in families if f not in WEB_FAMILIES]
+    if by_family:
+        chain = reduce(
+            lambda acc, f: acc.when(F.col("family") == f, tests(f)),
+            by_family[1:],
+            F.when(F.col("family") == by_family[0], tests(by_family[0])),
         )
-    return reduce(DataFrame.unionByName, parts)
+        groups.append(chain.otherwise(none))
+    for family in families:
+        if family in WEB_FAMILIES:
+            groups.append(F.when(F.col("language").isin(*WEB_FAMILIES[family]), tests(family)).otherwise(none))
+    hits = file_lines(files, families, max_length).select(
+        "project_id", "path", "line_no", "trim",
+        F.explode(F.concat(*groups) if len(groups) > 1 else groups[0]).alias("h"),
+    )
+    meta = F.get(rule_literals(rules), F.col("h.ord"))
+    return hits.select(
+        "project_id",
+        F.col("path").alias("file_path"),
+        meta["rule_id"].alias("rule_id"),
+        F.col("h.ord").alias("ord"),
+        F.col("line_no").alias("line_start"),
+        F.col("h.col").alias("col_start"),
+        F.col("line_no").alias("line_end"),
+        F.col("h.end").alias("col_end"),
+        meta["title"].alias("title"),
+        meta["description"].alias("description"),
+        meta["category"].alias("category"),
+        meta["severity"].alias("severity"),
+        meta["confidence"].alias("confidence"),
+        meta["impact"].alias("impact"),
+        F.col("trim").alias("code_snippet"),
+        F.lit("static").alias("source"),
+        meta["engine"].alias("engine"),
+    )

@@ -45,6 +45,11 @@ LOGICAL = r"&&|\|\|"
 PAIR_PASSES = 6
 
 
+STARTS = (
+    "array<struct<kind:string,name:string,line_start:int,is_async:boolean,exported:boolean,params:int>>"
+)
+
+
 def _net_braces(line: Column) -> Column:
     """The braces of a line that do not match within it: closers first, then openers."""
     net = F.regexp_replace(line, r"[^{}]", "")
@@ -117,7 +122,7 @@ def structure(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
         starts=F.flatten(
             F.transform(
                 "lines",
-                lambda x, i: F.when(x.rlike(ANY_START), _starts(x, i)).otherwise(F.slice(_starts(x, i), 1, 0)),
+                lambda x, i: F.when(x.rlike(ANY_START), _starts(x, i)).otherwise(F.array().cast(STARTS)),
             )
         ),
     )

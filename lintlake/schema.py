@@ -88,11 +88,13 @@ def js_round(value: Column) -> Column:
     return F.floor(value + F.lit(0.5)).cast("long")
 
 
-def severity_counts(severity: Column = F.col("severity")) -> list[Column]:
+def severity_counts(column: str = "severity") -> list[Column]:
     """Five zero-filled count columns: ``blocker`` .. ``info``."""
+    severity = F.col(column)
     return [F.count_if(severity == s).alias(s.lower()) for s in SEVERITIES]
 
 
-def category_counts(category: Column = F.col("category")) -> list[Column]:
+def category_counts(column: str = "category") -> list[Column]:
     """Seven zero-filled count columns with underscores for dashes."""
+    category = F.col(column)
     return [F.count_if(category == c).alias(c.replace("-", "_")) for c in CATEGORIES]
