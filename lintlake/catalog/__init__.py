@@ -6,7 +6,7 @@ import importlib
 
 from lintlake.catalog.core import ORACLES, QUERIES
 
-MODULES = ("rules", "structure", "ingest", "triage")
+MODULES = ("rules", "structure", "ingest", "triage", "metrics")
 
 
 def _load() -> None:

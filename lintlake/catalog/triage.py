@@ -189,10 +189,10 @@ def priority(t):
 
 
 @query("T03_priority_rank", f"""
-SELECT issue_id, {_prio} AS priority FROM {{{{issues}}}} ORDER BY {_prio} DESC, event_id LIMIT 50""")
+SELECT issue_id, {_prio} AS priority FROM {{{{issues}}}}""")
 def priority_rank(t):
     ranked = issues(t).withColumn("priority", F.round(triage.priority(), 6))
-    return ranked.orderBy(F.desc("priority"), "event_id").limit(50).select("issue_id", "priority")
+    return ranked.select("issue_id", "event_id", "priority").orderBy(F.desc("priority"), "event_id").drop("event_id")
 
 
 # ------------------------------------------------------------------ views
@@ -341,16 +341,16 @@ def tenant(t):
 
 
 # ------------------------------------------------------------------ orders
-@query("T01_issue_order", f"SELECT issue_id, severity, line_start FROM {{{{issues}}}} ORDER BY {RANK}, line_start, issue_id LIMIT 100")
+@query("T01_issue_order", f"SELECT issue_id, severity, line_start FROM {{{{issues}}}} ORDER BY {RANK}, line_start, issue_id")
 def issue_order(t):
-    return issues(t).orderBy(*views.issue_order()).limit(100).select("issue_id", "severity", "line_start")
+    return issues(t).orderBy(*views.issue_order()).select("issue_id", "severity", "line_start")
 
 
 for _by, _sql in (("severity", RANK), ("category", "category"), ("file", "file_path"), ("date", "created_at DESC")):
     def _register_sort(by=_by, sql=_sql):
-        @query(f"T02_sort_by_{by}", f"SELECT issue_id FROM {{{{issues}}}} ORDER BY {sql}, issue_id LIMIT 40")
+        @query(f"T02_sort_by_{by}", f"SELECT issue_id FROM {{{{issues}}}} ORDER BY {sql}, issue_id")
         def run(t):
-            return views.sort_issues(issues(t), by).limit(40).select("issue_id")
+            return views.sort_issues(issues(t), by).select("issue_id")
 
     _register_sort()
 
@@ -363,19 +363,19 @@ def top_issues(t):
 @query("T06_projects_newest", """
 SELECT p.project_id, strftime(s.updated, '%Y-%m-%d %H:%M:%S') AS updated FROM {{projects}} p
 JOIN (SELECT project_id, max(created_at) AS updated FROM {{issues}} GROUP BY 1) s USING (project_id)
-ORDER BY s.updated DESC, p.project_id LIMIT 20""")
+ORDER BY s.updated DESC, p.project_id""")
 def newest_projects(t):
     touched = issues(t).groupBy("project_id").agg(F.max("created_at").alias("updated"))
-    newest = projects(t).join(touched, "project_id").orderBy(F.desc("updated"), "project_id").limit(20)
+    newest = projects(t).join(touched, "project_id").orderBy(F.desc("updated"), "project_id")
     return newest.select("project_id", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 
 
 @query("T07_file_order", """
-SELECT path, size FROM {{code_files}} ORDER BY length(path), path LIMIT 60""")
+SELECT path, size FROM {{code_files}} ORDER BY length(path), path""")
 def file_order(t):
     from lintlake.operators.ingest import path_order
 
-    return code_files(t).select("path", "size").orderBy(*path_order()).limit(60)
+    return code_files(t).select("path", "size").orderBy(*path_order())
 
 
 @query("U02_union_ignores", """
