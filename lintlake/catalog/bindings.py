@@ -156,7 +156,7 @@ ISSUE_EXTS = ("ts", "py", "sql")
 def issues(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     eid, uid = F.col("event_id"), F.col("user_id")
-    start = F.floor(k / 10).cast("int")
+    start = (k * 4).cast("int")
     quoted = F.concat(F.lit(" '"), F.lit("fn"), (uid % 5).cast("string"), F.lit("'"))
     return t.events.select(
         eid.alias("event_id"),
@@ -189,7 +189,7 @@ SELECT event_id, {_sql_pick(ISSUE_RULES, f'event_id % {len(ISSUE_RULES)}')} || '
        user_id % 40 AS project_id, (user_id % 40) || '-' || strftime(ts, '%Y-%m-%d') AS scan_id,
        'repo/' || {_sql_pick(ISSUE_FOLDERS, 'user_id % 5')} || '/f' || user_id || '.' ||
          {_sql_pick(ISSUE_EXTS, 'user_id % 3')} AS file_path,
-       k // 10 AS line_start, k % 10 AS col_start, (k // 10 + event_id % 4)::INT AS line_end,
+       k * 4 AS line_start, k % 10 AS col_start, (k * 4 + event_id % 4)::INT AS line_end,
        k % 10 + 5 AS col_end,
        {_sql_pick(ISSUE_TITLES, f'event_id % {len(ISSUE_TITLES)}')} || ' ''fn' || (user_id % 5) || '''' AS title,
        'Value is ' || k || ' (threshold: ' || (event_id % 50) || ').' AS description,

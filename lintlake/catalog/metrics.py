@@ -224,7 +224,7 @@ q AS (SELECT * FROM counted WHERE n >= 2 OR severity IN ('BLOCKER', 'CRITICAL',
         OR regexp_matches(issue_id, '^(?:semgrep|checkov)-|security')),
 m AS (SELECT *, max(line_end) OVER (PARTITION BY {keys} ORDER BY line_start, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q),
 i AS (SELECT *, sum(CASE WHEN line_start > reach + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY line_start, event_id) AS island FROM m),
-r AS (SELECT {keys}, island, title, min((line_start * 100000000 + event_id)) AS o FROM i GROUP BY {keys}, island, title),
+r AS (SELECT {keys}, island, title, min((line_start::BIGINT * 100000000 + event_id)) AS o FROM i GROUP BY {keys}, island, title),
 rr AS (SELECT {keys}, island, list(title ORDER BY o) AS titles FROM r GROUP BY {keys}, island)
 SELECT {keys}, start_line, end_line,
   list_reduce(titles, lambda acc, x: CASE WHEN contains(acc, x) THEN acc ELSE acc || '; ' || x END) AS reason,
@@ -232,7 +232,7 @@ SELECT {keys}, start_line, end_line,
 FROM (SELECT {keys}, island, min(line_start) AS start_line, max(line_end) AS end_line,
         min({sql_case('severity', {s: n for n, s in enumerate(SEVERITIES)})}) AS rank,
         arg_min(CASE WHEN regexp_matches(issue_id, '^(semgrep|biome|ruff|tflint|checkov)-') THEN 'external' ELSE 'static' END,
-                line_start * 100000000 + event_id) AS source FROM i GROUP BY {keys}, island) JOIN rr USING ({keys}, island)"""
+                line_start::BIGINT * 100000000 + event_id) AS source FROM i GROUP BY {keys}, island) JOIN rr USING ({keys}, island)"""
 
 
 relation("hotspots", _spots("project_id, file_path"))

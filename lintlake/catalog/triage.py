@@ -78,16 +78,17 @@ def _annotated(t):
     first = issues(t).groupBy("project_id", "file_path").agg(F.min("event_id").alias("event_id"))
     return first.select(
         "project_id", F.col("file_path").alias("path"),
-        F.concat_ws("\n", F.lit("a"), F.lit("b"), mark, F.lit("c"), F.lit("d")).alias("content"),
+        F.when(F.col("event_id") % 4 == 1, F.concat(F.lit("a\nb\nc\n"), mark, F.lit("\nd")))
+        .otherwise(F.concat(F.lit("a\nb\nc\nd\n"), mark)).alias("content"),
     )
 
 
 relation("directives", """
 WITH f AS (SELECT project_id, file_path, min(event_id) AS event_id FROM {{issues}} GROUP BY 1, 2)
-SELECT project_id, file_path, unnest(['security-eval', 'unused']) AS rule, 2 AS line FROM f WHERE event_id % 4 = 0
-UNION ALL SELECT project_id, file_path, unnest(['cyclomatic', 'nesting']), 3 FROM f WHERE event_id % 4 = 1
+SELECT project_id, file_path, unnest(['security-eval', 'unused']) AS rule, 4 AS line FROM f WHERE event_id % 4 = 0
+UNION ALL SELECT project_id, file_path, unnest(['cyclomatic', 'nesting']), 4 FROM f WHERE event_id % 4 = 1
 UNION ALL SELECT project_id, file_path, 'semgrep-xss', -1 FROM f WHERE event_id % 4 = 2
-UNION ALL SELECT project_id, file_path, '*', 2 FROM f WHERE event_id % 4 = 3""")
+UNION ALL SELECT project_id, file_path, '*', 4 FROM f WHERE event_id % 4 = 3""")
 
 
 @query("J07_directives", "SELECT project_id, file_path, rule, line FROM {{directives}}")
@@ -335,9 +336,9 @@ def project_validity(t):
 
 @query("P16_tenant_scope", """
 SELECT issue_id FROM {{issues}} WHERE project_id IN (
-  SELECT project_id FROM {{projects}} WHERE lower(user_email) = 'machinery3@example.com')""")
+  SELECT project_id FROM {{projects}} WHERE lower(user_email) = 'building1@example.com')""")
 def tenant(t):
-    return views.tenant_scope(issues(t), projects(t), "MACHINERY3@example.com").select("issue_id")
+    return views.tenant_scope(issues(t), projects(t), "BUILDING1@example.com").select("issue_id")
 
 
 # ------------------------------------------------------------------ orders

@@ -129,6 +129,7 @@ def severity_share(issues: DataFrame, keys: Sequence[str] = ("project_id",)) ->
     )
     return counts.select(*keys, "total", F.explode(pairs).alias("p")).select(
         *keys,
+        "total",
         "p.severity",
         "p.n",
         F.round(F.least(F.lit(100.0), F.col("p.n") / F.greatest(F.lit(1), "total") * 100), 6).alias("share"),
