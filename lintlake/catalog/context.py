@@ -239,10 +239,9 @@ def replace_suggestions(t):
 SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS calls, sum(micro)::BIGINT / 1000000 AS cost FROM {{priced}} GROUP BY 1""")
 def record_usage(t):
     root = _folder(t, "usage")
-    # One file per day folder: the rows of a day are brought together before the write.
-    store.record_ai_usage(ai_usage(t).repartition(F.to_date("created_at")), root)
+    store.record_ai_usage(ai_usage(t), root)
     saved = t.spark.read.parquet(f"{root}/ai_usage")
-    return saved.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(
+    return saved.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("calls"), F.sum("estimated_cost_usd").cast("double").alias("cost")
     )
 
@@ -453,9 +452,9 @@ def parse_response(t):
     body = (
         F.when(shape == 0, F.concat(F.lit("```json\n"), array, F.lit("\n```")))
         .when(shape == 1, wrapped)
-        .when(shape == 2, F.concat(F.lit("﻿"), array))
+        .when(shape == 2, F.concat(F.lit("\ufeff"), array))
         .when(shape == 3, F.concat(F.lit("Here is the fix: "), wrapped, F.lit(" Done.")))
-        .otherwise(F.concat(F.lit("{"), array))
+        .otherwise(F.substr(array, F.lit(1), F.length(array) - 3))
     )
     parsed = context.parse_fix_response(answers.select("conv_id", "turn", body.alias("text")))
     return parsed.select("conv_id", "turn", "id", F.col("suggestedCode").alias("code"))

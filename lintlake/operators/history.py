@@ -91,9 +91,12 @@ def recent_average(snapshots: DataFrame, days: int, as_of: str) -> DataFrame:
 
 
 def failure_streaks(calls: DataFrame, chunk: Column, threshold: int = 3, open_seconds: int = 60,
-                    key: str = "provider", order: Sequence[str] = ("created_at", "call_id")) -> DataFrame:
+                    key: str = "provider", order: Sequence[str] = ("created_at", "call_id"),
+                    carry: DataFrame | None = None) -> DataFrame:
     """Consecutive failures up to each call and whether they open the provider's circuit.
 
+    ``carry(provider, failures)`` holds the failures that ended an earlier part of the log.
+
     Keys are few and large, so the streaks are counted within time chunks; a chunk's trailing failures
     reach later calls through a table of one row per key and chunk.
     """
@@ -101,10 +104,8 @@ def failure_streaks(calls: DataFrame, chunk: Column, threshold: int = 3, open_se
     rows = calls.withColumn("_chunk", chunk).withColumn("_failed", failed)
     w = Window.partitionBy(key, "_chunk").orderBy(*order)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns(
-        {"_rn": F.row_number().over(w), "_last_ok": F.max(F.when(F.col("_failed") == 0, F.struct(*order))).over(so_far)}
-    ).withColumn("_ok_rn", F.max(F.when(F.col("_failed") == 0, F.col("_rn"))).over(so_far))
-    rows = rows.drop("_last_ok")
+    rows = rows.withColumn("_rn", F.row_number().over(w))
+    rows = rows.withColumn("_ok_rn", F.max(F.when(F.col("_failed") == 0, F.col("_rn"))).over(so_far))
     ends = rows.groupBy(key, "_chunk").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_ok_rn"), F.lit(0)).alias("ok")
     )
@@ -114,7 +115,13 @@ def failure_streaks(calls: DataFrame, chunk: Column, threshold: int = 3, open_se
     # Position of the last success before the chunk, counted over the whole key.
     ends = ends.withColumn("_before", total)
     last_ok = F.max(F.when(F.col("ok") > 0, F.col("_before") + F.col("ok"))).over(before)
-    ends = ends.withColumn("_carry", F.col("_before") - F.coalesce(last_ok, F.lit(0))).select(key, "_chunk", "_carry")
+    ends = ends.withColumn("_last_ok", last_ok)
+    if carry is None:
+        ends = ends.withColumn("failures", F.lit(0))
+    else:
+        ends = ends.join(carry.select(key, "failures"), key, "left").na.fill(0, ["failures"])
+    carried = F.coalesce(F.col("_before") - F.col("_last_ok"), F.col("_before") + F.col("failures"))
+    ends = ends.select(key, "_chunk", carried.alias("_carry"))
     joined = rows.join(ends, [key, "_chunk"])
     streak = F.when(F.col("_failed") == 0, 0).when(F.col("_ok_rn").isNull(), F.col("_carry") + F.col("_rn")).otherwise(
         F.col("_rn") - F.col("_ok_rn")

@@ -9,9 +9,13 @@ from lintlake.operators.usage import priced
 
 
 def save_scan(scans: DataFrame, issues: DataFrame, root: str) -> None:
-    """Append scans and their issues, laid out by project so that reads of one project prune."""
-    scans.write.mode("append").partitionBy("project_id").parquet(f"{root}/scans")
-    issues.write.mode("append").partitionBy("project_id").parquet(f"{root}/issues")
+    """Append scans and their issues, laid out by project so that reads of one project prune.
+
+    ``rebalance`` brings the rows of a project together to avoid small files, and splits a project
+    that would overload one writer.
+    """
+    for name, table in (("scans", scans), ("issues", issues)):
+        table.hint("rebalance", "project_id").write.mode("append").partitionBy("project_id").parquet(f"{root}/{name}")
 
 
 def touched_projects(projects: DataFrame, scans: DataFrame) -> DataFrame:
@@ -24,7 +28,7 @@ def touched_projects(projects: DataFrame, scans: DataFrame) -> DataFrame:
 
 def replace_project_files(files: DataFrame, root: str) -> None:
     """Replace the files of exactly the projects that ``files`` holds (dynamic partition overwrite)."""
-    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(
+    files.hint("rebalance", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(
         f"{root}/files"
     )
 
@@ -50,9 +54,9 @@ def replace_suggestions(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def record_ai_usage(calls: DataFrame, root: str) -> None:
-    priced(calls).withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(
-        f"{root}/ai_usage"
-    )
+    """Append priced calls, laid out by month as the cost reports read them."""
+    dated = priced(calls).withColumn("month", F.trunc("created_at", "month"))
+    dated.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(f"{root}/ai_usage")
 
 
 def map_project_upsert(existing: DataFrame, requests: DataFrame) -> DataFrame:
