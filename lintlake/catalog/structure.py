@@ -136,7 +136,7 @@ SELECT project_id, path AS file_path, line_start, 0 AS col_start, {title} AS tit
        {severity} AS severity, {confidence} AS confidence, {impact} AS impact
 FROM {{{{function_metrics}}}} WHERE {test}""")
     def run(t):
-        return show(structural.complexity_issues(corpus(t)).where(F.col("rule_id") == rule_id))
+        return show(structural.script_issues(corpus(t), ["complexity"]).where(F.col("rule_id") == rule_id))
 
 
 _complexity("R45_cyclomatic", "cyclomatic", "cyclomatic > 10",
@@ -168,7 +168,7 @@ for _key, _rule in zip(("R64", "R65", "R67"), structural.LOOP_PATTERNS):
     def _register(key=_key, rule=_rule):
         @query(f"{key}_{rule[0].replace('-', '_')}", _loop_sql(*rule))
         def run(t):
-            return show(structural.loop_pattern_issues(corpus(t)).where(F.col("rule_id") == rule[0]))
+            return show(structural.script_issues(corpus(t), ["loops"]).where(F.col("rule_id") == rule[0]))
 
     _register()
 
@@ -180,7 +180,7 @@ SELECT o.project_id, o.path AS file_path, o.line_start,
 FROM {{loops}} o WHERE EXISTS (SELECT 1 FROM {{loops}} i WHERE i.project_id = o.project_id AND i.path = o.path
   AND i.line_start > o.line_start AND i.line_start <= o.line_end)""")
 def nested_loop(t):
-    return show(structural.nested_loop_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["nested-loops"]))
 
 
 _taken = structural.TAKEN
@@ -201,7 +201,7 @@ FROM (SELECT project_id, path, hit, name, line, col,
         AND NOT {matches("regexp_replace(left(code, off + length(hit)), '[[:word:]$]+[[:space:]]*[(]$', '')", _taken)})
 WHERE waits""")
 def missing_await(t):
-    return show(structural.missing_await_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["missing-await"]))
 
 
 @query("R73_react_useeffect_deps", rf"""
@@ -213,10 +213,10 @@ WHERE b.kind = 'effect' AND b.ext IN ({sql_list('.' + e for e in REACT)})
   AND CASE WHEN b.line_end > b.line_start THEN regexp_matches(l.line, '^\s*\}}\s*\)')
            ELSE regexp_matches(l.line, '\}}\s*\)') AND NOT regexp_matches(l.line, ',\s*\[') END""")
 def effect_deps(t):
-    return show(structural.effect_without_deps_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["effects"]))
 
 
-_hook = rf"(?:^|[^.\w$])({structural.HOOKS})\s*[(<]"
+_hook = structural.HOOK_CALL
 @query("R77_react_conditional_hook", f"""
 SELECT project_id, path AS file_path, line AS line_start, col AS col_start,
        'Conditional hook call: ' || name AS title, 'react-conditional-hook' AS rule_id, 'CRITICAL' AS severity,
@@ -227,7 +227,7 @@ FROM (SELECT project_id, path, regexp_extract(hit, {sql_text(_hook)}, 1) AS name
 WHERE EXISTS (SELECT 1 FROM {{{{blocks}}}} l WHERE l.kind = 'if' AND l.project_id = m.project_id AND l.path = m.path
               AND m.line BETWEEN l.line_start AND l.line_end)""")
 def conditional_hook(t):
-    return show(structural.conditional_hook_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["conditional-hooks"]))
 
 
 # ------------------------------------------------------------------ unused names
@@ -244,7 +244,7 @@ FROM firsts WHERE NOT starts_with(name, '_')
   AND NOT list_contains(regexp_extract_all(regexp_replace(code, {_decl}, ' ', 'g'), {_ident}), name)
   AND NOT list_contains(regexp_extract_all(code, {sql_text(structural.EXPORTED)}, 1), name)""")
 def unused(t):
-    return show(structural.unused_variable_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["unused"]))
 
 
 _import = sql_text(structural.IMPORT)
@@ -259,7 +259,7 @@ SELECT project_id, path AS file_path, {_prefix_line('off', 'code')} AS line_star
 FROM n WHERE name <> ''
   AND NOT list_contains(regexp_extract_all(regexp_replace(code, {_import}, ' ', 'g'), {_ident}), name)""")
 def unused_import(t):
-    return show(structural.unused_import_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["unused-imports"]))
 
 
 # ------------------------------------------------------------------ numbers
@@ -278,7 +278,7 @@ WHERE {_v} > 50 AND {_v} NOT IN ({', '.join(str(float(n)) for n in structural.PL
   AND NOT ({_v} <= 100 AND {_v} = floor({_v}))
   AND NOT {matches(_line_at('pos'), structural.NAMED_CONTEXT)}""")
 def magic_number(t):
-    return show(structural.magic_number_issues(corpus(t)))
+    return show(structural.script_issues(corpus(t), ["magic-numbers"]))
 
 
 relation("literals", f"""

@@ -193,9 +193,8 @@ def loop_spans(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
     return block_spans(files, "loop", exts=exts)
 
 
-def function_metrics(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
-    """Per function: length, parameters, cyclomatic and cognitive complexity, deepest nesting."""
-    base = structure(files, exts)
+def with_measures(base: DataFrame) -> DataFrame:
+    """Add ``funcs`` and, per function, its ``measures``: size, parameters, complexities, nesting."""
     base = pin(
         base,
         funcs=of_kind("function", "method"),
@@ -212,7 +211,7 @@ def function_metrics(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
     )
     busy = lambda i: (F.get("controls", i) + F.get("logical", i)) > 0
     base = pin(
-        base.where(F.size("funcs") > 0),
+        base,
         cog_depth=F.transform("lines", lambda x, i: F.when(busy(i), inside(F.col("nest"), i)).otherwise(0)),
         start_depth=F.transform("funcs", lambda f: inside(F.col("nest"), f["line_start"])),
         deep_levels=F.transform(
@@ -225,11 +224,10 @@ def function_metrics(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
 
     def measure(f: Column, k: Column) -> Column:
         length = f["line_end"] - f["line_start"] + 1
-        lines_of = F.sequence(f["line_start"], f["line_end"])
         plus = lambda acc, n: acc + n
         cyclomatic = F.aggregate(F.slice("branches", f["line_start"] + 1, length), F.lit(1), plus)
         cognitive = F.aggregate(
-            lines_of,
+            F.sequence(f["line_start"], f["line_end"]),
             F.lit(0),
             lambda acc, i: acc
             + F.get("controls", i) * (1 + F.greatest(F.get("cog_depth", i) - F.get("start_depth", k), F.lit(0)))
@@ -252,6 +250,11 @@ def function_metrics(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
             nesting.alias("nesting"),
         )
 
-    return base.select("project_id", "path", F.explode(F.transform("funcs", measure)).alias("m")).select(
-        "project_id", "path", "m.*"
-    )
+    helpers = ("branches", "controls", "logical", "nest", "deep", "cog_depth", "start_depth", "deep_levels")
+    return pin(base, measures=F.transform("funcs", measure)).drop(*helpers)
+
+
+def function_metrics(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
+    """Per function: length, parameters, cyclomatic and cognitive complexity, deepest nesting."""
+    base = with_measures(structure(files, exts))
+    return base.select("project_id", "path", F.explode("measures").alias("m")).select("project_id", "path", "m.*")

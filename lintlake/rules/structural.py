@@ -1,8 +1,13 @@
-"""Rules that need blocks, token sets or whole-file counts. All of them are narrow per-file plans."""
+"""Rules that need blocks, token sets or whole-file counts.
+
+All rules of script files share one frame: the file row with its blanked code, lines, blocks and
+the matches they look at, each computed once. Every rule turns the frame into an array of issues; the
+arrays are concatenated and exploded once. The pass is narrow and reads the files once.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -12,46 +17,54 @@ from lintlake.functions.text import trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.lines import family_of
 from lintlake.rules.matches import line_text, match_offsets
-from lintlake.rules.spans import IDENT, block_spans, function_metrics, of_kind, structure
+from lintlake.rules.spans import IDENT, block_spans, of_kind, structure, with_measures
 from lintlake.rules.spec import JS, REACT, WEB_JS
 from lintlake.schema import IMPACT, ISSUE_COLUMNS, lookup
 
 LARGE_FILE_CHARS = 200 * 1024
+_NUMERIC = {"ord", "line_start", "col_start", "line_end", "col_end", "confidence", "impact"}
+_OWN = tuple(c for c in ISSUE_COLUMNS if c not in ("project_id", "file_path"))
 
 
-def issue_rows(df: DataFrame, **values) -> DataFrame:
-    """Project ``df(project_id, path, ...)`` onto the issue columns; plain values become literals."""
+def _values(values: dict) -> dict[str, Column]:
+    """All issue columns from the given ones; plain values become literals."""
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     values.setdefault("ord", 0)
     values.setdefault("col_start", 0)
     values.setdefault("line_end", values["line_start"])
     values.setdefault("col_end", values["col_start"])
     values.setdefault("source", "static")
     values.setdefault("engine", "lexical")
-    values["file_path"] = F.col("path")
-    as_col = lambda v: v if isinstance(v, Column) else F.lit(v)
     values.setdefault("impact", lookup(IMPACT, as_col(values["severity"])))
-    numeric = {"ord", "line_start", "col_start", "line_end", "col_end", "confidence", "impact"}
-    cast = lambda n, c: c.cast("int") if n in numeric else c
-    return df.select(
-        "project_id", *[cast(n, as_col(values[n])).alias(n) for n in ISSUE_COLUMNS if n != "project_id"]
-    )
+    return {n: as_col(values[n]).cast("int") if n in _NUMERIC else as_col(values[n]) for n in _OWN}
+
 
+def issue_rows(df: DataFrame, **values) -> DataFrame:
+    """Project ``df(project_id, path, ...)`` onto the issue columns."""
+    own = _values(values)
+    return df.select("project_id", F.col("path").alias("file_path"), *[c.alias(n) for n, c in own.items()])
 
-def _place(array: str) -> Column:
-    """Matches with their line, counted in the code before each one."""
-    breaks = lambda m: F.regexp_count(F.substr(F.col("code"), F.lit(1), m["offset"]), F.lit("\n"))
-    return F.transform(array, lambda m: m.withField("line", breaks(m)))
 
+def issue_struct(**values) -> Column:
+    return F.struct(*[c.alias(n) for n, c in _values(values).items()])
+
+
+# ------------------------------------------------------------------ positions inside the frame
+def _line(offset: Column) -> Column:
+    return F.regexp_count(F.substr(F.col("code"), F.lit(1), offset), F.lit("\n"))
+
+
+def _column(offset: Column) -> Column:
+    return F.length(F.substring_index(F.substr(F.col("code"), F.lit(1), offset), "\n", -1))
 
-def _match_rows(df: DataFrame, keep: Column) -> DataFrame:
-    rows = df.select("project_id", "path", "content", F.explode(keep).alias("m"))
-    rows = rows.select("project_id", "path", "content", "m.*")
-    return rows.withColumns(
-        {
-            "column": F.length(F.substring_index(F.substr("content", F.lit(1), F.col("offset")), "\n", -1)),
-            "snippet": trimmed(line_text(F.col("content"), F.col("offset"))),
-        }
-    )
+
+def _snippet(offset: Column) -> Column:
+    return trimmed(line_text(F.col("content"), offset))
+
+
+def _placed(array: str) -> Column:
+    """Matches with the line each one starts on."""
+    return F.transform(array, lambda m: m.withField("line", _line(m["offset"])))
 
 
 def _within(blocks: str, line: Column) -> Column:
@@ -68,65 +81,41 @@ DEFAULT_THRESHOLDS = {
 }
 
 
-def complexity_issues(files: DataFrame, thresholds: dict | None = None) -> DataFrame:
-    """The five per-function rules, from one measuring pass and one generator."""
-    t = {**DEFAULT_THRESHOLDS, **(thresholds or {})}
-    name = F.col("name")
-    quoted = lambda before, after="": F.concat(F.lit(before + "'"), name, F.lit("'" + after))
-
-    def rule(ordinal, rule_id, value, limit, title, label, category, severity, confidence, end):
-        text = F.concat(F.lit(f"{label} is "), F.col(value).cast("string"), F.lit(f" (threshold: {limit})."))
-        return F.when(
-            F.col(value) > limit,
-            F.struct(
-                F.lit(ordinal).alias("ord"),
-                F.lit(rule_id).alias("rule_id"),
-                title.alias("title"),
-                text.alias("description"),
-                F.lit(category).alias("category"),
-                severity.alias("severity"),
-                F.lit(confidence).alias("confidence"),
-                F.col(end).alias("line_end"),
-            ),
-        )
+def complexity_hits(thresholds: dict) -> Column:
+    """The five per-function rules over the measured functions."""
+    t = {**DEFAULT_THRESHOLDS, **thresholds}
 
-    major, info = F.lit("MAJOR"), F.lit("INFO")
-    worse = F.when(F.col("cyclomatic") > 2 * t["max_cyclomatic"], "CRITICAL").otherwise("MAJOR")
-    rules = F.array_compact(
-        F.array(
-            rule(0, "cyclomatic", "cyclomatic", t["max_cyclomatic"], quoted("High cyclomatic complexity in "),
-                 "Cyclomatic complexity", "maintainability", worse, 95, "line_end"),
-            rule(1, "cognitive", "cognitive", t["max_cognitive"], quoted("High cognitive complexity in "),
-                 "Cognitive complexity", "maintainability", major, 90, "line_end"),
-            rule(2, "nesting", "nesting", t["max_nesting"], quoted("Deep nesting in "),
-                 "Maximum nesting depth", "code-smell", major, 90, "line_end"),
-            rule(3, "params", "params", t["max_params"], quoted("Too many parameters in "),
-                 "The number of parameters", "code-smell", info, 85, "line_start"),
-            rule(4, "func-length", "length", t["max_function_length"], quoted("Function ", " is too long"),
-                 "The number of lines", "maintainability", major, 90, "line_end"),
-        )
-    )
-    hits = function_metrics(files).select("project_id", "path", "name", "line_start", F.explode(rules).alias("r"))
-    return issue_rows(
-        hits, rule_id=F.col("r.rule_id"), ord=F.col("r.ord"), line_start=F.col("line_start"),
-        line_end=F.col("r.line_end"), title=F.col("r.title"), description=F.col("r.description"),
-        category=F.col("r.category"), severity=F.col("r.severity"), confidence=F.col("r.confidence"),
-        code_snippet=name,
-    )
+    def of(m: Column) -> Column:
+        quoted = lambda before, after="": F.concat(F.lit(before + "'"), m["name"], F.lit("'" + after))
 
+        def rule(ordinal, rule_id, value, limit, title, label, category, severity, confidence, end="line_end"):
+            text = F.concat(F.lit(f"{label} is "), m[value].cast("string"), F.lit(f" (threshold: {limit})."))
+            return F.when(
+                m[value] > limit,
+                issue_struct(
+                    rule_id=rule_id, ord=ordinal, line_start=m["line_start"], line_end=m[end], title=title,
+                    description=text, category=category, severity=severity, confidence=confidence,
+                    code_snippet=m["name"],
+                ),
+            )
+
+        worse = F.when(m["cyclomatic"] > 2 * t["max_cyclomatic"], "CRITICAL").otherwise("MAJOR")
+        return F.array_compact(
+            F.array(
+                rule(0, "cyclomatic", "cyclomatic", t["max_cyclomatic"], quoted("High cyclomatic complexity in "),
+                     "Cyclomatic complexity", "maintainability", worse, 95),
+                rule(1, "cognitive", "cognitive", t["max_cognitive"], quoted("High cognitive complexity in "),
+                     "Cognitive complexity", "maintainability", "MAJOR", 90),
+                rule(2, "nesting", "nesting", t["max_nesting"], quoted("Deep nesting in "),
+                     "Maximum nesting depth", "code-smell", "MAJOR", 90),
+                rule(3, "params", "params", t["max_params"], quoted("Too many parameters in "),
+                     "The number of parameters", "code-smell", "INFO", 85, "line_start"),
+                rule(4, "func-length", "length", t["max_function_length"], quoted("Function ", " is too long"),
+                     "The number of lines", "maintainability", "MAJOR", 90),
+            )
+        )
 
-def long_function_issues(files: DataFrame, limit: int = 50) -> DataFrame:
-    """The web profile's function-length rule, measured on brace spans."""
-    spans = block_spans(files, "function", exts=WEB_JS).withColumn("n", F.col("line_end") - F.col("line_start"))
-    spans = spans.where(F.col("n") > limit)
-    long, size = F.col("n") > 2 * limit, F.col("n").cast("string")
-    return issue_rows(
-        spans, rule_id="long-func", line_start=F.col("line_start"), line_end=F.col("line_end"),
-        title=F.concat(F.lit("Function '"), F.col("name"), F.lit("' is "), size, F.lit(" lines long")),
-        description=F.concat(F.lit("The function spans "), size, F.lit(" lines; split it.")),
-        category="maintainability", severity=F.when(long, "CRITICAL").otherwise("MAJOR"), confidence=85,
-        impact=F.when(long, 75).otherwise(50), code_snippet=F.col("name"), engine="regex",
-    )
+    return F.flatten(F.transform("measures", of))
 
 
 # ------------------------------------------------------------------ loops
@@ -139,50 +128,58 @@ LOOP_PATTERNS = (
 )
 
 
-def loop_pattern_issues(files: DataFrame) -> DataFrame:
-    """Array methods, string building and awaits inside loops: one structural pass for all three."""
+def loop_found() -> Column:
     found = [match_offsets(F.col("code"), p, i, group) for i, (_, _, _, p, group) in enumerate(LOOP_PATTERNS)]
-    base = pin(structure(files), loops=of_kind("loop")).where(F.size("loops") > 0)
-    base = pin(pin(base, found=F.concat(*found)), placed=_place("found"))
-    rows = _match_rows(base, F.filter("placed", lambda m: _within("loops", m["line"])))
-    meta = F.get(
-        F.array(*[F.struct(F.lit(r).alias("id"), F.lit(t).alias("title"), F.lit(c).alias("conf"))
-                  for r, t, c, *_ in LOOP_PATTERNS]),
-        F.col("ord"),
-    )
-    return issue_rows(
-        rows, rule_id=meta["id"], ord=F.col("ord"), line_start=F.col("line"), col_start=F.col("column"),
-        col_end=F.col("column") + F.length("hit"), title=F.replace(meta["title"], F.lit("{name}"), F.col("name")),
-        description="Work repeated by a loop; hoist or batch it.", category="performance", severity="INFO",
-        confidence=meta["conf"], code_snippet=F.col("snippet"),
+    return F.when(F.size(of_kind("loop")) > 0, F.concat(*found))
+
+
+def loop_hits() -> Column:
+    """Array methods, string building and awaits inside loops."""
+    pick = lambda m, values: F.element_at(F.array(*[F.lit(v) for v in values]), m["ord"] + 1)
+    ids, titles, confidences = zip(*[(r, t, c) for r, t, c, *_ in LOOP_PATTERNS])
+    inside = F.filter(_placed("loop_found"), lambda m: _within("loops", m["line"]))
+    return F.transform(
+        inside,
+        lambda m: issue_struct(
+            rule_id=pick(m, ids), ord=m["ord"], line_start=m["line"], col_start=_column(m["offset"]),
+            col_end=_column(m["offset"]) + F.length(m["hit"]),
+            title=F.replace(pick(m, titles), F.lit("{name}"), m["name"]),
+            description="Work repeated by a loop; hoist or batch it.", category="performance", severity="INFO",
+            confidence=pick(m, confidences), code_snippet=_snippet(m["offset"]),
+        ),
     )
 
 
-def nested_loop_issues(files: DataFrame) -> DataFrame:
-    base = pin(structure(files), loops=of_kind("loop"))
+def nested_loop_hits() -> Column:
     outer = F.filter(
         "loops",
         lambda o: F.exists(
             "loops", lambda i: (i["line_start"] > o["line_start"]) & (i["line_start"] <= o["line_end"])
         ),
     )
-    rows = base.select("project_id", "path", "lines", F.explode(outer).alias("b"))
-    line = F.get("lines", F.col("b.line_start"))
-    kind = F.when(line.rlike(r"\bfor\s*\(.*\bof\b"), "for...of loop").when(
-        line.rlike(r"\bfor\s*\(.*\bin\b"), "for...in loop"
-    ).when(line.rlike(r"\bfor\b"), "for loop").when(line.rlike(r"\bdo\b"), "do...while loop").otherwise("while loop")
-    return issue_rows(
-        rows, rule_id="perf-nested-loop", line_start=F.col("b.line_start"), line_end=F.col("b.line_end"),
-        col_start=F.length(F.get(F.split(line, r"\b(?:for|while|do)\b", 2), F.lit(0))),
-        title="Nested loop detected", description="Loops inside loops multiply; look values up instead.",
-        category="performance", severity="INFO", confidence=70, code_snippet=kind, col_end=0,
-    )
+
+    def of(b: Column) -> Column:
+        line = F.get("lines", b["line_start"])
+        kind = (
+            F.when(line.rlike(r"\bfor\s*\(.*\bof\b"), "for...of loop")
+            .when(line.rlike(r"\bfor\s*\(.*\bin\b"), "for...in loop")
+            .when(line.rlike(r"\bfor\b"), "for loop")
+            .when(line.rlike(r"\bdo\b"), "do...while loop")
+            .otherwise("while loop")
+        )
+        return issue_struct(
+            rule_id="perf-nested-loop", line_start=b["line_start"], line_end=b["line_end"],
+            col_start=F.length(F.get(F.split(line, r"\b(?:for|while|do)\b", 2), F.lit(0))), col_end=0,
+            title="Nested loop detected", description="Loops inside loops multiply; look values up instead.",
+            category="performance", severity="INFO", confidence=70, code_snippet=kind,
+        )
+
+    return F.transform(outer, of)
 
 
 # ------------------------------------------------------------------ async and React
-# Names that look asynchronous, surely and probably, and names that only look so.
+# Names that look asynchronous and names that only seem to.
 SURE_ASYNC = r"(?i)(?:fetch|axios|request)"
-LIKELY_ASYNC = r"(?i)(?:findOne|findAll|findById|findMany|createOne|createMany)"
 SYNC_GUARD = r"^(?:is[A-Z]|has[A-Z]|check[A-Z]|can[A-Z])"
 SYNC_NAMES = (
     "updateState", "updateConfig", "updateFile", "updateUI", "updateView", "updateCache", "updateLocal",
@@ -197,66 +194,73 @@ ASYNC_CALL = (
 TAKEN = r"(?:\bawait\s+|\breturn\s+|\bfunction\s+|=\s*|=>\s*)[\w$.]*$"
 
 
-def missing_await_issues(files: DataFrame) -> DataFrame:
+def missing_await_hits() -> Column:
     """Calls named like async ones, unhandled, whose innermost function is async."""
-    base = pin(structure(files), funcs=of_kind("function", "method"))
-    base = base.where(F.exists("funcs", lambda f: f["is_async"]))
-    base = pin(base, found=match_offsets(F.col("code"), ASYNC_CALL, 0, 1))
-    base = pin(base, placed=_place("found"))
     sync_names = [n.lower() for n in SYNC_NAMES]
 
-    def innermost(m: Column) -> Column:
-        around = F.filter("funcs", lambda f: (m["line"] >= f["line_start"]) & (m["line"] <= f["line_end"]))
+    def waits(line: Column) -> Column:
+        around = F.filter("funcs", lambda f: (line >= f["line_start"]) & (line <= f["line_end"]))
         ranked = F.transform(around, lambda f: F.struct(f["line_start"].alias("s"), f["is_async"].alias("a")))
         return F.coalesce(F.array_max(ranked)["a"], F.lit(False))
 
     before = lambda m: F.substr(F.col("code"), F.lit(1), m["offset"] + F.length(m["hit"]))
     unhandled = lambda m: ~F.regexp_replace(before(m), r"[\w$]+\s*\($", "").rlike(TAKEN)
-    keep = F.filter(
-        "placed",
-        lambda m: ~m["name"].rlike(SYNC_GUARD) & ~F.lower(m["name"]).isin(*sync_names) & unhandled(m) & innermost(m),
-    )
-    rows = _match_rows(base, keep).withColumn(
-        "column", F.col("column") + F.length(F.regexp_extract("hit", r"^[^\w$]", 0))
-    )
-    return issue_rows(
-        rows, rule_id="async-missing-await", line_start=F.col("line"), col_start=F.col("column"),
-        col_end=F.col("column") + F.length("hit"),
-        title=F.concat(F.lit("Possibly missing await on '"), F.col("name"), F.lit("'")),
-        description="The call looks asynchronous and nothing waits for it.", category="bug", severity="MAJOR",
-        confidence=F.when(F.col("name").rlike(SURE_ASYNC), 85).otherwise(65), code_snippet=F.col("snippet"),
-    )
+    named = F.filter(
+        "async_found", lambda m: ~m["name"].rlike(SYNC_GUARD) & ~F.lower(m["name"]).isin(*sync_names) & unhandled(m)
+    )
+    placed = F.transform(named, lambda m: m.withField("line", _line(m["offset"])))
+
+    def of(m: Column) -> Column:
+        column = _column(m["offset"]) + F.length(F.regexp_extract(m["hit"], r"^[^\w$]", 0))
+        return issue_struct(
+            rule_id="async-missing-await", line_start=m["line"], col_start=column,
+            col_end=column + F.length(m["hit"]),
+            title=F.concat(F.lit("Possibly missing await on '"), m["name"], F.lit("'")),
+            description="The call looks asynchronous and nothing waits for it.", category="bug", severity="MAJOR",
+            confidence=F.when(m["name"].rlike(SURE_ASYNC), 85).otherwise(65), code_snippet=_snippet(m["offset"]),
+        )
+
+    return F.transform(F.filter(placed, lambda m: waits(m["line"])), of)
 
 
 HOOKS = "useState|useEffect|useContext|useReducer|useCallback|useMemo|useRef|useLayoutEffect"
+HOOK_CALL = rf"(?:^|[^.\w$])({HOOKS})\s*[(<]"
 
 
-def conditional_hook_issues(files: DataFrame) -> DataFrame:
-    base = pin(structure(files, REACT), ifs=of_kind("if")).where(F.size("ifs") > 0)
-    base = pin(base, found=match_offsets(F.col("code"), rf"(?:^|[^.\w$])({HOOKS})\s*[(<]", 0, 1))
-    base = pin(base, placed=_place("found"))
-    rows = _match_rows(base, F.filter("placed", lambda m: _within("ifs", m["line"])))
-    return issue_rows(
-        rows, rule_id="react-conditional-hook", line_start=F.col("line"), col_start=F.col("column"),
-        col_end=F.col("column") + F.length("hit"),
-        title=F.concat(F.lit("Conditional hook call: "), F.col("name")),
-        description="Hooks must run in the same order on every render.", category="bug", severity="CRITICAL",
-        confidence=95, code_snippet=F.col("snippet"),
+def _is_react() -> Column:
+    return F.col("ext").isin(*["." + e for e in REACT])
+
+
+def conditional_hook_hits() -> Column:
+    inside = F.filter(_placed("hook_found"), lambda m: _within("ifs", m["line"]))
+    return F.transform(
+        inside,
+        lambda m: issue_struct(
+            rule_id="react-conditional-hook", line_start=m["line"], col_start=_column(m["offset"]),
+            col_end=_column(m["offset"]) + F.length(m["hit"]),
+            title=F.concat(F.lit("Conditional hook call: "), m["name"]),
+            description="Hooks must run in the same order on every render.", category="bug", severity="CRITICAL",
+            confidence=95, code_snippet=_snippet(m["offset"]),
+        ),
     )
 
 
-def effect_without_deps_issues(files: DataFrame) -> DataFrame:
+def effect_hits() -> Column:
     """Effects whose closing line ends the call without a second argument."""
-    effects = structure(files, REACT).select("project_id", "path", F.explode(of_kind("effect")).alias("b"))
-    open_ended = effects.where(
-        F.when(F.col("b.line_end") > F.col("b.line_start"), F.col("b.tail").rlike(r"^\s*\}\s*\)")).otherwise(
-            F.col("b.tail").rlike(r"\}\s*\)") & ~F.col("b.tail").rlike(r",\s*\[")
-        )
+    open_ended = F.filter(
+        of_kind("effect"),
+        lambda b: _is_react()
+        & F.when(b["line_end"] > b["line_start"], b["tail"].rlike(r"^\s*\}\s*\)")).otherwise(
+            b["tail"].rlike(r"\}\s*\)") & ~b["tail"].rlike(r",\s*\[")
+        ),
     )
-    return issue_rows(
-        open_ended, rule_id="react-useeffect-deps", line_start=F.col("b.line_start"), line_end=F.col("b.line_end"),
-        title="useEffect missing dependency array", description="The effect runs on every render.",
-        category="bug", severity="MAJOR", confidence=90, code_snippet="useEffect(() => {...})",
+    return F.transform(
+        open_ended,
+        lambda b: issue_struct(
+            rule_id="react-useeffect-deps", line_start=b["line_start"], line_end=b["line_end"],
+            title="useEffect missing dependency array", description="The effect runs on every render.",
+            category="bug", severity="MAJOR", confidence=90, code_snippet="useEffect(() => {...})",
+        ),
     )
 
 
@@ -266,39 +270,40 @@ EXPORTED = rf"\bexport\s+(?:default\s+)?(?:async\s+)?(?:const|let|var|function)\
 IMPORT = r"\bimport\s+(?:type\s+)?([\w$\s{},*]+?)\s+from\b"
 
 
-def unused_variable_issues(files: DataFrame) -> DataFrame:
+def unused_names() -> Column:
     """Declared names that occur nowhere but in declarations.
 
-    The uses are the identifiers left after the declared names are cut out of the code, so the
-    test is a difference of two token sets inside the file row.
+    The uses are the identifiers left after the declared names are cut out of the code, so the test is
+    a difference of two token sets inside the file row.
     """
-    base = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
-    base = pin(base.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
-    base = pin(base, found=match_offsets(F.col("code"), DECLARED, 0, 1))
     uses = F.regexp_extract_all(F.regexp_replace("code", DECLARED, " "), F.lit(IDENT), F.lit(0))
     exported = F.regexp_extract_all("code", F.lit(EXPORTED), F.lit(1))
-    declared = F.filter(F.transform("found", lambda m: m["name"]), lambda n: ~n.startswith("_"))
-    base = pin(base, unused=F.array_except(F.array_except(declared, uses), exported)).where(F.size("unused") > 0)
-    # Only the first declaration of a name is reported.
-    first = F.filter(
-        "found",
-        lambda m, i: F.array_contains("unused", m["name"])
-        & (F.array_position(F.transform("found", lambda x: x["name"]), m["name"]) == i + 1),
-    )
-    rows = _match_rows(base, F.transform(
-        first,
-        lambda m: m.withField("offset", m["offset"] + F.length(m["hit"]) - F.length(m["name"])).withField(
-            "line", F.regexp_count(F.substr(F.col("code"), F.lit(1), m["offset"] + F.length(m["hit"])), F.lit("\n"))
+    declared = F.filter(F.transform("declared", lambda m: m["name"]), lambda n: ~n.startswith("_"))
+    return F.array_except(F.array_except(declared, uses), exported)
+
+
+def unused_hits() -> Column:
+    """The first declaration of each unused name."""
+    first = let(
+        F.transform("declared", lambda x: x["name"]),
+        lambda names: F.filter(
+            "declared",
+            lambda m, i: F.array_contains("unused", m["name"]) & (F.array_position(names, m["name"]) == i + 1),
         ),
-    ))
-    return issue_rows(
-        rows, rule_id="unused", line_start=F.col("line"), col_start=F.col("column"),
-        col_end=F.col("column") + F.length("name"),
-        title=F.concat(F.lit("Unused variable '"), F.col("name"), F.lit("'")),
-        description="Declared and never used; remove it or start the name with an underscore.",
-        category="code-smell", severity="MAJOR", confidence=85, code_snippet=F.col("name"),
     )
 
+    def of(m: Column) -> Column:
+        end = m["offset"] + F.length(m["hit"])
+        column = _column(end - F.length(m["name"]))
+        return issue_struct(
+            rule_id="unused", line_start=_line(end), col_start=column, col_end=column + F.length(m["name"]),
+            title=F.concat(F.lit("Unused variable '"), m["name"], F.lit("'")),
+            description="Declared and never used; remove it or start the name with an underscore.",
+            category="code-smell", severity="MAJOR", confidence=85, code_snippet=m["name"],
+        )
+
+    return F.transform(first, of)
+
 
 def _imported_names(clause: Column) -> Column:
     """Local names of an import clause: default, namespace and named ones, after any ``as``."""
@@ -307,22 +312,25 @@ def _imported_names(clause: Column) -> Column:
     return F.filter(local, lambda n: n != "")
 
 
-def unused_import_issues(files: DataFrame) -> DataFrame:
-    base = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
-    base = pin(base.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
-    base = pin(base.where(F.col("code").rlike(IMPORT)), found=match_offsets(F.col("code"), IMPORT, 0, 1))
+def unused_import_hits() -> Column:
     uses = F.regexp_extract_all(F.regexp_replace("code", IMPORT, " "), F.lit(IDENT), F.lit(0))
-    base = pin(base, uses=uses)
-    rows = _match_rows(pin(base, placed=_place("found")).select("project_id", "path", "content", "uses", "placed"),
-                       F.transform("placed", lambda m: m.withField(
-                           "missing", F.array_except(_imported_names(m["name"]), F.col("uses")))))
-    rows = rows.withColumn("unused", F.explode("missing"))
-    return issue_rows(
-        rows, rule_id="unused-import", line_start=F.col("line"),
-        title=F.concat(F.lit("Unused import '"), F.col("unused"), F.lit("'")),
-        description="Imported and never used.", category="code-smell", severity="INFO", confidence=80,
-        code_snippet=F.col("unused"),
+
+    def of(name: Column, line: Column) -> Column:
+        return issue_struct(
+            rule_id="unused-import", line_start=line, title=F.concat(F.lit("Unused import '"), name, F.lit("'")),
+            description="Imported and never used.", category="code-smell", severity="INFO", confidence=80,
+            code_snippet=name,
+        )
+
+    each = lambda used: F.flatten(
+        F.transform(
+            "imported",
+            lambda m: F.transform(
+                F.array_except(_imported_names(m["name"]), used), lambda n: of(n, _line(m["offset"]))
+            ),
+        )
     )
+    return F.when(F.size("imported") > 0, let(uses, each)).otherwise(let(F.array().cast("array<string>"), each))
 
 
 # ------------------------------------------------------------------ numbers
@@ -337,34 +345,111 @@ NUMBER = r"(?:^|[^\w.$])(\d+(?:\.\d+)?)\b"
 NAMED_CONTEXT = r"^\s*(?:export\s+)?const\b|^\s*[A-Z][A-Z0-9_]*\s*=\s*\d|^\s*['\"]?[\w$ -]+['\"]?\s*:\s*-?[\d.]+\s*,?\s*$"
 
 
-def magic_number_issues(files: DataFrame) -> DataFrame:
+def magic_number_hits() -> Column:
     """Numeric literals above 50 outside constants, enum members, object literals and tests."""
-    base = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
-    base = base.where(F.col("ext").isin(*["." + e for e in JS]) & (daemon_context(F.col("path")) != "test"))
-    base = pin(base, code=blank_code(F.col("content")))
-    base = pin(base, found=match_offsets(F.col("code"), NUMBER, 0, 1))
-    value = lambda m: m["name"].try_cast("double")
     plain = lambda v: (
         v.isin(*[float(n) for n in PLAIN_NUMBERS])
         | ((v >= 100) & (v < 1000) & (v % 100 == 0))
         | ((v >= 1000) & (v < 10000) & (v % 1000 == 0))
         | ((v <= 100) & (v == F.floor(v)))
     )
-    kept = F.filter("found", lambda m: let(value(m), lambda v: (v > 50) & ~plain(v)))
-    rows = _match_rows(pin(base, kept=kept), F.transform("kept", lambda m: m.withField(
-        "offset", m["offset"] + F.length(m["hit"]) - F.length(m["name"])
-    ).withField("code_line", line_text(F.col("code"), m["offset"] + F.length(m["hit"]) - F.length(m["name"]))).withField(
-        "line", F.regexp_count(F.substr(F.col("code"), F.lit(1), m["offset"] + F.length(m["hit"])), F.lit("\n"))
-    )))
-    rows = rows.where(~F.col("code_line").rlike(NAMED_CONTEXT))
+    start = lambda m: m["offset"] + F.length(m["hit"]) - F.length(m["name"])
+    kept = F.filter(
+        "numbers",
+        lambda m: let(m["name"].try_cast("double"), lambda v: (v > 50) & ~plain(v))
+        & ~line_text(F.col("code"), start(m)).rlike(NAMED_CONTEXT),
+    )
+
+    def of(m: Column) -> Column:
+        return issue_struct(
+            rule_id="style-magic-number", line_start=_line(start(m)), col_start=_column(start(m)),
+            col_end=_column(start(m)) + F.length(m["name"]), title="Magic number detected",
+            description=F.concat(F.lit("Name the literal "), m["name"], F.lit(".")), category="maintainability",
+            severity="INFO", confidence=50, code_snippet=m["name"],
+        )
+
+    return F.when(daemon_context(F.col("path")) != "test", F.transform(kept, of))
+
+
+# ------------------------------------------------------------------ the frame
+def _found(pattern: str, when: Column | None = None):
+    found = lambda: match_offsets(F.col("code"), pattern, 0, 1)
+    return found() if when is None else F.when(when, found())
+
+
+# rule group -> (columns pinned for it, its issues); ``funcs`` and ``measures`` come from the block pass
+GROUPS = {
+    "complexity": (("measures",), complexity_hits),
+    "loops": (("loops", "loop_found"), loop_hits),
+    "nested-loops": (("loops",), nested_loop_hits),
+    "missing-await": (("funcs", "async_found"), missing_await_hits),
+    "conditional-hooks": (("ifs", "hook_found"), conditional_hook_hits),
+    "effects": (("blocks",), effect_hits),
+    "unused": (("declared", "unused"), unused_hits),
+    "unused-imports": (("imported",), unused_import_hits),
+    "magic-numbers": (("numbers",), magic_number_hits),
+}
+_BLOCK_COLUMNS = {"measures", "loops", "loop_found", "funcs", "ifs", "blocks", "async_found"}
+
+
+def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thresholds: dict | None = None) -> DataFrame:
+    """Issues of the given rule groups over script files, in one pass."""
+    needs = {c for g in groups for c in GROUPS[g][0]}
+    if needs & _BLOCK_COLUMNS:
+        base = structure(files)
+    else:
+        picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
+        base = pin(picked.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
+    if "measures" in needs:
+        base = with_measures(base)
+    elif "funcs" in needs:
+        base = pin(base, funcs=of_kind("function", "method"))
+    first = {
+        "loops": lambda: of_kind("loop"),
+        "ifs": lambda: of_kind("if"),
+        "loop_found": loop_found,
+        "async_found": lambda: _found(ASYNC_CALL, F.exists("funcs", lambda f: f["is_async"])),
+        "hook_found": lambda: _found(HOOK_CALL, _is_react()),
+        "declared": lambda: _found(DECLARED),
+        "imported": lambda: _found(IMPORT),
+        "numbers": lambda: _found(NUMBER),
+    }
+    pins = {name: make() for name, make in first.items() if name in needs}
+    if pins:
+        base = pin(base, **pins)
+    if "unused" in needs:
+        base = pin(base, unused=unused_names())
+    hits = []
+    for group in groups:
+        make = GROUPS[group][1]
+        found = make(thresholds or {}) if group == "complexity" else make()
+        hits.append(F.coalesce(found, F.array().cast(ISSUES)))
+    every = F.concat(*hits) if len(hits) > 1 else hits[0]
+    return base.select("project_id", F.col("path").alias("file_path"), F.explode(every).alias("i")).select(
+        "project_id", "file_path", "i.*"
+    )
+
+
+ISSUES = "array<struct<" + ",".join(
+    f"{n}:{'int' if n in _NUMERIC else 'string'}" for n in _OWN
+) + ">>"
+
+
+def long_function_issues(files: DataFrame, limit: int = 50) -> DataFrame:
+    """The web profile's function-length rule, measured on brace spans."""
+    spans = block_spans(files, "function", exts=WEB_JS).withColumn("n", F.col("line_end") - F.col("line_start"))
+    spans = spans.where(F.col("n") > limit)
+    long, size = F.col("n") > 2 * limit, F.col("n").cast("string")
     return issue_rows(
-        rows, rule_id="style-magic-number", line_start=F.col("line"), col_start=F.col("column"),
-        col_end=F.col("column") + F.length("name"), title="Magic number detected",
-        description=F.concat(F.lit("Name the literal "), F.col("name"), F.lit(".")), category="maintainability",
-        severity="INFO", confidence=50, code_snippet=F.col("name"),
+        spans, rule_id="long-func", line_start=F.col("line_start"), line_end=F.col("line_end"),
+        title=F.concat(F.lit("Function '"), F.col("name"), F.lit("' is "), size, F.lit(" lines long")),
+        description=F.concat(F.lit("The function spans "), size, F.lit(" lines; split it.")),
+        category="maintainability", severity=F.when(long, "CRITICAL").otherwise("MAJOR"), confidence=85,
+        impact=F.when(long, 75).otherwise(50), code_snippet=F.col("name"), engine="regex",
     )
 
 
+# ------------------------------------------------------------------ repeated literals
 REPEATED_LANGUAGES = ("javascript", "typescript", "python", "java", "csharp", "go")
 DECLARATION_LINE = r"^\s*(const|let|var|enum|interface|type)\b"
 CONFIG_LINE = r"(?i)(timeout|max|min|limit|threshold|port|size|width|height|delay|interval|confidence|impact)"
@@ -490,21 +575,15 @@ def large_file_issues(files: DataFrame) -> DataFrame:
     )
 
 
-WEB_STRUCTURAL = (long_function_issues, repeated_number_issues)
-STATIC_STRUCTURAL = (
-    complexity_issues,
-    unused_variable_issues,
-    unused_import_issues,
-    loop_pattern_issues,
-    nested_loop_issues,
-    missing_await_issues,
-    conditional_hook_issues,
-    effect_without_deps_issues,
-    magic_number_issues,
-    broken_anchor_issues,
-    json_parse_issues,
-)
+def web_structural_issues(files: DataFrame) -> DataFrame:
+    """Structural rules of the web profile."""
+    return long_function_issues(files).unionByName(repeated_number_issues(files))
 
 
-def structural_issues(files: DataFrame, builders=STATIC_STRUCTURAL) -> DataFrame:
-    return reduce(DataFrame.unionByName, [build(files) for build in builders])
+def structural_issues(files: DataFrame, thresholds: dict | None = None) -> DataFrame:
+    """Structural rules of the static profile: script files in one pass, documents by family."""
+    return (
+        script_issues(files, thresholds=thresholds)
+        .unionByName(broken_anchor_issues(files))
+        .unionByName(json_parse_issues(files))
+    )

@@ -87,11 +87,11 @@ def _timed(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _bucket() -> Column:
-    return F.pmod(F.hash("file_path"), F.lit(BUCKETS)).alias("bucket")
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("file_path"), F.lit(buckets))
 
 
-def replace_by_path(root: str) -> Callable[[DataFrame, int], None]:
+def replace_by_path(root: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer: the batch's issues replace those of the same files at ``root``.
 
     The table is laid out in a fixed number of buckets. Only touched buckets are read and rewritten;
@@ -101,7 +101,7 @@ def replace_by_path(root: str) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, _epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = cut_lineage(batch.withColumn("bucket", _bucket()))
+        fresh = cut_lineage(batch.withColumn("bucket", _bucket(buckets)))
         current = read_or(spark, root, fresh.schema)
         touched = fresh.select("bucket").distinct()
         paths = fresh.select("bucket", "file_path").distinct()
@@ -116,8 +116,8 @@ def replace_by_path(root: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def live_issues(issues: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
-    return _start(issues.writeStream.foreachBatch(replace_by_path(root)), checkpoint)
+def live_issues(issues: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    return _start(issues.writeStream.foreachBatch(replace_by_path(root, buckets)), checkpoint)
 
 
 # ------------------------------------------------------------------ rates
