@@ -6,7 +6,7 @@ import importlib
 
 from lintlake.catalog.core import ORACLES, QUERIES
 
-MODULES = ("rules", "structure", "ingest", "triage", "metrics", "context", "streams")
+MODULES = ("rules", "structure", "ingest", "triage", "metrics", "context", "streams", "scans")
 
 
 def _load() -> None:

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lintlake.catalog.core import Tables, relation, sql_case, sql_list, sql_text
 from lintlake.catalog.snippets import FILE_KINDS, FOLDERS
 from lintlake.operators.metrics import project_metrics
-from lintlake.schema import CATEGORIES, SEVERITIES, lookup
+from lintlake.schema import CATEGORIES, SEVERITIES, constant, lookup
 
 DOCUMENT_EXTS = ("ts", "js", "py", "md", "txt", "java", "html", "go")
 
 
 def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
+    return F.element_at(constant(list(values), "array<string>"), index.cast("int") + 1)
 
 
 def _sql_pick(values, index: str) -> str:
@@ -63,7 +63,7 @@ FROM pages""")
 # ------------------------------------------------------------------ parts as source files
 def _render(kind: int, key: Column) -> Column:
     _, blocks, count = FILE_KINDS[kind]
-    pool = F.array(*[F.lit(b) for b in blocks])
+    pool = constant(list(blocks), "array<string>")
     word = lambda i: F.concat(
         F.element_at(F.split("p_name", " "), (i % 2 + 1).cast("int")), i.cast("string")
     )

@@ -9,7 +9,7 @@ SCRIPT = (
     "export function load{w}(a, b, c, d, e, f) {\n  if (a == b && c != d) {\n    return eval(a + '{n}');\n  }\n  for (const x of b) {\n    for (const y of x) {\n      total{n} += y.filter(z => z > {n});\n    }\n  }\n  return total{n};\n}",
     "const api_key_{w} = \"abcdef{n}{p}abcdef\";\nvar old{w} = {n};\nlet unused{w}{p} = path;\n_quiet{n} = old{w};",
     "async function fetch{w}() {\n  try {\n    fetchData{n}('/api/{w}');\n    const r = await fetch('/x');\n    while (r.next) {\n      await r.step({n});\n    }\n  } catch (err) {\n  }\n}",
-    "// TODO: revisit {w} {n}\n/* HACK block */ console.log('{w}', {n});\nconsole.error('failed {w}');\n// FIXME later // XXX\ndebugger;\nconst note{n} = 'debugger inside {w}';",
+    "// TODO: revisit {w} {n}\n/* HACK block */ console.log('{w}', {n});\nconsole.error('failed {w}');\n// FIXME later // XXX\ndebugger;\nconst note{n} = 'debugger inside {w}';\n// HACK: {w} {n}\nx(); // xxx later",
     "/** Documented {w} */\nexport class Box{w} {\n  public async run{w}(input) {\n    if (input) {\n      if (input.a) {\n        for (const k in input.a) {\n          if (k) {\n            while (input.b) {\n              if (input.c || k && input.d) { input.c = k ? {n} : 1; }\n            }\n          }\n        }\n      }\n    }\n    return input;\n  }\n}",
     "export const View{w} = (props) => {\n  const [s{n}, setS] = useState();\n  if (props.ready) {\n    useEffect(() => {\n      setS({n});\n    });\n  }\n  useEffect(() => {\n    props.items.sort.cache = s{n};\n  }, []);\n  return props.items.map(item => <li onClick={() => setS(item)}>{item}</li>);\n};",
     "function query{w}(db, id) {\n  db.query(`select * from {w} where id = ${id}`);\n  db.execute(\"delete from {w} where id = \" + id);\n  el.innerHTML = id;\n  fs.readFileSync('{w}.txt');\n  return new Function('return {n}');\n  cleanup{n}();\n}",

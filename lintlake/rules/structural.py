@@ -35,7 +35,8 @@ def _values(values: dict) -> dict[str, Column]:
     values.setdefault("col_end", values["col_start"])
     values.setdefault("source", "static")
     values.setdefault("engine", "lexical")
-    values.setdefault("impact", lookup(IMPACT, as_col(values["severity"])))
+    severity = values["severity"]
+    values.setdefault("impact", lookup(IMPACT, severity) if isinstance(severity, Column) else IMPACT[severity])
     return {n: as_col(values[n]).cast("int") if n in _NUMERIC else as_col(values[n]) for n in _OWN}
 
 
@@ -129,7 +130,7 @@ LOOP_PATTERNS = (
 
 
 def loop_found() -> Column:
-    found = [match_offsets(F.col("code"), p, i, group) for i, (_, _, _, p, group) in enumerate(LOOP_PATTERNS)]
+    found = [match_offsets("code", p, i, group) for i, (_, _, _, p, group) in enumerate(LOOP_PATTERNS)]
     return F.when(F.size(of_kind("loop")) > 0, F.concat(*found))
 
 
@@ -373,7 +374,7 @@ def magic_number_hits() -> Column:
 
 # ------------------------------------------------------------------ the frame
 def _found(pattern: str, when: Column | None = None):
-    found = lambda: match_offsets(F.col("code"), pattern, 0, 1)
+    found = lambda: match_offsets("code", pattern, 0, 1)
     return found() if when is None else F.when(when, found())
 
 

@@ -39,8 +39,8 @@ def symbols(files: DataFrame) -> DataFrame:
     base = structure(files)
     base = pin(
         base,
-        variables=match_offsets(F.col("code"), VARIABLE, 0, 1),
-        aliases=match_offsets(F.col("code"), TYPE_ALIAS, 0, 1),
+        variables=match_offsets("code", VARIABLE, 0, 1),
+        aliases=match_offsets("code", TYPE_ALIAS, 0, 1),
         classes=F.filter("blocks", lambda b: b["kind"] == "class"),
     )
     row = lambda name, kind, start, end, exported: F.struct(
@@ -80,7 +80,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """One row per import statement with its module and the local names it binds."""
-    base = pin(_scripts(files), found=match_offsets(F.col("content"), IMPORT_STATEMENT, 0, 2))
+    base = pin(_scripts(files), found=match_offsets("content", IMPORT_STATEMENT, 0, 2))
     rows = base.select("project_id", "path", F.posexplode(
         F.transform("found", lambda m: m.withField("line", _at(m, "content")))
     ).alias("position", "m"))
@@ -106,7 +106,7 @@ def exports(files: DataFrame) -> DataFrame:
     base = pin(_scripts(files), code=blank_code(F.col("content")))
     base = pin(
         base,
-        declared=match_offsets(F.col("code"), EXPORT_DECLARATION, 0, 3),
+        declared=match_offsets("code", EXPORT_DECLARATION, 0, 3),
         listed=F.regexp_extract_all("code", F.lit(EXPORT_LIST), F.lit(1)),
         defaults=F.regexp_extract_all("code", F.lit(EXPORT_DEFAULT), F.lit(1)),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F, types as T
 
 # The ordered severities and the categories of an issue.
@@ -70,12 +72,18 @@ ISSUE_COLUMNS = (
 )
 
 
+_SQL_TYPES = {str: "string", int: "int", float: "double"}
+
+
+def constant(value, sql_type: str) -> Column:
+    """A nested constant from plain Python data; the optimizer folds it into one literal."""
+    return F.from_json(F.lit(json.dumps(value)), sql_type)
+
+
 def lookup(mapping: dict, key: Column, default=None) -> Column:
-    """``mapping[key]`` as a chain of ``when`` (small maps stay inside whole-stage codegen)."""
-    out = None
-    for name, value in mapping.items():
-        out = F.when(key == name, F.lit(value)) if out is None else out.when(key == name, F.lit(value))
-    return out.otherwise(F.lit(default))
+    """``mapping[key]`` over a constant map, or ``default``."""
+    kind = _SQL_TYPES[type(next(iter(mapping.values())))]
+    return F.coalesce(F.try_element_at(constant(mapping, f"map<string,{kind}>"), key), F.lit(default).cast(kind))
 
 
 def severity_rank(severity: Column) -> Column:
