@@ -32,7 +32,7 @@ def read_files(spark: SparkSession, root: str, project_id: str = "project", glob
     rows = raw.select(
         F.lit(project_id).alias("project_id"),
         relative.alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
         F.col("length").alias("size"),
     )
     return rows.withColumn("language", ingest_extension(F.col("path"))).select(*FILES.names)

@@ -38,7 +38,7 @@ def file_stream(spark: SparkSession, folder: str, since: str | None = None, max_
     if since:
         raw = raw.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
     return raw.where(F.col("length") <= max_bytes).select(
-        "path", F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("ts")
+        "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("ts")
     )
 
 
