@@ -53,9 +53,29 @@ def match_offsets(text: str, pattern: str, ordinal: int = 0, name_group: int | N
     lengths; at most ``MATCH_CAP`` matches per rule and file are reported. Each array is bound once. The
     expression is given as SQL text: one call to the JVM instead of dozens per rule.
     """
+    return F.expr(offsets_sql(text, pattern, ordinal, name_group))
+
+
+def offsets_sql(text: str, pattern: str, ordinal: int = 0, name_group: int | None = None) -> str:
     p = sql_literal(pattern)
     name = f"regexp_extract(h, {p}, {name_group})" if name_group else "''"
-    return F.expr(_OFFSETS.format(text=text, p=p, cap=MATCH_CAP, ord=ordinal, name=name))
+    return _OFFSETS.format(text=text, p=p, cap=MATCH_CAP, ord=ordinal, name=name)
+
+
+def line_matches(lines: str, pattern: str, name_group: int, has: str, lacks: str) -> Column:
+    """Matches line by line as ``array<struct<line,column,name>>`` of the captured names.
+
+    Only lines with ``has`` and without ``lacks`` are searched, and positions are found within the
+    line, which is cheaper than offsets into the file where matches are many.
+    """
+    return F.expr(
+        f"""flatten(transform(
+              filter(transform({lines}, (x, i) -> struct(x AS text, i AS line)),
+                     s -> regexp_like(s.text, {sql_literal(has)}) AND NOT regexp_like(s.text, {sql_literal(lacks)})),
+              s -> transform({offsets_sql('s.text', pattern, 0, name_group)},
+                     m -> named_struct('line', s.line, 'column', m.offset + length(m.hit) - length(m.name),
+                                       'name', m.name))))"""
+    )
 
 
 def line_of(text: Column, offset: Column) -> Column:

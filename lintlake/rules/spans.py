@@ -112,13 +112,13 @@ def structure(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
     lined = pin(coded, lines=F.split("code", "\n", -1))
     braced = pin(
         lined,
-        net=F.transform("lines", lambda x: let(
+        net=F.transform("lines", lambda x: F.when(x.rlike("[{}]"), let(
             _net_braces(x),
             lambda n: F.struct(
                 F.length(F.replace(n, F.lit("{"), F.lit(""))).alias("closes"),
                 F.length(F.replace(n, F.lit("}"), F.lit(""))).alias("opens"),
             ),
-        )),
+        )).otherwise(F.struct(F.lit(0).alias("closes"), F.lit(0).alias("opens")))),
         starts=F.flatten(
             F.transform(
                 "lines",

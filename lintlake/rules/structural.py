@@ -16,7 +16,7 @@ from lintlake.functions.paths import daemon_context, dot_extension, language_of
 from lintlake.functions.text import trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.lines import family_of
-from lintlake.rules.matches import line_text, match_offsets
+from lintlake.rules.matches import line_matches, line_text, match_offsets
 from lintlake.rules.spans import IDENT, block_spans, of_kind, structure, with_measures
 from lintlake.rules.spec import JS, REACT, WEB_JS
 from lintlake.schema import IMPACT, ISSUE_COLUMNS, lookup
@@ -354,17 +354,12 @@ def magic_number_hits() -> Column:
         | ((v >= 1000) & (v < 10000) & (v % 1000 == 0))
         | ((v <= 100) & (v == F.floor(v)))
     )
-    start = lambda m: m["offset"] + F.length(m["hit"]) - F.length(m["name"])
-    kept = F.filter(
-        "numbers",
-        lambda m: let(m["name"].try_cast("double"), lambda v: (v > 50) & ~plain(v))
-        & ~line_text(F.col("code"), start(m)).rlike(NAMED_CONTEXT),
-    )
+    kept = F.filter("numbers", lambda m: let(m["name"].try_cast("double"), lambda v: (v > 50) & ~plain(v)))
 
     def of(m: Column) -> Column:
         return issue_struct(
-            rule_id="style-magic-number", line_start=_line(start(m)), col_start=_column(start(m)),
-            col_end=_column(start(m)) + F.length(m["name"]), title="Magic number detected",
+            rule_id="style-magic-number", line_start=m["line"], col_start=m["column"],
+            col_end=m["column"] + F.length(m["name"]), title="Magic number detected",
             description=F.concat(F.lit("Name the literal "), m["name"], F.lit(".")), category="maintainability",
             severity="INFO", confidence=50, code_snippet=m["name"],
         )
@@ -401,6 +396,8 @@ def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thres
     else:
         picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
         base = pin(picked.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
+        if "numbers" in needs:
+            base = pin(base, lines=F.split("code", "\n", -1))
     if "measures" in needs:
         base = with_measures(base)
     elif "funcs" in needs:
@@ -413,7 +410,7 @@ def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thres
         "hook_found": lambda: _found(HOOK_CALL, _is_react()),
         "declared": lambda: _found(DECLARED),
         "imported": lambda: _found(IMPORT),
-        "numbers": lambda: _found(NUMBER),
+        "numbers": lambda: line_matches("lines", NUMBER, 1, r"\d\d", NAMED_CONTEXT),
     }
     pins = {name: make() for name, make in first.items() if name in needs}
     if pins:

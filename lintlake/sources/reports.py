@@ -121,7 +121,9 @@ def read_biome(reports: DataFrame) -> DataFrame:
 
 
 def read_ruff(reports: DataFrame) -> DataFrame:
-    rows = reports.select("project_id", "file_path", F.explode(F.from_json("report", RUFF)).alias("d"))
+    # A single object would parse as an array of one.
+    listed = reports.where(F.ltrim("report").startswith("["))
+    rows = listed.select("project_id", "file_path", F.explode(F.from_json("report", RUFF)).alias("d"))
     d, at, end = F.col("d"), F.col("d.location"), F.col("d.end_location")
     prefix = F.upper(F.substring(d["code"], 1, 1))
     missing = d["code"].isNull() | (d["code"] == "")
