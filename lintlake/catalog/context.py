@@ -395,7 +395,12 @@ def fix_prompt(t):
     return context.fix_prompt(context.fix_context(files, found)).select("issue_id", "prompt")
 
 
-@query("M15_analysis_request")
+@query("M15_analysis_request", """
+SELECT f.path, to_json({'task': 'analyze_code', 'file': {'path': f.path, 'truncated': length(content) > 5000},
+  'context': {'symbols': coalesce(s.names, []::VARCHAR[]), 'imports': coalesce(i.modules, []::VARCHAR[])}, 'code': left(content, 5000)})::VARCHAR AS request
+FROM {{code_files}} f
+LEFT JOIN (SELECT path, list(name ORDER BY line_start, name, kind)[1:20] AS names FROM {{symbols}} GROUP BY 1) s USING (path)
+LEFT JOIN (SELECT path, list(module ORDER BY position)[1:10] AS modules FROM {{imports}} GROUP BY 1) i USING (path)""")
 def analysis_request(t):
     files = one_repo(t)
     return context.analysis_request(files, symbols.symbols(files), symbols.imports(files)).select("path", "request")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lintlake.functions.text import base_rule_id
 from lintlake.schema import SARIF_LEVEL, lookup
+from lintlake.session import cut_lineage
 
 SARIF_VERSION = "2.1.0"
 
@@ -26,9 +27,12 @@ def chunked_lists(df: DataFrame, keys: Sequence[str], number: str, size: int, it
 def with_running_number(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """A unique number that follows ``order`` for tables without one: range partition, then partition offsets.
 
-    The offsets come from one count per partition, the numbers from each partition's own order.
+    The offsets come from one count per partition, the numbers from each partition's own order. The
+    partitioned rows are written to the checkpoint folder first: range bounds are sampled, so the counts
+    and the numbers must come from one and the same run.
     """
-    ordered = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    ordered = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
     sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.paths import file_category, language_of
 from lintlake.functions.text import meaningful_lines, raw_lines
@@ -108,8 +108,7 @@ def ratio(numerator: Column, denominator: Column) -> Column:
 def file_type_histogram(files: DataFrame, keep: int | None = None) -> DataFrame:
     """Files per type label with the share of the total; ``keep`` gives the largest ones."""
     counts = files.groupBy(file_category(F.col("path")).alias("file_type")).agg(F.count(F.lit(1)).alias("n_files"))
-    # At most one row per file type: the window runs over the aggregated labels only.
-    counts = counts.withColumn("total_files", F.sum("n_files").over(Window.partitionBy()))
+    counts = counts.withColumn("total_files", counts.agg(F.sum("n_files")).scalar())
     ordered = counts.orderBy(F.desc("n_files"), "file_type")
     return ordered.limit(keep) if keep else ordered
 
