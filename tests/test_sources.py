@@ -123,7 +123,7 @@ def test_trends(spark):
     assert delta["s0"] == 0 and delta["s4"] == -1 and delta["s5"] == 9
     assert history.overall_trend(snaps).first().trend == "improving"
     assert history.overall_trend(snapshots(spark, [50, 90, 10])).first().trend == "stable"
-    assert history.recent_average(snaps, 30, "2024-02-17").first().average_30 == 56
+    assert history.recent_average(snaps, 30, "2024-02-17").first().average_30 == 57  # 51, 60 and 61 fall within the 30 days
     assert history.recent_average(snaps, 1, "2025-01-01").first().average_1 == 61
 
 
