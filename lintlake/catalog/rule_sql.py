@@ -11,8 +11,13 @@ from lintlake.rules.spec import MATCH_CAP, LineRule, MatchRule
 LOWER = "lower(replace(path, chr(92), '/'))"
 
 
+def pattern_text(pattern: str) -> str:
+    """A pattern as SQL text; the checking engine matches in linear time and has no possessive marks."""
+    return sql_text(pattern.replace("*+", "*"))
+
+
 def matches(text: str, pattern: str) -> str:
-    return f"regexp_matches({text}, {sql_text(pattern)})"
+    return f"regexp_matches({text}, {pattern_text(pattern)})"
 
 
 def any_of(text: str, parts) -> str:
@@ -51,7 +56,7 @@ def family_sql(family: str) -> str:
 
 _blank = lambda x: f"regexp_replace({x}, '[^\\n]', ' ', 'g')"
 _inner = "t[2:-2]"
-BLANKED = f"""array_to_string(list_transform(regexp_extract_all(content, {sql_text(TOKENS)}), lambda t:
+BLANKED = f"""array_to_string(list_transform(regexp_extract_all(content, {pattern_text(TOKENS)}), lambda t:
   CASE WHEN starts_with(t, '//') OR starts_with(t, '/*') THEN {_blank('t')}
        WHEN length(t) >= 2 AND t[1] IN ('"', '''') THEN t[1] || {_blank(_inner)} || t[1]
        WHEN length(t) >= 2 AND t[1] = '`' THEN '`' || array_to_string(list_transform(
@@ -76,7 +81,7 @@ def _meta(rule) -> str:
 
 def located_hits(source: str, text: str, pattern: str, where: str = "TRUE", cap: int = MATCH_CAP) -> str:
     """Rows of ``source`` with one row per match: i, hit and 0-based offset."""
-    p = sql_text(pattern)
+    p = pattern_text(pattern)
     return f"""
   SELECT *, (list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS off,
          hits[i] AS hit
@@ -102,7 +107,7 @@ def match_rule_sql(rule: MatchRule) -> str:
         where.append(f"ext IN ({sql_list('.' + e for e in rule.exts)})")
     if rule.contexts:
         where.append(f"{DAEMON_CONTEXT} IN ({sql_list(rule.contexts)})")
-    name = f"regexp_extract(hit, {sql_text(rule.pattern)}, {rule.name_group})" if rule.name_group else "''"
+    name = f"regexp_extract(hit, {pattern_text(rule.pattern)}, {rule.name_group})" if rule.name_group else "''"
     keep = ["TRUE"]
     if rule.hit_lacks:
         keep.append("NOT " + matches("hit", rule.hit_lacks))
@@ -142,7 +147,7 @@ WHERE = {
     "shipped_context": f"{DAEMON_CONTEXT} IN ('production-web', 'test')",
     "tool_context": f"{DAEMON_CONTEXT} IN ('daemon-service', 'build-script')",
     "debugger_outside_strings":
-        f"len(list_filter(regexp_extract_all(line, {sql_text(STRINGS)}), lambda s: contains(s, 'debugger'))) = 0",
+        f"len(list_filter(regexp_extract_all(line, {pattern_text(STRINGS)}), lambda s: contains(s, 'debugger'))) = 0",
     "no_quote_before_equality": "NOT regexp_matches(right(split_part(line, '==', 1), 5), '[''\"`]')",
     "web_production": f"{WEB_CONTEXT} = 'production-web'",
     "not_web_production": f"{WEB_CONTEXT} <> 'production-web'",

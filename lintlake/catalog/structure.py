@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.catalog.bindings import corpus
 from lintlake.catalog.core import query, relation, sql_list, sql_text
 from lintlake.catalog.rule_sql import (
-    DAEMON_CONTEXT, EXT, LANGUAGE, _prefix_col, _prefix_line, family_sql, located_hits, matches,
+    DAEMON_CONTEXT, EXT, LANGUAGE, _prefix_col, _prefix_line, family_sql, located_hits, matches, pattern_text,
 )
 from lintlake.catalog.rules import show
 from lintlake.functions.paths import language_of
@@ -32,23 +32,23 @@ FROM (SELECT *, (sum(opens - closes) OVER (PARTITION BY project_id, path ORDER B
                                     FROM {{{{script_code}}}}))))))""")
 
 _fname = (
-    f"coalesce(nullif(regexp_extract(line, {sql_text(S.FUNCTION)}, 1), ''), "
-    f"regexp_extract(line, {sql_text(S.FUNCTION)}, 2))"
+    f"coalesce(nullif(regexp_extract(line, {pattern_text(S.FUNCTION)}, 1), ''), "
+    f"regexp_extract(line, {pattern_text(S.FUNCTION)}, 2))"
 )
 _is_function = matches("line", S.FUNCTION)
 _kinds = (
     ("function", _is_function, _fname),
     ("method", f"NOT {_is_function} AND {matches('line', S.METHOD)} AND NOT {matches('line', S.NOT_METHOD)}",
-     f"regexp_extract(line, {sql_text(S.METHOD)}, 1)"),
+     f"regexp_extract(line, {pattern_text(S.METHOD)}, 1)"),
     ("loop", f"{matches('line', S.LOOP)} AND NOT {matches('line', S.LOOP_TAIL)}", "''"),
     ("if", matches("line", S.IF), "''"),
     ("switch", matches("line", S.SWITCH), "''"),
     ("try", matches("line", S.TRY), "''"),
     ("catch", matches("line", S.CATCH), "''"),
     ("effect", matches("line", S.EFFECT), "''"),
-    ("class", matches("line", S.CLASS), f"regexp_extract(line, {sql_text(S.CLASS)}, 1)"),
-    ("interface", matches("line", S.INTERFACE), f"regexp_extract(line, {sql_text(S.INTERFACE)}, 1)"),
-    ("enum", matches("line", S.ENUM), f"regexp_extract(line, {sql_text(S.ENUM)}, 1)"),
+    ("class", matches("line", S.CLASS), f"regexp_extract(line, {pattern_text(S.CLASS)}, 1)"),
+    ("interface", matches("line", S.INTERFACE), f"regexp_extract(line, {pattern_text(S.INTERFACE)}, 1)"),
+    ("enum", matches("line", S.ENUM), f"regexp_extract(line, {pattern_text(S.ENUM)}, 1)"),
 )
 _starts = "\nUNION ALL ".join(
     f"SELECT *, '{k}' AS kind, {name} AS name FROM {{{{script_lines}}}} WHERE {test}" for k, test, name in _kinds
@@ -193,7 +193,7 @@ FROM (SELECT project_id, path, hit, name, line, col,
              (SELECT max_by(f.is_async, f.line_start) FROM {{{{blocks}}}} f WHERE f.kind IN ('function', 'method')
                 AND f.project_id = m.project_id AND f.path = m.path
                 AND m.line BETWEEN f.line_start AND f.line_end) AS waits
-      FROM (SELECT *, regexp_extract(hit, {sql_text(structural.ASYNC_CALL)}, 1) AS name,
+      FROM (SELECT *, regexp_extract(hit, {pattern_text(structural.ASYNC_CALL)}, 1) AS name,
                    {_prefix_line('off', 'code')} AS line, {_prefix_col('off')} AS col
             FROM ({located_hits('{{script_code}}', 'code', structural.ASYNC_CALL)})) m
       WHERE NOT {matches('name', structural.SYNC_GUARD)}
@@ -231,8 +231,8 @@ def conditional_hook(t):
 
 
 # ------------------------------------------------------------------ unused names
-_ident = sql_text(S.IDENT)
-_decl = sql_text(structural.DECLARED)
+_ident = pattern_text(S.IDENT)
+_decl = pattern_text(structural.DECLARED)
 @query("R50_unused", f"""
 WITH d AS (
   SELECT *, regexp_extract(hit, {_decl}, 1) AS name FROM ({located_hits('{{script_code}}', 'code', structural.DECLARED)})),
@@ -242,12 +242,12 @@ SELECT project_id, path AS file_path, {_prefix_line('off + length(hit)', 'code')
        'unused' AS rule_id, 'MAJOR' AS severity, 85 AS confidence, 60 AS impact
 FROM firsts WHERE NOT starts_with(name, '_')
   AND NOT list_contains(regexp_extract_all(regexp_replace(code, {_decl}, ' ', 'g'), {_ident}), name)
-  AND NOT list_contains(regexp_extract_all(code, {sql_text(structural.EXPORTED)}, 1), name)""")
+  AND NOT list_contains(regexp_extract_all(code, {pattern_text(structural.EXPORTED)}, 1), name)""")
 def unused(t):
     return show(structural.script_issues(corpus(t), ["unused"]))
 
 
-_import = sql_text(structural.IMPORT)
+_import = pattern_text(structural.IMPORT)
 @query("R52_unused_import", f"""
 WITH m AS (
   SELECT *, regexp_extract(hit, {_import}, 1) AS clause FROM ({located_hits('{{script_code}}', 'code', structural.IMPORT)})),
@@ -271,7 +271,7 @@ SELECT project_id, path AS file_path, {_prefix_line('pos', 'code')} AS line_star
        'Magic number detected' AS title, 'style-magic-number' AS rule_id, 'INFO' AS severity, 50 AS confidence,
        20 AS impact
 FROM (SELECT *, off + length(hit) - length(name) AS pos
-      FROM (SELECT *, regexp_extract(hit, {sql_text(structural.NUMBER)}, 1) AS name
+      FROM (SELECT *, regexp_extract(hit, {pattern_text(structural.NUMBER)}, 1) AS name
             FROM ({located_hits('{{script_code}}', 'code', structural.NUMBER, f"{DAEMON_CONTEXT} <> 'test'")})))
 WHERE {_v} > 50 AND {_v} NOT IN ({', '.join(str(float(n)) for n in structural.PLAIN_NUMBERS)})
   AND NOT ({_v} >= 100 AND {_v} < 1000 AND {_v} % 100 = 0) AND NOT ({_v} >= 1000 AND {_v} < 10000 AND {_v} % 1000 = 0)
@@ -326,8 +326,8 @@ def json_parse(t):
 SELECT project_id, path AS file_path, line_no AS line_start, instr(line, url) - 1 AS col_start,
        'Potentially broken anchor link' AS title, 'md-broken-anchor' AS rule_id, 'INFO' AS severity, 50 AS confidence,
        20 AS impact
-FROM (SELECT *, regexp_extract(hit, {sql_text(structural.LINK)}, 2) AS url
-      FROM (SELECT *, unnest(regexp_extract_all(line, {sql_text(structural.LINK)})) AS hit
+FROM (SELECT *, regexp_extract(hit, {pattern_text(structural.LINK)}, 2) AS url
+      FROM (SELECT *, unnest(regexp_extract_all(line, {pattern_text(structural.LINK)})) AS hit
             FROM (SELECT *, i - 1 AS line_no, lines[i] AS line
                   FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i
                         FROM (SELECT project_id, path, content, string_split(content, chr(10)) AS lines
@@ -362,9 +362,9 @@ WITH owned AS (
             AND c.path = b.path AND c.line_start < b.line_start AND b.line_start <= c.line_end) AS owner
   FROM {{{{blocks}}}} b WHERE kind IN ('class', 'interface', 'enum', 'method')
      OR (kind = 'function' AND {matches('line', symbols.DECLARED_FUNCTION)})),
-v AS (SELECT *, regexp_extract(hit, {sql_text(symbols.VARIABLE)}, 1) AS name
+v AS (SELECT *, regexp_extract(hit, {pattern_text(symbols.VARIABLE)}, 1) AS name
       FROM ({located_hits('{{script_code}}', 'code', symbols.VARIABLE)})),
-a AS (SELECT *, regexp_extract(hit, {sql_text(symbols.TYPE_ALIAS)}, 1) AS name
+a AS (SELECT *, regexp_extract(hit, {pattern_text(symbols.TYPE_ALIAS)}, 1) AS name
       FROM ({located_hits('{{script_code}}', 'code', symbols.TYPE_ALIAS)}))
 SELECT project_id, path, CASE WHEN kind = 'method' THEN owner || '.' || name ELSE name END AS name,
        CASE WHEN kind = 'method' THEN 'function' ELSE kind END AS kind, line_start, line_end, exported
@@ -383,7 +383,7 @@ def symbol_rows(t):
     return symbols.symbols(corpus(t))
 
 
-_istmt = sql_text(symbols.IMPORT_STATEMENT)
+_istmt = pattern_text(symbols.IMPORT_STATEMENT)
 relation("imports", f"""
 SELECT project_id, path, i - 1 AS position, {_prefix_line("off + length(regexp_extract(hit, '^[[:space:]]*'))")} AS line,
        module, starts_with(module, '.') AS is_relative,
@@ -403,7 +403,7 @@ def import_rows(t):
     return symbols.imports(corpus(t)).withColumn("named_imports", F.array_join("named_imports", ","))
 
 
-_exp = sql_text(symbols.EXPORT_DECLARATION)
+_exp = pattern_text(symbols.EXPORT_DECLARATION)
 @query("R81_exports", f"""
 WITH h AS (SELECT project_id, path, unnest(regexp_extract_all(code, {_exp})) AS hit FROM {{{{script_code}}}})
 SELECT project_id, path, regexp_extract(hit, {_exp}, 3) AS name,
@@ -413,10 +413,10 @@ SELECT project_id, path, regexp_extract(hit, {_exp}, 3) AS name,
 UNION ALL
 SELECT project_id, path, name, 'variable', FALSE
 FROM (SELECT project_id, path, unnest(flatten(list_transform(
-        regexp_extract_all(code, {sql_text(symbols.EXPORT_LIST)}, 1), lambda l: list_transform(string_split(l, ','),
+        regexp_extract_all(code, {pattern_text(symbols.EXPORT_LIST)}, 1), lambda l: list_transform(string_split(l, ','),
         lambda p: regexp_extract(p, '([A-Za-z_$][\\w$]*)\\s*$', 1))))) AS name FROM {{{{script_code}}}}) WHERE name <> ''
 UNION ALL
-SELECT project_id, path, unnest(regexp_extract_all(code, {sql_text(symbols.EXPORT_DEFAULT)}, 1)), 'variable', TRUE
+SELECT project_id, path, unnest(regexp_extract_all(code, {pattern_text(symbols.EXPORT_DEFAULT)}, 1)), 'variable', TRUE
 FROM {{{{script_code}}}}""")
 def export_rows(t):
     return symbols.exports(corpus(t))

@@ -71,7 +71,7 @@ def scan_job_view(jobs: DataFrame) -> DataFrame:
 def suggestion_view(suggestions: DataFrame) -> DataFrame:
     """Stored suggestions with defaults; ``tags`` (JSON text) keeps only its string members."""
     members = F.from_json("tags", "array<string>")
-    raw = F.regexp_extract_all("tags", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
+    raw = F.regexp_extract_all("tags", F.lit(r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'), F.lit(1))
     empty = F.lit(None).cast(LOCATION)
     location = F.coalesce(F.from_json("location", LOCATION), empty)
     return suggestions.withColumns(

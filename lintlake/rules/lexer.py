@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Strings and comments first, then runs of ordinary text, then any single character.
+# Repeated groups are possessive: they cannot match differently, and the matcher then loops instead of
+# recursing, so a string of any length is safe.
 TOKENS = (
-    r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"'
-    r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
-    r"|`[^`\\]*(?:\\[\s\S][^`\\]*)*`"
+    r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    r"|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
     r"|//[^\n]*"
     r"|/\*[\s\S]*?\*/"
     r"""|[^"'`/]+|[\s\S]"""

@@ -32,7 +32,7 @@ DELEGATED = (
     "c", "cpp", "cc", "h", "hpp",
 )
 SCRIPT_WORDS = ("function ", "const ", "import ")
-STRINGS = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'|" + r"`(?:\\.|[^`\\])*`"
+STRINGS = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+{q}" for q in ('"', "'", "`"))
 CONSOLE = r"console\.(log|debug|info|warn|error|trace)\s*\("
 
 

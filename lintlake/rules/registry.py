@@ -160,7 +160,7 @@ FILE_TYPE_RULES = (
     LineRule(
         "yaml-indent", "Inconsistent YAML indentation", "code-smell", "MAJOR", 70,
         "The indentation is not a multiple of two.", family="yaml",
-        has=(("line", r"^\s(?:\s\s)*(?:\S|$)"),), end="indent",
+        has=(("line", r"^\s(?:\s\s)*+(?:\S|$)"),), end="indent",
     ),
     LineRule(
         "yaml-boolean", "Unquoted boolean-like value", "bug", "INFO", 65,
@@ -333,7 +333,7 @@ LEXICAL_RULES = (
     _lexical(
         "ts-ignore", "@ts-ignore comment found", "best-practice", "MAJOR", 100,
         "A type error is silenced above this statement.", exts=TS, text="content",
-        pattern=r"(?://|/\*)[^\n]*@ts-(?:ignore|nocheck)[^\n]*\n(?:[ \t]*(?://[^\n]*)?\n)*[ \t]*\S",
+        pattern=r"(?://|/\*)[^\n]*@ts-(?:ignore|nocheck)[^\n]*\n(?:[ \t]*(?://[^\n]*)?\n)*+[ \t]*\S",
         skip=r"^[\s\S]*\n[ \t]*",
     ),
     _lexical(
@@ -353,12 +353,12 @@ LEXICAL_RULES = (
     _lexical(
         "async-floating-promise", "Unhandled promise from '{name}'", "bug", "MAJOR", 80,
         "The promise is neither awaited nor handled.", name_group=1, skip=r"^[ \t]*",
-        pattern=r"(?mi)^[ \t]*(?:[\w$]+\.)*(saveToDb|saveAsync|deleteAsync|insertAsync|removeAsync|sendAsync|emitAsync)\s*\(",
+        pattern=r"(?mi)^[ \t]*(?:[\w$]+\.)*+(saveToDb|saveAsync|deleteAsync|insertAsync|removeAsync|sendAsync|emitAsync)\s*\(",
     ),
     _lexical(
         "async-floating-promise", "Unhandled promise from '{name}'", "bug", "MAJOR", 60,
         "The promise is neither awaited nor handled.", name_group=1, skip=r"^[ \t]*",
-        pattern=r"(?mi)^[ \t]*(?:[\w$]+\.)*(sendMessage|sendEmail|sendNotification)\s*\(",
+        pattern=r"(?mi)^[ \t]*(?:[\w$]+\.)*+(sendMessage|sendEmail|sendNotification)\s*\(",
     ),
     _lexical(
         "react-missing-key", "Missing key prop in list rendering", "bug", "MAJOR", 80,
@@ -398,7 +398,7 @@ LEXICAL_RULES = (
     _lexical(
         "unreachable", "Unreachable code detected", "bug", "MAJOR", 95,
         "Nothing runs after the jump above.", skip=r"^[\s\S]*\n[ \t]*",
-        pattern=r"(?m)^[ \t]*(?:return\b[^\n;{]*|throw\b[^\n;{]*|break|continue)[ \t]*;[ \t]*\n(?:[ \t]*\n)*[ \t]*[^\s}][\w$]*",
+        pattern=r"(?m)^[ \t]*(?:return\b[^\n;{]*|throw\b[^\n;{]*|break|continue)[ \t]*;[ \t]*\n(?:[ \t]*\n)*+[ \t]*[^\s}][\w$]*",
         hit_lacks=r"\n[ \t]*(?:case|default|else)$", before_lacks=r"(?:\bif\s*\([^\n]*\)|\belse)\s*$",
     ),
 )

@@ -22,7 +22,7 @@ FUNCTION = (
     r"(?:function\b|\([^)]*\)\s*(?::\s*[^=]+)?=>|[\w$]+\s*=>)"
 )
 METHOD = (
-    r"^\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*"
+    r"^\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*+"
     rf"({IDENT})\s*(?:<[^>(]*>)?\([^)]*\)\s*(?::\s*[^{{]+)?\{{\s*$"
 )
 NOT_METHOD = r"^\s*(?:\}\s*)?(?:else\s+)?(?:if|for|while|switch|catch|function|return|do|try|with)\b"

@@ -137,3 +137,19 @@ def test_large_file(make_files):
 def test_match_cap(make_files):
     files = make_files({"a.js": "eval(1)\n" * 1200})
     assert scan(files, "regex").where("rule_id = 'sec-eval'").count() == 1000
+
+
+def test_hostile_content(make_files):
+    """Rules are total: very long strings, escapes, blank runs and open quotes end no job."""
+    files = make_files({
+        "escapes.ts": 'const s = "' + "\\n" * 30000 + '"; debugger;',
+        "long.ts": "const s = '" + "x" * 150000 + "'; debugger;",
+        "template.ts": "const s = `" + "${a} \\` " * 10000 + "`;",
+        "blank.ts": "// @ts-ignore\n" + "\n" * 50000 + "x();\nfunction f() {\n  return 1;\n" + "\n" * 20000 + "  g();\n}",
+        "open.ts": "const s = 'open\n/* never closed " + "y " * 50000,
+        "braces.ts": "{" * 20000 + "}" * 20000,
+        "deep.js": "a." * 3000 + "saveAsync();",
+        "null.json": "\x00[",
+    })
+    rules = {(r.file_path, r.rule_id) for r in scan(files, "all").select("file_path", "rule_id").distinct().collect()}
+    assert {("escapes.ts", "style-debugger"), ("long.ts", "style-debugger"), ("blank.ts", "ts-ignore"), ("blank.ts", "unreachable")} <= rules
