@@ -43,6 +43,8 @@ CONTROL = r"\b(?:if|for|while|catch|switch)\b|\?\?|\?[^.:?]"
 NULLISH = r"\?\?"
 LOGICAL = r"&&|\|\|"
 PAIR_PASSES = 6
+# Depths are summed in blocks of lines: growing one array over a whole file would copy it for every line.
+DEPTH_BLOCK = 256
 
 
 STARTS = (
@@ -126,16 +128,19 @@ def structure(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
             )
         ),
     )
-    deep = pin(
-        braced,
-        before=F.aggregate(
-            "net",
-            F.array(F.lit(0)),
-            lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n["opens"] - n["closes"])),
-        ),
+    starts_at = F.sequence(F.lit(0), F.floor((F.size("net") - 1) / DEPTH_BLOCK).cast("int"))
+    part = lambda k: F.slice("net", k * DEPTH_BLOCK + 1, F.lit(DEPTH_BLOCK))
+    step = lambda acc, n: acc + n["opens"] - n["closes"]
+    append = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
+    sums = F.transform(starts_at, lambda k: F.aggregate(part(k), F.lit(0), step))
+    carried = pin(braced, carry=F.aggregate(sums, F.array(F.lit(0)), append))
+    running = lambda k: F.aggregate(
+        part(k), F.array(F.get("carry", k)), lambda acc, n: append(acc, n["opens"] - n["closes"])
     )
+    before = F.flatten(F.transform(starts_at, lambda k: let(running(k), lambda r: F.slice(r, F.lit(1), F.size(r) - 1))))
+    deep = pin(carried, before=before)
     based = pin(deep, base=F.transform("net", lambda n, i: F.get("before", i) - n["closes"]))
-    return pin(based, blocks=F.transform("starts", _with_end)).drop("net", "before", "base", "starts")
+    return pin(based, blocks=F.transform("starts", _with_end)).drop("net", "carry", "before", "base", "starts")
 
 
 def _with_end(s: Column) -> Column:

@@ -145,7 +145,7 @@ def test_hostile_content(make_files):
         "escapes.ts": 'const s = "' + "\\n" * 30000 + '"; debugger;',
         "long.ts": "const s = '" + "x" * 150000 + "'; debugger;",
         "template.ts": "const s = `" + "${a} \\` " * 10000 + "`;",
-        "blank.ts": "// @ts-ignore\n" + "\n" * 50000 + "x();\nfunction f() {\n  return 1;\n" + "\n" * 20000 + "  g();\n}",
+        "blank.ts": "// @ts-ignore\n" + "\n" * 5000 + "x();\nfunction f() {\n  return 1;\n" + "\n" * 5000 + "  g();\n}",
         "open.ts": "const s = 'open\n/* never closed " + "y " * 50000,
         "braces.ts": "{" * 20000 + "}" * 20000,
         "deep.js": "a." * 3000 + "saveAsync();",
