@@ -196,13 +196,17 @@ def content_hash(t):
 
 
 @query("M09_base_rule_id", r"""
-SELECT issue_id, regexp_replace(issue_id, '-\d+$', '') AS rule,
-  CASE WHEN regexp_matches(issue_id, '^(semgrep|biome|ruff|tflint|checkov)-') THEN 'external' ELSE 'static' END AS source
-FROM {{issues}}""")
+SELECT issue_id, regexp_replace(issue_id, '-\d+$', '') AS rule
+  FROM {{issues}}""")
 def base_rule(t):
-    """Also M13, the source told by the id's prefix."""
-    return issues(t).select("issue_id", text.base_rule_id(F.col("issue_id")).alias("rule"),
-                            text.issue_source(F.col("issue_id")).alias("source"))
+    return issues(t).select("issue_id", text.base_rule_id(F.col("issue_id")).alias("rule"))
+
+
+@query("M13_issue_source", """
+SELECT issue_id, CASE WHEN regexp_matches(issue_id, '^(semgrep|biome|ruff|tflint|checkov)-') THEN 'external' ELSE 'static' END AS source
+FROM {{issues}}""")
+def issue_source(t):
+    return issues(t).select("issue_id", text.issue_source(F.col("issue_id")).alias("source"))
 
 
 @query("M10_path_parts", rf"""

@@ -404,6 +404,16 @@ def _score_sql(rel: str) -> str:
       FROM (SELECT project_id, count(DISTINCT file_path) AS files_analyzed, {SEV} FROM {{{{{rel}}}}} GROUP BY 1)"""
 
 
+@query("U04_except_counts", """
+SELECT project_id, 'new' AS side, count(*) AS n FROM {{new_issues}} GROUP BY 1
+UNION ALL SELECT project_id, 'fixed', count(*) FROM {{fixed_issues}} GROUP BY 1""")
+def except_counts(t):
+    """Both differences with their repeats, counted per project."""
+    base, head = _halves(t)
+    count = lambda df, side: df.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(side))
+    return count(compare.new_issues(base, head), "new").unionByName(count(compare.fixed_issues(base, head), "fixed"))
+
+
 @query("J03_compare_summary", f"""
 SELECT p.project_id, coalesce(b.health_score, 0) AS base_score, coalesce(h.health_score, 0) AS head_score,
   coalesce(h.health_score, 0) - coalesce(b.health_score, 0) AS score_delta, coalesce(n.n, 0) AS new_issues, coalesce(n.bl, 0) AS new_blockers,

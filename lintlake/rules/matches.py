@@ -194,3 +194,24 @@ def match_issues(files: DataFrame, rules: Sequence[MatchRule] = MATCH_RULES) ->
         F.lit("static").alias("source"),
         meta["engine"].alias("engine"),
     )
+
+
+REGISTRY_LIMIT = 1000
+
+
+def load_rules(registry: DataFrame) -> list[MatchRule]:
+    """User rules from a table ``(id, title, description, pattern, exts, category, severity, confidence, impact)``.
+
+    ``exts`` is an array of extensions, null for every file. A registry shapes the plan, so it is read
+    while the plan is built; its size is checked and a larger one refused.
+    """
+    rows = registry.limit(REGISTRY_LIMIT + 1).collect()
+    if len(rows) > REGISTRY_LIMIT:
+        raise ValueError(f"a rule registry holds at most {REGISTRY_LIMIT} rules")
+    return [
+        MatchRule(
+            r["id"], r["title"], r["category"], r["severity"], r["confidence"], r["description"], impact=r["impact"],
+            profile="user", exts=tuple(r["exts"]) if r["exts"] else None, pattern=r["pattern"],
+        )
+        for r in sorted(rows, key=lambda r: r["id"])
+    ]

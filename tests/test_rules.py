@@ -153,3 +153,15 @@ def test_hostile_content(make_files):
     })
     rules = {(r.file_path, r.rule_id) for r in scan(files, "all").select("file_path", "rule_id").distinct().collect()}
     assert {("escapes.ts", "style-debugger"), ("long.ts", "style-debugger"), ("blank.ts", "ts-ignore"), ("blank.ts", "unreachable")} <= rules
+
+
+def test_user_rules(spark, make_files):
+    from lintlake.rules.matches import load_rules, match_issues
+
+    table = spark.createDataFrame(
+        [("no-foo", "Foo", "d", r"\bfoo\(", ["ts"], "bug", "MINOR", 50, 10), ("no-bar", "Bar", "d", "bar", None, "bug", "INFO", 50, None)],
+        "id string, title string, description string, pattern string, exts array<string>, category string, severity string, confidence int, impact int",
+    )
+    found = match_issues(make_files({"a.ts": "foo(bar)", "a.py": "foo(bar)"}), load_rules(table))
+    assert sorted((r.file_path, r.rule_id, r.impact) for r in found.collect()) == [
+        ("a.py", "no-bar", 20), ("a.ts", "no-bar", 20), ("a.ts", "no-foo", 10)]
