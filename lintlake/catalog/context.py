@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from lintlake.catalog.bindings import ai_usage, code_files, issues, projects, scans
 from lintlake.catalog.core import query, relation, sql_case, sql_text
 from lintlake.operators import context, exports
-from lintlake.operators.triage import keep_first
 from lintlake.rules import spans, symbols
 from lintlake.schema import SARIF_LEVEL
 from lintlake.session import checkpoint_dir

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.catalog.bindings import ai_usage, code_files, corpus, issues, issues_large, projects, scans
+from lintlake.catalog.bindings import ai_usage, corpus, issues, issues_large, projects, scans
 from lintlake.catalog.core import query, relation, sql_case
 from lintlake.catalog.ingest import CATEGORY
 from lintlake.catalog.rule_sql import LANGUAGE
-from lintlake.operators import compare, history, hotspots, metrics, usage, views
+from lintlake.operators import compare, history, hotspots, metrics, usage
 from lintlake.rules import symbols
 from lintlake.schema import CATEGORIES, SEVERITIES
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.catalog.bindings import corpus
 from lintlake.catalog.core import query, relation, sql_list, sql_text
 from lintlake.catalog.rule_sql import (
-    DAEMON_CONTEXT, EXT, LANGUAGE, _prefix_col, _prefix_line, family_sql, located_hits, matches, pattern_text,
+    DAEMON_CONTEXT, LANGUAGE, _prefix_col, _prefix_line, family_sql, located_hits, matches, pattern_text,
 )
 from lintlake.catalog.rules import show
 from lintlake.functions.paths import language_of

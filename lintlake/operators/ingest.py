@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from lintlake.functions.paths import (
     basename, dot_extension, glob_to_regex, ignore_regex, ingest_extension, is_traversal, normalize_path, slashes,
 )
-from lintlake.schema import lookup
 
 MAX_FILES = 200
 MAX_FILE_BYTES = 500 * 1024

@@ -8,7 +8,7 @@ meaning allows, so that the same text runs on any engine with linear-time matchi
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from lintlake.schema import IMPACT
 
