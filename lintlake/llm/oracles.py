@@ -4,6 +4,28 @@ from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
 
+_COMPONENTS = """
+reach(node, seen) AS (
+  SELECT id, id FROM nodes
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+parts AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
+
+ORACLES["op1_vector_dedup"] = f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+{_COMPONENTS},
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN parts ON node = vec_id LEFT JOIN counts ON a = vec_id
+"""
+
 ORACLES["op3_url_filter"] = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

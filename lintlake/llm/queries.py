@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import html_text, language_id, secret_scan, url_filter
+from lintlake.llm import html_text, language_id, secret_scan, url_filter, vector_dedup
 from lintlake.llm.common import table
 from lintlake.llm.oracles import ORACLES
 
@@ -13,6 +13,11 @@ from lintlake.llm.oracles import ORACLES
 HELD_OUT = 2
 
 
+def op1_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate embeddings inside of each label."""
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the URL of every page."""
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -46,7 +51,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_language_id, op7_html_extraction, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_vector_dedup, op3_url_filter, op4_language_id, op7_html_extraction, op10_secret_scan)}
 
 
 def queries() -> dict:
