@@ -42,14 +42,18 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     stand in the order of their number of rows, which decides ties.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
-    places = {row["doc_id"]: row["place"] for row in ids.select("doc_id", "place").limit(SAMPLE_DOCS * MAX_LANGUAGES).collect()}
-    if not places:
+    often = {row["lang"]: row["count"] for row in known.groupBy("lang").count().limit(MAX_LANGUAGES).collect()}
+    if not often:
         return {}
+    # The share of the hash range that holds about twice the sample: few rows are left to rank.
+    shares = F.create_map(*[F.lit(x) for lang, n in often.items() for x in (lang, min(1.0, 2 * SAMPLE_DOCS / n))])
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
+    drawn = known.select("doc_id", "lang", draw.alias("draw")).where(F.col("draw") < F.try_element_at(shares, F.col("lang")) * F.lit(1 << 40))
+    ids = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
+    places = {row["doc_id"]: row["place"] for row in ids.select("doc_id", "place").limit(SAMPLE_DOCS * MAX_LANGUAGES).collect()}
     rows = known.where(F.col("doc_id").isin(list(places))).select(
         "doc_id", "lang", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect()
-    often = {row["lang"]: row["count"] for row in known.groupBy("lang").count().limit(MAX_LANGUAGES).collect()}
     texts: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (places[r["doc_id"]], r["text"])):
         if body := plain(row["text"]):

@@ -13,9 +13,9 @@ parts AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)"""
 
 ORACLES["op1_vector_dedup"] = f"""
 WITH RECURSIVE good AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
-    AND list_bool_or(list_transform(embedding, x -> x <> 0))),
+  SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and([x IS NOT NULL AND isfinite(x) FOR x IN embedding])
+    AND list_bool_or([x <> 0 FOR x IN embedding])),
 links AS (
   SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id <> y.vec_id
   WHERE list_cosine_similarity(x.v, y.v) >= 0.98),
@@ -72,6 +72,25 @@ _ASSIGN = (
     "([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
     "[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
 )
+ORACLES["op6_minhash_dedup"] = f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+nodes AS (SELECT doc_id AS id FROM documents),
+{_COMPONENTS}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN parts ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
 ORACLES["op10_secret_scan"] = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 found AS ({" UNION ALL ".join([
