@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import html_text, language_id, minhash_dedup, secret_scan, url_filter, vector_dedup
+from lintlake.llm import decontaminate, html_text, language_id, minhash_dedup, packing, secret_scan, url_filter, vector_dedup
 from lintlake.llm.common import table
 from lintlake.llm.oracles import ORACLES
 
@@ -39,6 +39,11 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Bin and place of every piece of every document."""
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of near-duplicate documents."""
     return minhash_dedup.near_texts(table(spark, folder, "documents").select("doc_id", "text"))
@@ -49,6 +54,12 @@ def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontaminate.leaks(docs, table(spark, folder, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every document, each distinct text scanned once."""
     found, _ = secret_scan.scan_versions(table(spark, folder, "documents").select("doc_id", "text"))
@@ -56,7 +67,10 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_dedup, op3_url_filter, op4_language_id, op6_minhash_dedup, op7_html_extraction, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_vector_dedup, op3_url_filter, op4_language_id, op5_best_fit_packing, op6_minhash_dedup, op7_html_extraction,
+    op9_decontamination, op10_secret_scan,
+)}
 
 
 def queries() -> dict:
