@@ -26,6 +26,29 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM embeddings JOIN parts ON node = vec_id LEFT JOIN counts ON a = vec_id
 """
 
+ORACLES["op2_suffix_dedup"] = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS body, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, i, md5_number(substr(body, 2 * i + 1, 400)) AS mark
+  FROM (SELECT doc_id, body, unnest(range(0, n - 199)) AS i FROM texts WHERE n >= 200)),
+twice AS (SELECT mark FROM windows GROUP BY mark HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows SEMI JOIN twice USING (mark)),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 200 AS b
+  FROM (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits)
+  GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM runs
+  UNION ALL
+  SELECT t.doc_id, coalesce(last, 0), n FROM texts t LEFT JOIN (SELECT doc_id, max(b) AS last FROM runs GROUP BY doc_id) l ON l.doc_id = t.doc_id),
+glued AS (
+  SELECT k.doc_id, string_agg(substr(body, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS body
+  FROM kept k JOIN texts t ON t.doc_id = k.doc_id GROUP BY k.doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(g.body)) AS kept_sha256
+FROM texts t JOIN glued g ON g.doc_id = t.doc_id LEFT JOIN sums s ON s.doc_id = t.doc_id
+"""
+
 ORACLES["op3_url_filter"] = r"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

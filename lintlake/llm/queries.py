@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, html_text, language_id, minhash_dedup, packing, secret_scan, url_filter, vector_dedup
+from lintlake.llm import decontaminate, html_text, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, url_filter, vector_dedup
 from lintlake.llm.common import table
 from lintlake.llm.oracles import ORACLES
 
@@ -18,6 +18,12 @@ def op1_vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated strings of 200 bytes removed from every document."""
+    found = suffix_dedup.repeated_strings(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict on the URL of every page."""
     pages = table(spark, folder, "pages").select("page_id", "url")
@@ -68,7 +74,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_vector_dedup, op3_url_filter, op4_language_id, op5_best_fit_packing, op6_minhash_dedup, op7_html_extraction,
+    op1_vector_dedup, op2_suffix_dedup, op3_url_filter, op4_language_id, op5_best_fit_packing, op6_minhash_dedup, op7_html_extraction,
     op9_decontamination, op10_secret_scan,
 )}
 
