@@ -73,31 +73,41 @@ def _content(bodies: list[str]) -> bytes:
     return " ".join(pieces).encode()[:DICTIONARY_BYTES]
 
 
-def _predicted(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
-    langs, coders = list(dictionaries), []
+def _coders(dictionaries: dict[str, bytes]) -> list:
+    out = []
     for content in dictionaries.values():
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         data.precompute_compress(level=LEVEL)
-        coders.append(zstandard.ZstdCompressor(dict_data=data, level=LEVEL, write_content_size=False, write_dict_id=False))
+        out.append(zstandard.ZstdCompressor(dict_data=data, level=LEVEL, write_content_size=False, write_dict_id=False))
+    return out
+
+
+def _language(text: str | None, langs: list[str], coders: list) -> tuple[str, float, bool]:
+    """(language, score, rejected) of one whole text."""
+    body = plain(text) if text else ""
+    if not body or not langs:
+        return UNKNOWN, 0.0, True
+    sizes = np.zeros(len(langs))
+    for at in range(0, len(body), PIECE_CHARS):
+        piece = body[at : at + PIECE_CHARS].encode()
+        sizes += [len(c.compress(piece)) for c in coders]
+    best, *rest = np.argsort(sizes, kind="stable")
+    margin = float(1.0 - sizes[best] / sizes[rest[0]]) if rest else 1.0
+    return langs[best], margin, margin < MIN_MARGIN
+
+
+def _predicted(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    langs, coders = list(dictionaries), _coders(dictionaries)
     for batch in batches:
-        names, scores, rejected = [], [], []
-        for text in batch.column("text").to_pylist():
-            body = plain(text) if text else ""
-            if not body or not langs:
-                names.append(UNKNOWN), scores.append(0.0), rejected.append(True)
-                continue
-            sizes = np.zeros(len(langs))
-            for at in range(0, len(body), PIECE_CHARS):
-                piece = body[at : at + PIECE_CHARS].encode()
-                sizes += [len(c.compress(piece)) for c in coders]
-            best, *rest = np.argsort(sizes, kind="stable")
-            margin = 1.0 - sizes[best] / sizes[rest[0]] if rest else 1.0
-            names.append(langs[best]), scores.append(float(margin)), rejected.append(bool(margin < MIN_MARGIN))
-        kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
-            names=[*[n for n in batch.schema.names if n != "text"], "lang_pred", "score", "rejected"],
-        )
+        rows = [_language(text, langs, coders) for text in batch.column("text").to_pylist()]
+        columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "lang_pred", "score", "rejected"])
+
+
+def _identified(batches: Iterator[pa.RecordBatch], dictionaries: dict[str, bytes]) -> Iterator[pa.RecordBatch]:
+    langs, coders = list(dictionaries), _coders(dictionaries)
+    for batch in batches:
+        yield batch.filter(pa.array([not _language(text, langs, coders)[2] for text in batch.column("text").to_pylist()], pa.bool_()))
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -109,3 +119,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """
     return docs.select("doc_id", "text").mapInArrow(
         lambda batches: _predicted(batches, dictionaries), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, in one pass and with all their columns."""
+    return docs.mapInArrow(lambda batches: _identified(batches, dictionaries), docs.schema)

@@ -43,11 +43,14 @@ def _powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a block of texts, and the n + 1 offsets of each text's words."""
+def word_hashes(flat: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a block of texts, and the n + 1 offsets of each text's words.
+
+    Words are the runs of bytes that ``between`` does not mark.
+    """
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    space = _SPACE[flat]
+    space = between[flat]
     first = ~space
     first[1:] &= space[:-1]
     begins = offsets[:-1][offsets[:-1] < offsets[1:]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, html_text, language_id, minhash_dedup, packing, secret_scan, suffix_dedup, url_filter, vector_dedup
+from lintlake.llm import decontaminate, html_text, language_id, minhash_dedup, packing, quality, secret_scan, suffix_dedup, url_filter, vector_dedup
 from lintlake.llm.common import table
 from lintlake.llm.oracles import ORACLES
 
@@ -60,6 +60,11 @@ def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+def op8_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from weak labels only."""
+    return quality.classify(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items found in documents."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -75,7 +80,7 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_vector_dedup, op2_suffix_dedup, op3_url_filter, op4_language_id, op5_best_fit_packing, op6_minhash_dedup, op7_html_extraction,
-    op9_decontamination, op10_secret_scan,
+    op8_quality_classifier, op9_decontamination, op10_secret_scan,
 )}
 
 
