@@ -5,8 +5,8 @@
 2. In every bucket of a band each node is paired with the bucket's smallest: a star, never all pairs. Pairs that pass the
    signatures are confirmed on the full sets, and links give components.
 3. Buckets that still hold several components are compared on signatures block by block inside of tasks; only pairs between
-   different components come out, are confirmed on the full sets, and complete the components. So every candidate pair is
-   either inside of one component or was checked.
+   different components come out and are confirmed on the full sets: first each node's best partner, which joins most of
+   what belongs together, then all that is left. So every candidate pair is either inside of one component or was checked.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ WORDS = 5
 MIN_PERCENT = 75
 #: 32 bands of 4 minima: a pair at the threshold shares no band with a chance of 5 in a million.
 BANDS, ROWS = 32, 4
-#: Equal bytes of the signature that a pair needs: five standard deviations below what a pair at the threshold has.
-LEAST_EQUAL = 72
+#: Minima of the signature (the bands' and as many more), a byte each, and the equal ones that a pair needs: five standard
+#: deviations below what a pair at the threshold has.
+MINIMA, LEAST_EQUAL = 2 * BANDS * ROWS, 158
+#: Rounds in which only best partners are confirmed; they change the work, not the result.
+BEST_ROUNDS = 2
 BLOCK = 2048
 SHARD_ROWS = 32_768
 SEED = 75_005
@@ -85,8 +88,8 @@ def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The row of each document: size and address of its set, band hashes, signature."""
     rng = np.random.default_rng(SEED)
-    times = rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-    plus = rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+    times = rng.integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1)
+    plus = rng.integers(0, 2**63, MINIMA, dtype=np.uint64)
     fold = mixed(rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64)) | np.uint64(1)
     for batch in slices(batches, "text", 512 << 10):
         hashes, ends = shingles(*word_hashes(*text_bytes(batch.column("text"))))
@@ -96,14 +99,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in some:
             own = np.unique(hashes[ends[d] : ends[d + 1]])
             size[d], one[d], two[d] = len(own), mixed(own).sum(dtype=np.uint64), mixed(own ^ np.uint64(SEED)).sum(dtype=np.uint64)
-        minima = np.zeros((n, BANDS * ROWS), dtype=np.uint64)
+        minima = np.zeros((n, MINIMA), dtype=np.uint64)
         if len(some):
             value = np.empty_like(hashes)
-            for k in range(BANDS * ROWS):
+            for k in range(MINIMA):
                 np.multiply(hashes, times[k], out=value)
                 value += plus[k]
                 minima[some, k] = np.minimum.reduceat(value, ends[some])
-        bands = mixed((mixed(minima).reshape(n, BANDS, ROWS) * fold).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        bands = mixed((mixed(minima[:, : BANDS * ROWS]).reshape(n, BANDS, ROWS) * fold).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
         lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.view(np.int64).ravel()))
         marks = (mixed(minima) >> np.uint64(56)).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
@@ -117,7 +120,7 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose signatures and sizes allow a link."""
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("sig_a", "sig_b"))
             p, q = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             keep = ((x == y).sum(axis=1) >= LEAST_EQUAL) & (100 * np.minimum(p, q) >= MIN_PERCENT * np.maximum(p, q))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -144,15 +147,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _crossing(rows: pa.Table) -> pa.Table:
-    """Pairs of a shard's buckets that lie in different components and whose signatures and sizes allow a link."""
+def _crossing(rows: pa.Table, best_only: bool) -> pa.Table:
+    """Pairs of a shard's buckets that lie in different components and whose signatures and sizes allow a link.
+
+    ``best_only``: of these, each node's pair with the most equal minima.
+    """
     group = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
     order = np.lexsort(group.T)
     group = group[order]
     starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
     node, part, size, own = (rows.column(c).to_numpy()[order] for c in ("node", "part", "n_shingles", "block"))
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(order), -1)[order]
-    found = set()
+    most, partner = np.full(len(order), LEAST_EQUAL - 1), np.full(len(order), -1)
+    found: list[np.ndarray] = []
     for start, stop in zip(starts, [*starts[1:], len(order)]):
         _, i, j = group[start]
         left = np.flatnonzero(own[start:stop] == i) + start
@@ -161,11 +168,23 @@ def _crossing(rows: pa.Table) -> pa.Table:
             q = right[(part[right] != part[p]) & (100 * np.minimum(size[right], size[p]) >= MIN_PERCENT * np.maximum(size[right], size[p]))]
             if i == j:
                 q = q[q > p]
-            if len(q):
-                q = q[(sig[q] == sig[p]).sum(axis=1) >= LEAST_EQUAL]
-                found.update((int(min(node[p], x)), int(max(node[p], x))) for x in node[q])
-    pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            if not len(q):
+                continue
+            equal = (sig[q] == sig[p]).sum(axis=1)
+            if not best_only:
+                q = q[equal >= LEAST_EQUAL]
+                found.append(np.stack([np.minimum(node[q], node[p]), np.maximum(node[q], node[p])]))
+                continue
+            better = equal > most[q]
+            most[q[better]], partner[q[better]] = equal[better], p
+            top = equal.argmax()
+            if equal[top] > most[p]:
+                most[p], partner[p] = equal[top], q[top]
+    if best_only:
+        p = np.flatnonzero(partner >= 0)
+        found.append(np.stack([np.minimum(node[p], node[partner[p]]), np.maximum(node[p], node[partner[p]])]))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
 
 
 def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -175,6 +194,25 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
+def _between_parts(met: DataFrame, parts: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
+    """Pairs of nodes that share a bucket, lie in different components and may link by their signatures."""
+    labelled = met.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
+    several = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    dealt = (
+        labelled.join(several.select("bucket"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("bucket", "node", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    dealt = written(dealt, "minhash-open")
+    shards = max(met.sparkSession.sparkContext.defaultParallelism, math.ceil(dealt.count() / SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards))
+    return (
+        dealt.join(nodes.select("node", "n_shingles", "sig"), "node").withColumn("shard", shard)
+        .groupBy("shard").applyInArrow(lambda rows: _crossing(rows, best_only), "a long, b long").distinct()
+    )
+
+
 def near_texts(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (``doc_id``, ``text``): ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -183,7 +221,6 @@ def near_texts(docs: DataFrame) -> DataFrame:
     100 * |intersection| >= 75 * |union| of their shingle sets. A row without ``doc_id`` has a null component and is not kept;
     repeated rows come back as often as given, an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     signed = written(texts.mapInArrow(
         _signed, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>, sig binary"), "minhash")
@@ -203,26 +240,13 @@ def near_texts(docs: DataFrame) -> DataFrame:
         texts.withColumnRenamed("doc_id", "node").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]),
         "minhash-texts")
     confirm = lambda pairs: _with_both(pairs, bodies, "text").mapInArrow(_confirmed, "a long, b long")
-    first = written(confirm(alike), "minhash-links")
-    parts = connected_components(first)
-    labelled = met.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
-    labelled = written(labelled, "minhash-parts")
-    open_buckets = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    dealt = (
-        labelled.join(open_buckets.select("bucket"), "bucket").withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("bucket", "node", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    )
-    dealt = written(dealt, "minhash-open")
-    shards = max(spark.sparkContext.defaultParallelism, math.ceil(dealt.count() / SHARD_ROWS))
-    crossing = (
-        dealt.join(nodes.select("node", "n_shingles", "sig"), "node").withColumn("shard", F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards)))
-        .groupBy("shard").applyInArrow(_crossing, "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
-    )
-    second = written(confirm(crossing), "minhash-links")
-    parts = connected_components(first.unionByName(second))
+    checked, links = stars, written(confirm(alike), "minhash-links")
+    parts = connected_components(links)
+    for turn in range(BEST_ROUNDS + 1):
+        crossing = _between_parts(met, parts, nodes, best_only=turn < BEST_ROUNDS).join(checked, ["a", "b"], "left_anti")
+        crossing = written(crossing, "minhash-crossing")
+        checked, links = checked.unionByName(crossing), links.unionByName(written(confirm(crossing), "minhash-links"))
+        parts = connected_components(links)
     groups = same.join(parts, "node", "left").select(
         F.col("set1").alias("s1"), F.col("set2").alias("s2"), F.col("n_shingles").alias("size"), F.coalesce("component", "node").alias("part"))
     out = signed.select("doc_id", "n_shingles", "set1", "set2").join(
