@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +27,9 @@ from lintlake.llm.suffix_array import common_prefixes, places_in, suffix_array
 LENGTH = 200
 GRAM = 40
 #: Window starts that one step of the sieve looks at; longer texts are taken in such steps, overlapping by a window.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of segments in a shard, and different segments of one gram that stand in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 BLOCK = 8192
 SEED = 200_040
 _LOW = np.uint64((1 << 24) - 1)
@@ -93,12 +94,13 @@ def _segments(flat: np.ndarray, ends: np.ndarray, constants) -> Iterator[tuple[n
         yield text, low + first - ends[text], stop - first, (grams[least[first]] >> np.uint64(24)).view(np.int64), content.view(np.int64)
 
 
+_ASKED = ("start", "windows", "gram", "whole", "blocks", "block")
 _SIEVE = "id long, start long, windows int, gram long, content long"
 
 
 def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     constants = _constants(CHUNK + LENGTH)
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text", CHUNK):
         flat, ends = text_bytes(batch.column("text"))
         for text, start, windows, gram, content in _segments(flat, ends, constants):
             yield pa.RecordBatch.from_arrays(
@@ -107,13 +109,16 @@ def _sieved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the segments asked for (rows of text, start, windows; a text may come many times)."""
+    """The bytes of the segments asked for: a row is a text with the list of its segments."""
     for whole in batches:
-        for batch in slices(iter([whole]), "text", 16 << 20):
+        for batch in slices(iter([whole]), "text", 1 << 20):
             flat, ends = text_bytes(batch.column("text"))
-            starts, windows = batch.column("start").to_numpy(), batch.column("windows").to_numpy()
-            parts = [flat[a : a + w + LENGTH - 1].tobytes() for a, w in zip(ends[:-1] + starts, windows)]
-            yield batch.drop_columns(["doc_id", "text"]).append_column("body", pa.array(parts, pa.binary()))
+            lists = batch.column("segments")
+            own, segments = pa.compute.list_parent_indices(lists), lists.flatten()
+            starts, windows = (segments.field(c).to_numpy() for c in ("start", "windows"))
+            parts = [flat[a : a + w + LENGTH - 1].tobytes() for a, w in zip(ends[own.to_numpy()] + starts, windows)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(own), *[segments.field(c) for c in _ASKED], pa.array(parts, pa.binary())], names=["id", *_ASKED, "body"])
 
 
 def _repeated(rows: pa.Table, length: int = LENGTH) -> pa.Table:
@@ -273,7 +278,8 @@ def repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block: int
     total = asked.agg(F.sum((F.col("windows") + LENGTH) * F.col("blocks"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, math.ceil(total / shard_bytes))
     bodies = texts.where("id IS NOT NULL")  # the same columns in both joins: one exchange of the texts serves both
-    sent = bodies.join(asked, "id").select("doc_id", "id", "text", "start", "windows", "gram", "whole", "blocks", "block").mapInArrow(
+    by_text = asked.groupBy("id").agg(F.collect_list(F.struct(*_ASKED)).alias("segments"))
+    sent = bodies.join(by_text, "id").select("doc_id", "id", "text", "segments").mapInArrow(
         _sent, "id long, start long, windows int, gram long, whole boolean, blocks long, block long, body binary")
     dealt = (
         sent.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -282,9 +288,9 @@ def repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block: int
     )
     found = dealt.groupBy("shard").applyInArrow(lambda rows: _repeated(rows), runs)
     cuts = plain.unionByName(copied).unionByName(found).mapInArrow(_joined, runs)
-    by_text = cuts.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    by_runs = cuts.groupBy("id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     none = F.lit(None).cast("array<long>")
-    with_id = bodies.join(by_text, "id", "left").select("doc_id", "text", "starts", "stops")
+    with_id = bodies.join(by_runs, "id", "left").select("doc_id", "text", "starts", "stops")
     without = texts.where("id IS NULL").select("doc_id", "text", none.alias("starts"), none.alias("stops"))
     return with_id.unionByName(without).mapInArrow(
         _cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
