@@ -202,13 +202,14 @@ def save_scan(t):
 
 @query("S19_replace_project_files", """
 SELECT project_id, count(*) AS n_files, sum(CASE WHEN p < 30 THEN 1 ELSE size END)::BIGINT AS bytes
-FROM (SELECT file_id % 60 AS project_id, file_id % 60 AS p, size FROM {{code_files}}) GROUP BY 1""")
+FROM (SELECT file_id % 60 AS project_id, file_id % 60 AS p, size FROM {{code_files}}) WHERE p <> 7 GROUP BY 1""")
 def replace_files(t):
     root = _folder(t, "files")
     all_files = code_files(t).select((F.col("file_id") % 60).alias("project_id"), "path", "size")
     store.replace_project_files(all_files, root)
-    store.replace_project_files(all_files.where("project_id < 30").withColumn("size", F.lit(1).cast("long")), root)
-    read = t.spark.read.parquet(f"{root}/files")
+    changed = all_files.where("project_id < 30 AND project_id <> 7").withColumn("size", F.lit(1).cast("long"))
+    store.replace_project_files(changed, root, all_files.where("project_id < 30").select("project_id"))  # project 7 has no files any more
+    read = store.project_files(t.spark, root)
     return read.groupBy(F.col("project_id").cast("long").alias("project_id")).agg(
         F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("bytes")
     )
@@ -226,12 +227,12 @@ def upsert(t):
 
 @query("S21_replace_suggestions", """
 SELECT issue_id, 'old' AS title FROM {{issues}} WHERE severity <> 'BLOCKER'
-UNION ALL SELECT issue_id, 'new ' || unnest([1, 2]) FROM {{issues}} WHERE severity = 'BLOCKER'""")
+UNION ALL SELECT issue_id, 'new ' || unnest([1, 2]) FROM {{issues}} WHERE severity = 'BLOCKER' AND confidence % 2 = 0""")
 def replace_suggestions(t):
     old = issues(t).select("issue_id", F.lit("old").alias("title"))
     blockers = issues(t).where("severity = 'BLOCKER'")
-    new = blockers.select("issue_id", F.explode(F.array(F.lit("new 1"), F.lit("new 2"))).alias("title"))
-    return store.replace_suggestions(old, new)
+    new = blockers.where("confidence % 2 = 0").select("issue_id", F.explode(F.array(F.lit("new 1"), F.lit("new 2"))).alias("title"))
+    return store.replace_suggestions(old, new, blockers)
 
 
 @query("S22_record_ai_usage", """

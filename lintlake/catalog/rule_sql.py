@@ -6,7 +6,7 @@ from lintlake.catalog.core import relation, sql_list, sql_text
 from lintlake.functions.paths import LANGUAGES
 from lintlake.rules.lexer import TEMPLATE_PARTS, TOKENS
 from lintlake.rules.lines import CONSOLE, DELEGATED, FAMILY_EXTENSIONS, SCRIPT_WORDS, STRINGS
-from lintlake.rules.spec import MATCH_CAP, LineRule, MatchRule
+from lintlake.rules.spec import LineRule, MatchRule
 
 LOWER = "lower(replace(path, chr(92), '/'))"
 
@@ -79,14 +79,14 @@ def _meta(rule) -> str:
     )
 
 
-def located_hits(source: str, text: str, pattern: str, where: str = "TRUE", cap: int = MATCH_CAP) -> str:
+def located_hits(source: str, text: str, pattern: str, where: str = "TRUE") -> str:
     """Rows of ``source`` with one row per match: i, hit and 0-based offset."""
     p = pattern_text(pattern)
     return f"""
   SELECT *, (list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS off,
          hits[i] AS hit
   FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i
-        FROM (SELECT *, regexp_extract_all({text}, {p})[1:{cap}] AS hits,
+        FROM (SELECT *, regexp_extract_all({text}, {p}) AS hits,
                      list_transform(regexp_split_to_array({text}, {p}), lambda s: length(s)) AS gaps
               FROM {source} WHERE {matches(text, pattern)} AND ({where})))"""
 

@@ -86,7 +86,7 @@ def live_metrics(t):
     for run, test in (("a", "created_at < '2024-01-16'"), ("b", "created_at >= '2024-01-16'")):
         stream = issues(_streams(t)).where(test).select("file_path", "issue_id", "severity")
         changes.live_issues(stream, f"{folder}/table", f"{folder}/cp-{run}", buckets=8).awaitTermination()
-    table = t.spark.read.parquet(f"{folder}/table")
+    table = changes.live_table(t.spark, f"{folder}/table")
     return table.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"),
                                           F.count_if(F.col("severity") == "BLOCKER").alias("blockers"))
 

@@ -17,19 +17,19 @@ from lintlake.rules.spec import REACT, WEB_JS
 
 S = spans
 _net = "regexp_replace(line, '[^{}]', '', 'g')"
-for _ in range(S.PAIR_PASSES):
-    _net = f"replace({_net}, '{{}}', '')"
+# Depth after the first i braces of a line; the lowest one, 0 included, is what closes blocks of earlier lines.
+_low = "list_min([2 * length(replace(left(net, i), '}', '')) - i FOR i IN range(0, length(net) + 1)])"
 
 relation("script_lines", f"""
 SELECT *, before - closes AS base
 FROM (SELECT *, (sum(opens - closes) OVER (PARTITION BY project_id, path ORDER BY line_no))::BIGINT
                 - (opens - closes) AS before
-      FROM (SELECT *, length(replace(net, '{{', '')) AS closes, length(replace(net, '}}', '')) AS opens
-            FROM (SELECT *, {_net} AS net
+      FROM (SELECT *, -low AS closes, 2 * length(replace(net, '}}', '')) - length(net) - low AS opens
+            FROM (SELECT *, {_low} AS low FROM (SELECT *, {_net} AS net
                   FROM (SELECT project_id, path, ext, i - 1 AS line_no, lines[i] AS line, len(lines) AS n
                         FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i
                               FROM (SELECT project_id, path, ext, string_split(code, chr(10)) AS lines
-                                    FROM {{{{script_code}}}}))))))""")
+                                    FROM {{{{script_code}}}})))))))""")
 
 _fname = (
     f"coalesce(nullif(regexp_extract(line, {pattern_text(S.FUNCTION)}, 1), ''), "

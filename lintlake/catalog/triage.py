@@ -161,11 +161,11 @@ def distribution(t):
 
 
 # Settings by rule, as a project configuration gives them: derived from the rules seen in the issues.
-_setting = "CASE length(rule) % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' WHEN 3 THEN 'blocker' ELSE 'info' END"
+_setting = "CASE length(rule) % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' WHEN 3 THEN 'loud' ELSE '{\"severity\": \"blocker\"}' END"
 
 
 @query("P09_apply_rule_overrides", rf"""
-SELECT issue_id, CASE upper(setting) WHEN 'WARN' THEN 'MINOR' WHEN 'ERROR' THEN 'MAJOR' ELSE coalesce(upper(setting), severity) END AS severity
+SELECT issue_id, CASE upper(setting) WHEN 'WARN' THEN 'MINOR' WHEN 'ERROR' THEN 'MAJOR' WHEN '{{"SEVERITY": "BLOCKER"}}' THEN 'BLOCKER' ELSE severity END AS severity
 FROM (SELECT *, CASE WHEN rule <> 'unused' THEN {_setting} END AS setting
       FROM (SELECT *, regexp_replace(issue_id, '-\d+$', '') AS rule FROM {{{{issues}}}}))
 WHERE setting IS DISTINCT FROM 'off'""")
@@ -173,7 +173,7 @@ def overrides(t):
     from lintlake.functions.text import base_rule_id
 
     rules = issues(t).select(base_rule_id(F.col("issue_id")).alias("rule")).distinct().where("rule <> 'unused'")
-    setting = F.element_at(F.array(*[F.lit(s) for s in ("off", "warn", "error", "blocker", "info")]),
+    setting = F.element_at(F.array(*[F.lit(s) for s in ("off", "warn", "error", "loud", '{"severity": "blocker"}')]),
                            F.length("rule") % 5 + 1)
     return triage.apply_rule_overrides(issues(t), rules.withColumn("setting", setting)).select("issue_id", "severity")
 

@@ -12,6 +12,21 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+# Elements of a block of a running sum: growing one array over all elements would copy it for each of them.
+SUM_BLOCK = 512
+_SUMS = """
+transform(array({values}), v ->
+  transform(array(aggregate(sequence(0, CAST((size(v) - 1) div {n} AS INT)), array(0), (a, k) ->
+      concat(a, array(element_at(a, -1) + aggregate(slice(v, k * {n} + 1, {n}), 0, (t, x) -> t + x))))), c ->
+    flatten(transform(sequence(0, CAST((size(v) - 1) div {n} AS INT)), k ->
+      slice(aggregate(slice(v, k * {n} + 1, {n}), array(c[k]), (a, x) -> concat(a, array(element_at(a, -1) + x))), 2, {n}))))[0])[0]"""
+
+
+def running_sums_sql(values: str) -> str:
+    """SQL of the running sums of an int array, in time proportional to its length."""
+    return _SUMS.format(values=values, n=SUM_BLOCK)
+
+
 def raw_lines(content: Column) -> Column:
     return F.size(F.split(content, "\n", -1))
 

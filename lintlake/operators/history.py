@@ -54,8 +54,8 @@ def last_n(df: DataFrame, n: int, keys: Sequence[str] = ("project_id",), order:
 
 
 def health_history(snapshots: DataFrame, limit: int = 30) -> DataFrame:
-    """Up to 100 newest snapshots per project."""
-    return last_n(snapshots, min(limit, 100))
+    """The newest ``limit`` snapshots per project."""
+    return last_n(snapshots, limit)
 
 
 def overall_trend(snapshots: DataFrame) -> DataFrame:

@@ -190,9 +190,13 @@ def remap_stats(remapped: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 # ------------------------------------------------------------------ overrides and priority
 def override_severity(setting: Column) -> Column:
-    """``off``, ``warn``, ``error`` or a severity name as a canonical severity (``OFF`` drops)."""
-    up = F.upper(setting)
-    return F.when(up == "WARN", "MINOR").when(up == "ERROR", "MAJOR").otherwise(up)
+    """``off``, ``warn`` or ``error`` as a severity (``OFF`` drops), or that of an object ``{"severity": ...}``.
+
+    Any other text is null: the issue keeps its own severity.
+    """
+    up = F.upper(F.trim(setting))
+    inner = F.when(setting.startswith("{"), F.upper(F.get_json_object(setting, "$.severity")))
+    return F.when(up == "OFF", "OFF").when(up == "WARN", "MINOR").when(up == "ERROR", "MAJOR").when(inner.isin(*SEVERITIES), inner)
 
 
 def apply_rule_overrides(issues: DataFrame, overrides: DataFrame) -> DataFrame:

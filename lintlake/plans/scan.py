@@ -62,15 +62,13 @@ def static_issues(files: DataFrame, config: dict | None = None) -> DataFrame:
 
 
 def regex_issues(files: DataFrame) -> DataFrame:
-    """The regex registry and its custom rules; a too large file yields one notice and nothing else."""
-    large = structural.is_large(F.col("content"))
-    small = files.where(~large)
+    """The regex registry and its custom rules; a large file yields a notice besides its findings."""
     return _numbered(
         [
             structural.large_file_issues(files),
-            match_issues(small, WEB_MATCH_RULES),
-            line_issues(small, WEB_LINE_RULES),
-            structural.web_structural_issues(small),
+            match_issues(files, WEB_MATCH_RULES),
+            line_issues(files, WEB_LINE_RULES),
+            structural.web_structural_issues(files),
         ]
     )
 

@@ -10,11 +10,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lintlake.functions.bind import pin
 from lintlake.functions.paths import daemon_context, dot_extension
-from lintlake.functions.text import trimmed
+from lintlake.functions.text import running_sums_sql, trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.registry import MATCH_RULES
-from lintlake.rules.spec import MATCH_CAP, MatchRule
+from lintlake.rules.spec import MatchRule
 from lintlake.schema import constant
 
 MATCH = T.StructType(
@@ -30,12 +31,12 @@ MATCH = T.StructType(
 _OFFSETS = """
 CASE WHEN regexp_like({text}, {p}) THEN
   transform(array(struct(
-      slice(regexp_extract_all({text}, {p}, 0), 1, {cap}) AS hits,
+      regexp_extract_all({text}, {p}, 0) AS hits,
       transform(split({text}, {p}, -1), x -> length(x)) AS gaps)), b ->
-    transform(array(transform(b.hits, h -> length(h))), widths ->
+    transform(array({sums}), starts ->
       transform(b.hits, (h, i) -> named_struct(
         'ord', {ord},
-        'offset', aggregate(slice(b.gaps, 1, i + 1), 0, (a, x) -> a + x) + aggregate(slice(widths, 1, i), 0, (a, x) -> a + x),
+        'offset', starts[i],
         'hit', h,
         'name', {name})))[0])[0]
 ELSE CAST(array() AS array<struct<ord:int,offset:int,hit:string,name:string>>) END"""
@@ -49,8 +50,8 @@ def sql_literal(text: str) -> str:
 def match_offsets(text: str, pattern: str, ordinal: int = 0, name_group: int | None = None) -> Column:
     """All matches in column ``text`` as ``array<struct<ord,offset,hit,name>>`` with 0-based offsets.
 
-    The k-th match starts after k+1 gaps between matches and k earlier matches, so its offset is a sum of
-    lengths; at most ``MATCH_CAP`` matches per rule and file are reported. Each array is bound once. The
+    The k-th match starts after k+1 gaps between matches and k earlier matches, so its offset is a running sum
+    of lengths. Every match is reported, however many a file has. Each array is bound once. The
     expression is given as SQL text: one call to the JVM instead of dozens per rule.
     """
     return F.expr(offsets_sql(text, pattern, ordinal, name_group))
@@ -59,7 +60,8 @@ def match_offsets(text: str, pattern: str, ordinal: int = 0, name_group: int | N
 def offsets_sql(text: str, pattern: str, ordinal: int = 0, name_group: int | None = None) -> str:
     p = sql_literal(pattern)
     name = f"regexp_extract(h, {p}, {name_group})" if name_group else "''"
-    return _OFFSETS.format(text=text, p=p, cap=MATCH_CAP, ord=ordinal, name=name)
+    steps = "transform(b.hits, (h, i) -> coalesce(get(b.gaps, i), 0) + CASE WHEN i > 0 THEN length(b.hits[i - 1]) ELSE 0 END)"
+    return _OFFSETS.format(text=text, p=p, sums=running_sums_sql(steps), ord=ordinal, name=name)
 
 
 def line_matches(lines: str, pattern: str, name_group: int, has: str, lacks: str) -> Column:
@@ -78,6 +80,25 @@ def line_matches(lines: str, pattern: str, name_group: int, has: str, lacks: str
     )
 
 
+_PLACED = """
+CASE WHEN size(__hits) > 0 THEN
+  transform(array(split(content, '\\n', -1)), lines ->
+    transform(array(concat(array(0), {ends})), starts ->
+      transform(__hits, m ->
+        transform(array(aggregate(sequence(1, CAST(ceil(log2(size(lines) + 1)) AS INT)), named_struct('low', 0, 'high', size(lines) - 1), (a, k) ->
+            transform(array(CAST((a.low + a.high + 1) div 2 AS INT)), mid ->
+              CASE WHEN a.low >= a.high THEN a WHEN starts[mid] <= m.offset THEN named_struct('low', mid, 'high', a.high)
+                   ELSE named_struct('low', a.low, 'high', mid - 1) END)[0], a -> a.low)), line ->
+          named_struct('ord', m.ord, 'line', line, 'col', m.offset - starts[line], 'width', length(m.hit), 'name', m.name,
+                       'snippet', lines[line]))[0]))[0])[0] END"""
+
+
+def placed() -> Column:
+    """The ``__hits`` in ``content`` with line, column and the text of their line: a binary search each in the starts of the lines."""
+    ends = running_sums_sql("transform(lines, x -> length(x) + 1)")
+    return F.expr(_PLACED.format(ends=ends))
+
+
 def line_of(text: Column, offset: Column) -> Column:
     """0-based line of a 0-based offset."""
     prefix = F.substr(text, F.lit(1), offset)
@@ -170,27 +191,26 @@ def match_issues(files: DataFrame, rules: Sequence[MatchRule] = MATCH_RULES) ->
         lexed = F.col("ext").isin(*sorted({"." + e for r in rules if r.text == "code" for e in r.exts}))
         prepared = prepared.withColumn("code", F.when(lexed, blank_code(F.col("content"))).otherwise(F.lit("")))
     arrays = [_rule_array(rule, i) for i, rule in enumerate(rules)]
-    hits = prepared.select(
-        "project_id", "path", "content", F.explode(F.concat(*arrays) if len(arrays) > 1 else arrays[0]).alias("m")
-    )
-    content, offset = F.col("content"), F.col("m.offset")
+    found = pin(prepared.select("project_id", "path", "content", *(["code"] if "code" in prepared.columns else []), "ext"),
+                __hits=F.concat(*arrays) if len(arrays) > 1 else arrays[0])
+    hits = found.where(F.size("__hits") > 0).select("project_id", "path", F.explode(placed()).alias("m"))
     meta = F.get(rule_literals(rules), F.col("m.ord"))
     return hits.select(
         "project_id",
         F.col("path").alias("file_path"),
         meta["rule_id"].alias("rule_id"),
         F.col("m.ord").alias("ord"),
-        line_of(content, offset).alias("line_start"),
-        column_of(content, offset).alias("col_start"),
-        line_of(content, offset).alias("line_end"),
-        (column_of(content, offset) + F.length("m.hit")).alias("col_end"),
+        F.col("m.line").alias("line_start"),
+        F.col("m.col").alias("col_start"),
+        F.col("m.line").alias("line_end"),
+        (F.col("m.col") + F.col("m.width")).alias("col_end"),
         F.replace(meta["title"], F.lit("{name}"), F.col("m.name")).alias("title"),
         meta["description"].alias("description"),
         meta["category"].alias("category"),
         meta["severity"].alias("severity"),
         meta["confidence"].alias("confidence"),
         meta["impact"].alias("impact"),
-        trimmed(line_text(content, offset)).alias("code_snippet"),
+        trimmed(F.col("m.snippet")).alias("code_snippet"),
         F.lit("static").alias("source"),
         meta["engine"].alias("engine"),
     )

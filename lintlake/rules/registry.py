@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lintlake.rules.spec import JS, REACT, TS, WEB_JS, WEB_PY, LineRule, MatchRule
+from lintlake.rules.spec import JS, REACT, TS, WEB_JS, WEB_PY, LineRule, MatchRule, word_without
+
+# Statements that a missing await is not looked for in.
+KEYWORD_STARTS = ("return", "await", "const", "let", "var", "if", "for", "while")
 
 # ---------------------------------------------------------------- whole-content registry
 WEB_MATCH_RULES = (
@@ -37,8 +40,7 @@ WEB_MATCH_RULES = (
         "bug-missing-await", "Possible missing await", "bug", "MAJOR", 30,
         "A call that may return a promise stands alone as a statement.",
         impact=60, profile="web", exts=WEB_JS,
-        pattern=r"(?m)(?:^|;|\{)\s*\w+\.\w+\([^)]*\)\s*;",
-        hit_lacks=r"^[;{]?\s*(?:return|await|const|let|var|if|for|while)",
+        pattern=rf"(?m)(?:^|;|\{{)\s*{word_without(KEYWORD_STARTS)}\.\w+\([^)]*\)\s*;",
     ),
     MatchRule(
         "smell-todo", "TODO/FIXME/HACK comment found", "code-smell", "INFO", 95,

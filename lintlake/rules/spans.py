@@ -42,7 +42,6 @@ BRANCHES = r"\b(?:if|for|while|catch|case)\b|&&|\|\||\?\?|\?[^.:?]"
 CONTROL = r"\b(?:if|for|while|catch|switch)\b|\?\?|\?[^.:?]"
 NULLISH = r"\?\?"
 LOGICAL = r"&&|\|\|"
-PAIR_PASSES = 6
 # Depths are summed in blocks of lines: growing one array over a whole file would copy it for every line.
 DEPTH_BLOCK = 256
 
@@ -53,11 +52,13 @@ STARTS = (
 
 
 def _net_braces(line: Column) -> Column:
-    """The braces of a line that do not match within it: closers first, then openers."""
-    net = F.regexp_replace(line, r"[^{}]", "")
-    for _ in range(PAIR_PASSES):
-        net = F.replace(net, F.lit("{}"), F.lit(""))
-    return net
+    """How many closers and openers of a line do not match within it: the lowest depth below its start, and the rise from there."""
+    braces = F.split(F.regexp_replace(line, r"[^{}]", ""), "")
+    step = lambda acc, b: let(
+        acc["depth"] + F.when(b == "{", 1).when(b == "}", -1).otherwise(0),
+        lambda d: F.struct(d.alias("depth"), F.least(acc["low"], d).alias("low")))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
+    return F.aggregate(braces, start, step, lambda acc: F.struct((-acc["low"]).alias("closes"), (acc["depth"] - acc["low"]).alias("opens")))
 
 
 def _function_name(line: Column) -> Column:
@@ -114,13 +115,7 @@ def structure(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
     lined = pin(coded, lines=F.split("code", "\n", -1))
     braced = pin(
         lined,
-        net=F.transform("lines", lambda x: F.when(x.rlike("[{}]"), let(
-            _net_braces(x),
-            lambda n: F.struct(
-                F.length(F.replace(n, F.lit("{"), F.lit(""))).alias("closes"),
-                F.length(F.replace(n, F.lit("}"), F.lit(""))).alias("opens"),
-            ),
-        )).otherwise(F.struct(F.lit(0).alias("closes"), F.lit(0).alias("opens")))),
+        net=F.transform("lines", lambda x: F.when(x.rlike("[{}]"), _net_braces(x)).otherwise(F.struct(F.lit(0).alias("closes"), F.lit(0).alias("opens")))),
         starts=F.flatten(
             F.transform(
                 "lines",

@@ -19,7 +19,20 @@ REACT = ("tsx", "jsx")
 WEB_JS = ("ts", "tsx", "js", "jsx")
 WEB_PY = ("py",)
 
-MATCH_CAP = 1000
+
+def word_without(starts: tuple[str, ...]) -> str:
+    """A pattern of the words that begin with none of ``starts``, written without look-ahead.
+
+    A word leaves the tree of the given beginnings at some letter: after each proper beginning comes another letter or the end.
+    """
+    parts = []
+    for head in sorted({s[:k] for s in starts for k in range(len(s))}):
+        if any(head.startswith(s) for s in starts):
+            continue
+        following = "".join(sorted({s[len(head)] for s in starts if s.startswith(head)}))
+        rest = rf"[^\W{following}]\w*"
+        parts.append(rf"{head}(?:{rest})?" if head else rest)
+    return f"(?:{'|'.join(parts)})"
 
 
 @dataclass(frozen=True)

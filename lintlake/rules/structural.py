@@ -543,10 +543,15 @@ def broken_anchor_issues(files: DataFrame) -> DataFrame:
 
 
 def is_valid_json(text: Column) -> Column:
-    """Strict JSON: the text parses as exactly one element of an array."""
+    """Strict JSON: the text parses as exactly one element of an array and as the value of a field.
+
+    The parser stops at the end of the first value, so a bracket in the text could close either wrapper early, but
+    none closes both.
+    """
     strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
-    return F.coalesce(F.size(parsed) == 1, F.lit(False))
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    field = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string, _bad string", {**strict, "columnNameOfCorruptRecord": "_bad"})
+    return F.coalesce((F.size(listed) == 1) & field["_bad"].isNull(), F.lit(False))
 
 
 def json_parse_issues(files: DataFrame) -> DataFrame:
@@ -563,7 +568,7 @@ def is_large(content: Column) -> Column:
 
 
 def large_file_issues(files: DataFrame) -> DataFrame:
-    """One notice per file above the limit of regex analysis."""
+    """One notice per file above the size that makes an analysis slow; it is scanned all the same."""
     kilobytes = F.floor(F.length("content") / 1024 + 0.5).cast("string")
     return issue_rows(
         files.where(is_large(F.col("content"))), rule_id="skip-large-file", line_start=0,

@@ -26,13 +26,24 @@ def touched_projects(projects: DataFrame, scans: DataFrame) -> DataFrame:
     ).drop("_newest")
 
 
-def replace_project_files(files: DataFrame, root: str) -> None:
-    """Replace the files of exactly the projects that ``files`` holds (dynamic partition overwrite)."""
+def replace_project_files(files: DataFrame, root: str, projects: DataFrame | None = None) -> None:
+    """Replace the files of ``projects(project_id)``, by default of exactly those that ``files`` holds (dynamic partition overwrite).
+
+    A project that is named but has no files keeps one row of nulls as its partition, which :func:`project_files` leaves out.
+    """
+    if projects is not None:
+        empty = projects.select("project_id").distinct().join(files.select("project_id").distinct(), "project_id", "left_anti")
+        files = files.join(projects.select("project_id").distinct(), "project_id", "left_semi").unionByName(empty, allowMissingColumns=True)
     files.hint("rebalance", "project_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(
         f"{root}/files"
     )
 
 
+def project_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files as last written by :func:`replace_project_files`."""
+    return spark.read.parquet(f"{root}/files").where("path IS NOT NULL")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``old`` with the rows of ``new`` taking over their keys; the last row of ``new`` per key wins.
 
@@ -47,9 +58,9 @@ def upsert_health_snapshot(spark: SparkSession, new: DataFrame, source: str, tar
     upserted(spark.read.parquet(source), new, "scan_id").write.mode("overwrite").parquet(target)
 
 
-def replace_suggestions(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Suggestions of the issues in ``new`` replaced, all others kept."""
-    renewed = new.select("issue_id").distinct()
+def replace_suggestions(existing: DataFrame, new: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Suggestions of ``issues(issue_id)`` replaced by those in ``new``, all others kept; an issue without new ones loses its own."""
+    renewed = (new if issues is None else issues).select("issue_id").distinct()
     return existing.join(renewed, "issue_id", "left_anti").unionByName(new)
 
 

@@ -94,6 +94,8 @@ def _bucket(buckets: int) -> Column:
 def replace_by_path(root: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer: the batch's issues replace those of the same files at ``root``.
 
+    A row with a null ``issue_id`` says that its file was analysed and is clean: it clears what the file had and
+    stays as that mark, which :func:`live_table` leaves out.
     The table is laid out in a fixed number of buckets. Only touched buckets are read and rewritten;
     the new rows are written to the checkpoint folder first, so the overwrite never reads what it
     replaces, and running a batch again gives the same table.
@@ -116,6 +118,11 @@ def replace_by_path(root: str, buckets: int = BUCKETS) -> Callable[[DataFrame, i
     return write
 
 
+def live_table(spark: SparkSession, root: str) -> DataFrame:
+    """The issues as last written by :func:`replace_by_path`."""
+    return spark.read.parquet(root).where("issue_id IS NOT NULL")
+
+
 def live_issues(issues: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     return _start(issues.writeStream.foreachBatch(replace_by_path(root, buckets)), checkpoint)
 

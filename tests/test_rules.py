@@ -129,14 +129,59 @@ def test_spans(make_files):
 
 
 def test_large_file(make_files):
-    files = make_files({"big.py": "eval(1)\n" * 30000})
-    rows = scan(files, "regex").collect()
-    assert [r.rule_id for r in rows] == ["skip-large-file"]
+    files = make_files({"big.js": "eval(1)\n" * 30000})
+    counts = {r.rule_id: r["count"] for r in scan(files, "regex").groupBy("rule_id").count().collect()}
+    assert counts["skip-large-file"] == 1 and counts["sec-eval"] == 30000
 
 
-def test_match_cap(make_files):
-    files = make_files({"a.js": "eval(1)\n" * 1200})
-    assert scan(files, "regex").where("rule_id = 'sec-eval'").count() == 1000
+def test_every_match_is_reported_where_it_is(make_files):
+    files = make_files({"a.js": "x; eval(1)\n" * 1200})
+    rows = scan(files, "regex").where("rule_id = 'sec-eval'").select("line_start", "col_start").collect()
+    assert sorted(tuple(r) for r in rows) == [(k, 3) for k in range(1200)]
+
+
+def test_imports_and_constants_beyond_a_thousand(make_files):
+    from lintlake.rules import symbols
+
+    files = make_files({"a.ts": "".join(f"import {{ a{k} }} from './m{k}';\n" for k in range(1200)),
+                        "b.ts": "".join(f"export const c{k} = f({k});\n" for k in range(1200))})
+    assert symbols.imports(files).count() == 1200
+    assert symbols.symbols(files.where("path = 'b.ts'")).count() == 1200
+
+
+def test_braces_nested_deeply_within_a_line(make_files):
+    from lintlake.rules import spans
+
+    body = "function f() {\n  const o = " + "{a:" * 9 + "1" + "}" * 9 + ";\n  }}{{\n  return o;\n}\n"
+    deep = body.replace("  }}{{\n", "")
+    rows = spans.structure(make_files({"a.ts": deep})).selectExpr("inline(blocks)").where("kind = 'function'").collect()
+    assert [(r["line_start"], r["line_end"]) for r in rows] == [(0, 3)]
+
+
+def test_statement_after_a_keyword_like_call(make_files):
+    texts = {"a.ts": "format.print(); foo.bar();\n", "b.ts": "return.x(); awaited.y();", "c.ts": "it.works();", "d.ts": "{ f.g(1) ; }"}
+    rows = scan(make_files(texts), "regex").where("rule_id = 'bug-missing-await'").groupBy("file_path").count().collect()
+    assert {r["file_path"]: r["count"] for r in rows} == {"a.ts": 1, "c.ts": 1, "d.ts": 1}
+
+
+def test_words_without_given_beginnings():
+    import re
+
+    from lintlake.rules.registry import KEYWORD_STARTS
+    from lintlake.rules.spec import word_without
+
+    pattern = re.compile(word_without(KEYWORD_STARTS))
+    for word in ("f", "fo", "for", "fora", "fob", "i", "if", "ifx", "ix", "wh", "whil", "while", "whiz", "x", "_r", "returned", "retur", "awai", "co", "conf"):
+        assert bool(pattern.fullmatch(word)) == (not word.startswith(KEYWORD_STARTS)), word
+
+
+def test_json_that_closes_its_wrapper(make_files):
+    from lintlake.rules.structural import json_parse_issues
+
+    texts = ['{"a":1}] garbage', '{"a":1}} x', "[1], [2", '1, "w": 2', "1, 2", '{"a": [1, {"b": null}]}', "null", " 3 ", ""]
+    files = make_files({f"{k}.json": t for k, t in enumerate(texts)})
+    bad = sorted(r["file_path"] for r in json_parse_issues(files).collect())
+    assert bad == [f"{k}.json" for k in (0, 1, 2, 3, 4, 8)]
 
 
 def test_hostile_content(make_files):

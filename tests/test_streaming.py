@@ -40,8 +40,10 @@ def test_replace_by_path(spark, folder):
     write(batch([("a", "1"), ("a", "2"), ("b", "3")]), 0)
     write(batch([("a", "4")]), 1)
     write(batch([("a", "4")]), 1)
-    table = spark.read.parquet(f"{folder}/table")
-    assert sorted((r.file_path, r.issue_id) for r in table.collect()) == [("a", "4"), ("b", "3")]
+    table = lambda: sorted((r.file_path, r.issue_id) for r in changes.live_table(spark, f"{folder}/table").collect())
+    assert table() == [("a", "4"), ("b", "3")]
+    write(batch([("a", None)]), 2)  # analysed again, and clean
+    assert table() == [("b", "3")]
 
 
 def test_sliding_rate(spark):

@@ -57,9 +57,11 @@ def test_suppression(make_files, make_issues):
 
 
 def test_overrides(spark, make_issues):
-    rules = spark.createDataFrame([("r1", "off"), ("r2", "warn"), ("r3", "error"), ("r4", "blocker")], "rule string, setting string")
-    issues = make_issues([{"issue_id": f"r{i}-{i}"} for i in range(1, 6)])
-    assert sev(triage.apply_rule_overrides(issues, rules)) == {"r2-2": "MINOR", "r3-3": "MAJOR", "r4-4": "BLOCKER", "r5-5": "MAJOR"}
+    rules = spark.createDataFrame([("r1", "off"), ("r2", "warn"), ("r3", "error"), ("r4", '{"severity": "blocker"}'), ("r6", "loud"), ("r7", '{"severity": "loud"}')],
+                                  "rule string, setting string")
+    issues = make_issues([{"issue_id": f"r{i}-{i}"} for i in range(1, 8)])
+    assert sev(triage.apply_rule_overrides(issues, rules)) == {
+        "r2-2": "MINOR", "r3-3": "MAJOR", "r4-4": "BLOCKER", "r5-5": "MAJOR", "r6-6": "MAJOR", "r7-7": "MAJOR"}
 
 
 def test_merge_keeps_first_and_dedupes_second(make_issues):
