@@ -63,22 +63,21 @@ def category(t):
 _iext = "CASE WHEN ends_with(lower(path), 'dockerfile') THEN 'dockerfile' ELSE split_part(lower(path), '.', -1) END"
 _excluded = " OR ".join(f"contains(lower(path), {sql_text(s)})" for s in ingest.EXCLUDED_SEGMENTS)
 relation("supported", f"""
-SELECT * FROM {{{{normalized}}}} WHERE size > 0 AND size <= 20000 AND content <> ''
+SELECT *, size > 20000 AS too_large FROM {{{{normalized}}}} WHERE size > 0 AND content <> ''
   AND {_iext} IN ({sql_list(ingest.SUPPORTED_EXTENSIONS)}, 'dockerfile') AND NOT ({_excluded})""")
 
 
-@query("S05_filter_supported", "SELECT project_id, path, size FROM {{supported}}")
+@query("S05_filter_supported", "SELECT project_id, path, size, too_large FROM {{supported}}")
 def supported(t):
-    return ingest.filter_supported(messy(t), max_bytes=20000).select("project_id", "path", "size")
+    return ingest.filter_supported(messy(t), large_bytes=20000).select("project_id", "path", "size", "too_large")
 
 
 _wexts = sql_list(ingest.WATCHED_EXTENSIONS)
 @query("S05_discover", f"""
-SELECT project_id, path, size FROM {{{{corpus}}}}
-WHERE ({EXT} IN ({_wexts}) OR lower(split_part(path, '/', -1)) IN ({sql_list(ingest.WATCHED_NAMES)}))
-  AND size <= 4096""")
+SELECT project_id, path, size, size > 4096 AS too_large FROM {{{{corpus}}}}
+WHERE ({EXT} IN ({_wexts}) OR lower(split_part(path, '/', -1)) IN ({sql_list(ingest.WATCHED_NAMES)}))""")
 def discover(t):
-    return ingest.discover(corpus(t), max_kilobytes=4).select("project_id", "path", "size")
+    return ingest.discover(corpus(t), large_kilobytes=4).select("project_id", "path", "size", "too_large")
 
 
 @query("S06_exclude_globs", """
@@ -104,13 +103,13 @@ def dedupe_paths(t):
 
 
 @query("S08_corpus_budget", """
-SELECT project_id, path, size, position, running_bytes FROM (
-  SELECT *, (sum(size) OVER w)::BIGINT AS running_bytes, row_number() OVER w AS position FROM {{corpus}}
-  WINDOW w AS (PARTITION BY project_id ORDER BY length(path), path ROWS UNBOUNDED PRECEDING))
-WHERE position <= 40 AND running_bytes <= 60000""")
+SELECT project_id, path, size, CASE WHEN fits THEN position END AS position, CASE WHEN fits THEN running_bytes END AS running_bytes,
+  fits AS within_budget
+FROM (SELECT *, position <= 40 AND running_bytes <= 60000 AS fits FROM (SELECT *, (sum(size) OVER w)::BIGINT AS running_bytes, row_number() OVER w AS position FROM {{corpus}}
+  WINDOW w AS (PARTITION BY project_id ORDER BY length(path), path ROWS UNBOUNDED PRECEDING)))""")
 def budget(t):
     kept = ingest.corpus_budget(corpus(t), max_files=40, max_bytes=60000)
-    return kept.select("project_id", "path", "size", "position", "running_bytes")
+    return kept.select("project_id", "path", "size", "position", "running_bytes", "within_budget")
 
 
 _tools = (

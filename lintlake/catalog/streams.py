@@ -36,11 +36,11 @@ _exts = sql_list(ingest.WATCHED_EXTENSIONS + ingest.WATCHED_CONFIG_EXTENSIONS)
 
 
 @query("X01_file_change_stream", f"""
-SELECT path FROM {{{{code_files}}}} WHERE ({EXT} IN ({_exts}) OR lower(split_part(path, '/', -1)) IN ({sql_list(ingest.WATCHED_STREAM_NAMES)}))
-  AND NOT regexp_matches(path, '^(?:.*/)?scripts/.*$') AND strlen(content) <= 2048""")
+SELECT path, strlen(content) > 2048 AS too_large FROM {{{{code_files}}}} WHERE ({EXT} IN ({_exts}) OR lower(split_part(path, '/', -1)) IN ({sql_list(ingest.WATCHED_STREAM_NAMES)}))
+  AND NOT regexp_matches(path, '^(?:.*/)?scripts/.*$')""")
 def file_changes(t):
-    stream = changes.watched(code_files(_streams(t)), ["**/scripts/**"], max_kilobytes=2)
-    return changes.drain(stream.select("path"), _folder(t, "changes"))
+    stream = changes.watched(code_files(_streams(t)), ["**/scripts/**"], large_kilobytes=2)
+    return changes.drain(stream.select("path", "too_large"), _folder(t, "changes"))
 
 
 def _events(t):

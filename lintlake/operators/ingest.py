@@ -78,11 +78,13 @@ def in_excluded_folder(path: Column) -> Column:
     return reduce(or_, [low.contains(s) for s in EXCLUDED_SEGMENTS])
 
 
-def filter_supported(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Files an upload keeps. Path and size tests come first so that a scan can skip content."""
-    return normalized(files).where(
+def filter_supported(files: DataFrame, large_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """Files an upload keeps, those above ``large_bytes`` marked ``too_large``: whoever wants the size limit drops the marked.
+
+    Path tests come first so that a scan can skip content.
+    """
+    return normalized(files).withColumn("too_large", F.col("size") > large_bytes).where(
         (F.col("size") > 0)
-        & (F.col("size") <= max_bytes)
         & ingest_extension(F.col("path")).isin(*SUPPORTED_EXTENSIONS, "dockerfile")
         & ~in_excluded_folder(F.col("path"))
         & (F.coalesce(F.col("content"), F.lit("")) != "")
@@ -115,13 +117,12 @@ def is_watched(path: Column, globs: Sequence[str] = DEFAULT_GLOBS, streaming: bo
     return wanted & ~matches_any_glob(path, globs)
 
 
-def discover(files: DataFrame, max_kilobytes: int = 500, globs: Sequence[str] = DEFAULT_GLOBS) -> DataFrame:
-    """Workspace discovery: supported names outside skipped and hidden folders, below the size limit."""
+def discover(files: DataFrame, large_kilobytes: int = 500, globs: Sequence[str] = DEFAULT_GLOBS) -> DataFrame:
+    """Workspace discovery: supported names outside skipped and hidden folders, those above the size limit marked ``too_large``."""
     folders = F.slice(F.split(slashes(F.col("path")), "/"), F.lit(1), F.size(F.split(slashes(F.col("path")), "/")) - 1)
     hidden = F.exists(folders, lambda f: f.isin(*SKIPPED_FOLDERS) | f.startswith("."))
-    return files.where(
-        is_watched(F.col("path"), globs) & ~hidden & (F.col("size") <= max_kilobytes * 1024)
-    )
+    return files.where(is_watched(F.col("path"), globs) & ~hidden).withColumn(
+        "too_large", F.col("size") > large_kilobytes * 1024)
 
 
 def path_order() -> list[Column]:
@@ -139,15 +140,17 @@ def dedupe_paths(files: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 def corpus_budget(files: DataFrame, max_files: int = MAX_FILES, max_bytes: int = MAX_TOTAL_BYTES) -> DataFrame:
-    """Per project, the files in (path length, path) order until either cap is hit.
+    """All files, ``within_budget`` telling the first ones of a project in (path length, path) order until either limit is hit.
 
-    The file cap is ranked first: it is pushed below the shuffle, so the running size is summed over
-    at most ``max_files`` rows per project however large the project is.
+    Those have their ``position`` and ``running_bytes``. The number of files is ranked first: that bound is pushed below the
+    shuffle, so the running size is summed over at most ``max_files`` rows per project however large the project is. ``path``
+    must be unique in its project.
     """
     w = Window.partitionBy("project_id").orderBy(*path_order())
-    ranked = files.withColumn("position", F.row_number().over(w)).where(F.col("position") <= max_files)
+    ranked = files.select("project_id", "path", "size").withColumn("position", F.row_number().over(w)).where(F.col("position") <= max_files)
     running = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn("running_bytes", running).where(F.col("running_bytes") <= max_bytes)
+    kept = ranked.withColumn("running_bytes", running).where(F.col("running_bytes") <= max_bytes).drop("size")
+    return files.join(kept, ["project_id", "path"], "left").withColumn("within_budget", F.col("position").isNotNull())
 
 
 def tool_routing(files: DataFrame, enabled: Sequence[str] | None = None) -> DataFrame:

@@ -30,22 +30,24 @@ def change_stream(spark: SparkSession, folder: str, schema: T.StructType, glob:
     return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def file_stream(spark: SparkSession, folder: str, since: str | None = None, max_bytes: int = 500 * 1024) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, since: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """Files saved below ``folder`` as ``(path, content, ts)``; ``since`` skips what was there before."""
     raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema(
         "path string, modificationTime timestamp, length long, content binary"
     ).load(folder)
     if since:
         raw = raw.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
-    return raw.where(F.col("length") <= max_bytes).select(
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
+    return raw.select(
         "path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.col("modificationTime").alias("ts")
     )
 
 
-def watched(changes: DataFrame, globs: Sequence[str] = DEFAULT_GLOBS, max_kilobytes: int = 500) -> DataFrame:
-    """Changes of files worth analysing: known names, no excluded folder, below the size limit."""
-    small = F.octet_length("content") <= max_kilobytes * 1024
-    return changes.where(is_watched(F.col("path"), globs, streaming=True) & small)
+def watched(changes: DataFrame, globs: Sequence[str] = DEFAULT_GLOBS, large_kilobytes: int = 500) -> DataFrame:
+    """Changes of files worth analysing: known names, no excluded folder; those above the size limit are marked ``too_large``."""
+    large = F.octet_length("content") > large_kilobytes * 1024
+    return changes.where(is_watched(F.col("path"), globs, streaming=True)).withColumn("too_large", large)
 
 
 def debounce(changes: DataFrame, quiet: str = DEBOUNCE, lateness: str = LATENESS) -> DataFrame:

@@ -17,15 +17,18 @@ def test_ingest(make_files):
     })
     again = make_files({"/src/app.ts": "second"})
     every = rows.withColumn("o", F.lit(0)).unionByName(again.withColumn("o", F.lit(1)))
-    kept = ingest.dedupe_paths(ingest.filter_supported(every), [F.col("o")])
+    every_kept = ingest.filter_supported(every)
+    assert [r.path for r in every_kept.where("too_large").collect()] == ["src/huge.ts"]
+    kept = ingest.dedupe_paths(every_kept.where("NOT too_large"), [F.col("o")])
     assert {r.path: r.content for r in kept.collect()} == {"src/app.ts": "first", "win/a.ts": "x", "deploy/Dockerfile": "FROM x"}
     assert [r.path for r in ingest.quarantined(every).collect()] == ["../up.ts"]
 
 
 def test_budget_is_a_prefix(make_files):
     files = make_files({f"f{i}.ts": "x" * 40 for i in range(10)})
-    assert ingest.corpus_budget(files, max_files=4).count() == 4
-    assert ingest.corpus_budget(files, max_bytes=130).count() == 3
+    assert ingest.corpus_budget(files, max_files=4).where("within_budget").count() == 4
+    budget = ingest.corpus_budget(files, max_bytes=130)
+    assert budget.where("within_budget").count() == 3 and budget.count() == files.count()
 
 
 def test_globs():
