@@ -5,8 +5,9 @@
 2. In every bucket of a band each node is paired with the bucket's smallest: a star, never all pairs. Pairs that pass the
    signatures are confirmed on the full sets, and links give components.
 3. Buckets that still hold several components are compared on signatures block by block inside of tasks; only pairs between
-   different components come out and are confirmed on the full sets: first each node's best partner, which joins most of
-   what belongs together, then all that is left. So every candidate pair is either inside of one component or was checked.
+   different components are looked at. First each node's best partner is confirmed on the full sets, which joins most of
+   what belongs together; then all pairs that are left are confirmed inside of the tasks, and only links leave them. So every
+   candidate pair is either inside of one component or was checked.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.common import mixed, slices, text_bytes, written
@@ -29,10 +30,10 @@ BANDS, ROWS = 32, 4
 #: Minima of the signature (the bands' and as many more), a byte each, and the equal ones that a pair needs: five standard
 #: deviations below what a pair at the threshold has.
 MINIMA, LEAST_EQUAL = 2 * BANDS * ROWS, 158
-#: Rounds in which only best partners are confirmed; they change the work, not the result.
-BEST_ROUNDS = 2
-BLOCK = 2048
-SHARD_ROWS = 32_768
+#: Rows of a bucket that a task compares at once, and the weight of a shard: with signatures only (a row weighs 1), and with
+#: texts (a row weighs as many as it has shingles, and 100).
+BLOCK, SHARD_ROWS = 2048, 32_768
+SET_BLOCK, SET_SHARD_WEIGHT = 512, 2_000_000
 SEED = 75_005
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -147,44 +148,90 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _crossing(rows: pa.Table, best_only: bool) -> pa.Table:
-    """Pairs of a shard's buckets that lie in different components and whose signatures and sizes allow a link.
-
-    ``best_only``: of these, each node's pair with the most equal minima.
-    """
+def _groups(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) row numbers of each bucket and pair of blocks of a shard; equal for a block with itself."""
     group = np.stack([rows.column(c).to_numpy() for c in ("bucket", "i", "j")], axis=1)
+    own = rows.column("block").to_numpy()
     order = np.lexsort(group.T)
     group = group[order]
     starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]).any(axis=1)])
-    node, part, size, own = (rows.column(c).to_numpy()[order] for c in ("node", "part", "n_shingles", "block"))
-    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(order), -1)[order]
-    most, partner = np.full(len(order), LEAST_EQUAL - 1), np.full(len(order), -1)
-    found: list[np.ndarray] = []
     for start, stop in zip(starts, [*starts[1:], len(order)]):
         _, i, j = group[start]
-        left = np.flatnonzero(own[start:stop] == i) + start
-        right = np.flatnonzero(own[start:stop] == j) + start
+        members = order[start:stop]
+        left = members[own[members] == i]
+        yield left, left if i == j else members[own[members] == j]
+
+
+def _fits(size: np.ndarray, p: int, q: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(size[q], size[p]) >= MIN_PERCENT * np.maximum(size[q], size[p])
+
+
+def _best_partners(rows: pa.Table) -> pa.Table:
+    """For each node of a shard its most similar one, by signature, in another component."""
+    node, part, size = (rows.column(c).to_numpy() for c in ("node", "part", "n_shingles"))
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+    most, partner = np.full(len(node), LEAST_EQUAL - 1), np.full(len(node), -1)
+    for left, right in _groups(rows):
+        for p in left:
+            q = right[part[right] != part[p]]
+            q = q[_fits(size, p, q)]
+            if len(q):
+                equal = (sig[q] == sig[p]).sum(axis=1)
+                better = equal > most[q]
+                most[q[better]], partner[q[better]] = equal[better], p
+                top = equal.argmax()
+                if equal[top] > most[p]:
+                    most[p], partner[p] = equal[top], q[top]
+    p = np.flatnonzero(partner >= 0)
+    pairs = np.stack([np.minimum(node[p], node[partner[p]]), np.maximum(node[p], node[partner[p]])])
+    pairs = np.unique(pairs, axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
+
+
+def _links_inside(rows: pa.Table) -> pa.Table:
+    """Links between different components in a shard's buckets, confirmed on the full sets here: only links leave the task.
+
+    A pair belongs to the first band that it shares. What a link joins counts as one component from then on, so a
+    large group of copies costs a few sets a node.
+    """
+    node, size, place = (rows.column(c).to_numpy() for c in ("node", "n_shingles", "place"))
+    parts = rows.column("part").to_numpy()
+    names, part = np.unique(parts, return_inverse=True)
+    sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+    texts, sets, out = rows.column("text").combine_chunks(), {}, []
+    label = np.arange(len(names))
+
+    def elements(k: int) -> np.ndarray:
+        if node[k] not in sets:
+            sets[node[k]] = np.unique(shingles(*word_hashes(*text_bytes(texts.slice(k, 1))))[0])
+        return sets[node[k]]
+
+    for left, right in _groups(rows):
+        band = int(place[left[0]]) if len(left) else 0
         for p in left:
-            q = right[(part[right] != part[p]) & (100 * np.minimum(size[right], size[p]) >= MIN_PERCENT * np.maximum(size[right], size[p]))]
-            if i == j:
+            q = right[label[part[right]] != label[part[p]]]
+            if left is right:
                 q = q[q > p]
+            q = q[_fits(size, p, q)]
             if not len(q):
                 continue
             equal = (sig[q] == sig[p]).sum(axis=1)
-            if not best_only:
-                q = q[equal >= LEAST_EQUAL]
-                found.append(np.stack([np.minimum(node[q], node[p]), np.maximum(node[q], node[p])]))
-                continue
-            better = equal > most[q]
-            most[q[better]], partner[q[better]] = equal[better], p
-            top = equal.argmax()
-            if equal[top] > most[p]:
-                most[p], partner[p] = equal[top], q[top]
-    if best_only:
-        p = np.flatnonzero(partner >= 0)
-        found.append(np.stack([np.minimum(node[p], node[partner[p]]), np.maximum(node[p], node[partner[p]])]))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pairs[0].astype(np.int64), "b": pairs[1].astype(np.int64)})
+            q, equal = q[equal >= LEAST_EQUAL], equal[equal >= LEAST_EQUAL]
+            q = q[np.argsort(-equal, kind="stable")]
+            if band:
+                q = q[~(bands[q, :band] == bands[p, :band]).any(axis=1)]
+            for k in q:
+                if label[part[k]] == label[part[p]]:
+                    continue
+                x, y = elements(p), elements(k)
+                both = np.sort(np.r_[x, y])
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= MIN_PERCENT * (len(both) - common):
+                    out.append((min(node[p], node[k]), max(node[p], node[k])))
+                    label[label == label[part[k]]] = label[part[p]]
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -194,23 +241,25 @@ def _with_both(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _between_parts(met: DataFrame, parts: DataFrame, nodes: DataFrame, best_only: bool) -> DataFrame:
-    """Pairs of nodes that share a bucket, lie in different components and may link by their signatures."""
-    labelled = met.join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("part"))
+def _open_buckets(met: DataFrame, parts: DataFrame, block: int) -> DataFrame:
+    """The members of all buckets that hold several components, dealt to pairs of blocks of their bucket."""
+    labelled = met.join(parts, "node", "left").select("bucket", "place", "node", "size", F.coalesce("component", "node").alias("part"))
     several = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    dealt = (
-        labelled.join(several.select("bucket"), "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+    return (
+        labelled.join(several.select("bucket"), "bucket").withColumn("blocks", F.ceil(F.col("size") / block).cast("long"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("bucket", "node", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .select("bucket", "place", "node", "part", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    dealt = written(dealt, "minhash-open")
-    shards = max(met.sparkSession.sparkContext.defaultParallelism, math.ceil(dealt.count() / SHARD_ROWS))
+
+
+def _in_shards(dealt: DataFrame, held: DataFrame, weight: Column, most: int, work) -> DataFrame:
+    """``work`` on shards of the dealt rows with what is ``held`` of their nodes, each of about ``most`` weight."""
+    dealt = written(dealt.join(held.select("node", "n_shingles"), "node").withColumn("weight", weight).drop("n_shingles"), "minhash-open")
+    total = dealt.agg(F.sum("weight")).first()[0] or 0
+    shards = max(dealt.sparkSession.sparkContext.defaultParallelism, math.ceil(total / most))
     shard = F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(shards))
-    return (
-        dealt.join(nodes.select("node", "n_shingles", "sig"), "node").withColumn("shard", shard)
-        .groupBy("shard").applyInArrow(lambda rows: _crossing(rows, best_only), "a long, b long").distinct()
-    )
+    return dealt.join(held, "node").withColumn("shard", shard).groupBy("shard").applyInArrow(lambda rows: work(rows), "a long, b long")
 
 
 def near_texts(docs: DataFrame) -> DataFrame:
@@ -231,7 +280,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("node"), "n_shingles", "sig", "bands")
     )
     nodes = written(nodes, "minhash-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    banded = nodes.select("node", F.posexplode("bands").alias("place", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     met = written(banded.join(heads, "bucket"), "minhash-buckets")
     stars = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
@@ -240,13 +289,15 @@ def near_texts(docs: DataFrame) -> DataFrame:
         texts.withColumnRenamed("doc_id", "node").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]),
         "minhash-texts")
     confirm = lambda pairs: _with_both(pairs, bodies, "text").mapInArrow(_confirmed, "a long, b long")
-    checked, links = stars, written(confirm(alike), "minhash-links")
+    links = written(confirm(alike), "minhash-links")
+    parts = connected_components(links)
+    marks = nodes.select("node", "n_shingles", "sig")
+    best = _in_shards(_open_buckets(met, parts, BLOCK), marks, F.lit(1), SHARD_ROWS, _best_partners).distinct()
+    links = links.unionByName(written(confirm(best.join(stars, ["a", "b"], "left_anti")), "minhash-links"))
     parts = connected_components(links)
-    for turn in range(BEST_ROUNDS + 1):
-        crossing = _between_parts(met, parts, nodes, best_only=turn < BEST_ROUNDS).join(checked, ["a", "b"], "left_anti")
-        crossing = written(crossing, "minhash-crossing")
-        checked, links = checked.unionByName(crossing), links.unionByName(written(confirm(crossing), "minhash-links"))
-        parts = connected_components(links)
+    full = nodes.join(bodies, "node")
+    rest = _in_shards(_open_buckets(met, parts, SET_BLOCK), full, F.col("n_shingles") + 100, SET_SHARD_WEIGHT, _links_inside)
+    parts = connected_components(links.unionByName(written(rest, "minhash-links")))
     groups = same.join(parts, "node", "left").select(
         F.col("set1").alias("s1"), F.col("set2").alias("s2"), F.col("n_shingles").alias("size"), F.coalesce("component", "node").alias("part"))
     out = signed.select("doc_id", "n_shingles", "set1", "set2").join(

@@ -84,6 +84,7 @@ def brute_groups(texts):
 @pytest.mark.parametrize("block", [2048, 5])
 def test_texts_against_brute_force(make_docs, monkeypatch, block):
     monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "SET_BLOCK", block)
     rng = random.Random(2)
     words = [f"w{k}é" for k in range(400)]
     texts = []
