@@ -297,9 +297,9 @@ def job_report(t):
 
 
 @query("J05_scan_job_with_owner", """
-SELECT o_orderkey AS job_id, user_email FROM orders JOIN {{projects}} ON project_id = o_custkey WHERE o_orderstatus = 'O'""")
+SELECT o_orderkey AS job_id, user_email FROM orders JOIN {{projects}} ON project_id = o_custkey""")
 def job_owner(t):
-    jobs = t.orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id"))
+    jobs = t.orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id"))
     return jobs.join(projects(t), "project_id").select("job_id", "user_email")
 
 

@@ -210,15 +210,15 @@ def issue_source(t):
 
 @query("M10_path_parts", rf"""
 SELECT path, split_part(path, '/', -1) AS base, {EXT} AS ext, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir,
-  regexp_extract(path, '^(?:.*/)?([^/]+)/[^/]*$', 1) || '/up/../x/./' || split_part(path, '/', -1) AS odd,
-  regexp_extract(path, '^(?:.*/)?([^/]+)/[^/]*$', 1) || '/x/' || split_part(path, '/', -1) AS resolved
-FROM {{{{corpus}}}} WHERE contains(path, '/')""")
+  regexp_extract(path, '^(?:.*/)?([^/]+/)[^/]*$', 1) || 'up/../x/./' || split_part(path, '/', -1) AS odd,
+  regexp_extract(path, '^(?:.*/)?([^/]+/)[^/]*$', 1) || 'x/' || split_part(path, '/', -1) AS resolved
+FROM {{{{corpus}}}}""")
 def path_parts(t):
-    parent = F.regexp_extract("path", r"^(?:.*/)?([^/]+)/[^/]*$", 1)
-    rows = corpus(t).where(F.col("path").contains("/")).select(
+    parent = F.regexp_extract("path", r"^(?:.*/)?([^/]+/)[^/]*$", 1)
+    rows = corpus(t).select(
         "path", paths.basename(F.col("path")).alias("base"), paths.dot_extension(F.col("path")).alias("ext"),
         paths.dirname(F.col("path")).alias("dir"),
-        F.concat(parent, F.lit("/up/../x/./"), paths.basename(F.col("path"))).alias("odd"),
+        F.concat(parent, F.lit("up/../x/./"), paths.basename(F.col("path"))).alias("odd"),
     )
     return rows.withColumn("resolved", paths.collapse_dots(F.col("odd")))
 

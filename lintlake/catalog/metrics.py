@@ -96,11 +96,9 @@ def lines_of_code(t):
 
 
 @query("A08_symbol_span_lines", """
-SELECT project_id, sum(line_end - line_start + 1)::BIGINT AS lines FROM {{blocks}}
-WHERE kind IN ('class', 'interface', 'enum') GROUP BY 1""")
+SELECT project_id, sum(line_end - line_start + 1)::BIGINT AS lines FROM {{symbols}} GROUP BY 1""")
 def span_lines(t):
-    kinds = symbols.symbols(corpus(t)).where(F.col("kind").isin("class", "interface", "enum"))
-    return kinds.groupBy("project_id").agg(F.sum(F.col("line_end") - F.col("line_start") + 1).alias("lines"))
+    return symbols.symbols(corpus(t)).groupBy("project_id").agg(F.sum(F.col("line_end") - F.col("line_start") + 1).alias("lines"))
 
 
 @query("A09_avg_complexity", """
@@ -430,11 +428,11 @@ def summary(t):
 
 @query("J13_tool_overlap", """
 SELECT issue_id FROM {{head}} WHERE (title, split_part(file_path, '/', -1)) IN (
-  SELECT (title, split_part(file_path, '/', -1)) FROM {{base}} WHERE severity = 'BLOCKER')""")
+  SELECT (title, split_part(file_path, '/', -1)) FROM {{base}})""")
 def overlap(t):
     base, head = _halves(t)
     key = lambda d: d.withColumn("path_key", F.substring_index("file_path", "/", -1))
-    return compare.tool_overlap(key(head), key(base.where("severity = 'BLOCKER'"))).select("issue_id")
+    return compare.tool_overlap(key(head), key(base)).select("issue_id")
 
 
 # ------------------------------------------------------------------ usage

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder before cutting lineage on a cluster")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(CHECKPOINT_KEY, folder)
