@@ -282,6 +282,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
     nodes = written(nodes, "minhash-nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("place", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    heads = written(heads, "minhash-heads")  # a table, not an aggregate: the join can then split a large bucket
     met = written(banded.join(heads, "bucket"), "minhash-buckets")
     stars = met.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     alike = _with_both(stars, nodes, "sig", "n_shingles").mapInArrow(_alike, "a long, b long")

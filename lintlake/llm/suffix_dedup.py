@@ -260,6 +260,7 @@ def repeated_strings(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block: int
     texts = docs.select("doc_id", own.alias("id"), "text")
     sieve = texts.select("id", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(_sieved, _SIEVE)
     grams = sieve.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1")
+    grams = written(grams, "repeats-grams")  # a table, not an aggregate: the join can then split a gram with very many segments
     shared = written(sieve.join(grams, "gram").withColumn("equal", F.col("low") == F.col("high")).drop("n", "low", "high"), "repeats-sieve")
     run = [F.col("id"), F.col("start"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("stop")]
     runs = "id long, start long, stop long"
