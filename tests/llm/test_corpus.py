@@ -131,6 +131,38 @@ def test_benchmark_in_blocks(spark, make_docs, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(k, k // 2) for k in range(10)]
 
 
+def plain_leaks(items, text):
+    """(item, share in common order, share of the answer, first word) of all items found, by comparing all passages with all."""
+    body, out = decontaminate._words([text])[0].tolist(), {}
+    for i, item in enumerate(items):
+        words = decontaminate._words([item])[0].tolist()
+        answer = decontaminate._words([item.split("\n")[-1]])[0].tolist()
+        for k in range(0, max(1, len(body) - decontaminate.WINDOW + decontaminate.STEP), decontaminate.STEP):
+            region = body[max(0, k - len(words)) : k + decontaminate.WINDOW + len(words)]
+            share = decontaminate.common_length(words, region) / len(words)
+            held = decontaminate.common_length(answer, region) / len(answer)
+            if share >= decontaminate.COPIED or share >= decontaminate.PARAPHRASED and held >= decontaminate.ANSWERED:
+                out[i] = max(out.get(i, (-1.0, -1.0, 0)), (share, held, -k))
+    return {(i, share, held, -k) for i, (share, held, k) in out.items()}
+
+
+def changed(rng, words, share):
+    """Words of which a share is replaced."""
+    return " ".join(rng.choice(WORDS) + "q" if rng.random() < share else w for w in words.split())
+
+
+def test_leaks_below_the_cosine_are_found(spark, make_docs, monkeypatch):
+    rng = random.Random(12)
+    items = [passage(rng, rng.randint(3, 80)) + ".\n" + passage(rng, rng.randint(1, 6)) for _ in range(25)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [passage(rng, rng.randint(0, 200)) + " " + changed(rng, rng.choice(items), rng.choice([0, 0.2, 0.4])) + " " + passage(rng, rng.randint(0, 200)) for _ in range(80)]
+    expected = {(d, *x) for d, t in enumerate(texts) for x in plain_leaks(items, t)}
+    for least in (decontaminate.MIN_COSINE, 2.0):  # above 1 the latent space finds nothing
+        monkeypatch.setattr(decontaminate, "MIN_COSINE", least)
+        monkeypatch.setattr(decontaminate, "COMMON", 0.5 if least < 1 else 0.02, raising=False)
+        assert {tuple(r) for r in decontaminate.leaks(make_docs(texts), bench).collect()} == expected
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """The smallest given tables with odd rows added, in a folder of their own."""
