@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.llm.common import written
+from lintlake.llm.minhash_dedup import near_texts
+
 #: Bytes of a sequence: the tokens of a byte-level model.
 CAPACITY = 8192
 #: Pieces that one task packs at a time; what a larger block would save in open bins is below one per cent.
@@ -75,6 +78,18 @@ def exact_cluster(text: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
+def with_near_clusters(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``cluster``: the group of near-duplicates of its id, or the exact one for rows without id or words.
+
+    An id should stand for one text; of several the smallest group counts.
+    """
+    groups = written(near_texts(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND n_shingles > 0"), "packing-groups")
+    groups = groups.groupBy("doc_id").agg(F.min("component_id").alias("near"))
+    named = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left")
+    named = named.withColumn("cluster", F.coalesce("near", exact_cluster(F.col("text")))).select(*docs.columns, "cluster")
+    return named.unionByName(docs.where("doc_id IS NULL").withColumn("cluster", exact_cluster(F.col("text"))))
+
+
 def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(``doc_id``, ``piece``, ``start``, ``n_bytes``, ``bin_id``, ``bin_start``) of every piece of every row.
 

@@ -47,7 +47,8 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Bin and place of every piece of every document."""
-    return packing.pack(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return packing.pack(packing.with_near_clusters(docs), F.col("cluster"))
 
 
 def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lintlake.llm import decontaminate, language_id, packing
+from lintlake.llm import decontaminate, language_id, packing, queries
 from tests.llm.test_dedup import brute_groups
 from tests.llm.test_filters import brute_spans
 
@@ -62,6 +62,16 @@ def test_packing_keeps_everything_apart_and_whole(spark, make_docs):
         assert content[b] == b"".join(texts[r["doc_id"]].encode()[r["start"] : r["start"] + r["n_bytes"]] for r in group)
 
 
+def test_packing_keeps_near_copies_apart(spark, make_docs, tmp_path):
+    rng = random.Random(14)
+    body = [f"w{k}" for k in range(60)]
+    texts = [" ".join("other" if j == k else w for j, w in enumerate(body)) for k in range(8)] + [passage(rng, 20) for _ in range(8)]
+    docs = make_docs(texts + [(None, " ".join(body))]).withColumn("source", F.concat(F.lit("s"), "doc_id"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len(rows) == 17 and len({r["bin_id"] for r in rows if r["doc_id"] is not None and r["doc_id"] < 8}) == 8
+
+
 def test_packing_of_rows_without_id_repeated_and_empty(make_docs):
     rows = packing.pack(make_docs([(None, "a"), (1, "b"), (1, "b"), (None, None)])).collect()
     assert len(rows) == 4 and len({r["bin_id"] for r in rows if r["doc_id"] == 1}) == 2
