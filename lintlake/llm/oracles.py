@@ -130,3 +130,69 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN rolled USING (doc_id)
 """
+
+ORACLES["op12_spelling_variants"] = """
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT range, range, 0 FROM range(256)
+  UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crcs AS (SELECT i, c FROM steps WHERE k = 8),
+texts AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(body, '[a-z\u00C0-\u00FF]+')) AS run FROM texts)
+  WHERE length(run) >= 7 GROUP BY ALL),
+hashed(doc_id, run, body, k, c) AS (
+  SELECT doc_id, run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), 0, 4294967295::BIGINT FROM runs
+  UNION ALL
+  SELECT doc_id, run, body, k + 1, xor(h.c // 256, t.c)
+  FROM hashed h JOIN crcs t ON t.i = xor(h.c % 256, ('0x' || substr(body, 2 * k + 1, 2))::BIGINT) WHERE k < length(body) // 2),
+marks AS (SELECT doc_id, run, xor(c, 4294967295) AS h FROM hashed WHERE k = length(body) // 2),
+found AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(r.run, (h % length(r.run))::INT) || substr(r.run, (h % length(r.run))::INT + 2) ELSE r.run END AS word, n
+  FROM runs r JOIN marks m ON m.run = r.run AND m.doc_id IS NOT DISTINCT FROM r.doc_id),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM found WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+skips AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM spots),
+longer AS (SELECT DISTINCT s.word, s.n, w.word AS other, w.n AS other_n FROM skips s JOIN words w ON w.word = s.a || s.b),
+near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM skips x JOIN skips y ON x.a = y.a AND x.b = y.b AND x.i = y.i AND x.word <> y.word
+  UNION ALL SELECT * FROM longer
+  UNION ALL SELECT other, other_n, word, n FROM longer),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS top, max(other_n) AS top_n, any_value(n) AS n FROM near GROUP BY word),
+forms AS (SELECT word, top AS form, top_n AS form_n FROM best WHERE top_n >= 10 * n),
+chain(word, last) AS (
+  SELECT word, word FROM words
+  UNION ALL
+  SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.last),
+ends AS (SELECT c.word, c.last AS root FROM chain c ANTI JOIN forms f ON f.word = c.last)
+SELECT w.word, w.n, form, root, coalesce(n_near, 0) AS n_near, form_n
+FROM words w JOIN ends USING (word) LEFT JOIN forms USING (word) LEFT JOIN best USING (word)
+"""
+
+ORACLES["op13_phrase_mining"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+lists AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS p FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k)),
+counts AS (SELECT lang, k, array_to_string(p, ' ') AS phrase, any_value(p) AS p, count(*) AS f FROM grams GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT * FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
+  FROM candidates c JOIN (VALUES (1), (2)) v(cut) ON cut < c.k
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[cut + 1:], ' ')),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, part, max(f) AS f FROM (
+    SELECT lang, f, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS part FROM candidates WHERE k = 3)
+  GROUP BY lang, part),
+kept AS (SELECT w.* FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.part = w.phrase WHERE i.f IS NULL OR 100 * i.f < 50 * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r.r, n, score::BIGINT AS score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import decontaminate, html_text, language_id, minhash_dedup, packing, quality, secret_scan, suffix_dedup, url_filter, vector_dedup
+from lintlake.llm import (
+    decontaminate, html_text, language_id, minhash_dedup, packing, personal_data, phrase_mining, quality, secret_scan, spelling_variants, suffix_dedup,
+    url_filter, vector_dedup,
+)
 from lintlake.llm.common import table
 from lintlake.llm.oracles import ORACLES
 
@@ -79,9 +82,25 @@ def op10_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, plain and disguised."""
+    return personal_data.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, forms and roots of all words."""
+    return spelling_variants.spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest collocations of each language."""
+    return phrase_mining.collocations(table(spark, folder, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_vector_dedup, op2_suffix_dedup, op3_url_filter, op4_language_id, op5_best_fit_packing, op6_minhash_dedup, op7_html_extraction,
-    op8_quality_classifier, op9_decontamination, op10_secret_scan,
+    op8_quality_classifier, op9_decontamination, op10_secret_scan, op11_personal_data,
+    op12_spelling_variants, op13_phrase_mining,
 )}
 
 
