@@ -13,10 +13,13 @@ without need, never too late and never twice: when counting starts and ends foll
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -26,27 +29,25 @@ from lintlake.llm.common import mixed, slices, written
 
 MAX_WORDS, MIN_COUNT, TOP = 3, 10, 2000
 #: Shards of a cycle.
-SHARDS = 3
+SHARDS = 2
 #: Places of the table of each length: one byte each, carried by every scan.
 PLACES = 1 << 22
 #: A phrase is dropped for a longer one that has at least so many of its occurrences, in hundredths.
 INSIDE_PERCENT = 50
+#: Times that a block of texts must hold a phrase for the task to add it up over all its blocks; phrases so held at most.
+OFTEN, MOST_HELD = 8, 1 << 17
 _NEVER = 127
 _BREAK = re.compile(rb"[.,;:!?\n-\r]+")
 
 
-def piece_codes(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+def piece_codes(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     """(distinct words, number of every word of the texts in order, -1 between pieces); only A-Z are lower-cased."""
     body = _BREAK.sub(b" . ", b"\n".join(texts).lower())
-    tokens = pa.array(body.split(), pa.binary())
-    if not len(tokens):
-        return [], np.zeros(0, np.int64)
-    coded = tokens.dictionary_encode()
-    words = coded.dictionary.to_pylist()
+    coded = pa.array(body.split(), pa.binary()).dictionary_encode()
     codes = coded.indices.to_numpy().astype(np.int64)
-    if b"." in words:  # no word holds a stop
-        codes[codes == words.index(b".")] = -1
-    return words, codes
+    stop = pc.index(coded.dictionary, b".").as_py()  # no word holds a stop
+    codes[codes == stop] = -1
+    return coded.dictionary, codes
 
 
 def places(hashes: np.ndarray) -> np.ndarray:
@@ -58,18 +59,27 @@ def joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word, seed=xxhash.xxh32_intdigest(lang.encode()))
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    """Hashes of words of one language, the same in all processes."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    return mixed(pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) + np.uint64(xxhash.xxh64_intdigest(lang.encode())))
 
 
-def phrase_hash(lang: str, phrase: bytes) -> np.ndarray:
-    words = [np.array([word_hash(lang, w)], np.uint64) for w in phrase.split(b" ")]
-    out = words[0]
-    for w in words[1:]:
-        out = joined(out, w)
+def phrase_hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
+    """Hashes of phrases of equal length."""
+    words = list(zip(*(p.split(b" ") for p in phrases)))
+    out = word_hashes(lang, pa.array(words[0], pa.binary()))
+    for column in words[1:]:
+        out = joined(out, word_hashes(lang, pa.array(column, pa.binary())))
     return out
 
 
+def _names(words: pa.Array, grams: np.ndarray) -> pa.Array:
+    """The phrases of rows of word numbers."""
+    return pc.binary_join_element_wise(*[words.take(pa.array(column)) for column in grams.T], b" ")
+
+
 def counted(lang: str, texts: list[bytes], step: int, shards: int, reached: list[np.ndarray], counting: list[bool]) -> Iterator[tuple]:
     """(length, start, phrases, counts) of what is active at scan ``step`` in texts of one language.
 
@@ -77,51 +87,67 @@ def counted(lang: str, texts: list[bytes], step: int, shards: int, reached: list
     any phrase of k + 1 words is still within its cycle.
     """
     words, codes = piece_codes(texts)
-    if not words:
-        return
     if counting[0]:
         n = np.bincount(codes[codes >= 0], minlength=len(words))
         used = np.flatnonzero(n)
-        yield 1, 0, [words[k] for k in used], n[used]
-    word_hashes = np.array([word_hash(lang, w) for w in words], np.uint64)
-    hashes, base = word_hashes, len(words)
+        yield 1, 0, words.take(pa.array(used)), n[used]
+    own, base = word_hashes(lang, words), len(words)
+    hashes = own
     # at: the phrase of k - 1 words that starts at each place of codes, as a row of grams; levels: its level, if there is one
     at, grams = codes, np.arange(base)[:, None]
-    levels = np.where(codes >= 0, reached[0][places(hashes)][codes], _NEVER).astype(np.int64)
+    levels = np.full(len(codes), _NEVER, np.int64)
+    levels[codes >= 0] = reached[0][places(hashes)][codes[codes >= 0]]
     for k in range(2, len(counting) + 1):
         before, after = levels[:-1], levels[1:]
         where = np.flatnonzero((before < _NEVER) & (after < _NEVER))
         if not len(where) or not any(counting[k - 1 :]):
             return
-        keys, inverse, n = np.unique(at[where] * base + codes[where + k - 1], return_inverse=True, return_counts=True)
+        inverse, keys = pd.factorize(at[where] * base + codes[where + k - 1])
+        n = np.bincount(inverse)
         heads, tails = keys // base, keys % base
         grams = np.column_stack([grams[heads], tails])
+        begins = np.maximum(before[where], after[where]) + 1
         if counting[k - 1]:
             start = np.zeros(len(keys), np.int64)
-            start[inverse] = np.maximum(before[where], after[where]) + 1
+            start[inverse] = begins
             for s in range(max(1, step - shards + 1), step + 1):
                 chosen = np.flatnonzero(start == s)
                 if len(chosen):
-                    yield k, s, [b" ".join([words[c] for c in gram]) for gram in grams[chosen].tolist()], n[chosen]
+                    yield k, s, _names(words, grams[chosen]), n[chosen]
         if k < len(counting):
-            hashes = joined(hashes[heads], word_hashes[tails])
+            hashes = joined(hashes[heads], own[tails])
             level = reached[k - 1][places(hashes)]
             at, levels = np.full(len(at) - 1, -1, np.int64), np.full(len(at) - 1, _NEVER, np.int64)
-            at[where], levels[where] = inverse, level[inverse]
+            # Another phrase of its place may have been frequent before this one could be.
+            at[where], levels[where] = inverse, np.maximum(level[inverse], begins)
+
+
+def _rows(k: int, start: int, lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    size = len(phrases)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(size, k, np.int32)), pa.array(np.full(size, start, np.int32)), pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))),
+         phrases.cast(pa.string()), pa.array(n, pa.int64())], names=["k", "start", "lang", "phrase", "f"])
 
 
 def _scan(shard: DataFrame, step: int, shards: int, tables: Broadcast, counting: list[bool]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent: dict[tuple, Counter] = {}  # what a block of texts holds often leaves the task once
         for batch in slices(batches, "text"):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
                 for k, start, phrases, n in counted(lang, texts, step, shards, tables.value, counting):
-                    size = len(phrases)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(size, k, np.int32)), pa.array(np.full(size, start, np.int32)), pa.array([lang] * size, pa.string()),
-                        pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["k", "start", "lang", "phrase", "f"])
+                    often = n >= OFTEN
+                    held = frequent.setdefault((k, start, lang), Counter())
+                    for phrase, f in zip(phrases.filter(pa.array(often)).to_pylist(), n[often].tolist()):
+                        held[phrase] += f
+                    yield _rows(k, start, lang, phrases.filter(pa.array(~often)), n[~often])
+                    if len(held) > MOST_HELD:
+                        yield _rows(k, start, lang, pa.array(held, pa.binary()), np.array(list(held.values())))
+                        held.clear()
+        for (k, start, lang), held in frequent.items():
+            yield _rows(k, start, lang, pa.array(held, pa.binary()), np.array(list(held.values()), np.int64))
 
     return shard.select("lang", "text").mapInArrow(run, "k int, start int, lang string, phrase string, f long")
 
@@ -134,9 +160,11 @@ def _mark(level: np.ndarray, frequent: DataFrame, step: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            phrases = zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist())
-            hashes = [phrase_hash(lang, phrase.encode())[0] for lang, phrase in phrases]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(places(np.array(hashes, np.uint64))))], names=["place"])
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").cast(pa.binary()).to_pylist()):
+                by_lang.setdefault(lang, []).append(phrase)
+            for lang, phrases in by_lang.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(places(phrase_hashes(lang, phrases))))], names=["place"])
 
     found = frequent.select("lang", "phrase").mapInArrow(run, "place long")
     bits = found.groupBy(F.expr("place div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 64 AS int)))").alias("bits")).toArrow()
@@ -149,7 +177,7 @@ def _mark(level: np.ndarray, frequent: DataFrame, step: int) -> None:
 
 
 def count_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, shards: int = SHARDS) -> list[DataFrame]:
-    """By length, a table (``lang``, ``phrase``, ``f``): all words, and at least all longer phrases with ``min_count`` occurrences.
+    """By length, a table (``lang``, ``phrase``, ``f``): all words, and all longer phrases with ``min_count`` occurrences.
 
     All counts are exact and over all documents. ``docs`` has ``lang`` (null: ``und``) and ``text`` (null: empty). The
     words of a phrase stand next to each other in a piece of a text (``[.,;:!?\\x0A-\\x0D]`` end a piece, blanks and tabs a word).
@@ -169,7 +197,11 @@ def count_phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
         tables = docs.sparkSession.sparkContext.broadcast(reached)
         found = _scan(dealt.where(F.col("shard") == step % shards), step, shards, tables, counting)
         both = found if running is None else found.unionByName(running)
-        total = written(both.groupBy("k", "start", "lang", "phrase").agg(F.sum("f").alias("f")), "phrase-counts", "k", "start")
+        # The scan has summed up its blocks already: sums are formed behind the exchange only. Of longer phrases whose cycle
+        # ends here only the frequent ones are of further use.
+        summed = both.repartition("lang", "phrase").groupBy("k", "start", "lang", "phrase").agg(F.sum("f").alias("f"))
+        summed = summed.where((F.col("k") == 1) | (F.col("start") > step - shards + 1) | (F.col("f") >= min_count))
+        total = written(summed, "phrase-counts", "k", "start")
         tables.unpersist()
         for k in range(1, max_words + 1):
             if counting[k - 1]:

@@ -182,9 +182,14 @@ def test_phrases_equal_brute_force(spark, shards):
 
 
 def test_phrases_that_share_a_place(spark, monkeypatch):
-    """With a table of few places most phrases are active without need; no result changes."""
+    """With a table of few places phrases are active without need, and some before their own words are; no result changes."""
     monkeypatch.setattr(phrase_mining, "PLACES", 64)
     some = random.Random(9)
-    docs = [("en", " ".join(some.choices("abcdefghijklm", k=30))) for _ in range(150)]
+    words = [f"w{k}" for k in range(160)]
+    docs = [("en", " ".join(some.choices(words, [1 / (k + 1) for k in range(160)], k=30))) for _ in range(150)]
+    docs += [("en", f"a{k % 9} b{k % 9} c{k % 9}") for k in range(108)]
+    some.shuffle(docs)
     table = spark.createDataFrame(docs, "lang string, text string").repartition(3)
-    assert sorted(tuple(r) for r in phrase_mining.collocations(table, top=50).collect()) == brute_phrases(docs, 50)
+    for shards in (2, 5):
+        got = sorted(tuple(r) for r in phrase_mining.collocations(table, top=500, shards=shards).collect())
+        assert got == brute_phrases(docs, 500) and sum(r[2].startswith("a") for r in got) >= 9
