@@ -161,16 +161,37 @@ def changed(rng, words, share):
     return " ".join(rng.choice(WORDS) + "q" if rng.random() < share else w for w in words.split())
 
 
-def test_leaks_below_the_cosine_are_found(spark, make_docs, monkeypatch):
+def test_recall_on_a_full_block(spark, make_docs, monkeypatch):
+    """Items of one latent space in as many documents, whole and with 12 and 24 in 100 words changed."""
     rng = random.Random(12)
-    items = [passage(rng, rng.randint(3, 80)) + ".\n" + passage(rng, rng.randint(1, 6)) for _ in range(25)]
+    given = [r["text"].split() for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' AND n_chars > 900").select("text").collect()]
+    items = []
+    for _ in range(decontaminate.BLOCK_ITEMS):
+        words = rng.choice(given)
+        at = rng.randrange(len(words) - 70)
+        items.append(" ".join(words[at : at + rng.randint(15, 60)]))
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    texts = [passage(rng, rng.randint(0, 200)) + " " + changed(rng, rng.choice(items), rng.choice([0, 0.2, 0.4])) + " " + passage(rng, rng.randint(0, 200)) for _ in range(80)]
-    expected = {(d, *x) for d, t in enumerate(texts) for x in plain_leaks(items, t)}
-    for least in (decontaminate.MIN_COSINE, 2.0):  # above 1 the latent space finds nothing
-        monkeypatch.setattr(decontaminate, "MIN_COSINE", least)
-        monkeypatch.setattr(decontaminate, "COMMON", 0.5 if least < 1 else 0.02, raising=False)
-        assert {tuple(r) for r in decontaminate.leaks(make_docs(texts), bench).collect()} == expected
+    texts, planted = [], []
+    for k, item in enumerate(items * 3):
+        words = rng.choice(given)
+        at = rng.randrange(len(words) - 60)
+        texts.append(" ".join([*words[at : at + 50], changed(rng, item, 0.12 * (k // len(items))), *words[at + 50 :][:80]]))
+    pick = range(0, len(texts), 4)
+    expected = {(d, x[0]) for d in pick for x in plain_leaks(items, texts[d]) if x[1] >= decontaminate.COPIED}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(make_docs(texts), bench).collect()}
+    planted = {(k, k % len(items)) for k in range(2 * len(items))}
+    assert len(got & expected) >= 0.97 * len(expected) and len(planted & got) >= 0.97 * len(planted)
+    monkeypatch.setattr(decontaminate, "MIN_COSINE", float("inf"))  # the latent search switched off
+    assert decontaminate.leaks(make_docs(texts), bench).count() == 0
+
+
+def test_an_answer_of_common_words_decides_nothing(spark, make_docs):
+    rng = random.Random(15)
+    item = passage(rng, 40) + ".\nIs the was that of."
+    half = " ".join(f"other{j}" if j % 5 in (1, 3) else w for j, w in enumerate(item.split()[:40]))
+    texts = [half + " is the was that of", *["is the was that of " + passage(rng, 30)] * 80]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert decontaminate.leaks(make_docs(texts), bench).count() == 0
 
 
 @pytest.fixture(scope="module")
