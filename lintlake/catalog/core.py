@@ -60,6 +60,8 @@ def with_relations(sql: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS (\n{plain(RELATIONS[n]).strip()}\n)" for n in order)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

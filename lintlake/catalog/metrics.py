@@ -187,15 +187,6 @@ def share(t):
     return metrics.severity_share(issues_large(t))
 
 
-@query("A26_project_context_totals", """
-SELECT project_id, count(*) AS total_issues, count(DISTINCT file_path) AS n_files FROM {{issues_large}} GROUP BY 1""")
-def context_totals(t):
-    per_file = issues_large(t).groupBy("project_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("project_id").agg(
-        F.sum("n").alias("total_issues"), F.count(F.lit(1)).alias("n_files")
-    )
-
-
 @query("A27_unique_files", """
 SELECT CASE WHEN regexp_matches(issue_id, '^(semgrep|biome|ruff|tflint|checkov)-') THEN 'external' ELSE 'static' END AS source,
   count(DISTINCT file_path) AS n_files FROM {{issues}} GROUP BY 1""")
@@ -330,7 +321,7 @@ SELECT call_id, provider, streak, streak >= 3 AS circuit_open FROM (
   SELECT *, CASE WHEN success THEN 0 ELSE count(*) OVER (PARTITION BY provider, g ORDER BY created_at, call_id) - CASE WHEN g > 0 THEN 1 ELSE 0 END END AS streak
   FROM (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY created_at, call_id) AS g FROM {{ai_usage}}))""")
 def streaks(t):
-    out = history.failure_streaks(ai_usage(t), F.date_trunc("month", "created_at"))
+    out = history.failure_streaks(ai_usage(t))
     return out.select("call_id", "provider", "streak", "circuit_open")
 
 
@@ -341,27 +332,27 @@ _cfg_names = (".lintrc.json", ".lintrc", "lintrc.json", "package.json", "other.j
 def _config_files(t):
     k = F.col("p_partkey")
     name = F.element_at(F.array(*[F.lit(n) for n in _cfg_names]), (k % 5).cast("int") + 1)
+    ai = F.when(k % 3 == 0, F.concat(F.lit(', "ai": {"enabled": true, "provider": "m'), (k % 4).cast("string"), F.lit('"}'))).otherwise("")
     body = F.concat(F.lit('{"maxComplexity": '), F.col("p_size").cast("string"),
-                    F.lit(', "rules": {"unused": "off"}}'))
+                    F.lit(', "rules": {"unused": "off"}'), ai, F.lit("}"))
     content = F.when(k % 7 == 0, "{broken").when(k % 5 == 3, F.concat(F.lit('{"lint": '), body, F.lit("}"))).otherwise(body)
-    rows = t.part.select((k % 400).alias("project_id"), k.alias("k"), name.alias("name"), content.alias("content"))
-    first = rows.groupBy("project_id", "name").agg(F.min_by("content", "k").alias("content"))
-    return first.select("project_id", F.col("name").alias("path"), "content")
+    return t.part.select(F.expr("p_partkey div 5").alias("project_id"), name.alias("path"), content.alias("content"))
 
 
 @query("W13_config_precedence", f"""
-WITH c AS (SELECT p_partkey % 400 AS project_id, ([{', '.join(f"'{n}'" for n in _cfg_names)}])[(p_partkey % 5)::INT + 1] AS name,
-    p_partkey AS k, p_partkey % 7 > 0 AS ok, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_partkey % 400, p_partkey % 5 ORDER BY p_partkey) = 1),
-best AS (SELECT project_id, arg_min(name, k % 5) AS name, arg_min(p_size, k % 5) AS size FROM c WHERE ok AND k % 5 < 4 GROUP BY 1)
+WITH c AS (SELECT p_partkey // 5 AS project_id, ([{', '.join(f"'{n}'" for n in _cfg_names)}])[(p_partkey % 5)::INT + 1] AS name,
+    p_partkey AS k, p_partkey % 7 > 0 AS ok, p_size FROM part),
+best AS (SELECT project_id, arg_min(name, k % 5) AS name, arg_min(p_size, k % 5) AS size, arg_min(k, k % 5) AS k FROM c WHERE ok AND k % 5 < 4 GROUP BY 1)
 SELECT project_id, coalesce(any_value(best.name), '') AS config_path, coalesce(any_value(best.size), 10) AS max_complexity,
-  50 AS max_function_length, CASE WHEN any_value(best.name) IS NULL THEN '' ELSE 'off' END AS unused
+  50 AS max_function_length, CASE WHEN any_value(best.name) IS NULL THEN '' ELSE 'off' END AS unused,
+  coalesce(any_value(best.k) % 3 = 0, false) AS ai_enabled, CASE WHEN any_value(best.k) % 3 = 0 THEN 'm' || (any_value(best.k) % 4) END AS ai_provider
 FROM c LEFT JOIN best USING (project_id) GROUP BY 1""")
 def config(t):
     out = history.config_precedence(_config_files(t))
     return out.select(
         "project_id", "config_path", F.col("maxComplexity").alias("max_complexity"),
         F.col("maxFunctionLength").alias("max_function_length"),
-        F.coalesce(F.try_element_at("rules", F.lit("unused")), F.lit("")).alias("unused"),
+        F.coalesce(F.try_element_at("rules", F.lit("unused")), F.lit("")).alias("unused"), "ai_enabled", "ai_provider",
     )
 
 

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lintlake.catalog.bindings import ai_usage, code_files, issues
+from lintlake.catalog.bindings import ai_usage, code_files, corpus, issues
 from lintlake.catalog.core import Tables, query, sql_list
 from lintlake.catalog.rule_sql import EXT
+from lintlake.catalog.scans import SLICE_RULES, analyse_with, rule_sql
 from lintlake.operators import ingest
 from lintlake.session import checkpoint_dir
-from lintlake.streaming import changes
+from lintlake.streaming import changes, live, results, streaks
 
 
 class StreamTables(Tables):
@@ -59,12 +60,40 @@ def debounce(t):
     return changes.drain(stream, _folder(t, "debounce")).select("path", "content", "changes")
 
 
-@query("X03_incremental_analyze", "SELECT DISTINCT user_id::VARCHAR AS path, sha256(props)[1:16] AS hash FROM events")
+@query("X03_skip_seen", "SELECT DISTINCT user_id::VARCHAR AS path, sha256(props)[1:16] AS hash FROM events")
 def skip_seen(t):
     stream = changes.skip_seen(_events(_streams(t)), ttl="60 days")
     return changes.drain(stream, _folder(t, "seen")).select("path", "hash")
 
 
+# The rules of two versions; the second one has a rule less.
+_version_rules = {"1": SLICE_RULES, "2": [r for r in SLICE_RULES if r.id != "smell-todo"]}
+STORED = "project_id string, file_path string, rule_id string, line_start int, hash string"
+_sql_of = lambda rules: " UNION ALL ".join(f"SELECT * FROM ({rule_sql(r)})" for r in rules)
+
+
+@query("X03_incremental_analyze", " UNION ALL ".join(
+    f"SELECT '{version}' AS rules_version, file_path, rule_id, count(*) AS n, count(DISTINCT line_start) AS lines FROM ({_sql_of(rules)}) GROUP BY 2, 3"
+    for version, rules in _version_rules.items()))
+def incremental_analyze(t):
+    """The corpus in two runs of one stream, the second with all files of the first again, under two versions of the rules.
+
+    A file of the first run is not analysed again in the second; what the store holds in the end is a full analysis.
+    """
+    root, files = _folder(t, "analysed"), corpus(t).select("project_id", "path", "content")
+    odd = F.crc32(F.col("path").cast("binary")) % 2 == 1
+    for run, part in (("a", files.where(odd)), ("b", files)):
+        part.write.mode("append").parquet(f"{root}/changes")
+        for version, rules in _version_rules.items():
+            stream = changes.change_stream(t.spark, f"{root}/changes", files.schema)
+            results.incremental(stream, f"{root}/store", f"{root}/cp-{version}", version, lambda f, r=rules: analyse_with(f, r)).awaitTermination()
+    out = None
+    for version in _version_rules:
+        found = results.stored_issues(files, f"{root}/store", version, STORED).withColumn("rules_version", F.lit(version))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("rules_version", "file_path", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("line_start").alias("lines"))
+
+
 @query("X03_unseen_batch", """
 SELECT e.user_id::VARCHAR AS path, sha256(e.props)[1:16] AS hash, count(*) AS n FROM events e
 WHERE e.ts >= TIMESTAMP '2024-01-16' AND NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id = e.user_id AND o.props = e.props AND o.ts < TIMESTAMP '2024-01-16') GROUP BY 1, 2""")
@@ -78,15 +107,21 @@ def unseen(t):
 
 @query("X04_live_metrics", """
 WITH later AS (SELECT DISTINCT file_path FROM {{head}}),
-cur AS (SELECT * FROM {{head}} UNION ALL SELECT * FROM {{base}} WHERE file_path NOT IN (SELECT file_path FROM later))
+cur AS (SELECT * FROM {{head}} WHERE NOT (file_path LIKE '%7.%') UNION ALL SELECT * FROM {{base}} WHERE file_path NOT IN (SELECT file_path FROM later))
 SELECT file_path, count(*) AS n, count(*) FILTER (severity = 'BLOCKER') AS blockers FROM cur GROUP BY 1""")
 def live_metrics(t):
-    """Two runs over the issue stream; the second replaces the files it touches."""
+    """Two runs of one stream of issues; the second replaces the files it touches, and some of these became clean."""
     folder = _folder(t, "live")
-    for run, test in (("a", "created_at < '2024-01-16'"), ("b", "created_at >= '2024-01-16'")):
-        stream = issues(_streams(t)).where(test).select("file_path", "issue_id", "severity")
-        changes.live_issues(stream, f"{folder}/table", f"{folder}/cp-{run}", buckets=8).awaitTermination()
-    table = changes.live_table(t.spark, f"{folder}/table")
+    rows = issues(t).select("file_path", "issue_id", "severity", "created_at")
+    clean = F.col("file_path").contains("7.")
+    later = rows.where("created_at >= '2024-01-16'")
+    later = later.where(~clean).unionByName(later.where(clean).select("file_path", F.lit(None).cast("string").alias("issue_id"), F.lit(None).cast(
+        "string").alias("severity"), "created_at").dropDuplicates(["file_path"]))
+    for part in (rows.where("created_at < '2024-01-16'"), later):
+        part.select("file_path", "issue_id", "severity").write.mode("append").parquet(f"{folder}/changes")
+        stream = changes.change_stream(t.spark, f"{folder}/changes", part.select("file_path", "issue_id", "severity").schema)
+        live.live_issues(stream, f"{folder}/table", f"{folder}/cp").awaitTermination()
+    table = live.live_table(t.spark, f"{folder}/table", "file_path string, issue_id string, severity string")
     return table.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"),
                                           F.count_if(F.col("severity") == "BLOCKER").alias("blockers"))
 
@@ -115,16 +150,36 @@ def sliding(t):
     return changes.sliding_rate(t.events, "event_type", limit=10, seconds=3600).select("event_id", "calls")
 
 
+def _streaks_by_state(t, expire: bool):
+    """The call log in three parts, each a run of one stream that starts from the state at its checkpoint."""
+    root, log = _folder(t, "streaks"), ai_usage(t).select("call_id", "provider", "success", "created_at")
+    for low, high in (("1900", "1994"), ("1994", "1996"), ("1996", "2100")):
+        log.where(f"created_at >= '{low}-01-01' AND created_at < '{high}-01-01'").write.mode("append").parquet(f"{root}/log")
+        streaks.follow_streaks(changes.change_stream(t.spark, f"{root}/log", log.schema), root, expire=expire).awaitTermination()
+    return t.spark.read.parquet(f"{root}/out").select("call_id", "streak", "circuit_open")
+
+
 @query("X08_failure_streak_state", """
-SELECT call_id, streak FROM (
+SELECT call_id, streak, streak >= 3 AS circuit_open FROM (
   SELECT *, CASE WHEN success THEN 0 ELSE count(*) OVER (PARTITION BY provider, g ORDER BY created_at, call_id) - CASE WHEN g > 0 THEN 1 ELSE 0 END END AS streak
   FROM (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY provider ORDER BY created_at, call_id) AS g FROM {{ai_usage}}))""")
 def streak_state(t):
-    """The call log in two parts; the second starts from the state the first one left."""
-    root = _folder(t, "streaks")
-    write = changes.streaks_by_batch(root, lambda: F.date_trunc("month", "created_at"))
-    for epoch, test in ((0, "created_at < '1998-01-01'"), (1, "created_at >= '1998-01-01'")):
-        stream = ai_usage(_streams(t)).where(test)
-        once = lambda batch, _, epoch=epoch: write(batch, epoch)
-        changes._start(stream.writeStream.foreachBatch(once), f"{root}/cp-{epoch}").awaitTermination()
-    return t.spark.read.parquet(f"{root}/streaks").select("call_id", "streak")
+    return _streaks_by_state(t, expire=False)
+
+
+@query("X08_circuit_expiry", """
+WITH RECURSIVE calls AS (SELECT *, dense_rank() OVER (PARTITION BY provider ORDER BY created_at) AS day FROM {{ai_usage}}),
+within AS (
+  SELECT *, sum(success::INT) OVER (PARTITION BY provider, day ORDER BY call_id) AS ok, row_number() OVER (PARTITION BY provider, day ORDER BY call_id) AS rn FROM calls),
+runs AS (SELECT *, rn - coalesce(max(CASE WHEN success THEN rn END) OVER (PARTITION BY provider, day ORDER BY call_id), 0) AS run FROM within),
+days AS (SELECT provider, day, count(*) AS n, max(ok) AS ok, arg_max(run, rn) AS tail FROM runs GROUP BY 1, 2),
+carried(provider, day, carry) AS (
+  SELECT provider, 1::BIGINT, 0::BIGINT FROM days WHERE day = 1
+  UNION ALL
+  SELECT provider, day + 1, CASE WHEN streak >= 3 THEN 0 ELSE streak END
+  FROM (SELECT c.provider, c.day, (CASE WHEN d.ok > 0 THEN d.tail ELSE c.carry + d.n END)::BIGINT AS streak FROM carried c JOIN days d USING (provider, day)))
+SELECT call_id, streak, streak >= 3 AS circuit_open
+FROM (SELECT call_id, (CASE WHEN success THEN 0 WHEN ok > 0 THEN run ELSE carry + run END)::BIGINT AS streak FROM runs JOIN carried USING (provider, day))""")
+def circuit_expiry(t):
+    """Calls are dated by day: an open circuit has expired by the next day with calls."""
+    return _streaks_by_state(t, expire=True)

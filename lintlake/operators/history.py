@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lintlake.schema import js_round
+from lintlake.session import cut_lineage
 
 
 def previous_in_chunks(df: DataFrame, key: str, order: Sequence[str], value: str, chunk: Column, name: str) -> DataFrame:
@@ -90,53 +91,42 @@ def recent_average(snapshots: DataFrame, days: int, as_of: str) -> DataFrame:
     )
 
 
-def failure_streaks(calls: DataFrame, chunk: Column, threshold: int = 3, open_seconds: int = 60,
-                    key: str = "provider", order: Sequence[str] = ("created_at", "call_id"),
-                    carry: DataFrame | None = None) -> DataFrame:
+def failure_streaks(calls: DataFrame, threshold: int = 3, open_seconds: int = 60, key: str = "provider",
+                    order: Sequence[str] = ("created_at", "call_id")) -> DataFrame:
     """Consecutive failures up to each call and whether they open the provider's circuit.
 
-    ``carry(provider, failures)`` holds the failures that ended an earlier part of the log.
-
-    Keys are few and large, so the streaks are counted within time chunks; a chunk's trailing failures
-    reach later calls through a table of one row per key and chunk.
+    The log is cut into segments by ranges of (key, order), whose number follows the size of the log (AQE), so one
+    busy provider spans many of them. A segment is summed up by three numbers per key: its calls, whether one
+    succeeded, and the failures after the last success. These sums combine from left to right, which gives what every segment
+    starts with; within a segment the running count is a window that no other one waits for.
     """
-    failed = (~F.col("success")).cast("int")
-    rows = calls.withColumn("_chunk", chunk).withColumn("_failed", failed)
-    w = Window.partitionBy(key, "_chunk").orderBy(*order)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_rn", F.row_number().over(w))
-    rows = rows.withColumn("_ok_rn", F.max(F.when(F.col("_failed") == 0, F.col("_rn"))).over(so_far))
-    ends = rows.groupBy(key, "_chunk").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_ok_rn"), F.lit(0)).alias("ok")
-    )
-    by_chunk = Window.partitionBy(key).orderBy("_chunk")
-    before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    total = F.coalesce(F.sum("n").over(before), F.lit(0))
-    # Position of the last success before the chunk, counted over the whole key.
-    ends = ends.withColumn("_before", total)
-    last_ok = F.max(F.when(F.col("ok") > 0, F.col("_before") + F.col("ok"))).over(before)
-    ends = ends.withColumn("_last_ok", last_ok)
-    if carry is None:
-        ends = ends.withColumn("failures", F.lit(0))
-    else:
-        ends = ends.join(carry.select(key, "failures"), key, "left").na.fill(0, ["failures"])
-    carried = F.coalesce(F.col("_before") - F.col("_last_ok"), F.col("_before") + F.col("failures"))
-    ends = ends.select(key, "_chunk", carried.alias("_carry"))
-    joined = rows.join(ends, [key, "_chunk"])
-    streak = F.when(F.col("_failed") == 0, 0).when(F.col("_ok_rn").isNull(), F.col("_carry") + F.col("_rn")).otherwise(
-        F.col("_rn") - F.col("_ok_rn")
-    )
+    ranged = calls.repartitionByRange(key, *order).withColumn("_segment", F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # both uses below must see the same segments
+    failed = F.when(F.col("success"), 0).otherwise(1)
+    within = Window.partitionBy(key, "_segment").orderBy(*order)
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumn("_place", F.row_number().over(within))
+    rows = rows.withColumn("_ok", F.max(F.when(failed == 0, F.col("_place"))).over(so_far))
+    segments = rows.groupBy(key, "_segment").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("_ok"), F.lit(0)).alias("ok"))
+    # Failures that end a segment: those after its last success, or all of it and what it started with. Left to right that
+    # is a sum since the last segment with a success.
+    before = Window.partitionBy(key).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    segments = segments.withColumn("_end", F.sum("n").over(Window.partitionBy(key).orderBy("_segment")))
+    last_ok = F.max(F.when(F.col("ok") > 0, F.col("_end") - F.col("n") + F.col("ok"))).over(before)
+    carried = F.col("_end") - F.col("n") - F.coalesce(last_ok, F.lit(0))
+    starts = segments.select(key, "_segment", carried.alias("_carry"))
+    streak = F.when(failed == 0, 0).when(F.col("_ok").isNull(), F.col("_carry") + F.col("_place")).otherwise(F.col("_place") - F.col("_ok"))
     opened = F.col("streak") >= threshold
     until = F.when(opened, F.col(order[0]) + F.make_dt_interval(secs=F.lit(open_seconds)))
-    return joined.withColumn("streak", streak.cast("long")).withColumns(
-        {"circuit_open": opened, "open_until": until}
-    ).drop("_chunk", "_failed", "_rn", "_ok_rn", "_carry")
+    joined = rows.join(starts, [key, "_segment"]).withColumn("streak", streak.cast("long"))
+    return joined.withColumns({"circuit_open": opened, "open_until": until}).drop("_segment", "_place", "_ok", "_carry")
 
 
 CONFIG_NAMES = (".lintrc.json", ".lintrc", "lintrc.json")
 MANIFEST, MANIFEST_SECTION = "package.json", "lint"
 # Thresholds used where no configuration sets them.
 CONFIG_DEFAULTS = {"maxComplexity": 10, "maxFunctionLength": 50, "maxParameters": 5, "maxLineLength": 120}
+CONFIG_AI = "struct<enabled:boolean,provider:string,customInstructions:string>"
 
 
 def config_precedence(files: DataFrame, names: Sequence[str] = CONFIG_NAMES, manifest: str = MANIFEST,
@@ -146,7 +136,7 @@ def config_precedence(files: DataFrame, names: Sequence[str] = CONFIG_NAMES, man
     ranked = F.when(base == manifest, F.lit(len(names)))
     for i, name in enumerate(names):
         ranked = F.when(base == name, F.lit(i)).otherwise(ranked)
-    shape = "rules map<string,string>, ignore array<string>, " + ", ".join(f"{k} int" for k in CONFIG_DEFAULTS)
+    shape = f"version string, extends string, rules map<string,string>, ignore array<string>, ai {CONFIG_AI}, " + ", ".join(f"{k} int" for k in CONFIG_DEFAULTS)
     text = F.when(base == manifest, F.get_json_object("content", f"$.{section}")).otherwise(F.col("content"))
     candidates = files.withColumn("_rank", ranked).where("_rank IS NOT NULL").withColumn("_text", text)
     candidates = candidates.where(F.get_json_object("_text", "$").isNotNull())
@@ -157,7 +147,12 @@ def config_precedence(files: DataFrame, names: Sequence[str] = CONFIG_NAMES, man
     return out.select(
         "project_id",
         F.coalesce("path", F.lit("")).alias("config_path"),
+        F.coalesce("cfg.version", F.lit("1")).alias("version"),
+        "cfg.extends",
         F.coalesce("cfg.rules", F.create_map().cast("map<string,string>")).alias("rules"),
         F.coalesce("cfg.ignore", F.lit(None).cast("array<string>")).alias("ignore"),
         *[F.coalesce(F.col(f"cfg.{k}"), F.lit(v)).alias(k) for k, v in CONFIG_DEFAULTS.items()],
+        F.coalesce("cfg.ai.enabled", F.lit(False)).alias("ai_enabled"),
+        F.col("cfg.ai.provider").alias("ai_provider"),
+        F.col("cfg.ai.customInstructions").alias("ai_instructions"),
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.text import issue_source
+from lintlake.operators.sequence import with_islands
 from lintlake.schema import SEVERITIES, severity_rank
 
 MERGE_GAP = 5
@@ -33,8 +34,8 @@ def hotspots(issues: DataFrame, scope: str = "file", order: str = "event_id") ->
     """Merge qualifying findings whose lines lie within five lines of each other.
 
     ``scope='file'`` keeps files apart; ``scope='project'`` merges line numbers across files. The
-    findings are first reduced to one row per line and title, then per line, with partial aggregation,
-    so the window that finds the islands sees at most one row per line of a file.
+    findings are first reduced to one row per line and title, then per line, with partial aggregation; the islands are
+    found in ranges of lines (:func:`~lintlake.operators.sequence.with_islands`), so no project is one task's work.
     """
     keys = ["project_id", "file_path"] if scope == "file" else ["project_id"]
     per_title = issues.groupBy(*keys, "line_start", "title").agg(
@@ -52,26 +53,22 @@ def hotspots(issues: DataFrame, scope: str = "file", order: str = "event_id") ->
         F.min("first").alias("first"),
         F.array_sort(F.collect_list(F.struct(F.col("first.ord").alias("ord"), "title"))).alias("titles"),
     )
-    spots = per_line.where((F.col("n") >= 2) | F.col("qualifies"))
-    w = Window.partitionBy(*keys).orderBy("line_start")
-    reach = F.max("line_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.coalesce((F.col("line_start") > reach + MERGE_GAP).cast("int"), F.lit(0))
-    islands = spots.withColumn("_new", starts).withColumn(
-        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    )
-    merged = islands.groupBy(*keys, "_island").agg(
+    spots = with_islands(per_line.where((F.col("n") >= 2) | F.col("qualifies")), keys, "line_start", "line_end", MERGE_GAP)
+    merged = spots.groupBy(*keys, "island").agg(
         F.min("line_start").alias("start_line"),
         F.max("line_end").alias("end_line"),
         F.min("rank").alias("rank"),
         F.min(F.struct("line_start", "first")).alias("head"),
-        F.array_sort(F.collect_list(F.struct("line_start", "titles"))).alias("lines"),
     )
-    titles = F.flatten(F.transform("lines", lambda l: F.transform(l["titles"], lambda t: t["title"])))
-    return merged.select(
+    # Of a title only its first place counts, so an island gathers as many entries as it has different titles.
+    titles = spots.select(*keys, "island", "line_start", F.explode("titles").alias("t")).groupBy(*keys, "island", F.col("t.title").alias("title")).agg(
+        F.min(F.struct("line_start", "t.ord")).alias("place"))
+    reasons = titles.groupBy(*keys, "island").agg(F.array_sort(F.collect_list(F.struct("place", "title"))).alias("titles"))
+    return merged.join(reasons, [*keys, "island"]).select(
         *keys,
         "start_line",
         "end_line",
-        _join_reasons(titles).alias("reason"),
+        _join_reasons(F.transform("titles", lambda t: t["title"])).alias("reason"),
         F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("rank") + 1).alias("severity"),
         F.col("head.first.source").alias("source"),
     )

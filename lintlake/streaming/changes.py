@@ -6,21 +6,18 @@ behind the watermark are dropped here; a periodic batch run over the same folder
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lintlake.functions.text import content_hash16
-from lintlake.operators.history import failure_streaks
 from lintlake.operators.ingest import DEFAULT_GLOBS, is_watched
-from lintlake.session import cut_lineage
+from lintlake.sources.store import read_table
 
 DEBOUNCE = "2 seconds"
 LATENESS = "10 seconds"
 CACHE_TTL = "1 hour"
-BUCKETS = 256
 
 
 def change_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
@@ -73,15 +70,13 @@ def unseen(changes: DataFrame, seen: DataFrame, rules_version: str) -> DataFrame
     return hashed.join(known, ["path", "hash"], "left_anti")
 
 
-# ------------------------------------------------------------------ live issue table
-def read_or(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """The table at ``path``, or an empty one where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+# ------------------------------------------------------------------ tables that streams write
+def read_or(spark: SparkSession, path: str, schema: T.StructType | str, layout: Sequence[str] = ()) -> DataFrame:
+    """The table at ``path``, or an empty one where nothing was written yet; ``layout`` names its folder columns, read as strings."""
+    shape = spark.createDataFrame([], schema).schema
+    for name in layout:
+        shape = shape.add(name, "string")
+    return read_table(spark, path, shape)
 
 
 def _timed(df: DataFrame) -> DataFrame:
@@ -89,46 +84,6 @@ def _timed(df: DataFrame) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _bucket(buckets: int) -> Column:
-    return F.pmod(F.hash("file_path"), F.lit(buckets))
-
-
-def replace_by_path(root: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer: the batch's issues replace those of the same files at ``root``.
-
-    A row with a null ``issue_id`` says that its file was analysed and is clean: it clears what the file had and
-    stays as that mark, which :func:`live_table` leaves out.
-    The table is laid out in a fixed number of buckets. Only touched buckets are read and rewritten;
-    the new rows are written to the checkpoint folder first, so the overwrite never reads what it
-    replaces, and running a batch again gives the same table.
-    """
-
-    def write(batch: DataFrame, _epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = cut_lineage(batch.withColumn("bucket", _bucket(buckets)))
-        current = read_or(spark, root, fresh.schema)
-        touched = fresh.select("bucket").distinct()
-        paths = fresh.select("bucket", "file_path").distinct()
-        kept = current.join(F.broadcast(touched), "bucket", "left_semi").join(
-            paths, ["bucket", "file_path"], "left_anti"
-        )
-        merged = cut_lineage(kept.select(*fresh.columns).unionByName(fresh))
-        merged.hint("rebalance", "bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("bucket").parquet(root)
-
-    return write
-
-
-def live_table(spark: SparkSession, root: str) -> DataFrame:
-    """The issues as last written by :func:`replace_by_path`."""
-    return spark.read.parquet(root).where("issue_id IS NOT NULL")
-
-
-def live_issues(issues: DataFrame, root: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
-    return _start(issues.writeStream.foreachBatch(replace_by_path(root, buckets)), checkpoint)
-
-
 # ------------------------------------------------------------------ rates
 def rate_windows(requests: DataFrame, key: str, limit: int, width: str = "60 seconds",
                  lateness: str | None = None) -> DataFrame:
@@ -160,26 +115,6 @@ def sliding_windows(calls: DataFrame, key: str, width: str = "60 seconds", step:
     return counts.select(key, F.col("w.start").alias("start"), "calls")
 
 
-# ------------------------------------------------------------------ failure streaks over batches
-def streaks_by_batch(root: str, chunk: Callable[[], Column]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` writer of ``failure_streaks`` whose state is one row per provider.
-
-    Batch ``n`` reads the trailing failures that batch ``n-1`` left and writes its own beside them, so
-    a repeated batch finds the same state.
-    """
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        carry = read_or(spark, f"{root}/state/{epoch - 1}", "provider string, failures long")
-        out = cut_lineage(failure_streaks(batch, chunk(), carry=carry))
-        out.write.mode("overwrite").parquet(f"{root}/streaks/batch={epoch}")
-        latest = out.groupBy("provider").agg(F.max_by("streak", F.struct("created_at", "call_id")).alias("failures"))
-        kept = carry.join(latest.select("provider"), "provider", "left_anti")
-        latest.unionByName(kept).write.mode("overwrite").parquet(f"{root}/state/{epoch}")
-
-    return write
-
-
 # ------------------------------------------------------------------ running
 def _start(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
