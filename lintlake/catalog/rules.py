@@ -29,7 +29,7 @@ RULE_KEYS = {
     "R53": "security-eval", "R54": "security-xss", "R55": "security-secret", "R56": "security-sql",
     "R57": "security-func", "R58": "ts-any", "R59": "ts-as-any", "R60": "ts-non-null", "R61": "ts-return-type",
     "R62": "ts-ignore", "R66": "perf-sync", "R69": "async-promise-executor", "R70": "async-then-catch",
-    "R71": "async-floating-promise", "R72": "react-missing-key", "R74": "react-usestate-init",
+    "R71": "async-floating-promise", "R74": "react-usestate-init",
     "R75": "react-state-mutation", "R76": "react-inline-handler", "R78": "style-empty-catch",
     "R80": "style-no-docs",
 }

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from lintlake.catalog.bindings import corpus
 from lintlake.catalog.core import query, relation, sql_list, sql_text
 from lintlake.catalog.rule_sql import (
-    DAEMON_CONTEXT, LANGUAGE, _prefix_col, _prefix_line, family_sql, located_hits, matches, pattern_text,
+    DAEMON_CONTEXT, LANGUAGE, _prefix_col, _prefix_line, family_sql, located_hits, match_rule_sql, matches, pattern_text,
 )
 from lintlake.catalog.rules import show
 from lintlake.functions.paths import language_of
 from lintlake.rules import spans, structural, symbols
 from lintlake.rules.lines import FAMILY_EXTENSIONS, family_of
-from lintlake.rules.spec import REACT, WEB_JS
+from lintlake.rules.spec import REACT, WEB_JS, MatchRule
 
 S = spans
 _net = "regexp_replace(line, '[^{}]', '', 'g')"
@@ -216,6 +216,19 @@ def effect_deps(t):
     return show(structural.script_issues(corpus(t), ["effects"]))
 
 
+# In the given files elements stand right behind the arrow.
+_keyless = MatchRule(
+    id="react-missing-key", title="Missing key prop in list rendering", description="", category="bug", severity="MAJOR", confidence=80,
+    engine="lexical", exts=REACT, text="code", hit_lacks=structural.KEY,
+    pattern=r"\.map\s*\(\s*(?:\([^()]*\)|[\w$]+)\s*=>\s*\(?\s*<[A-Za-z][^>]*>",
+)
+
+
+@query("R72_react_missing_key", match_rule_sql(_keyless))
+def missing_key(t):
+    return show(structural.script_issues(corpus(t), ["missing-keys"]))
+
+
 _hook = structural.HOOK_CALL
 @query("R77_react_conditional_hook", f"""
 SELECT project_id, path AS file_path, line AS line_start, col AS col_start,
@@ -263,7 +276,8 @@ def unused_import(t):
 
 
 # ------------------------------------------------------------------ numbers
-_v = "try_cast(name AS DOUBLE)"
+_bare = "replace(name, '_', '')"
+_v = f"(CASE WHEN regexp_matches(name, '^0[xXbB]') THEN try_cast(lower({_bare}) AS BIGINT)::DOUBLE ELSE try_cast({_bare} AS DOUBLE) END)"
 _line_at = lambda pos: (f"split_part(left(code, {pos}), chr(10), -1) || "
                         f"split_part(substring(code, {pos} + 1), chr(10), 1)")
 @query("R79_style_magic_number", f"""

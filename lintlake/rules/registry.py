@@ -362,11 +362,6 @@ LEXICAL_RULES = (
         "The promise is neither awaited nor handled.", name_group=1, skip=r"^[ \t]*",
         pattern=r"(?mi)^[ \t]*(?:[\w$]+\.)*+(sendMessage|sendEmail|sendNotification)\s*\(",
     ),
-    _lexical(
-        "react-missing-key", "Missing key prop in list rendering", "bug", "MAJOR", 80,
-        "List items need a stable key.", exts=REACT, hit_lacks=r"\bkey=",
-        pattern=r"\.map\s*\(\s*(?:\([^()]*\)|[\w$]+)\s*=>\s*\(?\s*<[A-Za-z][^>]*>",
-    ),
     _lexical(
         "react-usestate-init", "useState without initial value", "best-practice", "INFO", 70,
         "The state starts undefined.", exts=REACT, pattern=r"\buseState\s*(?:<[^>\n]*>)?\s*\(\s*\)",

@@ -6,13 +6,15 @@ whole structural pass is narrow: no line of the corpus is shuffled to be counted
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.bind import let, pin
 from lintlake.functions.paths import dot_extension
+from lintlake.functions.text import running_sums_sql
 from lintlake.rules.lexer import blank_code
+from lintlake.rules.nesting import nested_spans
 from lintlake.rules.spec import JS
 
 IDENT = r"[A-Za-z_$][\w$]*"
@@ -38,6 +40,8 @@ INTERFACE = rf"\binterface\s+({IDENT})"
 ENUM = rf"\benum\s+({IDENT})"
 ANY_START = "|".join((FUNCTION, METHOD, LOOP, IF, SWITCH, TRY, CATCH, EFFECT, CLASS, INTERFACE, ENUM))
 
+BARE_ARROW = r"=\s*(?:async\s+)?[\w$]+\s*=>"
+
 BRANCHES = r"\b(?:if|for|while|catch|case)\b|&&|\|\||\?\?|\?[^.:?]"
 CONTROL = r"\b(?:if|for|while|catch|switch)\b|\?\?|\?[^.:?]"
 NULLISH = r"\?\?"
@@ -51,6 +55,49 @@ STARTS = (
 )
 
 
+def first_where(array: Column | str, test: Callable[[Column], Column]) -> Column:
+    """Index of the first element from which on ``test`` holds, the size if there is none: a binary search."""
+    values = F.col(array) if isinstance(array, str) else array
+    state = lambda low, high: F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        halved = let(
+            F.floor((acc["low"] + acc["high"]) / 2).cast("int"),
+            lambda mid: F.when(test(F.get(values, mid)), state(acc["low"], mid)).otherwise(state(mid + 1, acc["high"])),
+        )
+        return F.when(acc["low"] >= acc["high"], acc).otherwise(halved)
+
+    rounds = F.sequence(F.lit(1), F.greatest(F.ceil(F.log2(F.size(values) + 1)).cast("int"), F.lit(1)))
+    return F.aggregate(rounds, state(F.lit(0), F.size(values)), step, lambda acc: acc["low"])
+
+
+def with_depths(base: DataFrame, **blocks: tuple[str, int]) -> DataFrame:
+    """Pin for each ``name=(array of blocks, shift)`` what :func:`depth_at` needs.
+
+    A difference array in sorted form: +1 where a block begins (``shift`` lines after its start), -1 after its end, and the
+    running sums of these steps.
+    """
+    def events(array: str, shift: int) -> Column:
+        begins = F.transform(array, lambda b: F.struct((b["line_start"] + shift).alias("at"), F.lit(1).alias("step")))
+        ends = F.transform(array, lambda b: F.struct((b["line_end"] + 1).alias("at"), F.lit(-1).alias("step")))
+        return F.array_sort(F.concat(begins, ends))
+
+    if not blocks:
+        return base
+    base = pin(base, **{f"_{name}_at": events(*given) for name, given in blocks.items()})
+    return pin(base, **{f"_{name}_sum": F.expr(running_sums_sql(f"transform(_{name}_at, e -> e.step)")) for name in blocks})
+
+
+def depth_at(name: str, line: Column) -> Column:
+    """How many blocks of a :func:`with_depths` array a line lies in."""
+    passed = first_where(f"_{name}_at", lambda e: e["at"] > line)
+    return let(passed, lambda k: F.when(k > 0, F.get(f"_{name}_sum", k - 1)).otherwise(0))
+
+
+def without_depths(base: DataFrame, *names: str) -> DataFrame:
+    return base.drop(*[f"_{n}_{part}" for n in names for part in ("at", "sum")])
+
+
 def _net_braces(line: Column) -> Column:
     """How many closers and openers of a line do not match within it: the lowest depth below its start, and the rise from there."""
     braces = F.split(F.regexp_replace(line, r"[^{}]", ""), "")
@@ -106,8 +153,22 @@ def _starts(line: Column, i: Column) -> Column:
     )
 
 
-def structure(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
-    """Script files with their blanked ``code``, its ``lines`` and the ``blocks`` found in them."""
+def _with_parameters(b: Column) -> Column:
+    """The parameters of a function are the parts of the first parenthesis after its keyword or name, on whatever line that ends."""
+    line = F.get("lines", b["line_start"])
+    column = F.when(b["kind"] == "function", F.regexp_instr(line, F.lit(FUNCTION)) - 1).otherwise(0)
+    first = F.get("parens", first_where(
+        "parens", lambda g: (g["line"] > b["line_start"]) | ((g["line"] == b["line_start"]) & (g["col"] >= column))))
+    count = F.when(line.rlike(BARE_ARROW), 1).when(first["line"] == b["line_start"], first["parts"]).otherwise(0)
+    return F.when(b["kind"].isin("function", "method"), b.withField("params", count)).otherwise(b)
+
+
+def structure(files: DataFrame, exts: Sequence[str] = JS, nested: bool = False) -> DataFrame:
+    """Script files with their blanked ``code``, its ``lines`` and the ``blocks`` found in them.
+
+    With ``nested`` also ``parens`` and ``conditional`` (:func:`~lintlake.rules.nesting.nested`), and parameters counted by them; else
+    they are counted on the line that starts a function.
+    """
     picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext")).where(
         F.col("ext").isin(*["." + e for e in exts])
     )
@@ -135,7 +196,22 @@ def structure(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
     before = F.flatten(F.transform(starts_at, lambda k: let(running(k), lambda r: F.slice(r, F.lit(1), F.size(r) - 1))))
     deep = pin(carried, before=before)
     based = pin(deep, base=F.transform("net", lambda n, i: F.get("before", i) - n["closes"]))
-    return pin(based, blocks=F.transform("starts", _with_end)).drop("net", "carry", "before", "base", "starts")
+    # Every closing brace ends one level at its line: the end of a block is the first one of its level after its start.
+    level = lambda n, i: F.when(n["closes"] > 0, F.transform(
+        F.sequence(F.get("base", i), F.get("base", i) + n["closes"] - 1), lambda d: F.struct(d.alias("level"), i.alias("line"))))
+    ends = F.flatten(F.array_compact(F.transform("net", level)))
+    closed = pin(based, closings=F.array_sort(F.coalesce(ends, F.array().cast("array<struct<level:int,line:int>>"))))
+    blocks = pin(closed, blocks=F.transform("starts", _with_end)).drop("net", "carry", "before", "base", "starts", "closings")
+    if not nested:
+        return blocks
+    deep = with_nested(blocks)
+    return deep.withColumn("blocks", F.transform("blocks", _with_parameters))
+
+
+def with_nested(coded: DataFrame) -> DataFrame:
+    """``coded(code)`` with its ``parens`` and ``conditional`` spans."""
+    deep = coded.withColumn("_nested", nested_spans(F.col("code")))
+    return pin(deep, parens=F.col("_nested.parens"), conditional=F.col("_nested.conditional")).drop("_nested")
 
 
 def _with_end(s: Column) -> Column:
@@ -148,11 +224,11 @@ def _with_end(s: Column) -> Column:
     line = F.get("lines", first)
     opened = F.get("net", first)["opens"] > 0
     depth = F.get("base", first)
-    later = F.slice("base", first + 2, F.size("base"))
-    closing = F.array_position(F.transform(later, lambda b: F.when(b <= depth, 1).otherwise(0)), F.lit(1))
+    after = F.struct(depth.alias("level"), first.alias("line"))
+    closing = F.get("closings", first_where("closings", lambda c: c > after))
     bodyless = s["kind"].isin("loop", "if") & ~line.contains("{")
     end = (
-        F.when(opened & (closing > 0), first + closing.cast("int"))
+        F.when(opened & (closing["level"] == depth), closing["line"])
         .when(opened, last)
         .when(bodyless, F.least(first + 1, last))
         .otherwise(first)
@@ -179,7 +255,7 @@ def of_kind(*kinds: str) -> Column:
 
 def block_spans(files: DataFrame, *kinds: str, exts: Sequence[str] = JS) -> DataFrame:
     """One row per block of the given kinds."""
-    return structure(files, exts).select("project_id", "path", F.explode(of_kind(*kinds)).alias("b")).select(
+    return structure(files, exts, nested=True).select("project_id", "path", F.explode(of_kind(*kinds)).alias("b")).select(
         "project_id", "path", "b.kind", "b.name", "b.line_start", "b.line_end", "b.depth",
         "b.is_async", "b.exported", "b.params",
     )
@@ -206,18 +282,17 @@ def with_measures(base: DataFrame) -> DataFrame:
         nest=of_kind("if", "loop", "switch", "catch"),
         deep=of_kind("if", "loop", "switch", "try"),
     )
-    inside = lambda blocks, i: F.size(
-        F.filter(blocks, lambda b: (b["line_start"] < i) & (i <= b["line_end"]))
-    )
+    base = with_depths(base, nest=("nest", 1), deep=("deep", 1))
     busy = lambda i: (F.get("controls", i) + F.get("logical", i)) > 0
     base = pin(
         base,
-        cog_depth=F.transform("lines", lambda x, i: F.when(busy(i), inside(F.col("nest"), i)).otherwise(0)),
-        start_depth=F.transform("funcs", lambda f: inside(F.col("nest"), f["line_start"])),
+        cog_depth=F.transform("lines", lambda x, i: F.when(busy(i), depth_at("nest", i)).otherwise(0)),
+        start_depth=F.transform("funcs", lambda f: depth_at("nest", f["line_start"])),
+        start_level=F.transform("funcs", lambda f: depth_at("deep", f["line_start"])),
         deep_levels=F.transform(
             "deep",
             lambda d: F.struct(
-                d["line_start"].alias("line"), (inside(F.col("deep"), d["line_start"]) + 1).alias("level")
+                d["line_start"].alias("line"), (depth_at("deep", d["line_start"]) + 1).alias("level")
             ),
         ),
     )
@@ -233,11 +308,12 @@ def with_measures(base: DataFrame) -> DataFrame:
             + F.get("controls", i) * (1 + F.greatest(F.get("cog_depth", i) - F.get("start_depth", k), F.lit(0)))
             + F.get("logical", i),
         )
-        own = F.filter(
-            "deep_levels", lambda d: (d["line"] >= f["line_start"]) & (d["line"] <= f["line_end"])
-        )
-        around = inside(F.col("deep"), f["line_start"])
-        nesting = F.coalesce(F.array_max(F.transform(own, lambda d: d["level"])) - around, F.lit(0))
+        # Blocks stand in the order of their lines: those of a function are a slice.
+        own = let(
+            F.struct(first_where("deep_levels", lambda d: d["line"] >= f["line_start"]).alias("a"),
+                     first_where("deep_levels", lambda d: d["line"] > f["line_end"]).alias("b")),
+            lambda r: F.slice("deep_levels", r["a"] + 1, r["b"] - r["a"]))
+        nesting = F.coalesce(F.array_max(F.transform(own, lambda d: d["level"])) - F.get("start_level", k), F.lit(0))
         return F.struct(
             f["kind"].alias("kind"),
             f["name"].alias("name"),
@@ -250,11 +326,11 @@ def with_measures(base: DataFrame) -> DataFrame:
             nesting.alias("nesting"),
         )
 
-    helpers = ("branches", "controls", "logical", "nest", "deep", "cog_depth", "start_depth", "deep_levels")
-    return pin(base, measures=F.transform("funcs", measure)).drop(*helpers)
+    helpers = ("branches", "controls", "logical", "nest", "deep", "cog_depth", "start_depth", "start_level", "deep_levels")
+    return without_depths(pin(base, measures=F.transform("funcs", measure)), "nest", "deep").drop(*helpers)
 
 
 def function_metrics(files: DataFrame, exts: Sequence[str] = JS) -> DataFrame:
     """Per function: length, parameters, cyclomatic and cognitive complexity, deepest nesting."""
-    base = with_measures(structure(files, exts))
+    base = with_measures(structure(files, exts, nested=True))
     return base.select("project_id", "path", F.explode("measures").alias("m")).select("project_id", "path", "m.*")

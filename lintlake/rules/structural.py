@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.bind import let, pin
 from lintlake.functions.paths import daemon_context, dot_extension, language_of
-from lintlake.functions.text import trimmed
+from lintlake.functions.text import running_sums_sql, trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.lines import family_of
-from lintlake.rules.matches import line_matches, line_text, match_offsets
-from lintlake.rules.spans import IDENT, block_spans, of_kind, structure, with_measures
+from lintlake.rules.matches import line_matches, match_offsets
+from lintlake.rules.spans import IDENT, block_spans, depth_at, first_where, of_kind, structure, with_depths, with_measures, with_nested
 from lintlake.rules.spec import JS, REACT, WEB_JS
 from lintlake.schema import IMPACT, ISSUE_COLUMNS, lookup
 
@@ -51,16 +51,17 @@ def issue_struct(**values) -> Column:
 
 
 # ------------------------------------------------------------------ positions inside the frame
+# Offsets find their line by binary search in ``line_starts``, which the frame has with ``raw_lines``.
 def _line(offset: Column) -> Column:
-    return F.regexp_count(F.substr(F.col("code"), F.lit(1), offset), F.lit("\n"))
+    return first_where("line_starts", lambda s: s > offset) - 1
 
 
 def _column(offset: Column) -> Column:
-    return F.length(F.substring_index(F.substr(F.col("code"), F.lit(1), offset), "\n", -1))
+    return let(_line(offset), lambda line: offset - F.get("line_starts", line))
 
 
 def _snippet(offset: Column) -> Column:
-    return trimmed(line_text(F.col("content"), offset))
+    return trimmed(F.get("raw_lines", _line(offset)))
 
 
 def _placed(array: str) -> Column:
@@ -68,10 +69,6 @@ def _placed(array: str) -> Column:
     return F.transform(array, lambda m: m.withField("line", _line(m["offset"])))
 
 
-def _within(blocks: str, line: Column) -> Column:
-    return F.exists(blocks, lambda b: (line >= b["line_start"]) & (line <= b["line_end"]))
-
-
 # ------------------------------------------------------------------ functions
 DEFAULT_THRESHOLDS = {
     "max_cyclomatic": 10,
@@ -138,7 +135,7 @@ def loop_hits() -> Column:
     """Array methods, string building and awaits inside loops."""
     pick = lambda m, values: F.element_at(F.array(*[F.lit(v) for v in values]), m["ord"] + 1)
     ids, titles, confidences = zip(*[(r, t, c) for r, t, c, *_ in LOOP_PATTERNS])
-    inside = F.filter(_placed("loop_found"), lambda m: _within("loops", m["line"]))
+    inside = F.filter(_placed("loop_found"), lambda m: depth_at("loops", m["line"]) > 0)
     return F.transform(
         inside,
         lambda m: issue_struct(
@@ -152,12 +149,9 @@ def loop_hits() -> Column:
 
 
 def nested_loop_hits() -> Column:
-    outer = F.filter(
-        "loops",
-        lambda o: F.exists(
-            "loops", lambda i: (i["line_start"] > o["line_start"]) & (i["line_start"] <= o["line_end"])
-        ),
-    )
+    # Loops stand in the order of their lines: the next one after the start lies inside, or none does.
+    following = lambda o: F.get("loops", first_where("loops", lambda i: i["line_start"] > o["line_start"]))
+    outer = F.filter("loops", lambda o: F.coalesce(following(o)["line_start"] <= o["line_end"], F.lit(False)))
 
     def of(b: Column) -> Column:
         line = F.get("lines", b["line_start"])
@@ -233,7 +227,10 @@ def _is_react() -> Column:
 
 
 def conditional_hook_hits() -> Column:
-    inside = F.filter(_placed("hook_found"), lambda m: _within("ifs", m["line"]))
+    """Hooks inside of an ``if`` or of a conditional expression."""
+    around = lambda m: F.get("conditional", first_where("conditional", lambda c: c["end"] > m["offset"] + F.length(m["hit"]) - 1))
+    asked = lambda m: F.coalesce(around(m)["start"] <= m["offset"] + F.length(m["hit"]) - 1, F.lit(False))
+    inside = F.filter(_placed("hook_found"), lambda m: (depth_at("ifs", m["line"]) > 0) | asked(m))
     return F.transform(
         inside,
         lambda m: issue_struct(
@@ -247,24 +244,37 @@ def conditional_hook_hits() -> Column:
 
 
 def effect_hits() -> Column:
-    """Effects whose closing line ends the call without a second argument."""
-    open_ended = F.filter(
-        of_kind("effect"),
-        lambda b: _is_react()
-        & F.when(b["line_end"] > b["line_start"], b["tail"].rlike(r"^\s*\}\s*\)")).otherwise(
-            b["tail"].rlike(r"\}\s*\)") & ~b["tail"].rlike(r",\s*\[")
-        ),
-    )
+    """Effects called with one argument."""
+    open_ended = F.filter("parens", lambda g: _is_react() & (g["head"] == "useEffect") & (g["parts"] == 1))
     return F.transform(
         open_ended,
-        lambda b: issue_struct(
-            rule_id="react-useeffect-deps", line_start=b["line_start"], line_end=b["line_end"],
+        lambda g: issue_struct(
+            rule_id="react-useeffect-deps", line_start=g["line"], line_end=g["line_end"],
             title="useEffect missing dependency array", description="The effect runs on every render.",
             category="bug", severity="MAJOR", confidence=90, code_snippet="useEffect(() => {...})",
         ),
     )
 
 
+# An element or fragment that starts where an expression may, and its key.
+ELEMENT = r"(?:^|[^\w$)\].])<(?:[A-Za-z][\w.]*[\s/>]|>)"
+KEY = r"\bkey\s*="
+
+
+def missing_key_hits() -> Column:
+    """Calls of ``map`` in whose arguments elements are made and none has a key."""
+    made = lambda g: F.substr(F.col("code"), g["start"] + 1, g["end"] - g["start"] + 1)
+    keyless = F.filter("parens", lambda g: _is_react() & (g["head"] == ".map") & let(made(g), lambda x: x.rlike(ELEMENT) & ~x.rlike(KEY)))
+    return F.transform(
+        keyless,
+        lambda g: issue_struct(
+            rule_id="react-missing-key", line_start=_line(g["start"] - 4), col_start=_column(g["start"] - 4), line_end=g["line_end"], col_end=0,
+            title="Missing key prop in list rendering", description="List items need a stable key.",
+            category="bug", severity="MAJOR", confidence=80, code_snippet=".map(...)",
+        ),
+    )
+
+
 # ------------------------------------------------------------------ unused names
 DECLARED = rf"\b(?:const|let|var|function)\s+({IDENT})"
 EXPORTED = rf"\bexport\s+(?:default\s+)?(?:async\s+)?(?:const|let|var|function)\s+({IDENT})"
@@ -342,10 +352,21 @@ PLAIN_NUMBERS = (
     80, 443, 3000, 5000, 8000, 8080, 8443, 9000,
     0, 1, -1, 2, 3, 10, 100, 1000, 1024, 493, 420, 511, 1200, 10000, 30000, 60000, 256, 512, 8192,
 )
-NUMBER = r"(?:^|[^\w.$])(\d+(?:\.\d+)?)\b"
+#: Decimals with separators, fraction and exponent, and hexadecimal, octal and binary literals; a big integer is another kind.
+NUMBER = r"(?:^|[^\w.$])(0[xX][0-9a-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|\d[\d_]*(?:\.[\d_]+)?(?:[eE][+-]?\d+)?)\b"
 NAMED_CONTEXT = r"^\s*(?:export\s+)?const\b|^\s*[A-Z][A-Z0-9_]*\s*=\s*\d|^\s*['\"]?[\w$ -]+['\"]?\s*:\s*-?[\d.]+\s*,?\s*$"
 
 
+def number_value(literal: Column) -> Column:
+    """The value of a literal in any notation."""
+    bare = F.replace(literal, F.lit("_"), F.lit(""))
+    based = lambda base: F.conv(F.substr(bare, F.lit(3)), base, 10).cast("double")
+    return (
+        F.when(bare.rlike("^0[xX]"), based(16)).when(bare.rlike("^0[oO]"), based(8)).when(bare.rlike("^0[bB]"), based(2))
+        .otherwise(bare.try_cast("double"))
+    )
+
+
 def magic_number_hits() -> Column:
     """Numeric literals above 50 outside constants, enum members, object literals and tests."""
     plain = lambda v: (
@@ -354,7 +375,7 @@ def magic_number_hits() -> Column:
         | ((v >= 1000) & (v < 10000) & (v % 1000 == 0))
         | ((v <= 100) & (v == F.floor(v)))
     )
-    kept = F.filter("numbers", lambda m: let(m["name"].try_cast("double"), lambda v: (v > 50) & ~plain(v)))
+    kept = F.filter("numbers", lambda m: let(number_value(m["name"]), lambda v: (v > 50) & ~plain(v)))
 
     def of(m: Column) -> Column:
         return issue_struct(
@@ -379,25 +400,30 @@ GROUPS = {
     "loops": (("loops", "loop_found"), loop_hits),
     "nested-loops": (("loops",), nested_loop_hits),
     "missing-await": (("funcs", "async_found"), missing_await_hits),
-    "conditional-hooks": (("ifs", "hook_found"), conditional_hook_hits),
-    "effects": (("blocks",), effect_hits),
+    "conditional-hooks": (("ifs", "hook_found", "parens"), conditional_hook_hits),
+    "effects": (("parens",), effect_hits),
+    "missing-keys": (("parens",), missing_key_hits),
     "unused": (("declared", "unused"), unused_hits),
     "unused-imports": (("imported",), unused_import_hits),
     "magic-numbers": (("numbers",), magic_number_hits),
 }
-_BLOCK_COLUMNS = {"measures", "loops", "loop_found", "funcs", "ifs", "blocks", "async_found"}
+_BLOCK_COLUMNS = {"measures", "loops", "loop_found", "funcs", "ifs", "async_found"}
+_NESTED_COLUMNS = {"measures", "parens"}
 
 
 def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thresholds: dict | None = None) -> DataFrame:
     """Issues of the given rule groups over script files, in one pass."""
     needs = {c for g in groups for c in GROUPS[g][0]}
     if needs & _BLOCK_COLUMNS:
-        base = structure(files)
+        base = structure(files, nested=bool(needs & _NESTED_COLUMNS))
     else:
         picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
         base = pin(picked.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
-        if "numbers" in needs:
-            base = pin(base, lines=F.split("code", "\n", -1))
+        base = pin(base, lines=F.split("code", "\n", -1))
+        if needs & _NESTED_COLUMNS:
+            base = with_nested(base)
+    starts = F.concat(F.array(F.lit(0)), F.expr(running_sums_sql("transform(lines, x -> length(x) + 1)")))
+    base = pin(base, raw_lines=F.split("content", "\n", -1), line_starts=F.slice(starts, F.lit(1), F.size("lines")))
     if "measures" in needs:
         base = with_measures(base)
     elif "funcs" in needs:
@@ -410,11 +436,12 @@ def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thres
         "hook_found": lambda: _found(HOOK_CALL, _is_react()),
         "declared": lambda: _found(DECLARED),
         "imported": lambda: _found(IMPORT),
-        "numbers": lambda: line_matches("lines", NUMBER, 1, r"\d\d", NAMED_CONTEXT),
+        "numbers": lambda: line_matches("lines", NUMBER, 1, r"\d[\w]", NAMED_CONTEXT),
     }
     pins = {name: make() for name, make in first.items() if name in needs}
     if pins:
         base = pin(base, **pins)
+    base = with_depths(base, **{name: (name, 0) for name in ("loops", "ifs") if name in needs})
     if "unused" in needs:
         base = pin(base, unused=unused_names())
     hits = []

@@ -1,9 +1,12 @@
 """Each rule on small files: what it must find and what it must leave alone."""
 
+import time
+
 import pytest
 
 from lintlake.plans.scan import scan
 from lintlake.rules import structural
+from lintlake.rules.nesting import nested
 from lintlake.rules.registry import LINE_RULES, MATCH_RULES
 
 LONG = "function grow() {\n" + "\n".join(f"  const x{i} = {i};" for i in range(65)) + "\n}"
@@ -66,6 +69,21 @@ CASES = [
     ("num.ts", "scale(98765);", ["style-magic-number"], []),
     ("num2.ts", "const LIMIT = 98765;\nscale(404, 50, 700, 3000);", [], ["style-magic-number"]),
     ("p.ts", "function wide(a, b, c, d, e, f) {\n}", ["params"], []),
+    ("p2.ts", "function wide(cb: (x: A) => void, b, c, d, e, g) {\n}", ["params"], []),
+    ("p3.ts", "function wide(\n  a: Map<string, number>, b = [1, 2],\n  { c, d }: T, e: (x: A, y: B) => C,\n  f,\n) {\n}", [], ["params"]),
+    ("p4.ts", "function wide(\n  a,\n  b,\n  c,\n  d,\n  e,\n  f,\n) {\n}", ["params"], []),
+    ("p5.ts", "const f = x => g(a, b, c, d, e, f, h, {\n});", [], ["params"]),
+    ("h2.tsx", "function V(p) {\n  const a = p.on ? useRef(1) : useRef(2);\n}", ["react-conditional-hook"], []),
+    ("h3.tsx", "function V(p) {\n  const a = p.on ? 1 : 2\n  const [s] = useState(a?.b ?? 3);\n  useEffect(() => { go(s ? 1 : 2); }, [s]);\n}", [],
+     ["react-conditional-hook", "react-useeffect-deps"]),
+    ("h4.tsx", "useEffect(run);\nuseEffect(function () { f(a, b); },\n  [a, b]);", ["react-useeffect-deps"], []),
+    ("m3.tsx", "xs.map((x, i) => {\n  const y = f(x);\n  return (\n    <li>{y}</li>\n  );\n});", ["react-missing-key"], []),
+    ("m4.tsx", "xs.map((x) => {\n  return <Row key={x.id} value={x} />;\n});\nys.map<A>(y => y < z);", [], ["react-missing-key"]),
+    ("m5.tsx", "xs.map(x => <>{x}</>)", ["react-missing-key"], []),
+    ("num3.ts", "scale(0xFFFF);", ["style-magic-number"], []),
+    ("num4.ts", "scale(1e6);", ["style-magic-number"], []),
+    ("num5.ts", "scale(1_234_567);", ["style-magic-number"], []),
+    ("num6.ts", "scale(0x10, 0b11, 1_000, 1e2, 0o17, a1e6, 9n);", [], ["style-magic-number"]),
     ("then.ts", "a.then(x).catch(y);\nb.then(x).catch(y);\nc.then(x).catch(y);", ["async-then-catch"], []),
     ("then2.ts", "a.then(x).catch(y);\nb.then(x).catch(y);", [], ["async-then-catch"]),
     ("sec.py", "password = 'hunter2hunter2'\ntry:\n  f()\nexcept:\n  pass", ["sec-hardcoded-secret", "py-bare-except"], []),
@@ -210,3 +228,36 @@ def test_user_rules(spark, make_files):
     found = match_issues(make_files({"a.ts": "foo(bar)", "a.py": "foo(bar)"}), load_rules(table))
     assert sorted((r.file_path, r.rule_id, r.impact) for r in found.collect()) == [
         ("a.py", "no-bar", 20), ("a.ts", "no-bar", 20), ("a.ts", "no-foo", 10)]
+
+
+def test_nested_spans_by_hand():
+    code = "f(a, [b, c], g(d), { e: h ? i(1, 2) : j });"
+    parens, conditional = nested(code)
+    assert [(code[a : b + 1], parts, head) for _, _, a, b, _, parts, head in parens] == [
+        ("(a, [b, c], g(d), { e: h ? i(1, 2) : j })", 4, "f"), ("(d)", 1, "g"), ("(1, 2)", 2, "i")]
+    assert [code[a:b].strip() for a, b in conditional] == ["h ? i(1, 2) : j"]
+    for odd in ("", "((((", "))))", "a ? b", "{ ( } )", "?:", "x?.y ?? z?: 3"):
+        nested(odd)
+    parens, _ = nested("a.b<C<D>>(\n  x,\n)")
+    assert parens == [(0, 9, 9, 16, 2, 1, ".b")]
+
+
+def test_time_follows_the_length(spark, make_files):
+    """The stack pass on twice the code, and the whole structural pass on ten times the lines."""
+    unit = "function f(a, b) {\n  for (const x of a) {\n    const y = x ? g(1, 2) : [h({ k: 3 })];\n  }\n}\n"
+    took = []
+    for n in (4000, 8000):
+        best = 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            nested(unit * n)
+            best = min(best, time.perf_counter() - start)
+        took.append(best)
+    assert took[1] <= 2.6 * took[0]
+    found = {}
+    for n in (200, 2000, 20_000):  # 1,000 to 100,000 lines
+        start = time.perf_counter()
+        rows = structural.script_issues(make_files({"a.ts": unit * n}), ["loops", "nested-loops", "complexity"]).groupBy("rule_id").count().collect()
+        found[n] = time.perf_counter() - start
+        assert not rows or all(r["count"] in (n, 1) for r in rows)
+    assert found[20_000] <= 14 * found[2000]
