@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lintlake.catalog.bindings import ai_usage, code_files, issues, projects, scans
+from lintlake.catalog.bindings import ai_usage, code_files, files as documents_as_files, issues, projects, scans
 from lintlake.catalog.core import query, relation, sql_case, sql_text
 from lintlake.operators import context, exports
 from lintlake.rules import spans, symbols
 from lintlake.schema import SARIF_LEVEL
-from lintlake.session import checkpoint_dir
+from lintlake.session import checkpoint_dir, cut_lineage
 from lintlake.sources import files as file_sources
 from lintlake.sources import reports, store
 
@@ -218,11 +218,18 @@ def replace_files(t):
 @query("S20_upsert_health_snapshot", """
 SELECT scan_id, CASE WHEN total_issues % 3 = 0 THEN -2 WHEN total_issues % 2 = 0 THEN -1 ELSE overall_score END AS health_score FROM {{scans}}""")
 def upsert(t):
-    old = scans(t).select("scan_id", "total_issues", F.col("overall_score").alias("health_score"))
+    """All snapshots as a first load; then some scored anew, and some of these once more, one of them moved by a month."""
+    root = _folder(t, "snapshots")
+    old = scans(t).select("scan_id", F.col("project_id").cast("string").alias("project_id"), "scanned_at", "total_issues", F.col("overall_score").alias("health_score"))
+    old = cut_lineage(old)
+    store.upsert_health_snapshot(old.withColumn("load_order", F.lit(0)), root)
     load = lambda test, score, order: old.where(test).withColumns(
-        {"health_score": F.lit(score).cast("long"), "load_order": F.lit(order).cast("long")})
-    new = load("total_issues % 2 = 0", -1, 0).unionByName(load("total_issues % 3 = 0", -2, 1))
-    return store.upserted(old, new, "scan_id").select("scan_id", "health_score")
+        {"health_score": F.lit(score).cast("long"), "load_order": F.lit(order)})
+    again = load("total_issues % 3 = 0", -2, 1)
+    moved = again.withColumn("scanned_at", F.when(F.col("total_issues") % 2 == 0, F.add_months("scanned_at", 1).cast(
+        dict(old.dtypes)["scanned_at"])).otherwise(F.col("scanned_at")))
+    store.upsert_health_snapshot(load("total_issues % 2 = 0", -1, 0).unionByName(moved), root)
+    return store.health_snapshots(t.spark, root, old.withColumn("month", F.lit("")).schema).select("scan_id", "health_score")
 
 
 @query("S21_replace_suggestions", """
@@ -329,7 +336,7 @@ def resolve(t):
 WITH pairs AS (SELECT path, resolved AS related, 0 AS side, position AS place, '' AS name FROM {{resolved}} WHERE resolved <> path
   UNION ALL SELECT resolved, path, 1, 0, path FROM {{resolved}} WHERE resolved <> path),
 best AS (SELECT path, related, min((side, place, name)) AS r FROM pairs GROUP BY 1, 2)
-SELECT path, related, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY r, related) AS n FROM best) WHERE n <= 5""")
+SELECT path, related, row_number() OVER (PARTITION BY path ORDER BY r, related) AS rank FROM best""")
 def related(t):
     files = one_repo(t)
     return context.related_files(context.resolve_imports(files, symbols.imports(files))).select("path", "related", "rank")
@@ -340,14 +347,26 @@ def dependency_rows(t):
     return context.dependencies(symbols.imports(one_repo(t))).select("path", "module")
 
 
+relation("edges", "SELECT DISTINCT path AS src, resolved AS dst FROM {{resolved}} WHERE resolved <> path")
+
+
+def _edges(t):
+    files = one_repo(t)
+    return context.file_graph(context.resolve_imports(files, symbols.imports(files)))
+
+
 @query("J10_degrees", """
-SELECT l_suppkey AS node, count(DISTINCT l_partkey) AS degree, 'dependents' AS side FROM lineitem GROUP BY 1
-UNION ALL SELECT l_partkey, count(DISTINCT l_suppkey), 'dependencies' FROM lineitem GROUP BY 1""")
+SELECT path, sum(o)::BIGINT AS dependencies, sum(i)::BIGINT AS dependents
+FROM (SELECT src AS path, 1 AS o, 0 AS i FROM {{edges}} UNION ALL SELECT dst, 0, 1 FROM {{edges}}) GROUP BY 1""")
 def degrees(t):
-    edges = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    side = lambda node, other, name: context.degree(edges, node, other).select(
-        F.col(node).alias("node"), "degree", F.lit(name).alias("side"))
-    return side("dst", "src", "dependents").unionByName(side("src", "dst", "dependencies"))
+    return context.file_degrees(_edges(t)).select("path", "dependencies", "dependents")
+
+
+@query("J10_neighbours", """
+SELECT path, other, side FROM (SELECT src AS path, dst AS other, 'dependencies' AS side FROM {{edges}} UNION ALL SELECT dst, src, 'dependents' FROM {{edges}})
+WHERE path IN (SELECT path FROM {{code_files}} WHERE size > 400)""")
+def graph_neighbours(t):
+    return context.neighbours(_edges(t), one_repo(t).where("size > 400")).select("path", "other", "side")
 
 
 def _placed(t):
@@ -372,6 +391,26 @@ SELECT p.*, greatest(line_start - 15, 0) + 1 AS first_line,
 FROM {{placed}} p JOIN (SELECT path, string_split(content, chr(10)) AS lines FROM {{code_files}}) f ON f.path = p.file_path""")
 
 
+_folder_of = lambda c: F.regexp_extract(c, "^repo/([^/]+)/", 1)
+_sql_folder = lambda c: f"regexp_extract({c}, '^repo/([^/]+)/', 1)"
+
+
+@query("A26_project_context_totals", f"""
+WITH f AS (SELECT {_sql_folder('path')} AS project_id, path FROM {{{{code_files}}}}),
+e AS (SELECT {_sql_folder('src')} AS project_id, src, dst FROM {{{{edges}}}} WHERE {_sql_folder('src')} = {_sql_folder('dst')}),
+i AS (SELECT {_sql_folder('file_path')} AS project_id, count(*) AS total_issues, count(DISTINCT file_path) AS files_with_issues FROM {{{{placed}}}} GROUP BY 1),
+d AS (SELECT project_id, sum(n)::BIGINT AS n_edges, max(n) AS most_dependents, count(*) AS imported FROM (SELECT project_id, dst, count(*) AS n FROM e GROUP BY 1, 2) GROUP BY 1)
+SELECT project_id, count(*) AS n_files, coalesce(any_value(total_issues), 0) AS total_issues, coalesce(any_value(files_with_issues), 0) AS files_with_issues,
+  coalesce(any_value(n_edges), 0) AS n_edges, coalesce(any_value(most_dependents), 0) AS most_dependents, count(*) - coalesce(any_value(imported), 0) AS not_imported
+FROM f LEFT JOIN i USING (project_id) LEFT JOIN d USING (project_id) GROUP BY 1""")
+def context_totals(t):
+    """Top folders of the repository as projects."""
+    files, found = _placed(t)
+    edges = _edges(t).withColumn("project_id", _folder_of("src")).where(F.col("project_id") == _folder_of("dst"))
+    return context.project_context(
+        files.withColumn("project_id", _folder_of("path")), found.withColumn("project_id", _folder_of("file_path")), edges)
+
+
 @query("J11_fix_context", "SELECT issue_id, first_line, context FROM {{contexts}}")
 def fix_context(t):
     files, found = _placed(t)
@@ -387,23 +426,40 @@ def in_spans(t):
     return context.issues_in_spans(found, blocks).select("issue_id", "kind", "name", "span_start", "span_end")
 
 
+relation("related_heads", """
+WITH pairs AS (SELECT path, resolved AS related, 0 AS side, position AS place, '' AS name FROM {{resolved}} WHERE resolved <> path
+  UNION ALL SELECT resolved, path, 1, 0, path FROM {{resolved}} WHERE resolved <> path),
+best AS (SELECT path, related, min((side, place, name)) AS r FROM pairs GROUP BY 1, 2),
+near AS (SELECT path, related, row_number() OVER (PARTITION BY path ORDER BY r, related) AS rank FROM best QUALIFY rank <= 2)
+SELECT n.path, list({'path': related, 'head': left(content, 500)} ORDER BY rank) AS related FROM near n JOIN {{code_files}} f ON f.path = related GROUP BY 1""")
+
+
 @query("M15_fix_prompt", f"""
-SELECT issue_id, to_json({{'task': 'fix_issue', 'issue_id': issue_id, 'title': 'Magic number detected', 'category': 'maintainability', 'severity': 'INFO',
-  'file': file_path, 'lines': (line_start + 1) || '-' || (line_end + 1), 'code': context, 'guidance': {sql_text(context.CATEGORY_GUIDANCE['maintainability'])}}})::VARCHAR AS prompt FROM {{{{contexts}}}}""")
+SELECT issue_id, to_json({{'task': 'fix_issue', 'issue_id': issue_id, 'title': 'Magic number detected', 'description': 'At line ' || line_start, 'category': 'maintainability', 'severity': 'INFO',
+  'file': file_path, 'lines': (line_start + 1) || '-' || (line_end + 1), 'code_snippet': 'n = ' || line_start, 'code': context,
+  'related': coalesce(related, []), 'guidance': {sql_text(context.CATEGORY_GUIDANCE['maintainability'])}}})::VARCHAR AS prompt
+FROM {{{{contexts}}}} LEFT JOIN {{{{related_heads}}}} r ON r.path = file_path""")
 def fix_prompt(t):
     files, found = _placed(t)
-    return context.fix_prompt(context.fix_context(files, found)).select("issue_id", "prompt")
+    found = found.withColumns({"description": F.concat(F.lit("At line "), F.col("line_start").cast("string")),
+                               "code_snippet": F.concat(F.lit("n = "), F.col("line_start").cast("string"))})
+    near = context.related_files(context.resolve_imports(files, symbols.imports(files)), keep=context.RELATED_FILES)
+    return context.fix_prompt(context.fix_context(files, found), context.related_heads(files, near)).select("issue_id", "prompt")
 
 
 @query("M15_analysis_request", """
-SELECT f.path, to_json({'task': 'analyze_code', 'file': {'path': f.path, 'truncated': length(content) > 5000},
-  'context': {'symbols': coalesce(s.names, []::VARCHAR[]), 'imports': coalesce(i.modules, []::VARCHAR[])}, 'code': left(content, 5000)})::VARCHAR AS request
-FROM {{code_files}} f
-LEFT JOIN (SELECT path, list(name ORDER BY line_start, name, kind)[1:20] AS names FROM {{symbols}} GROUP BY 1) s USING (path)
-LEFT JOIN (SELECT path, list(module ORDER BY position)[1:10] AS modules FROM {{imports}} GROUP BY 1) i USING (path)""")
+SELECT f.path, part, to_json({'task': 'analyze_code', 'file': {'path': f.path, 'part': part + 1, 'parts': greatest((length(content) - 1) // 5000, 0) + 1},
+  'context': {'symbols': CASE WHEN part = 0 THEN coalesce(s.names, []::VARCHAR[]) ELSE [] END, 'imports': CASE WHEN part = 0 THEN coalesce(i.modules, []::VARCHAR[]) ELSE [] END},
+  'code': substr(content, part * 5000 + 1, 5000)})::VARCHAR AS request
+FROM (SELECT path, content, unnest(range(0, greatest((length(content) - 1) // 5000, 0) + 1)) AS part
+      FROM (SELECT path, content FROM {{code_files}} UNION ALL SELECT path, content FROM {{files}})) f
+LEFT JOIN (SELECT path, list(name ORDER BY line_start, name, kind) AS names FROM {{symbols}} WHERE starts_with(path, 'repo/') GROUP BY 1) s USING (path)
+LEFT JOIN (SELECT path, list(module ORDER BY position) AS modules FROM {{repo_imports}} GROUP BY 1) i USING (path)""")
 def analysis_request(t):
-    files = one_repo(t)
-    return context.analysis_request(files, symbols.symbols(files), symbols.imports(files)).select("path", "request")
+    """The source files, and the documents as files without symbols whose long texts take several parts."""
+    code = one_repo(t)
+    every = code.unionByName(documents_as_files(t).withColumn("project_id", F.lit("repo")))
+    return context.analysis_request(every, symbols.symbols(code), symbols.imports(code)).select("path", "part", "request")
 
 
 # ------------------------------------------------------------------ suggestions

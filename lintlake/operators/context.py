@@ -43,10 +43,10 @@ def resolve_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
     )
 
 
-def related_files(resolved: DataFrame, keep: int = 5) -> DataFrame:
-    """Up to five related files per file: what it imports in order, then what imports it.
+def related_files(resolved: DataFrame, keep: int | None = None) -> DataFrame:
+    """Related files per file with their rank: what it imports in order, then what imports it.
 
-    The rank bound goes below the shuffle, so a module imported everywhere sends few rows per task.
+    ``keep`` bounds the rank; the bound goes below the shuffle, so a module imported everywhere sends few rows per task.
     """
     pairs = resolved.where("resolved <> path")
     forward = pairs.select("project_id", "path", F.col("resolved").alias("related"), F.lit(0).alias("side"),
@@ -57,7 +57,8 @@ def related_files(resolved: DataFrame, keep: int = 5) -> DataFrame:
         F.min(F.struct("side", "place", "name")).alias("_r")
     )
     w = Window.partitionBy("project_id", "path").orderBy("_r", "related")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep).drop("_r")
+    ranked = best.withColumn("rank", F.row_number().over(w)).drop("_r")
+    return ranked if keep is None else ranked.where(F.col("rank") <= keep)
 
 
 def dependencies(imports: DataFrame) -> DataFrame:
@@ -65,32 +66,71 @@ def dependencies(imports: DataFrame) -> DataFrame:
     return imports.where(~F.col("module").startswith(".")).select("project_id", "path", "module").distinct()
 
 
-def degree(edges: DataFrame, node: str, other: str) -> DataFrame:
-    """Distinct neighbours per node of an edge table."""
-    return edges.select(node, other).distinct().groupBy(node).agg(F.count(F.lit(1)).alias("degree"))
+def file_graph(resolved: DataFrame) -> DataFrame:
+    """The edges ``(project_id, src, dst)`` between the files of a project: who imports whom, each pair once."""
+    edges = resolved.where("resolved <> path").select("project_id", F.col("path").alias("src"), F.col("resolved").alias("dst"))
+    return edges.distinct()
 
 
-def neighbours(edges: DataFrame, node: str, value) -> DataFrame:
-    return edges.where(F.col(node) == value).distinct()
+def file_degrees(edges: DataFrame) -> DataFrame:
+    """Per file of the graph, how many files it imports (``dependencies``) and how many import it (``dependents``).
+
+    An edge counts once for each end; both counts come from one aggregate with partial sums, so a file that is imported
+    everywhere sends one row per task.
+    """
+    ends = F.explode(F.array(
+        F.struct(F.col("src").alias("path"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+        F.struct(F.col("dst").alias("path"), F.lit(0).alias("out"), F.lit(1).alias("in"))))
+    return edges.select("project_id", ends.alias("e")).groupBy("project_id", "e.path").agg(
+        F.sum("e.out").alias("dependencies"), F.sum("e.in").alias("dependents"))
+
+
+def neighbours(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """The files next to each of ``files(project_id, path)`` in the graph, with the ``side`` they stand on."""
+    asked = files.select("project_id", "path").distinct()
+    forward = edges.select("project_id", F.col("src").alias("path"), F.col("dst").alias("other"), F.lit("dependencies").alias("side"))
+    backward = edges.select("project_id", F.col("dst").alias("path"), F.col("src").alias("other"), F.lit("dependents").alias("side"))
+    return forward.unionByName(backward).join(asked, ["project_id", "path"])
+
+
+def project_context(files: DataFrame, issues: DataFrame, edges: DataFrame) -> DataFrame:
+    """Totals per project: files, issues, files with issues, edges of the graph, files that no other file imports.
+
+    Every part is an aggregate with partial sums; what is joined is one row a project.
+    """
+    of_files = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("n_files"))
+    per_file = issues.groupBy("project_id", "file_path").agg(F.count(F.lit(1)).alias("n"))
+    of_issues = per_file.groupBy("project_id").agg(F.sum("n").alias("total_issues"), F.count(F.lit(1)).alias("files_with_issues"))
+    degrees = file_degrees(edges)
+    of_graph = degrees.groupBy("project_id").agg(
+        F.sum("dependencies").alias("n_edges"), F.max("dependents").alias("most_dependents"), F.count_if(F.col("dependents") > 0).alias("imported_files"))
+    out = of_files.join(of_issues, "project_id", "left").join(of_graph, "project_id", "left")
+    out = out.na.fill(0, ["total_issues", "files_with_issues", "n_edges", "most_dependents", "imported_files"])
+    return out.withColumn("not_imported", F.col("n_files") - F.col("imported_files")).drop("imported_files")
 
 
 def fix_context(files: DataFrame, issues: DataFrame, around: int = CONTEXT_LINES) -> DataFrame:
     """Numbered source lines around each issue.
 
-    Equal windows of a file are cut once: distinct (file, start, end) rows meet the file by equality,
-    the lines are sliced inside the joined row, and the issues pick their window up by the same key.
+    A file meets the list of its different windows once: its text is moved and split one time, however many windows
+    it has, and the windows are cut inside its row before they become rows. The issues pick their window up by the same key.
     """
     keys = ["project_id", "file_path", "line_start", "line_end"]
-    windows = issues.select(*keys).distinct()
+    windows = issues.groupBy("project_id", "file_path").agg(F.collect_set(F.struct("line_start", "line_end")).alias("windows"))
     texts = files.select("project_id", F.col("path").alias("file_path"), "content")
     joined = pin(texts.join(windows, ["project_id", "file_path"]), lines=F.split("content", "\n", -1))
-    first = F.greatest(F.col("line_start") - around, F.lit(0))
-    length = F.greatest(F.least(F.size("lines"), F.col("line_end") + around) - first, F.lit(0))
-    numbered = F.transform(
-        F.slice("lines", first + 1, length), lambda x, i: F.concat((first + i + 1).cast("string"), F.lit(": "), x)
-    )
-    cut = joined.select(*keys, (first + 1).alias("first_line"), F.array_join(numbered, "\n").alias("context"))
-    return issues.join(cut, keys)
+
+    def cut(w: Column) -> Column:
+        first = F.greatest(w["line_start"] - around, F.lit(0))
+        length = F.greatest(F.least(F.size("lines"), w["line_end"] + around) - first, F.lit(0))
+        numbered = F.transform(
+            F.slice("lines", first + 1, length), lambda x, i: F.concat((first + i + 1).cast("string"), F.lit(": "), x)
+        )
+        return F.struct(w["line_start"].alias("line_start"), w["line_end"].alias("line_end"), (first + 1).alias("first_line"),
+                        F.array_join(numbered, "\n").alias("context"))
+
+    cuts = joined.select("project_id", "file_path", F.explode(F.transform("windows", cut)).alias("w"))
+    return issues.join(cuts.select("project_id", "file_path", "w.*"), keys)
 
 
 def _blocks(first: Column, last: Column) -> Column:
@@ -197,51 +237,78 @@ def category_guidance(category: Column) -> Column:
     return out.otherwise("Address the reported problem in the style of the code around it.")
 
 
-PROMPT_CHARS = 5000
+#: Characters of a file's text in one request; a longer text is asked about in parts.
+PART_CHARS = 5000
+#: Related files that a fix request names, and the characters of each that it shows.
+RELATED_FILES, RELATED_CHARS = 2, 500
 
 
-def analysis_request(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """One request text per file: its JSON-escaped head, first 20 symbols and first 10 imports.
+def analysis_request(files: DataFrame, symbols: DataFrame, imports: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Request texts for every file: its whole text in numbered parts, and with the first part its symbols and imports.
 
-    Ranks are bounded below the shuffle, so the gathered lists hold at most 20 and 10 names.
+    A null text is one empty part. The parts are cut inside the file's row.
     """
-    def firsts(df: DataFrame, value: str, order: Sequence[str], keep: int, name: str) -> DataFrame:
-        w = Window.partitionBy("project_id", "path").orderBy(*order)
-        ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep)
-        listed = F.array_sort(F.collect_list(F.struct("_rn", F.col(value).alias("v"))))
-        return ranked.groupBy("project_id", "path").agg(F.transform(listed, lambda s: s["v"]).alias(name))
-
-    names = firsts(symbols, "name", ["line_start", "name", "kind"], 20, "symbols")
-    modules = firsts(imports, "module", ["position"], 10, "imports")
+    def listed(df: DataFrame, value: str, order: Sequence[str], name: str) -> DataFrame:
+        items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("v"))))
+        return df.groupBy("project_id", "path").agg(F.transform(items, lambda s: s["v"]).alias(name))
+
+    names = listed(symbols, "name", ["line_start", "name", "kind"], "symbols")
+    modules = listed(imports, "module", ["position"], "imports")
     keys = ["project_id", "path"]
-    joined = files.select(*keys, "content").join(names, keys, "left").join(modules, keys, "left")
+    text = F.coalesce(F.col("content"), F.lit(""))
+    last = F.greatest(F.expr(f"(length(content) - 1) div {part_chars}").cast("int"), F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), F.coalesce(last, F.lit(0))), lambda i: F.substr(text, i * part_chars + 1, F.lit(part_chars)))
+    cut = files.select(*keys, parts.alias("parts"))
+    cut = cut.select(*keys, F.size("parts").alias("parts"), F.posexplode("parts").alias("part", "code"))
+    first = names.join(modules, keys, "full").withColumn("part", F.lit(0))
+    joined = cut.join(first, [*keys, "part"], "left")
     none = F.array().cast("array<string>")
     request = F.to_json(
         F.struct(
             F.lit("analyze_code").alias("task"),
-            F.struct(F.col("path"), (F.length("content") > PROMPT_CHARS).alias("truncated")).alias("file"),
+            F.struct(F.col("path"), (F.col("part") + 1).alias("part"), F.col("parts")).alias("file"),
             F.struct(F.coalesce("symbols", none).alias("symbols"), F.coalesce("imports", none).alias("imports")).alias(
                 "context"
             ),
-            F.substring("content", 1, PROMPT_CHARS).alias("code"),
+            F.col("code"),
         )
     )
-    return joined.select(*keys, request.alias("request"))
+    return joined.select(*keys, "part", request.alias("request"))
 
 
-def fix_prompt(contexts: DataFrame) -> DataFrame:
-    """A request text per issue from ``fix_context`` rows: details, numbered lines and guidance."""
+def related_heads(files: DataFrame, related: DataFrame, keep: int = RELATED_FILES, chars: int = RELATED_CHARS) -> DataFrame:
+    """Per file ``related``: path and head of its nearest related files in order. ``related`` has ranks (:func:`related_files`)."""
+    heads = files.select("project_id", F.col("path").alias("related"), F.substring("content", 1, chars).alias("head"))
+    near = related.where(F.col("rank") <= keep).join(heads, ["project_id", "related"])
+    items = F.array_sort(F.collect_list(F.struct("rank", F.struct(F.col("related").alias("path"), "head").alias("file"))))
+    return near.groupBy("project_id", "path").agg(F.transform(items, lambda x: x["file"]).alias("related"))
+
+
+def fix_prompt(contexts: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    """A request text per issue from ``fix_context`` rows: details, snippet, numbered lines, related files and guidance.
+
+    ``related`` comes from :func:`related_heads`; ``description``, ``confidence`` and ``code_snippet`` may be absent.
+    """
+    shape = "array<struct<path:string,head:string>>"
+    if related is None:
+        rows = contexts.withColumn("related", F.array().cast(shape))
+    else:
+        rows = contexts.join(related.withColumnRenamed("path", "file_path"), ["project_id", "file_path"], "left").withColumn(
+            "related", F.coalesce("related", F.array().cast(shape)))
+    given = lambda name, kind="string": (F.col(name) if name in contexts.columns else F.lit(None)).cast(kind).alias(name)
     prompt = F.to_json(
         F.struct(
             F.lit("fix_issue").alias("task"),
-            "issue_id", "title", "category", "severity",
+            "issue_id", "title", given("description"), "category", "severity", given("confidence", "int"),
             F.col("file_path").alias("file"),
             F.format_string("%d-%d", F.col("line_start") + 1, F.col("line_end") + 1).alias("lines"),
+            given("code_snippet"),
             F.col("context").alias("code"),
+            "related",
             category_guidance(F.col("category")).alias("guidance"),
         )
     )
-    return contexts.select("project_id", "issue_id", prompt.alias("prompt"))
+    return rows.select("project_id", "issue_id", prompt.alias("prompt"))
 
 
 SUGGESTION = "struct<id:string,issueId:string,title:string,description:string,suggestedCode:string,confidence:int,impact:int>"

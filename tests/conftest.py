@@ -30,7 +30,7 @@ def make_files(spark):
     """Files from a ``{path: content}`` mapping."""
 
     def make(contents: dict, project: str = "p"):
-        rows = [(project, path, text, "", len(text)) for path, text in contents.items()]
+        rows = [(project, path, text, "", None if text is None else len(text)) for path, text in contents.items()]
         return spark.createDataFrame(rows, "project_id string, path string, content string, language string, size long")
 
     return make

@@ -1,4 +1,6 @@
 import io
+import json
+import random
 import zipfile
 from pathlib import Path
 
@@ -80,8 +82,6 @@ def test_reports(spark):
 
 
 def test_sarif_and_json(make_issues):
-    import json
-
     issues = make_issues([{"issue_id": "r-1", "title": "first"}, {"issue_id": "r-2", "title": "second"}]).withColumn(
         "created_at", F.lit("2024-01-01").cast("timestamp"))
     log = json.loads(exports.export_sarif(issues).first().log)
@@ -97,12 +97,32 @@ def test_running_number(spark):
     assert [(r.k, r.number) for r in numbered.orderBy("k").collect()] == [(i, i) for i in range(100)]
 
 
-def test_store(spark, folder):
-    old = spark.createDataFrame([("a", 1), ("b", 2)], "scan_id string, score int")
-    new = spark.createDataFrame([("b", 3, 0), ("b", 4, 1), ("c", 5, 0)], "scan_id string, score int, load_order long")
-    old.write.parquet(f"{folder}/v1")
-    store.upsert_health_snapshot(spark, new, f"{folder}/v1", f"{folder}/v2")
-    assert {r.scan_id: r.score for r in spark.read.parquet(f"{folder}/v2").collect()} == {"a": 1, "b": 4, "c": 5}
+SNAPSHOT = "scan_id string, project_id string, scanned_at timestamp, score int, load_order int"
+
+
+def test_snapshots_are_merged_by_folder(spark, folder):
+    import glob
+    import os
+
+    from datetime import datetime
+
+    make = lambda rows: spark.createDataFrame([(s, p, datetime.fromisoformat(at), n, k) for s, p, at, n, k in rows], SNAPSHOT)
+    shape = spark.createDataFrame([], "scan_id string, project_id string, scanned_at timestamp, score int, month string").schema
+    table = lambda: {r.scan_id: (r.project_id, r.score) for r in store.health_snapshots(spark, folder, shape).collect()}
+    files = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{folder}/snapshots/**/*.parquet", recursive=True)}
+    first = [("a", "p", "2024-01-05", 1, 0), ("b", "p", "2024-02-05", 2, 0), ("c", "q", "2024-01-05", 3, 0), ("d", "q", "2024-02-05", 9, 0)]
+    assert store.upsert_health_snapshot(make(first), folder) == 4
+    before = files()
+    # b twice, the last one wins; e is new in the same folder
+    new = [("b", "p", "2024-02-05", 3, 0), ("b", "p", "2024-02-05", 4, 1), ("e", "p", "2024-02-09", 5, 0)]
+    assert store.upsert_health_snapshot(make(new), folder) == 1
+    assert table() == {"a": ("p", 1), "b": ("p", 4), "c": ("q", 3), "d": ("q", 9), "e": ("p", 5)}
+    kept = [f for f in before if "project_id=p/month=2024-02" not in f]
+    assert len(kept) == 3 and {f: files()[f] for f in kept} == {f: before[f] for f in kept}
+    # d moves by a month: both folders are written, and the old one is left empty
+    assert store.upsert_health_snapshot(make([("d", "q", "2024-03-01", 8, 0)]), folder) == 2
+    assert table()["d"] == ("q", 8) and len(table()) == 5
+    assert store.upsert_health_snapshot(make([]), folder) == 0 and len(table()) == 5
 
 
 def test_cost(spark):
@@ -131,8 +151,6 @@ def test_trends(spark):
 
 
 def test_streaks_over_chunks(spark):
-    import random
-
     rng = random.Random(3)
     rows, expected, run = [], {}, 0
     for i in range(80):
@@ -142,9 +160,14 @@ def test_streaks_over_chunks(spark):
         rows.append((i, "a", ok, f"2024-01-{1 + i // 8:02d} {i % 8:02d}:00:00"))
     calls = spark.createDataFrame(rows, "call_id long, provider string, success boolean, at string").withColumn(
         "created_at", F.col("at").cast("timestamp"))
-    out = history.failure_streaks(calls, F.to_date("created_at"))
-    assert {r.call_id: r.streak for r in out.collect()} == expected
-    assert all(r.circuit_open == (r.streak >= 3) for r in out.collect())
+    many = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(many)
+    for coalesce in ("true", "false"):  # one segment, and several of one provider
+        spark.conf.set(many, coalesce)
+        out = history.failure_streaks(calls).collect()
+        assert {r.call_id: r.streak for r in out} == expected
+        assert all(r.circuit_open == (r.streak >= 3) for r in out)
+    spark.conf.set(many, before)
 
 
 def test_config(make_files):
@@ -190,3 +213,48 @@ def test_validation(spark):
     rows = spark.createDataFrame([("ok name", "upload", None), ("bad/name", "svn", "nope")], "name string, source string, repo_full_name string")
     out = views.validate_projects(rows).collect()
     assert out[0].valid and len(out[1].errors) == 3
+
+
+def test_islands_over_range_borders(spark):
+    from lintlake.operators.sequence import with_islands
+
+    rng = random.Random(4)
+    rows = [(key, at, at + rng.choice([0, 0, 1, 30])) for key in "ab" for at in sorted(rng.sample(range(2000), 150))]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    out = with_islands(spark.createDataFrame(rows, "k string, a int, b int"), ["k"], "a", "b", 5).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    got, reach, first = {(r.k, r.a): r.island for r in out}, {}, {}
+    for key, a, b in rows:
+        if key not in reach or a > reach[key] + 5:
+            first[key] = a
+        reach[key] = max(reach.get(key, b), b)
+        assert got[key, a] == first[key]
+
+
+def test_requests_hold_whole_texts_and_related_files(spark, make_files):
+    from lintlake.operators import context
+    from lintlake.rules import symbols
+
+    long = "".join(f"export function f{k}() {{ return {k}; }}\n" for k in range(400))
+    files = make_files({"a.ts": "import { f1 } from './b';\nimport { x } from './c';\nf1();\n", "b.ts": long, "c.ts": "export const x = 1;\n", "d.ts": "", "e.ts": None})
+    rows = context.analysis_request(files, symbols.symbols(files), symbols.imports(files)).collect()
+    parts = {}
+    for r in sorted(rows, key=lambda r: (r.path, r.part)):
+        body = json.loads(r.request)
+        parts.setdefault(r.path, []).append(body)
+        assert body["file"]["part"] == r.part + 1 and body["file"]["parts"] == len([x for x in rows if x.path == r.path])
+    assert "".join(b["code"] for b in parts["b.ts"]) == long and len(parts["b.ts"]) > 2
+    assert len(parts["b.ts"][0]["context"]["symbols"]) == 400 and not parts["b.ts"][1]["context"]["symbols"]
+    assert [b["code"] for b in parts["d.ts"]] == [""] == [b["code"] for b in parts["e.ts"]]
+    resolved = context.resolve_imports(files, symbols.imports(files))
+    edges = context.file_graph(resolved)
+    assert sorted((r.path, r.dependencies, r.dependents) for r in context.file_degrees(edges).collect()) == [("a.ts", 2, 0), ("b.ts", 0, 1), ("c.ts", 0, 1)]
+    issues = spark.createDataFrame([("p", "a.ts", 2, 2, "i-1", "T", "bug", "MAJOR"), ("p", "c.ts", 0, 0, "i-2", "T", "bug", "MAJOR")],
+                                   "project_id string, file_path string, line_start int, line_end int, issue_id string, title string, category string, severity string")
+    heads = context.related_heads(files, context.related_files(resolved))
+    prompts = {r.issue_id: json.loads(r.prompt) for r in context.fix_prompt(context.fix_context(files, issues), heads).collect()}
+    assert [x["path"] for x in prompts["i-1"]["related"]] == ["b.ts", "c.ts"] and prompts["i-1"]["related"][0]["head"] == long[:500]
+    assert [x["path"] for x in prompts["i-2"]["related"]] == ["a.ts"] and "3: f1();" in prompts["i-1"]["code"]
+    totals = context.project_context(files, issues, edges).first()
+    assert (totals.n_files, totals.total_issues, totals.files_with_issues, totals.n_edges, totals.most_dependents, totals.not_imported) == (5, 2, 2, 2, 1, 3)
