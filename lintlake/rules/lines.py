@@ -117,7 +117,12 @@ WEB_FAMILIES = {
 }
 
 
-def file_lines(files: DataFrame, families: Sequence[str], max_length: int = MAX_LINE_LENGTH) -> DataFrame:
+def _web_family(family: str, web: Column | None) -> Column:
+    named = F.col("language").isin(*WEB_FAMILIES[family])
+    return named if web is None else named & web
+
+
+def file_lines(files: DataFrame, families: Sequence[str], max_length: int = MAX_LINE_LENGTH, web: Column | None = None) -> DataFrame:
     """The lines of all files that some family wants, in one pass, with the columns rules test.
 
     SQL lines also carry the lines ahead and whether a WHERE follows; both are computed inside
@@ -133,7 +138,7 @@ def file_lines(files: DataFrame, families: Sequence[str], max_length: int = MAX_
     wanted = F.col("family").isin(*[f for f in families if f not in WEB_FAMILIES])
     for family in families:
         if family in WEB_FAMILIES:
-            wanted = wanted | F.col("language").isin(*WEB_FAMILIES[family])
+            wanted = wanted | _web_family(family, web)
     content, is_sql = F.col("content"), F.col("family") == "sql"
     lines = F.split(content, "\n", -1)
 
@@ -179,9 +184,12 @@ LINE_HIT = T.StructType(
 
 
 def line_issues(
-    files: DataFrame, rules: Sequence[LineRule] = LINE_RULES, max_length: int = MAX_LINE_LENGTH
+    files: DataFrame, rules: Sequence[LineRule] = LINE_RULES, max_length: int = MAX_LINE_LENGTH, web: Column | None = None
 ) -> DataFrame:
-    """Issues of all line ``rules`` from one scan, one line generator and one hit generator."""
+    """Issues of all line ``rules`` from one scan, one line generator and one hit generator.
+
+    ``web``, a test of the ``path``, limits the files that the rules of the web profile look at.
+    """
     rules = list(rules)
     families = list(dict.fromkeys(r.family for r in rules))
     inputs, guards = _inputs(), _guards()
@@ -209,8 +217,8 @@ def line_issues(
         groups.append(chain.otherwise(none))
     for family in families:
         if family in WEB_FAMILIES:
-            groups.append(F.when(F.col("language").isin(*WEB_FAMILIES[family]), tests(family)).otherwise(none))
-    hits = file_lines(files, families, max_length).select(
+            groups.append(F.when(_web_family(family, web), tests(family)).otherwise(none))
+    hits = file_lines(files, families, max_length, web).select(
         "project_id", "path", "line_no", "trim",
         F.explode(F.concat(*groups) if len(groups) > 1 else groups[0]).alias("h"),
     )

@@ -10,13 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lintlake.functions.bind import pin
+from lintlake.functions.bind import let, pin
 from lintlake.functions.paths import daemon_context, dot_extension
 from lintlake.functions.text import running_sums_sql, trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.registry import MATCH_RULES
 from lintlake.rules.spec import MatchRule
-from lintlake.schema import constant
+from lintlake.schema import ISSUE_COLUMNS, constant
 
 MATCH = T.StructType(
     [
@@ -216,6 +216,33 @@ def match_issues(files: DataFrame, rules: Sequence[MatchRule] = MATCH_RULES) ->
     )
 
 
+def with_match_hits(coded: DataFrame, rules: Sequence[MatchRule], gates: Sequence[Column | None]) -> tuple[DataFrame, Column]:
+    """``coded(path, content, ext, code)`` with the placed hits of ``rules``, and these as an array of structs with ``ord``.
+
+    ``gates`` holds for each rule a test of the file row, or None where the rule applies to all files it names.
+    """
+    none = F.array().cast(T.ArrayType(MATCH))
+    arrays = [_rule_array(rule, i) for i, rule in enumerate(rules)]
+    arrays = [a if g is None else F.when(g, a).otherwise(none) for a, g in zip(arrays, gates)]
+    base = pin(coded, __hits=F.concat(*arrays) if len(arrays) > 1 else arrays[0])
+    base = pin(base, _placed=placed()).drop("__hits")
+
+    def of(m: Column) -> Column:
+        def build(meta: Column) -> Column:
+            values = {
+                "rule_id": meta["rule_id"], "ord": m["ord"], "line_start": m["line"], "col_start": m["col"], "line_end": m["line"],
+                "col_end": m["col"] + m["width"], "title": F.replace(meta["title"], F.lit("{name}"), m["name"]),
+                "description": meta["description"], "category": meta["category"], "severity": meta["severity"],
+                "confidence": meta["confidence"], "impact": meta["impact"], "code_snippet": trimmed(m["snippet"]),
+                "source": F.lit("static"), "engine": meta["engine"],
+            }
+            return F.struct(*[values[c].alias(c) for c in ISSUE_COLUMNS if c in values])
+
+        return let(F.get(rule_literals(rules), m["ord"]), build)
+
+    return base, F.transform("_placed", of)
+
+
 REGISTRY_LIMIT = 1000
 
 

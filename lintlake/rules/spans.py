@@ -172,7 +172,11 @@ def structure(files: DataFrame, exts: Sequence[str] = JS, nested: bool = False)
     picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext")).where(
         F.col("ext").isin(*["." + e for e in exts])
     )
-    coded = pin(picked, code=blank_code(F.col("content")))
+    return with_blocks(pin(picked, code=blank_code(F.col("content"))), nested)
+
+
+def with_blocks(coded: DataFrame, nested: bool = False) -> DataFrame:
+    """``coded(code)`` with its ``lines`` and ``blocks``; see :func:`structure`. Empty code has no blocks."""
     lined = pin(coded, lines=F.split("code", "\n", -1))
     braced = pin(
         lined,

@@ -17,7 +17,7 @@ from lintlake.functions.text import running_sums_sql, trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.lines import family_of
 from lintlake.rules.matches import line_matches, match_offsets
-from lintlake.rules.spans import IDENT, block_spans, depth_at, first_where, of_kind, structure, with_depths, with_measures, with_nested
+from lintlake.rules.spans import IDENT, depth_at, first_where, of_kind, structure, with_blocks, with_depths, with_measures, with_nested
 from lintlake.rules.spec import JS, REACT, WEB_JS
 from lintlake.schema import IMPACT, ISSUE_COLUMNS, lookup
 
@@ -40,12 +40,6 @@ def _values(values: dict) -> dict[str, Column]:
     return {n: as_col(values[n]).cast("int") if n in _NUMERIC else as_col(values[n]) for n in _OWN}
 
 
-def issue_rows(df: DataFrame, **values) -> DataFrame:
-    """Project ``df(project_id, path, ...)`` onto the issue columns."""
-    own = _values(values)
-    return df.select("project_id", F.col("path").alias("file_path"), *[c.alias(n) for n, c in own.items()])
-
-
 def issue_struct(**values) -> Column:
     return F.struct(*[c.alias(n) for n, c in _values(values).items()])
 
@@ -411,19 +405,21 @@ _BLOCK_COLUMNS = {"measures", "loops", "loop_found", "funcs", "ifs", "async_foun
 _NESTED_COLUMNS = {"measures", "parens"}
 
 
-def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thresholds: dict | None = None) -> DataFrame:
-    """Issues of the given rule groups over script files, in one pass."""
+def with_script_hits(coded: DataFrame, groups: Sequence[str], thresholds: dict | None = None) -> tuple[DataFrame, list[Column]]:
+    """``coded(project_id, path, content, ext, code)`` with all columns that ``groups`` read, and an array of issues per group.
+
+    Files whose ``code`` is empty give none.
+    """
     needs = {c for g in groups for c in GROUPS[g][0]}
     if needs & _BLOCK_COLUMNS:
-        base = structure(files, nested=bool(needs & _NESTED_COLUMNS))
+        base = with_blocks(coded, nested=bool(needs & _NESTED_COLUMNS))
     else:
-        picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
-        base = pin(picked.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
-        base = pin(base, lines=F.split("code", "\n", -1))
+        base = pin(coded, lines=F.split("code", "\n", -1))
         if needs & _NESTED_COLUMNS:
             base = with_nested(base)
     starts = F.concat(F.array(F.lit(0)), F.expr(running_sums_sql("transform(lines, x -> length(x) + 1)")))
-    base = pin(base, raw_lines=F.split("content", "\n", -1), line_starts=F.slice(starts, F.lit(1), F.size("lines")))
+    raw = F.when(F.col("code") != "", F.split("content", "\n", -1)).otherwise(F.array().cast("array<string>"))
+    base = pin(base, raw_lines=raw, line_starts=F.slice(starts, F.lit(1), F.size("lines")))
     if "measures" in needs:
         base = with_measures(base)
     elif "funcs" in needs:
@@ -444,34 +440,53 @@ def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thres
     base = with_depths(base, **{name: (name, 0) for name in ("loops", "ifs") if name in needs})
     if "unused" in needs:
         base = pin(base, unused=unused_names())
-    hits = []
-    for group in groups:
-        make = GROUPS[group][1]
-        found = make(thresholds or {}) if group == "complexity" else make()
-        hits.append(F.coalesce(found, F.array().cast(ISSUES)))
-    every = F.concat(*hits) if len(hits) > 1 else hits[0]
-    return base.select("project_id", F.col("path").alias("file_path"), F.explode(every).alias("i")).select(
+    return base, [GROUPS[g][1](thresholds or {}) if g == "complexity" else GROUPS[g][1]() for g in groups]
+
+
+def every(hits: Sequence[Column]) -> Column:
+    """All arrays of issues as one; a missing one counts as empty."""
+    filled = [F.coalesce(h, F.array().cast(ISSUES)) for h in hits]
+    return F.concat(*filled) if len(filled) > 1 else filled[0]
+
+
+def exploded(base: DataFrame, hits: Sequence[Column]) -> DataFrame:
+    """One row per issue of the arrays ``hits`` over the file rows ``base``."""
+    return base.select("project_id", F.col("path").alias("file_path"), F.explode(every(hits)).alias("i")).select(
         "project_id", "file_path", "i.*"
     )
 
 
+def script_issues(files: DataFrame, groups: Sequence[str] = tuple(GROUPS), thresholds: dict | None = None) -> DataFrame:
+    """Issues of the given rule groups over script files, in one pass."""
+    picked = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
+    coded = pin(picked.where(F.col("ext").isin(*["." + e for e in JS])), code=blank_code(F.col("content")))
+    return exploded(*with_script_hits(coded, groups, thresholds))
+
+
 ISSUES = "array<struct<" + ",".join(
     f"{n}:{'int' if n in _NUMERIC else 'string'}" for n in _OWN
 ) + ">>"
 
 
+def long_function_hits(limit: int = 50) -> Column:
+    """The web profile's function-length rule over the ``blocks`` of a frame."""
+    size = lambda b: b["line_end"] - b["line_start"]
+
+    def of(b: Column) -> Column:
+        long, shown = size(b) > 2 * limit, size(b).cast("string")
+        return issue_struct(
+            rule_id="long-func", line_start=b["line_start"], line_end=b["line_end"],
+            title=F.concat(F.lit("Function '"), b["name"], F.lit("' is "), shown, F.lit(" lines long")),
+            description=F.concat(F.lit("The function spans "), shown, F.lit(" lines; split it.")),
+            category="maintainability", severity=F.when(long, "CRITICAL").otherwise("MAJOR"), confidence=85,
+            impact=F.when(long, 75).otherwise(50), code_snippet=b["name"], engine="regex",
+        )
+
+    return F.transform(F.filter(of_kind("function"), lambda b: size(b) > limit), of)
+
+
 def long_function_issues(files: DataFrame, limit: int = 50) -> DataFrame:
-    """The web profile's function-length rule, measured on brace spans."""
-    spans = block_spans(files, "function", exts=WEB_JS).withColumn("n", F.col("line_end") - F.col("line_start"))
-    spans = spans.where(F.col("n") > limit)
-    long, size = F.col("n") > 2 * limit, F.col("n").cast("string")
-    return issue_rows(
-        spans, rule_id="long-func", line_start=F.col("line_start"), line_end=F.col("line_end"),
-        title=F.concat(F.lit("Function '"), F.col("name"), F.lit("' is "), size, F.lit(" lines long")),
-        description=F.concat(F.lit("The function spans "), size, F.lit(" lines; split it.")),
-        category="maintainability", severity=F.when(long, "CRITICAL").otherwise("MAJOR"), confidence=85,
-        impact=F.when(long, 75).otherwise(50), code_snippet=F.col("name"), engine="regex",
-    )
+    return exploded(structure(files, WEB_JS), [long_function_hits(limit)])
 
 
 # ------------------------------------------------------------------ repeated literals
@@ -481,11 +496,15 @@ CONFIG_LINE = r"(?i)(timeout|max|min|limit|threshold|port|size|width|height|dela
 LONG_LITERAL = r"(?<![\w.])(-?\d{3,}|\d+\.\d+)(?![\w.])"
 
 
-def literal_lines(files: DataFrame) -> DataFrame:
-    """Files with, per line that may hold magic numbers, the long literals found on it."""
-    base = files.select("project_id", "path", "content").where(
-        language_of(F.col("path")).isin(*REPEATED_LANGUAGES)
-    )
+def may_repeat_literals() -> Column:
+    return language_of(F.col("path")).isin(*REPEATED_LANGUAGES)
+
+
+def with_literals(base: DataFrame, when: Column) -> DataFrame:
+    """``base(path, content)`` with ``per_line``, the long literals of each line that may hold magic numbers, and ``repeated``.
+
+    Both are empty where ``when`` does not hold.
+    """
     values = lambda x: F.filter(
         F.regexp_extract_all(x, F.lit(LONG_LITERAL), F.lit(1)), lambda v: ~v.isin("-1", "0", "1", "2", "100")
     )
@@ -499,13 +518,19 @@ def literal_lines(files: DataFrame) -> DataFrame:
             .alias("found"),
         ),
     )
-    base = pin(base, per_line=F.filter(per_line, lambda l: F.size(l["found"]) > 0))
+    found = F.when(when, F.filter(per_line, lambda l: F.size(l["found"]) > 0))
+    base = pin(base, per_line=F.coalesce(found, F.array().cast("array<struct<line:int,text:string,found:array<string>>>")))
     everything = F.array_sort(F.flatten(F.transform("per_line", lambda l: l["found"])))
     repeated = let(
         everything,
         lambda a: F.array_distinct(F.filter(a, lambda v, i: (i > 0) & (F.get(a, i - 1) == v))),
     )
-    return pin(base, repeated=repeated).select("project_id", "path", "per_line", "repeated")
+    return pin(base, repeated=repeated)
+
+
+def literal_lines(files: DataFrame) -> DataFrame:
+    base = files.select("project_id", "path", "content").where(may_repeat_literals())
+    return with_literals(base, F.lit(True)).select("project_id", "path", "per_line", "repeated")
 
 
 def repeated_literals(files: DataFrame) -> DataFrame:
@@ -521,27 +546,29 @@ def repeated_literals(files: DataFrame) -> DataFrame:
     )
 
 
-def repeated_number_issues(files: DataFrame) -> DataFrame:
-    """The web profile's magic-number rule: lines holding a literal the file repeats."""
-    base = literal_lines(files).where(F.size("repeated") > 0)
+def repeated_number_hits() -> Column:
+    """The web profile's magic-number rule over a frame :func:`with_literals`: lines holding a literal the file repeats."""
     flagged = F.filter("per_line", lambda l: F.arrays_overlap(l["found"], F.col("repeated")))
-    rows = base.select("project_id", "path", F.explode(flagged).alias("l"))
-    return issue_rows(
-        rows, rule_id="smell-magic-number", line_start=F.col("l.line"), title="Magic number in code",
-        description="The literal is repeated; name it once.", category="code-smell", severity="INFO",
-        confidence=55, impact=20, code_snippet=trimmed(F.col("l.text")), engine="regex",
-    )
+    return F.when(F.size("repeated") > 0, F.transform(
+        flagged,
+        lambda l: issue_struct(
+            rule_id="smell-magic-number", line_start=l["line"], title="Magic number in code",
+            description="The literal is repeated; name it once.", category="code-smell", severity="INFO",
+            confidence=55, impact=20, code_snippet=trimmed(l["text"]), engine="regex",
+        ),
+    ))
+
+
+def repeated_number_issues(files: DataFrame) -> DataFrame:
+    return exploded(literal_lines(files), [repeated_number_hits()])
 
 
 # ------------------------------------------------------------------ documents
 LINK = r"\[([^\]]*)\]\(([^)]*)\)"
 
 
-def broken_anchor_issues(files: DataFrame) -> DataFrame:
-    docs = files.select("project_id", "path", "content").where(
-        family_of(F.col("path"), F.col("content")) == "markdown"
-    )
-    lower = F.lower(F.col("content"))
+def broken_anchor_hits() -> Column:
+    """Links to anchors that no heading of the document carries, over a frame with ``lower``, the text in lower case."""
     links = F.flatten(
         F.transform(
             F.split("content", "\n", -1),
@@ -553,22 +580,28 @@ def broken_anchor_issues(files: DataFrame) -> DataFrame:
             ),
         )
     )
-    docs = pin(docs, lower=lower)
     broken = F.filter(
         links,
         lambda l: l["url"].startswith("#")
         & ~F.contains(F.col("lower"), F.concat(F.lit("# "), F.lower(F.substr(l["url"], F.lit(2))))),
     )
-    rows = docs.select("project_id", "path", F.explode(broken).alias("l"))
-    at = F.instr(F.col("l.text"), F.col("l.url")) - 1
-    return issue_rows(
-        rows, rule_id="md-broken-anchor", line_start=F.col("l.line"), col_start=at,
-        col_end=at + F.length("l.url"), title="Potentially broken anchor link",
-        description=F.concat(F.lit("No heading carries the anchor "), F.col("l.url")), category="bug",
-        severity="INFO", confidence=50, code_snippet=F.col("l.hit"), engine="regex",
+    at = lambda l: F.instr(l["text"], l["url"]) - 1
+    return F.transform(
+        broken,
+        lambda l: issue_struct(
+            rule_id="md-broken-anchor", line_start=l["line"], col_start=at(l),
+            col_end=at(l) + F.length(l["url"]), title="Potentially broken anchor link",
+            description=F.concat(F.lit("No heading carries the anchor "), l["url"]), category="bug",
+            severity="INFO", confidence=50, code_snippet=l["hit"], engine="regex",
+        ),
     )
 
 
+def broken_anchor_issues(files: DataFrame) -> DataFrame:
+    docs = files.select("project_id", "path", "content").where(family_of(F.col("path"), F.col("content")) == "markdown")
+    return exploded(pin(docs, lower=F.lower(F.col("content"))), [broken_anchor_hits()])
+
+
 def is_valid_json(text: Column) -> Column:
     """Strict JSON: the text parses as exactly one element of an array and as the value of a field.
 
@@ -581,39 +614,32 @@ def is_valid_json(text: Column) -> Column:
     return F.coalesce((F.size(listed) == 1) & field["_bad"].isNull(), F.lit(False))
 
 
-def json_parse_issues(files: DataFrame) -> DataFrame:
-    docs = files.select("project_id", "path", "content").where(family_of(F.col("path"), F.col("content")) == "json")
-    return issue_rows(
-        docs.where(~is_valid_json(F.col("content"))), rule_id="json-parse-error", line_start=0,
+def json_parse_hits() -> Column:
+    return F.when(~is_valid_json(F.col("content")), F.array(issue_struct(
+        rule_id="json-parse-error", line_start=0,
         title="Invalid JSON", description="The document does not parse.", category="bug", severity="CRITICAL",
         confidence=100, code_snippet=trimmed(F.substring_index("content", "\n", 1)), engine="regex",
-    )
+    )))
+
+
+def json_parse_issues(files: DataFrame) -> DataFrame:
+    docs = files.select("project_id", "path", "content").where(family_of(F.col("path"), F.col("content")) == "json")
+    return exploded(docs, [json_parse_hits()])
 
 
 def is_large(content: Column) -> Column:
     return F.length(content) > LARGE_FILE_CHARS
 
 
-def large_file_issues(files: DataFrame) -> DataFrame:
-    """One notice per file above the size that makes an analysis slow; it is scanned all the same."""
+def large_file_hits() -> Column:
+    """A notice for a file above the size that makes an analysis slow; it is scanned all the same."""
     kilobytes = F.floor(F.length("content") / 1024 + 0.5).cast("string")
-    return issue_rows(
-        files.where(is_large(F.col("content"))), rule_id="skip-large-file", line_start=0,
-        title="File too large for analysis",
+    return F.when(is_large(F.col("content")), F.array(issue_struct(
+        rule_id="skip-large-file", line_start=0, title="File too large for analysis",
         description=F.concat(F.lit("The file has "), kilobytes, F.lit("KB; the limit is 200KB.")),
         category="maintainability", severity="INFO", confidence=100, impact=20, code_snippet="", engine="regex",
-    )
-
-
-def web_structural_issues(files: DataFrame) -> DataFrame:
-    """Structural rules of the web profile."""
-    return long_function_issues(files).unionByName(repeated_number_issues(files))
+    )))
 
 
-def structural_issues(files: DataFrame, thresholds: dict | None = None) -> DataFrame:
-    """Structural rules of the static profile: script files in one pass, documents by family."""
-    return (
-        script_issues(files, thresholds=thresholds)
-        .unionByName(broken_anchor_issues(files))
-        .unionByName(json_parse_issues(files))
-    )
+def large_file_issues(files: DataFrame) -> DataFrame:
+    return exploded(files.select("project_id", "path", "content"), [large_file_hits()])

@@ -261,3 +261,56 @@ def test_time_follows_the_length(spark, make_files):
         found[n] = time.perf_counter() - start
         assert not rows or all(r["count"] in (n, 1) for r in rows)
     assert found[20_000] <= 14 * found[2000]
+
+
+def _counted(df):
+    from collections import Counter
+
+    return Counter(tuple(r) for r in df.select("rule_id", "file_path", "line_start", "col_start", "line_end", "title", "severity", "impact", "code_snippet").collect())
+
+
+def test_a_scan_is_two_reads_and_all_engines(spark, make_files, folder):
+    from functools import reduce
+
+    from lintlake.plans import scan as plans
+    from lintlake.rules.lines import line_issues
+    from lintlake.rules.matches import match_issues
+    from lintlake.rules.registry import FILE_TYPE_RULES, LEXICAL_RULES, STYLE_RULES, WEB_LINE_RULES, WEB_MATCH_RULES
+
+    contents = {path: text for path, text, _, _ in CASES} | {"big.py": "x = 98765\ny(98765, 98765)\n" + "# pad\n" * 40_000, "null.ts": None, "empty.ts": ""}
+    make_files(contents).write.parquet(f"{folder}/files")
+    files = spark.read.parquet(f"{folder}/files")
+    static = [line_issues(files, FILE_TYPE_RULES + STYLE_RULES), match_issues(files, LEXICAL_RULES), structural.script_issues(files),
+              structural.broken_anchor_issues(files), structural.json_parse_issues(files)]
+    web = lambda f: [structural.large_file_issues(f), match_issues(f, WEB_MATCH_RULES), line_issues(f, WEB_LINE_RULES),
+                     structural.long_function_issues(f), structural.repeated_number_issues(f)]
+    other = files.where(~plans.is_static_primary(files["path"]))
+    for profile, parts in (("web", static + web(other)), ("all", static + web(files))):
+        got = scan(files, profile)
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2, profile
+        assert _counted(got) == reduce(lambda a, b: a + b, map(_counted, parts)), profile
+
+
+def test_switches_and_user_rules(spark, make_files):
+    from lintlake.plans.scan import report
+    from lintlake.rules.matches import load_rules
+
+    files = make_files({"a.ts": "export function f(a, b, c, d, e, g) { eval(x as any); var idle = 1; console.log(98765); }\n", "b.py": "team_word\n"})
+    registry = spark.createDataFrame([("team-word", "Team word", "d", r"\bteam_word\b", None, "bug", "MAJOR", 80, 50)],
+                                     "id string, title string, description string, pattern string, exts array<string>, category string, severity string, confidence int, impact int")
+    ids = lambda **options: {r.rule_id for r in scan(files, **options).select("rule_id").collect()}
+    whole = ids()
+    assert {"params", "security-eval", "ts-as-any", "unused", "style-magic-number", "style-console"} <= whole
+    gone = {"complexity": {"params"}, "security": {"security-eval"}, "typescript": {"ts-as-any", "ts-return-type"}, "dead-code": {"unused"},
+            "style": {"style-magic-number", "style-console", "style-no-docs"}}
+    for switch, rules in gone.items():
+        left = ids(switches={switch: False})
+        assert rules <= whole and whole - left >= rules and left == {r for r in whole if r in left}
+    assert ids(user_rules=load_rules(registry)) == whole | {"team-word"}
+    assert "params" not in ids(config={"max_params": 6})
+    with pytest.raises(ValueError):
+        scan(files, switches={"unknown": False})
+    external = scan(files, user_rules=load_rules(registry)).where("rule_id = 'team-word'").selectExpr("* except (source)", "'external' AS source")
+    assert {r.rule_id for r in report(files, external=external, sources="external").collect()} == {"team-word"}
+    assert "team-word" not in {r.rule_id for r in report(files, external=external, sources="internal").collect()}
+    assert {"team-word", "params"} <= {r.rule_id for r in report(files, external=external).collect()}
