@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lintlake.catalog.bindings import ai_usage, code_files, files as documents_as_files, issues, projects, scans
 from lintlake.catalog.core import query, relation, sql_case, sql_text
-from lintlake.operators import context, exports
+from lintlake.operators import context, exports, jobs
 from lintlake.rules import spans, symbols
-from lintlake.schema import SARIF_LEVEL
+from lintlake.schema import SARIF_LEVEL, lookup
 from lintlake.session import checkpoint_dir, cut_lineage
 from lintlake.sources import files as file_sources
 from lintlake.sources import reports, store
@@ -287,27 +287,43 @@ def archives(t):
 
 
 # ------------------------------------------------------------------ jobs
+relation("jobs", """
+SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'queued' END AS status, o_custkey AS found,
+  CASE WHEN o_orderstatus = 'F' THEN o_custkey // 2 ELSE 0 END AS analysed, o_orderdate::TIMESTAMP AS started_at,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 900) END AS completed_at FROM orders""")
+
+
+def _jobs(t):
+    started = F.col("o_orderdate").cast("timestamp")
+    done = F.col("o_orderstatus") == "F"
+    return t.orders.select(
+        F.col("o_orderkey").alias("job_id"), lookup({"O": "running", "F": "completed"}, F.col("o_orderstatus"), "queued").alias("status"),
+        F.col("o_custkey").alias("files_discovered"), F.when(done, F.expr("o_custkey div 2")).otherwise(0).alias("files_analyzed"),
+        started.alias("started_at"), F.when(done, started + F.make_dt_interval(secs=F.col("o_orderkey") % 900)).alias("completed_at"))
+
+
 @query("A29_scan_job_report", """
-SELECT status, count(*) AS jobs, sum(found)::BIGINT AS discovered, count(*) FILTER (stale) AS stale FROM (
-  SELECT *, status = 'running' AND created_at < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 10 MINUTE AS stale
-  FROM (SELECT CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'completed' ELSE 'queued' END AS status, o_custkey AS found, o_orderdate AS created_at FROM orders)) GROUP BY 1""")
+SELECT status, count(*) AS jobs, sum(found)::BIGINT AS discovered, sum(analysed)::BIGINT AS analysed, round(avg(epoch(completed_at) - epoch(started_at)), 6) AS mean_seconds,
+  count(*) FILTER (status = 'running' AND started_at < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 10 MINUTE) AS stale FROM {{jobs}} GROUP BY 1""")
 def job_report(t):
-    from lintlake.operators.jobs import job_report as report
+    out = jobs.job_report(_jobs(t), as_of="1998-06-01 00:00:00")
+    return out.select("status", "jobs", F.col("files_discovered").alias("discovered"), F.col("files_analyzed").alias("analysed"),
+                      F.round("mean_seconds", 6).alias("mean_seconds"), "stale")
 
-    from lintlake.schema import lookup
 
-    jobs = t.orders.select(lookup({"O": "running", "F": "completed"}, F.col("o_orderstatus"), "queued").alias("status"),
-                           F.col("o_custkey").alias("files_discovered"), F.lit(0).alias("files_analyzed"),
-                           F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("completed_at"))
-    out = report(jobs, as_of="1998-06-01 00:00:00")
-    return out.select("status", "jobs", F.col("files_discovered").alias("discovered"), "stale")
+@query("A29_requeue_stale", """
+SELECT job_id, CASE WHEN stale THEN 'queued' ELSE status END AS status, CASE WHEN NOT stale THEN strftime(started_at, '%Y-%m-%d') END AS started
+FROM (SELECT *, status = 'running' AND started_at < TIMESTAMP '1998-06-01 00:00:00' - INTERVAL 10 MINUTE AS stale FROM {{jobs}})""")
+def requeue(t):
+    out = jobs.requeue_stale(_jobs(t), as_of="1998-06-01 00:00:00")
+    return out.select("job_id", "status", F.date_format("started_at", "yyyy-MM-dd").alias("started"))
 
 
 @query("J05_scan_job_with_owner", """
 SELECT o_orderkey AS job_id, user_email FROM orders JOIN {{projects}} ON project_id = o_custkey""")
 def job_owner(t):
-    jobs = t.orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id"))
-    return jobs.join(projects(t), "project_id").select("job_id", "user_email")
+    owned = t.orders.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("project_id"))
+    return jobs.with_owner(owned, projects(t)).select("job_id", "user_email")
 
 
 # ------------------------------------------------------------------ imports and related files

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lintlake.catalog.bindings import corpus, issues
 from lintlake.catalog.core import query, relation, sql_case, sql_list, sql_text
 from lintlake.catalog.rule_sql import DAEMON_CONTEXT, EXT, LANGUAGE, WEB_CONTEXT
-from lintlake.functions import paths, text
+from lintlake.functions import dates, paths, text
 from lintlake.operators import ingest
 from lintlake.schema import OLD_SEVERITY, SARIF_LEVEL, lookup
 
@@ -237,8 +237,8 @@ SELECT DISTINCT strftime(created_at, '%Y-%m-%d') AS day, strftime(date_trunc('mo
 FROM {{issues}}""")
 def month_bounds(t):
     day = F.to_date("created_at")
-    show = lambda c, n: F.date_format(c, "yyyy-MM-dd").alias(n)
+    first, last = dates.month_bounds(day)
     return issues(t).select(
-        show(day, "day"), show(F.trunc(day, "month"), "first_day"), show(F.last_day(day), "last_day"),
-        show(F.date_sub(day, 7), "cutoff"),
+        dates.iso(day).alias("day"), dates.iso(first).alias("first_day"), dates.iso(last).alias("last_day"),
+        dates.iso(dates.cutoff(day, 7)).alias("cutoff"),
     ).distinct()

@@ -110,6 +110,13 @@ def avg_complexity(t):
                           .alias("avg_complexity"))
 
 
+@query("A09_function_complexity", """
+SELECT project_id, round(coalesce(any_value(f), 0) / count(*)::DOUBLE, 6) AS avg_complexity
+FROM {{corpus}} LEFT JOIN (SELECT project_id, count(*) AS f FROM {{symbols}} WHERE kind = 'function' GROUP BY 1) USING (project_id) GROUP BY 1""")
+def function_complexity(t):
+    return metrics.function_complexity(corpus(t), symbols.symbols(corpus(t))).select("project_id", "avg_complexity")
+
+
 @query("A10_file_type_histogram", f"""
 SELECT file_type, n_files, (sum(n_files) OVER ())::BIGINT AS total_files
 FROM (SELECT {CATEGORY} AS file_type, count(*) AS n_files FROM {{{{corpus}}}} GROUP BY 1)
@@ -135,7 +142,7 @@ def user_stats(t):
 
 @query("A16_scan_issue_count", "SELECT scan_id, count(*) AS n FROM {{issues}} GROUP BY 1")
 def scan_issue_count(t):
-    return issues(t).groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.scan_issue_counts(issues(t))
 
 
 @query("A17_issues_by_file", """
@@ -191,11 +198,7 @@ def share(t):
 SELECT CASE WHEN regexp_matches(issue_id, '^(semgrep|biome|ruff|tflint|checkov)-') THEN 'external' ELSE 'static' END AS source,
   count(DISTINCT file_path) AS n_files FROM {{issues}} GROUP BY 1""")
 def unique_files(t):
-    from lintlake.functions.text import issue_source
-
-    return issues(t).groupBy(issue_source(F.col("issue_id")).alias("source")).agg(
-        F.countDistinct("file_path").alias("n_files")
-    )
+    return metrics.unique_files(issues(t))
 
 
 @query("T09_category_ranking", "SELECT category, count(*) AS n FROM {{issues_large}} GROUP BY 1")

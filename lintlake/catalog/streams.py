@@ -150,6 +150,17 @@ def sliding(t):
     return changes.sliding_rate(t.events, "event_type", limit=10, seconds=3600).select("event_id", "calls")
 
 
+@query("X07_sliding_windows_stream", """
+SELECT event_type, epoch_us(s) AS start_us, count(*) AS calls
+FROM (SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(10 * unnest(range(0, 6))) AS s FROM events)
+WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY 1, 2""")
+def sliding_stream(t):
+    """Windows of an hour, one every ten minutes; those still open at the end of the log stay in the state."""
+    stream = changes.sliding_windows(_streams(t).events, "event_type", width="1 hour", step="10 minutes", lateness="10 minutes")
+    out = changes.drain(stream, _folder(t, "sliding"))
+    return out.select("event_type", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "calls")
+
+
 def _streaks_by_state(t, expire: bool):
     """The call log in three parts, each a run of one stream that starts from the state at its checkpoint."""
     root, log = _folder(t, "streaks"), ai_usage(t).select("call_id", "provider", "success", "created_at")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lintlake.catalog.bindings import code_files, issues, projects, scans
 from lintlake.catalog.core import query, relation, sql_case, sql_list
-from lintlake.operators import triage, views
+from lintlake.operators import ingest, triage, views
 from lintlake.schema import CATEGORIES, OLD_SEVERITY, PRIORITY_CATEGORY, PRIORITY_SEVERITY, SEVERITIES
+from lintlake.sources import store
 
 RANK = sql_case("severity", {s: i for i, s in enumerate(SEVERITIES)})
 FLAT = ("issue_id", "file_path", "line_start", "col_start", "line_end", "col_end", "severity", "category")
@@ -334,6 +335,19 @@ def project_validity(t):
     return views.validate_projects(rows).select("project_id", "valid", F.array_join("errors", "; ").alias("errors"))
 
 
+_hash = lambda sql: f"substr({sql}, 1, 8) || '-' || substr({sql}, 9, 4) || '-' || substr({sql}, 13, 4) || '-' || substr({sql}, 17, 4) || '-' || substr({sql}, 21, 12)"
+
+
+@query("P14_uuid", rf"""
+SELECT project_id, regexp_matches(id, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[1-8][0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$') AS valid
+FROM (SELECT project_id, CASE WHEN project_id % 9 = 0 THEN name WHEN project_id % 2 = 0 THEN upper({_hash('md5(name)')}) ELSE {_hash('md5(name)')} END AS id FROM {{{{projects}}}})""")
+def uuid_validity(t):
+    digest = F.expr(_hash("md5(name)"))
+    k = F.col("project_id")
+    rows = projects(t).withColumn("id", F.when(k % 9 == 0, F.col("name")).when(k % 2 == 0, F.upper(digest)).otherwise(digest))
+    return views.validate_ids(rows, "id").select("project_id", "valid")
+
+
 @query("P16_tenant_scope", """
 SELECT issue_id FROM {{issues}} WHERE project_id IN (
   SELECT project_id FROM {{projects}} WHERE lower(user_email) = 'building1@example.com')""")
@@ -366,9 +380,11 @@ SELECT p.project_id, strftime(s.updated, '%Y-%m-%d %H:%M:%S') AS updated FROM {{
 JOIN (SELECT project_id, max(created_at) AS updated FROM {{issues}} GROUP BY 1) s USING (project_id)
 ORDER BY s.updated DESC, p.project_id""")
 def newest_projects(t):
-    touched = issues(t).groupBy("project_id").agg(F.max("created_at").alias("updated"))
-    newest = projects(t).join(touched, "project_id").orderBy(F.desc("updated"), "project_id")
-    return newest.select("project_id", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+    """Projects that a scan has touched, by their newest scan."""
+    rows = projects(t).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    scanned = issues(t).select("project_id", F.col("created_at").cast("timestamp_ntz").alias("scanned_at"))
+    touched = store.touched_projects(rows, scanned).where("updated_at IS NOT NULL")
+    return views.newest_first(touched).select("project_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated"))
 
 
 @query("T07_file_order", """
@@ -384,4 +400,4 @@ SELECT DISTINCT pattern FROM (SELECT lower(p_type) AS pattern FROM part UNION AL
 def ignores(t):
     user = t.part.select(F.lower("p_type").alias("pattern"))
     project = t.part.select(F.element_at(F.split("p_name", " "), 2).alias("pattern"))
-    return user.union(project).distinct()
+    return ingest.union_patterns(user, project)

@@ -129,6 +129,11 @@ def path_order() -> list[Column]:
     return [F.length("path"), F.col("path")]
 
 
+def union_patterns(user: DataFrame, project: DataFrame) -> DataFrame:
+    """The different ignore patterns of a user and a project (``pattern``)."""
+    return user.select("pattern").unionByName(project.select("pattern")).distinct()
+
+
 def dedupe_paths(files: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The first file of each project and path in the given order.
 

@@ -21,6 +21,11 @@ def job_report(jobs: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def with_owner(jobs: DataFrame, projects: DataFrame) -> DataFrame:
+    """Jobs with the owner of their project."""
+    return jobs.join(projects.select("project_id", "user_email"), "project_id")
+
+
 def requeue_stale(jobs: DataFrame, as_of: str) -> DataFrame:
     """Running jobs without an end for ten minutes go back to the queue."""
     now = F.lit(as_of).cast("timestamp")

@@ -9,7 +9,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.paths import file_category, language_of
-from lintlake.functions.text import meaningful_lines, raw_lines
+from lintlake.functions.text import issue_source, meaningful_lines, raw_lines
 from lintlake.schema import (
     CATEGORIES,
     DEBT_MINUTES,
@@ -101,6 +101,24 @@ def lines_of_code(files: DataFrame, keys: Sequence[str] = ("project_id",)) -> Da
     )
 
 
+def function_complexity(files: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("project_id",)) -> DataFrame:
+    """Mean complexity as function symbols per file; projects without functions have 0."""
+    functions = symbols.where(F.col("kind") == "function").groupBy(*keys).agg(F.count(F.lit(1)).alias("functions"))
+    sizes = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_files"))
+    joined = sizes.join(functions, [*keys], "left").na.fill(0, ["functions"])
+    return joined.withColumn("avg_complexity", F.round(ratio(F.col("functions"), F.col("n_files")), 6))
+
+
+def scan_issue_counts(issues: DataFrame) -> DataFrame:
+    """Exact number of issues of each scan."""
+    return issues.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unique_files(issues: DataFrame) -> DataFrame:
+    """Different files with findings, by the source of the finding."""
+    return issues.groupBy(issue_source(F.col("issue_id")).alias("source")).agg(F.countDistinct("file_path").alias("n_files"))
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
 

@@ -173,6 +173,22 @@ def validate_projects(requests: DataFrame) -> DataFrame:
     return requests.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
 
 
+def is_uuid(identifier: Column) -> Column:
+    """Whether a text is a UUID of versions 1 to 8; null is none."""
+    return F.coalesce(identifier.rlike(UUID), F.lit(False))
+
+
+def validate_ids(requests: DataFrame, *columns: str) -> DataFrame:
+    """Adds ``id_errors`` and ``valid`` to requests whose ``columns`` must be UUIDs; a missing one is an error."""
+    errors = F.array_compact(F.array(*[F.when(~is_uuid(F.col(c)), f"{c} is no UUID") for c in columns]))
+    return requests.withColumn("id_errors", errors).withColumn("valid", F.size("id_errors") == 0)
+
+
+def newest_first(projects: DataFrame) -> DataFrame:
+    """Projects by ``updated_at``, the newest first."""
+    return projects.orderBy(F.desc("updated_at"), "project_id")
+
+
 def tenant_scope(table: DataFrame, projects: DataFrame, email: str) -> DataFrame:
     """Rows of the projects a user owns, by semi join (owners compare without case)."""
     mine = projects.where(F.lower("user_email") == email.lower()).select("project_id")
