@@ -37,26 +37,27 @@ def plain(text: str) -> str:
 def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from labelled rows (``doc_id``, ``text``, ``lang``).
 
-    Takes the ``SAMPLE_DOCS`` rows of each language that come first by a hash of the id: ids are ranked on their own,
-    and only the texts of the sample are moved. Rows without a language or a letter are passed over. The languages
-    stand in the order of their number of rows, which decides ties.
+    Takes the ``SAMPLE_DOCS`` rows of each language that come first by a hash of id and text, of the ``MAX_LANGUAGES`` most frequent
+    languages (ties: by name); repeated rows and rows without an id are drawn like all others. Rows without a language or a
+    letter are passed over. The languages stand in the order of their number of rows, which decides ties.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    often = {row["lang"]: row["count"] for row in known.groupBy("lang").count().limit(MAX_LANGUAGES).collect()}
+    counted = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    often = {row["lang"]: row["count"] for row in counted}
     if not often:
         return {}
-    # The share of the hash range that holds about twice the sample: few rows are left to rank.
+    # The share of the hash range that holds about twice the sample: few rows are left to rank. Repeated rows are told apart by
+    # a number, so that they are drawn at that share too.
     shares = F.create_map(*[F.lit(x) for lang, n in often.items() for x in (lang, min(1.0, 2 * SAMPLE_DOCS / n))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    drawn = known.select("doc_id", "lang", draw.alias("draw")).where(F.col("draw") < F.try_element_at(shares, F.col("lang")) * F.lit(1 << 40))
-    ids = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
-    places = {row["doc_id"]: row["place"] for row in ids.select("doc_id", "place").limit(SAMPLE_DOCS * MAX_LANGUAGES).collect()}
-    rows = known.where(F.col("doc_id").isin(list(places))).select(
-        "doc_id", "lang", F.substring("text", 1, DICTIONARY_BYTES).alias("text")).collect()
+    part = F.substring("text", 1, DICTIONARY_BYTES).alias("text")
+    drawn = known.select("doc_id", "lang", part, draw.alias("draw")).where(F.col("draw") < F.try_element_at(shares, F.col("lang")) * F.lit(1 << 40))
+    rows = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS).collect()
     texts: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (places[r["doc_id"]], r["text"])):
-        if body := plain(row["text"]):
+    for row in sorted(rows, key=lambda r: r["place"]):
+        body = plain(row["text"])
+        if any(map(str.isalpha, body)):
             texts.setdefault(row["lang"], []).append(body)
     return {lang: _content(texts[lang]) for lang in sorted(texts, key=lambda x: (-often.get(x, 0), x))}
 
@@ -85,7 +86,7 @@ def _coders(dictionaries: dict[str, bytes]) -> list:
 def _language(text: str | None, langs: list[str], coders: list) -> tuple[str, float, bool]:
     """(language, score, rejected) of one whole text."""
     body = plain(text) if text else ""
-    if not body or not langs:
+    if not langs or not any(map(str.isalpha, body)):
         return UNKNOWN, 0.0, True
     sizes = np.zeros(len(langs))
     for at in range(0, len(body), PIECE_CHARS):

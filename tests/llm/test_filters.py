@@ -67,6 +67,9 @@ def test_languages(spark, make_docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 6, 7] and kept.columns == make_docs([]).columns
     assert language_id.train(make_docs([])) == {} and language_id.train(make_docs(["1", None])) == {}
     assert {r["lang_pred"] for r in language_id.identify(make_docs(texts), {}).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language_id.identify(make_docs(["½ ²", "١٢", "③"]), learned).collect()} == {"und"}
+    same = make_docs([(None, ENGLISH)] * 3 + [(7, GERMAN)] * 3 + [(7, ENGLISH)], "xx")  # no id, shared ids
+    assert list(language_id.train(same)) == ["xx"]
     assert language_id.identify(make_docs([]), learned).count() == 0
 
 
