@@ -38,7 +38,7 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     """Dictionaries from labelled rows (``doc_id``, ``text``, ``lang``).
 
     Takes the ``SAMPLE_DOCS`` rows of each language that come first by a hash of id and text, of the ``MAX_LANGUAGES`` most frequent
-    languages (ties: by name); repeated rows and rows without an id are drawn like all others. Rows without a language or a
+    languages (ties: by name); rows without an id are drawn like all others. Rows without a language or a
     letter are passed over. The languages stand in the order of their number of rows, which decides ties.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -46,10 +46,10 @@ def train(docs: DataFrame) -> dict[str, bytes]:
     often = {row["lang"]: row["count"] for row in counted}
     if not often:
         return {}
-    # The share of the hash range that holds about twice the sample: few rows are left to rank. Repeated rows are told apart by
-    # a number, so that they are drawn at that share too.
+    # The share of the hash range that holds about twice the sample: few rows are left to rank. Repeated rows are drawn together;
+    # the rank bounds them in every task, before anything is moved.
     shares = F.create_map(*[F.lit(x) for lang, n in often.items() for x in (lang, min(1.0, 2 * SAMPLE_DOCS / n))])
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
     part = F.substring("text", 1, DICTIONARY_BYTES).alias("text")
     drawn = known.select("doc_id", "lang", part, draw.alias("draw")).where(F.col("draw") < F.try_element_at(shares, F.col("lang")) * F.lit(1 << 40))
