@@ -79,29 +79,36 @@ def exact_cluster(text: Column) -> Column:
 
 
 def with_near_clusters(docs: DataFrame) -> DataFrame:
-    """``docs`` with a ``cluster``: the group of near-duplicates of its id, or the exact one for rows without id or words.
+    """``docs`` without its text but with its ``size`` in bytes and a ``cluster``: the group of near-duplicates of its id, or the
+    exact one for rows without id or words.
 
-    An id should stand for one text; of several the smallest group counts.
+    An id should stand for one text; of several the smallest group counts. No text is moved for the join.
     """
     groups = written(near_texts(docs.select("doc_id", "text")).where("doc_id IS NOT NULL AND n_shingles > 0"), "packing-groups")
     groups = groups.groupBy("doc_id").agg(F.min("component_id").alias("near"))
-    named = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left")
-    named = named.withColumn("cluster", F.coalesce("near", exact_cluster(F.col("text")))).select(*docs.columns, "cluster")
-    return named.unionByName(docs.where("doc_id IS NULL").withColumn("cluster", exact_cluster(F.col("text"))))
+    # Only a row without an id or a word can be without a group.
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    sized = docs.withColumns({"size": _bytes_of(F.col("text")), "cluster": F.when(alone, exact_cluster(F.col("text")))}).drop("text")
+    named = sized.where("doc_id IS NOT NULL").join(groups, "doc_id", "left").withColumn("cluster", F.coalesce("near", "cluster"))
+    return named.select(sized.columns).unionByName(sized.where("doc_id IS NULL"))
 
 
-def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _bytes_of(text: Column) -> Column:
+    return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACITY, block_rows: int = BLOCK_ROWS, size: Column | None = None) -> DataFrame:
     """(``doc_id``, ``piece``, ``start``, ``n_bytes``, ``bin_id``, ``bin_start``) of every piece of every row.
 
     A document longer than the capacity is cut in full pieces, each a bin of its own, and a rest. A null or empty text comes
     back as piece 0 of length 0 without a bin. A null ``source`` conflicts with nothing; a repeated row is packed again, its
     copies apart, being duplicates of each other. ``cluster`` names groups of duplicates (by default equal texts up to case and
-    white space). Only lengths and group names are moved, to blocks of about ``block_rows`` pieces; a hot source or a large
+    white space), ``size`` the bytes of a row (by default those of its ``text``). Only lengths and group names are moved, to blocks of about ``block_rows`` pieces; a hot source or a large
     group of copies is spread over the blocks like all rows.
     """
     if not 0 < capacity < 1 << 31:
         raise ValueError("capacity must be a positive int")
-    size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    size = _bytes_of(F.col("text")) if size is None else size
     group = exact_cluster(F.col("text")) if cluster is None else cluster
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), group.cast("long").alias("cluster"), size.alias("size"))
     pieces = rows.select(

@@ -51,7 +51,7 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Bin and place of every piece of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return packing.pack(packing.with_near_clusters(docs), F.col("cluster"))
+    return packing.pack(packing.with_near_clusters(docs), F.col("cluster"), size=F.col("size"))
 
 
 def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
