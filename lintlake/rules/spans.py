@@ -71,6 +71,17 @@ def first_where(array: Column | str, test: Callable[[Column], Column]) -> Column
     return F.aggregate(rounds, state(F.lit(0), F.size(values)), step, lambda acc: acc["low"])
 
 
+def line_starts(lines: str) -> Column:
+    """The offsets at which the lines of an array begin; pin it as ``line_starts``."""
+    starts = F.concat(F.array(F.lit(0)), F.expr(running_sums_sql(f"transform({lines}, x -> length(x) + 1)")))
+    return F.slice(starts, F.lit(1), F.size(lines))
+
+
+def line_at(offset: Column) -> Column:
+    """The line of an offset, by binary search in ``line_starts``."""
+    return first_where("line_starts", lambda s: s > offset) - 1
+
+
 def with_depths(base: DataFrame, **blocks: tuple[str, int]) -> DataFrame:
     """Pin for each ``name=(array of blocks, shift)`` what :func:`depth_at` needs.
 

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lintlake.functions.bind import let, pin
 from lintlake.functions.paths import daemon_context, dot_extension, language_of
-from lintlake.functions.text import running_sums_sql, trimmed
+from lintlake.functions.text import trimmed
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.lines import family_of
 from lintlake.rules.matches import line_matches, match_offsets
-from lintlake.rules.spans import IDENT, depth_at, first_where, of_kind, structure, with_blocks, with_depths, with_measures, with_nested
+from lintlake.rules.spans import IDENT, depth_at, first_where, line_starts, of_kind, structure, with_blocks, with_depths, with_measures, with_nested
+from lintlake.rules.spans import line_at as _line
 from lintlake.rules.spec import JS, REACT, WEB_JS
 from lintlake.schema import IMPACT, ISSUE_COLUMNS, lookup
 
@@ -46,10 +47,6 @@ def issue_struct(**values) -> Column:
 
 # ------------------------------------------------------------------ positions inside the frame
 # Offsets find their line by binary search in ``line_starts``, which the frame has with ``raw_lines``.
-def _line(offset: Column) -> Column:
-    return first_where("line_starts", lambda s: s > offset) - 1
-
-
 def _column(offset: Column) -> Column:
     return let(_line(offset), lambda line: offset - F.get("line_starts", line))
 
@@ -417,9 +414,8 @@ def with_script_hits(coded: DataFrame, groups: Sequence[str], thresholds: dict |
         base = pin(coded, lines=F.split("code", "\n", -1))
         if needs & _NESTED_COLUMNS:
             base = with_nested(base)
-    starts = F.concat(F.array(F.lit(0)), F.expr(running_sums_sql("transform(lines, x -> length(x) + 1)")))
     raw = F.when(F.col("code") != "", F.split("content", "\n", -1)).otherwise(F.array().cast("array<string>"))
-    base = pin(base, raw_lines=raw, line_starts=F.slice(starts, F.lit(1), F.size("lines")))
+    base = pin(base, raw_lines=raw, line_starts=line_starts("lines"))
     if "measures" in needs:
         base = with_measures(base)
     elif "funcs" in needs:

@@ -8,7 +8,7 @@ from lintlake.functions.bind import pin
 from lintlake.functions.paths import dot_extension
 from lintlake.rules.lexer import blank_code
 from lintlake.rules.matches import match_offsets
-from lintlake.rules.spans import IDENT, structure
+from lintlake.rules.spans import IDENT, line_at, line_starts, structure
 from lintlake.rules.spec import JS
 
 VARIABLE = rf"(?m)^[ \t]*(?:export\s+)?(?:const|let|var)\s+({IDENT})"
@@ -28,10 +28,9 @@ def _scripts(files: DataFrame) -> DataFrame:
     return picked.where(F.col("ext").isin(*["." + e for e in JS]))
 
 
-def _at(m: Column, text: str) -> Column:
+def _at(m: Column) -> Column:
     """Line of the first character of a hit that is not white space."""
-    lead = F.length(F.regexp_extract(m["hit"], r"^\s*", 0))
-    return F.regexp_count(F.substr(F.col(text), F.lit(1), m["offset"] + lead), F.lit("\n"))
+    return line_at(m["offset"] + F.length(F.regexp_extract(m["hit"], r"^\s*", 0)))
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -42,6 +41,7 @@ def symbols(files: DataFrame) -> DataFrame:
         variables=match_offsets("code", VARIABLE, 0, 1),
         aliases=match_offsets("code", TYPE_ALIAS, 0, 1),
         classes=F.filter("blocks", lambda b: b["kind"] == "class"),
+        line_starts=line_starts("lines"),
     )
     row = lambda name, kind, start, end, exported: F.struct(
         name.alias("name"), kind.alias("kind"), start.alias("line_start"), end.alias("line_end"),
@@ -63,7 +63,7 @@ def symbols(files: DataFrame) -> DataFrame:
         | ((b["kind"] == "function") & F.get("lines", b["line_start"]).rlike(DECLARED_FUNCTION)),
     )
     from_match = lambda kind: lambda m: row(
-        m["name"], kind(m), _at(m, "code"), _at(m, "code"), m["hit"].rlike(r"^\s*export\b")
+        m["name"], kind(m), _at(m), _at(m), m["hit"].rlike(r"^\s*export\b")
     )
     found = F.concat(
         F.transform(declared, from_block),
@@ -80,9 +80,10 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def imports(files: DataFrame) -> DataFrame:
     """One row per import statement with its module and the local names it binds."""
-    base = pin(_scripts(files), found=match_offsets("content", IMPORT_STATEMENT, 0, 2))
+    base = pin(_scripts(files), found=match_offsets("content", IMPORT_STATEMENT, 0, 2), lines=F.split("content", "\n", -1))
+    base = pin(base, line_starts=line_starts("lines"))
     rows = base.select("project_id", "path", F.posexplode(
-        F.transform("found", lambda m: m.withField("line", _at(m, "content")))
+        F.transform("found", lambda m: m.withField("line", _at(m)))
     ).alias("position", "m"))
     clause = F.regexp_extract("m.hit", IMPORT_STATEMENT, 1)
     named = F.regexp_extract(clause, r"\{([^}]*)\}", 1)
