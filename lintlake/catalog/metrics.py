@@ -304,9 +304,7 @@ SELECT project_id, coalesce(floor(avg(health_score) FILTER (scanned_at >= TIMEST
   coalesce(floor(avg(health_score) FILTER (scanned_at >= TIMESTAMP '2023-12-31 12:00:00') + 0.5)::BIGINT, arg_max(health_score, scanned_at)) AS average_30
 FROM {{snapshots}} GROUP BY 1""")
 def recent(t):
-    s = snapshots(t)
-    as_of = "2024-01-30 12:00:00"
-    return history.recent_average(s, 7, as_of).join(history.recent_average(s, 30, as_of), "project_id")
+    return history.recent_average(snapshots(t), (7, 30), "2024-01-30 12:00:00")
 
 
 @query("J04_latest_scan_per_project", """

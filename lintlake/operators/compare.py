@@ -42,19 +42,23 @@ def fixed_issues(base: DataFrame, head: DataFrame, scope: Sequence[str] = ("proj
 def compare_summary(base: DataFrame, head: DataFrame, base_scores: DataFrame, head_scores: DataFrame) -> DataFrame:
     """Per project: both scores, their difference, new and fixed counts, and whether it got worse.
 
-    The score tables have one row per project with ``health_score``; a missing score counts 0.
+    The score tables have one row per project with ``health_score``; a missing score counts 0. Each side is read once: both
+    are counted by key, where a key of one side only is new or fixed.
     """
-    upper = F.upper("severity")
-    fresh = new_issues(base, head).groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("new_issues"),
-        F.count_if(upper == "BLOCKER").alias("new_blockers"),
-        F.count_if(upper == "CRITICAL").alias("new_criticals"),
-    )
-    fixed = fixed_issues(base, head).groupBy("project_id").agg(F.count(F.lit(1)).alias("fixed_issues"))
+    upper, one, none = F.upper("severity"), F.lit(1), F.lit(0)
+    side = lambda issues, in_base, in_head: _keyed(issues).select(
+        "project_id", *KEY, in_base.alias("b"), in_head.alias("h"),
+        (in_head * (upper == "BLOCKER").cast("int")).alias("blockers"), (in_head * (upper == "CRITICAL").cast("int")).alias("criticals"))
+    counts = side(base, one, none).unionByName(side(head, none, one)).groupBy("project_id", *KEY).agg(
+        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("b", "h", "blockers", "criticals")])
+    only = lambda other, c: F.sum(F.when(F.col(other) == 0, F.col(c)).otherwise(0))
+    changed = counts.groupBy("project_id").agg(
+        only("b", "h").alias("new_issues"), only("b", "blockers").alias("new_blockers"), only("b", "criticals").alias("new_criticals"),
+        only("h", "b").alias("fixed_issues"))
     scores = base_scores.select("project_id", F.col("health_score").alias("base_score")).join(
         head_scores.select("project_id", F.col("health_score").alias("head_score")), "project_id", "full"
     )
-    out = scores.join(fresh, "project_id", "full").join(fixed, "project_id", "full").na.fill(0)
+    out = scores.join(changed, "project_id", "full").na.fill(0)
     return out.withColumns(
         {
             "score_delta": F.col("head_score") - F.col("base_score"),

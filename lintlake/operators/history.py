@@ -10,24 +10,22 @@ from lintlake.schema import js_round
 from lintlake.session import cut_lineage
 
 
-def previous_in_chunks(df: DataFrame, key: str, order: Sequence[str], value: str, chunk: Column, name: str) -> DataFrame:
+def previous_in_ranges(df: DataFrame, key: str, order: Sequence[str], value: str, name: str) -> DataFrame:
     """Add the previous value per key in an order, without sorting a whole key in one task.
 
-    Rows are ranked within chunks of the order (say, months); the last value of each chunk travels
-    to the next one through a table of one row per key and chunk.
+    Rows are cut into ranges of (key, order), as many as their size asks for, and ranked within them; the last value of each range
+    travels to the next one through a table of one row per key and range. The input is computed once.
     """
-    chunked = df.withColumn("_chunk", chunk)
-    tails = chunked.groupBy(key, "_chunk").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_tail"))
-    carried = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(key).orderBy("_chunk"))).drop("_tail")
-    within = F.lag(F.struct(value)).over(Window.partitionBy(key, "_chunk").orderBy(*order))
-    rows = chunked.withColumn("_within", within).join(carried, [key, "_chunk"])
-    return rows.withColumn(name, F.coalesce("_within", "_carry")[value]).drop("_chunk", "_carry", "_within")
+    rows = cut_lineage(df.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
+    tails = rows.groupBy(key, "_range").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_tail"))
+    carried = tails.withColumn("_carry", F.lag("_tail").over(Window.partitionBy(key).orderBy("_range"))).drop("_tail")
+    within = F.lag(F.struct(value)).over(Window.partitionBy(key, "_range").orderBy(*order))
+    joined = rows.withColumn("_within", within).join(carried, [key, "_range"])
+    return joined.withColumn(name, F.coalesce("_within", "_carry")[value]).drop("_range", "_carry", "_within")
 
 
 def _with_previous_score(snapshots: DataFrame) -> DataFrame:
-    return previous_in_chunks(
-        snapshots, "project_id", ["scanned_at", "scan_id"], "health_score", F.date_trunc("month", "scanned_at"), "previous"
-    )
+    return previous_in_ranges(snapshots, "project_id", ["scanned_at", "scan_id"], "health_score", "previous")
 
 
 def direction(diff: Column, margin: int) -> Column:
@@ -81,14 +79,16 @@ def project_snapshots(projects: DataFrame, scans: DataFrame) -> DataFrame:
     return projects.join(latest_scan(scans), "project_id", "left")
 
 
-def recent_average(snapshots: DataFrame, days: int, as_of: str) -> DataFrame:
-    """Rounded mean score since ``as_of - days``; the newest score when nothing is that recent."""
-    since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    recent = F.avg(F.when(F.col("scanned_at") >= since, F.col("health_score")))
+def recent_average(snapshots: DataFrame, days: int | Sequence[int], as_of: str) -> DataFrame:
+    """Rounded mean scores since ``as_of - days``, one column per number of days; the newest score when nothing is that recent."""
     newest = F.max_by("health_score", F.struct("scanned_at", "scan_id"))
-    return snapshots.groupBy("project_id").agg(
-        F.coalesce(js_round(recent), newest, F.lit(0)).cast("long").alias(f"average_{days}")
-    )
+
+    def mean(n: int) -> Column:
+        since = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(n))
+        recent = F.avg(F.when(F.col("scanned_at") >= since, F.col("health_score")))
+        return F.coalesce(js_round(recent), newest, F.lit(0)).cast("long").alias(f"average_{n}")
+
+    return snapshots.groupBy("project_id").agg(*[mean(n) for n in ([days] if isinstance(days, int) else days)])
 
 
 def failure_streaks(calls: DataFrame, threshold: int = 3, open_seconds: int = 60, key: str = "provider",
