@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from lintlake.catalog.bindings import corpus, issues
+from lintlake.catalog.bindings import code_files, corpus, issues
 from lintlake.catalog.core import query, relation, sql_case, sql_list, sql_text
 from lintlake.catalog.rule_sql import DAEMON_CONTEXT, EXT, LANGUAGE, WEB_CONTEXT
 from lintlake.functions import dates, paths, text
 from lintlake.operators import ingest
 from lintlake.schema import OLD_SEVERITY, SARIF_LEVEL, lookup
+from lintlake.session import checkpoint_dir
+from lintlake.sources import files as file_sources
 
 # Paths as uploads bring them: back slashes, leading slashes, climbing and vendor folders.
 MESSY = ("", "/", "\\", "../", "node_modules/", "a\\..\\", "Build/", "vendor/x/")
@@ -34,6 +38,16 @@ def read_files(t):
     return corpus(t).select("project_id", "path", F.md5("content").alias("digest"), "size")
 
 
+@query("S01_read_folder", """
+SELECT file_id, md5(content || chr(10)) AS digest, strlen(content) + 1 AS size FROM {{code_files}} WHERE strlen(content) < 4096""")
+def read_folder(t):
+    """The source files written to a folder, one file each, and read from there; those above a size limit are not opened."""
+    root = f"{checkpoint_dir(t.spark)}/folder-{uuid.uuid4().hex}"
+    code_files(t).select("file_id", "content").write.partitionBy("file_id").text(root)
+    read = file_sources.read_files(t.spark, root, glob="part-*", max_bytes=4096)
+    return read.select(F.regexp_extract("path", r"file_id=(\d+)/", 1).cast("long").alias("file_id"), F.md5("content").alias("digest"), "size")
+
+
 @query("S02_normalize_path", """
 SELECT path, FALSE AS rejected FROM {{normalized}}
 UNION ALL SELECT path, TRUE FROM {{messy}} WHERE file_id % 8 IN (3, 5)""")

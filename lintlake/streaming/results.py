@@ -9,6 +9,7 @@ overwrites its own folders and reads those of the others: the result is the same
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +48,10 @@ def analyse_new(root: str, rules_version: str, analyse: Callable[[DataFrame], Da
 
     ``analyse`` takes ``files(project_id, path, content)`` and returns issues (``project_id``, ``file_path``, further
     columns) of each file by itself. A content that stands twice in a batch is analysed once. Two contents of one path are
-    two files: while they are analysed, project and content hash together stand for the project.
+    two files: while they are analysed, project and content hash together stand for the project. The version names a folder.
     """
+    if not re.fullmatch(r"[\w.-]+", rules_version):
+        raise ValueError("a rules version consists of letters, digits, dots and dashes")
 
     def write(batch: DataFrame, epoch: int) -> None:
         known = seen(batch.sparkSession, root, rules_version).where(F.col("batch") != epoch).select(*ADDRESS)
