@@ -78,8 +78,12 @@ def frame_issues(files: DataFrame, static: bool, web: Column | None, config: dic
     registry = list(WEB_MATCH_RULES) if web is not None else []
     rules = [*lexical, *registry, *user_rules]
     prepared = files.select("project_id", "path", "content", dot_extension(F.col("path")).alias("ext"))
-    base = pin(prepared, code=F.when(script, blank_code(F.col("content"))).otherwise(""),
-               web=F.lit(False) if web is None else F.coalesce(web, F.lit(False)), family=family_of(F.col("path"), F.col("content")))
+    base = pin(prepared, web=F.lit(False) if web is None else F.coalesce(web, F.lit(False)), family=family_of(F.col("path"), F.col("content")))
+    # Files that no part looks at leave before anything is computed for them.
+    wanted = script | F.col("family").isin("markdown", "json") | F.col("web")
+    for rule in user_rules:
+        wanted = wanted | (ext.isin(*["." + e for e in rule.exts]) if rule.exts else F.lit(True))
+    base = pin(base.where(F.coalesce(wanted, F.lit(False))), code=F.when(script, blank_code(F.col("content"))).otherwise(""))
     gates = [None] * len(lexical) + [F.col("web")] * len(registry) + [None] * len(user_rules)
     hits = []
     if rules:

@@ -29,8 +29,9 @@ _BETWEEN = " "
 
 
 def addressed(files: DataFrame) -> DataFrame:
-    """``files`` with the address of their content."""
-    return files.withColumn("hash", content_hash16(F.col("content")))
+    """``project_id``, ``path``, ``content`` and its ``hash``; a null content or project counts as empty."""
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return files.select(filled("project_id"), "path", filled("content")).withColumn("hash", content_hash16(F.col("content")))
 
 
 def seen(spark: SparkSession, root: str, rules_version: str) -> DataFrame:
@@ -55,7 +56,7 @@ def analyse_new(root: str, rules_version: str, analyse: Callable[[DataFrame], Da
 
     def write(batch: DataFrame, epoch: int) -> None:
         known = seen(batch.sparkSession, root, rules_version).where(F.col("batch") != epoch).select(*ADDRESS)
-        fresh = addressed(batch.select(F.col("project_id").cast("string").alias("project_id"), "path", "content"))
+        fresh = addressed(batch)
         fresh = cut_lineage(fresh.dropDuplicates(list(ADDRESS)).join(known, list(ADDRESS), "left_anti"))
         owner = F.concat_ws(_BETWEEN, "hash", "project_id").alias("project_id")
         found = analyse(fresh.select(owner, "path", "content"))
@@ -71,7 +72,7 @@ def stored_issues(changes: DataFrame, root: str, rules_version: str, schema: T.S
     """The stored issues (``schema``, with ``hash``) of ``changes(project_id, path, content)``, once for every row that has the content."""
     table = read_or(changes.sparkSession, f"{root}/issues", schema, LAYOUT)
     table = table.where(F.col("rules_version") == rules_version).drop(*LAYOUT)
-    asked = addressed(changes).select(F.col("project_id").cast("string").alias("project_id"), F.col("path").alias("file_path"), "hash")
+    asked = addressed(changes).select("project_id", F.col("path").alias("file_path"), "hash")
     return table.join(asked, ["project_id", "file_path", "hash"])
 
 
