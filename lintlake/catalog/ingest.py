@@ -43,9 +43,9 @@ SELECT file_id, md5(content || chr(10)) AS digest, strlen(content) + 1 AS size F
 def read_folder(t):
     """The source files written to a folder, one file each, and read from there; those above a size limit are not opened."""
     root = f"{checkpoint_dir(t.spark)}/folder-{uuid.uuid4().hex}"
-    code_files(t).select("file_id", "content").write.partitionBy("file_id").text(root)
+    file_sources.write_files(code_files(t), root)
     read = file_sources.read_files(t.spark, root, glob="part-*", max_bytes=4096)
-    return read.select(F.regexp_extract("path", r"file_id=(\d+)/", 1).cast("long").alias("file_id"), F.md5("content").alias("digest"), "size")
+    return read.select(file_sources.file_id_of(F.col("path")).alias("file_id"), F.md5("content").alias("digest"), "size")
 
 
 @query("S02_normalize_path", """

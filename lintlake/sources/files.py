@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lintlake.functions.paths import ingest_extension
 from lintlake.schema import FILES
@@ -38,6 +41,43 @@ def read_files(spark: SparkSession, root: str, project_id: str = "project", glob
     return rows.withColumn("language", ingest_extension(F.col("path"))).select(*FILES.names)
 
 
+#: Files of a folder that :func:`write_files` makes.
+FOLDER_FILES = 1000
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """Each row of ``files(file_id, content)`` as a file of its own below ``root``, its text closed by a line break; see :func:`file_id_of`.
+
+    On a mounted folder the tasks write their rows' files themselves, into folders by ranges of the id: Spark's writer changes the
+    mode of every file, folder and checksum in a process of its own there. A repeated task writes the same files again.
+    """
+    default = files.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not (root.startswith("file:/") or root.startswith("/") and default.startswith("file:")):
+        files.select("file_id", "content").write.partitionBy("file_id").text(root)
+        return
+    base = re.sub("^(file:)?/+", "/", root)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, made, n = fs.LocalFileSystem(), set(), 0
+        for batch in batches:
+            for key, text in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist()):
+                folder = f"{base}/{key // FOLDER_FILES}"
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{folder}/part-{key}") as out:
+                    out.write(((text or "") + "\n").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    files.select("file_id", "content").mapInArrow(write, "n long").groupBy().sum("n").collect()
+
+
+def file_id_of(path: Column) -> Column:
+    """The id in the path of a file of :func:`write_files`."""
+    return F.regexp_extract(path, r"(?:file_id=|/part-)(\d+)(?:/part-[^/]*)?$", 1).cast("long")
+
+
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for project_id, content in zip(batch["project_id"], batch["content"]):

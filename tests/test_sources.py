@@ -258,3 +258,21 @@ def test_requests_hold_whole_texts_and_related_files(spark, make_files):
     assert [x["path"] for x in prompts["i-2"]["related"]] == ["a.ts"] and "3: f1();" in prompts["i-1"]["code"]
     totals = context.project_context(files, issues, edges).first()
     assert (totals.n_files, totals.total_issues, totals.files_with_issues, totals.n_edges, totals.most_dependents, totals.not_imported) == (5, 2, 2, 2, 1, 3)
+
+
+def test_rows_become_files_of_few_folders(spark, folder):
+    rows = spark.createDataFrame([(k, "x\n" * k) for k in range(0, 3000, 100)], "file_id long, content string")
+    sources.write_files(rows, f"file://{folder}/out")
+    made = [p for p in Path(folder).rglob("*") if p.is_file()]
+    assert len(made) == 30 and not [p for p in made if p.name.endswith(".crc")]
+    assert {p.parent.name for p in made} == {"0", "1", "2"}
+    read = sources.read_files(spark, f"{folder}/out", glob="part-*").select(sources.file_id_of(F.col("path")).alias("k"), "content").collect()
+    assert {r.k: r.content for r in read} == {k: "x\n" * k + "\n" for k in range(0, 3000, 100)}
+    other = spark.createDataFrame([("p/file_id=17/part-00000-x.c000.txt",)], "path string").select(sources.file_id_of(F.col("path")))
+    assert other.first()[0] == 17
+
+
+def test_texts_are_not_broadcast(make_files, make_issues):
+    files, found = make_files({"src/a.ts": "a\nb\nc"}), make_issues([{"line_start": 1}])
+    plan = context.fix_context(files, found)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 2
