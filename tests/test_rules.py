@@ -311,3 +311,29 @@ def test_switches_and_user_rules(spark, make_files):
     external = match_issues(files, load_rules(registry)).selectExpr("* except (source)", "'external' AS source", "'team-word-0' AS issue_id")
     assert {r.rule_id for r in report(files, external=external, sources="external").collect()} == {"team-word"}
     assert "team-word" not in {r.rule_id for r in report(files, external=external, sources="internal").collect()}
+
+
+def test_short_tests_pass_over_no_line():
+    """What the short tests of a line rule out, the long ones would not have matched; braces as counted one by one."""
+    import re
+
+    from lintlake.rules import spans
+
+    words = ["function f", "const a = ", "x => x", "for (", "do {", "while(a)", "run(a) {", "async get x(b): T {", "} else if (c) {", "a ? b : c", "a?.b",
+             "a ?? b", "a && b", "a || b", "case 1:", "switch (x) {", "class A", "interface B", "enum C", "try {", "catch (e) {", "useEffect(", "plain", "}", "{"]
+    lines = [f"{a}{gap}{b}" for a in words for b in words for gap in ("", " ", "\t")]
+    java = lambda p: re.compile(p.replace(")*+", ")*"))
+    for short, longs in ((spans.MAY_START, [spans.ANY_START]), (spans.MAY_BRANCH, [spans.BRANCHES, spans.CONTROL, spans.NULLISH, spans.LOGICAL])):
+        for x in lines:
+            assert java(short).search(x) or not any(java(p).search(x) for p in longs), x
+    assert all(re.search(spans.ONE_OPENER, x) for x in ("{", "a {b")) and not any(re.search(spans.ONE_OPENER, x) for x in ("{}", "}{", "{ {", "}"))
+
+
+def test_brackets_of_a_batch_are_one_array():
+    import pyarrow as pa
+
+    from lintlake.rules.nesting import _nested_of
+
+    got = _nested_of(pa.array(["a.b<c>(d, e)", None, "x(y ? z : w)"])).to_pylist()
+    assert [[(p["head"], p["parts"]) for p in r["parens"]] for r in got] == [[(".b", 2)], [], [("x", 1)]]
+    assert [len(r["conditional"]) for r in got] == [0, 0, 1] and len(_nested_of(pa.array([], pa.string()))) == 0
