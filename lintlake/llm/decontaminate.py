@@ -1,8 +1,8 @@
 """Benchmark passages in documents: latent semantic retrieval, then sequence and answer checks.
 
 1. Document frequencies of hashed words over all documents.
-2. A latent space from a distributed randomised SVD of TF-IDF passages: all passages of the benchmark and a bounded sample
-   of passages of the corpus.
+2. A latent space from a distributed randomised SVD of TF-IDF passages: all passages of the benchmark and all passages of the
+   corpus, over the terms of the benchmark (a word that no item has tells no items apart; it counts in the length of a passage).
 3. Every passage of every document is folded into that space and compared with all benchmark passages by cosine.
 4. The candidates are checked on the words themselves: the longest common subsequence, and for paraphrases the telling words of
    the answer (the last sentence).
@@ -23,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.common import mixed, slices, text_bytes, written
+from lintlake.llm.common import mixed, slices, text_bytes
 from lintlake.llm.minhash_dedup import word_hashes
 
 #: Hashed terms, rank of the latent space and the extra directions of the randomised range finder.
@@ -33,8 +33,9 @@ RANK, OVERSAMPLE = 256, 16
 WINDOW, STEP = 64, 32
 #: Benchmark items of a latent space: fewer than its rank. A larger benchmark is searched in more blocks.
 BLOCK_ITEMS = 200
-#: At most about so many passages of the corpus are in the fit of the latent spaces, besides all passages of the benchmark block.
-SAMPLE_PASSAGES = 2048
+#: All passages of the corpus together weigh as much in the fit of a latent space as so many passages of the benchmark, or as many as
+#: they are if they are fewer: else a large corpus would leave the benchmark no direction of its own.
+CORPUS_WEIGHT = 2048
 #: Cosine from which a pair is checked word by word: set low, as the checks decide.
 MIN_COSINE = 0.13
 #: Words in more documents than this number and this share are common: they tell nothing about an answer.
@@ -43,7 +44,8 @@ COMMON_DOCUMENTS, COMMON = 50, 0.02
 ANSWER_WORDS = 3
 #: Share of an item's words in common order from which it counts as copied, and, if its answer is there too, as paraphrased.
 COPIED, PARAPHRASED, ANSWERED = 0.75, 0.5, 0.8
-_AT_ONCE = 24
+#: A term is multiplied from more than one occurrence in so many stretches of text; passages that are folded at once.
+_DENSE, _PASSAGES = 120, 4096
 FOUND = "doc_id long, item_id long, lcs double, answer double, start_word long"
 SEED = 9_091
 
@@ -98,26 +100,31 @@ def read_items(benchmark: DataFrame, low: tuple[int, str] | None = None) -> list
     return [Item(r["item_id"], r["text"], w, a) for r, w, a in zip(rows, _words(bodies), _words(answers))]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of all documents each hashed term occurs, and the number of documents."""
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int, int]:
+    """In how many of all documents each hashed term occurs, the number of documents and that of their passages."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(TERMS, np.int64), 0
+        total, rows, passages = np.zeros(TERMS, np.int64), 0, 0
         for batch in slices(batches, "text", 1 << 20):
             hashes, ends = _blocked(batch.column("text"))
             rows += batch.num_rows
+            passages += len(_passages(ends)[0])
             key = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(ends)) * TERMS + _terms(hashes)
-            total += np.bincount(np.unique(key) % TERMS, minlength=TERMS)
+            key = np.sort(key.astype(np.int32) if batch.num_rows <= 1 << 12 else key)
+            total += np.bincount(key[np.diff(key, prepend=-1) > 0] % TERMS, minlength=TERMS)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, some]), pa.array(np.r_[rows, total[some]])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, some]), pa.array(np.r_[passages, rows, total[some]])], names=["term", "n"])
 
-    out, n = np.zeros(TERMS, np.int64), 0
-    for row in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        if row["term"] < 0:
-            n = row["n"]
-        else:
-            out[row["term"]] = row["n"]
-    return out, n
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [pa.array([batch.column(name).to_numpy().tobytes()], pa.binary()) for name in ("term", "n")]
+            yield pa.RecordBatch.from_arrays(bodies, names=["term", "n"])
+
+    out = np.zeros(TERMS + 2, np.int64)  # the two last ones, by negative index, are passages and documents
+    sums = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    for row in sums.mapInArrow(packed, "term binary, n binary").toLocalIterator():
+        out[np.frombuffer(row["term"], np.int64)] = np.frombuffer(row["n"], np.int64)
+    return out[:TERMS], int(out[-1]), int(out[-2])
 
 
 def _signs(terms: np.ndarray, width: int) -> np.ndarray:
@@ -126,66 +133,134 @@ def _signs(terms: np.ndarray, width: int) -> np.ndarray:
     return ((mixed(seeds) >> np.uint64(63)).astype(np.float32) * 2 - 1)
 
 
-def latent_space(passages: DataFrame, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, their rows of the latent space) by a randomised SVD of the unit TF-IDF vectors of ``passages`` (``words``).
+def _lengths(terms: np.ndarray, start: np.ndarray, stop: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Euclidean length of the TF-IDF vector of each passage, repeated words counted as one of more weight."""
+    at = start[:, None] + np.arange(WINDOW)
+    own = np.where(at < stop[:, None], terms[np.minimum(at, len(terms) - 1)], TERMS).astype(np.int32)
+    own.sort(axis=1)
+    first = np.ones(own.shape, bool)
+    first[:, 1:] = own[:, 1:] != own[:, :-1]
+    runs = np.flatnonzero(first)
+    weight = np.diff(runs, append=own.size) * np.append(idf, 0)[own.ravel()[runs]]
+    return np.sqrt(np.bincount(runs // WINDOW, weight**2, len(start)))
+
+
+class _Folder:
+    """Sums of one row of a matrix for each word of a passage that has one.
 
-    One distributed pass projects the passages to a random basis and adds up its small Gram matrix; a second one adds up
-    the passages in the orthonormal basis of that range, by term; the driver sees matrices of the rank only.
+    Words that are frequent in a block of texts are counted by place and multiplied, all others are added one by one.
     """
-    width = RANK + OVERSAMPLE
 
-    def weighted(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        for words in batch.column("words").to_pylist():
-            terms, counts = np.unique(np.asarray(words, np.int64), return_counts=True)
-            weight = (counts * idf[terms]).astype(np.float32)
-            out.append((terms, weight / max(float(np.linalg.norm(weight)), 1e-12)))
+    def __init__(self, terms: np.ndarray, rows: np.ndarray):
+        self.rows = rows
+        self.place = np.full(TERMS, -1, np.int32)
+        self.place[terms] = np.arange(len(terms))
+
+    def cut(self, own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> None:
+        """Take the passages of a block: where they overlap, what lies between two edges is summed once."""
+        self.cuts = np.unique(np.concatenate([start, stop]))
+        self.low, self.high = np.searchsorted(self.cuts, start), np.searchsorted(self.cuts, stop)
+        self.most = int((self.high - self.low).max(initial=1))
+        place = self.place[own]
+        known = np.flatnonzero(place >= 0)
+        place, between = place[known], np.searchsorted(self.cuts, known, side="right") - 1
+        column = np.full(len(self.rows), -1, np.int64)
+        self.often = np.flatnonzero(np.bincount(place, minlength=len(column)) > len(self.cuts) / _DENSE)
+        column[self.often] = np.arange(len(self.often))
+        dense = column[place] >= 0
+        cells = between[dense] * len(self.often) + column[place[dense]]
+        self.counts = np.bincount(cells, minlength=len(self.cuts) * len(self.often)).astype(np.float32).reshape(len(self.cuts), -1)
+        self.of_rest, self.between = place[~dense], between[~dense]
+
+    def folded(self) -> np.ndarray:
+        """The sum of each passage."""
+        sums = self.counts @ self.rows[self.often]
+        _add_rows(sums, self.between, self.rows, self.of_rest)
+        out = sums[self.low]
+        for step in range(1, self.most):
+            more = self.low + step < self.high
+            out[more] += sums[self.low[more] + step]
         return out
 
-    def projected(rows) -> np.ndarray:
-        return np.stack([w @ _signs(t, width) for t, w in rows]) if rows else np.zeros((0, width), np.float32)
+    def spread(self, rows: np.ndarray, total: np.ndarray) -> None:
+        """The way back: add to each term's row of ``total`` the row of every passage, as often as it holds the term."""
+        sums = np.zeros((len(self.cuts), rows.shape[1]), np.float32)
+        for step in range(self.most):
+            more = self.low + step < self.high
+            sums[self.low[more] + step] += rows[more]
+        total[self.often] += self.counts.T @ sums
+        _add_rows(total, self.of_rest, sums, self.between)
 
-    def gram(batches):
-        total = np.zeros((width, width))
-        for batch in batches:
-            y = projected(weighted(batch)).astype(np.float64)
-            total += y.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(list(total))], names=["i", "row"])
-
-    sums = np.zeros((width, width))
-    for row in passages.mapInArrow(gram, "i long, row array<double>").toLocalIterator():
-        sums[row["i"]] += row["row"]
-    values, vectors = np.linalg.eigh(sums)
-    good = values > max(values.max(), 0) * 1e-9
+
+def _add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """Add ``rows[of]`` to ``total[at]``, in rounds of different ``at``."""
+    order = np.argsort(at, kind="stable")
+    at, of = at[order], of[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    turn = np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))
+    by_turn = np.argsort(turn, kind="stable")
+    for part in np.split(by_turn, np.cumsum(np.bincount(turn))[:-1]) if len(at) else ():
+        total[at[part]] += rows[of[part]]
+
+
+def _runs(own: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words and passages of a block, ``_PASSAGES`` at a time: a long text takes no more memory than others."""
+    for k in range(0, len(start), _PASSAGES):
+        a, b = start[k], stop[k : k + _PASSAGES].max()
+        yield own[a:b], start[k : k + _PASSAGES] - a, stop[k : k + _PASSAGES] - a
+
+
+def latent_space(docs: DataFrame, passages: list[np.ndarray], idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, their rows of the latent space) by a randomised SVD of unit TF-IDF vectors over the terms of ``passages``.
+
+    The vectors are those of ``passages`` (terms of the benchmark's) and of all ``n`` passages of ``docs``. For the matrix A of
+    them and a random basis R, one distributed pass adds up A'AR by term; R'A'AR is the Gram matrix of the passages in the
+    random basis, and A'AR in its orthonormal form is what a second pass would add up. The driver sees matrices of the rank only.
+    """
+    width = RANK + OVERSAMPLE
+    terms = np.unique(np.concatenate(passages))
+    signs = _signs(terms, width)
+    shared = docs.sparkSession.sparkContext.broadcast((terms, idf.astype(np.float32)))
+
+    def added(folder: _Folder, own, start, stop, idf, total) -> None:
+        for own, start, stop in _runs(own, start, stop):
+            folder.cut(own, start, stop)
+            folder.spread(folder.folded() / np.maximum(_lengths(own, start, stop, idf) ** 2, 1e-12)[:, None].astype(np.float32), total)
+
+    def of_corpus(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        folder = _Folder(terms, _signs(terms, width) * idf[terms][:, None])
+        total = np.zeros((len(terms), width))
+        for batch in slices(batches, "text", 256 << 10):
+            hashes, ends = _blocked(batch.column("text"))
+            if len(hashes):
+                added(folder, _terms(hashes), *_passages(ends)[:2], idf, total)
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some), pa.array([x.tobytes() for x in total[some].astype(np.float32)], pa.binary())], names=["place", "row"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        places, at = np.unique(rows.column("place").to_numpy(), return_inverse=True)
+        total = np.zeros((len(places), width))
+        for k, row in zip(at, rows.column("row")):
+            total[k] += np.frombuffer(row.as_buffer(), np.float32)
+        return pa.table({"place": places, "row": pa.array([x.tobytes() for x in total.astype(np.float32)], pa.binary())})
+
+    ends = np.r_[0, np.cumsum([len(x) for x in passages])]
+    z = np.zeros((len(terms), width))
+    added(_Folder(terms, signs * idf[terms][:, None].astype(np.float32)), np.concatenate(passages), ends[:-1], ends[1:], idf, z)
+    parts = docs.select("text").mapInArrow(of_corpus, "place long, row binary").withColumn("shard", F.pmod("place", F.lit(64)))
+    for row in parts.groupBy("shard").applyInArrow(summed, "place long, row binary").toLocalIterator():
+        z[row["place"]] += np.frombuffer(row["row"], np.float32) * min(1.0, CORPUS_WEIGHT / max(n, 1))
+    shared.destroy()
+    z *= idf[terms][:, None]
+    sums = signs.T.astype(np.float64) @ z
+    values, vectors = np.linalg.eigh((sums + sums.T) / 2)
+    good = values > max(values.max(), 0) * 1e-6  # rows are added up in single precision
     if not good.any():
         return np.zeros(0, np.int64), np.zeros((0, 1), np.float32)
-    basis = (vectors[:, good] / np.sqrt(values[good])).astype(np.float32)
-
-    def by_term(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            rows = weighted(batch)
-            q = projected(rows) @ basis
-            for (terms, weight), row in zip(rows, q):
-                for t, w in zip(terms.tolist(), weight):
-                    sums[t] = sums.get(t, 0) + w * row
-        if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())],
-                names=["term", "row"])
-
-    def added(rows: pa.Table) -> pa.Table:
-        terms, place = np.unique(rows.column("term").to_numpy(), return_inverse=True)
-        values = np.frombuffer(b"".join(rows.column("row").to_pylist()), np.float32).reshape(len(place), -1)
-        total = np.zeros((len(terms), values.shape[1]), np.float32)
-        np.add.at(total, place, values)
-        return pa.table({"term": terms, "row": pa.array([x.tobytes() for x in total], pa.binary())})
-
-    parts = passages.mapInArrow(by_term, "term long, row binary").withColumn("shard", F.pmod("term", F.lit(64)))
-    summed = sorted((r["term"], r["row"]) for r in parts.groupBy("shard").applyInArrow(added, "term long, row binary").toLocalIterator())
-    terms = np.array([t for t, _ in summed], np.int64)
-    b = np.frombuffer(b"".join(r for _, r in summed), np.float32).reshape(len(terms), -1)  # B transposed: terms x range
-    values, vectors = np.linalg.eigh(b.T.astype(np.float64) @ b)
+    b = z @ (vectors[:, good] / np.sqrt(values[good]))  # terms x range
+    values, vectors = np.linalg.eigh(b.T @ b)
     order = np.argsort(values)[::-1][:RANK]
     order = order[values[order] > values.max() * 1e-9]
     return terms, (b @ (vectors[:, order] / np.sqrt(values[order]))).astype(np.float32)
@@ -211,10 +286,8 @@ class _Searcher:
 
     def __init__(self, shared):
         self.names, bodies, answers, idf, terms, self.space, self.queries, self.owners = shared.value
-        self.place = np.full(TERMS, -1, np.int32)
-        self.place[terms] = np.arange(len(terms))
         self.squares = idf.astype(np.float32) ** 2
-        self.weighted = self.space * idf[terms].astype(np.float32)[:, None]
+        self.folder = _Folder(terms, self.space * idf[terms].astype(np.float32)[:, None])
         self.bodies, self.answers = [x.tolist() for x in bodies], [x.tolist() for x in answers]
         # Per item its different words, how often each occurs if any is repeated, and the places that a find must hold.
         self.sets = [frozenset(x) for x in self.bodies]
@@ -226,23 +299,11 @@ class _Searcher:
         """Cosine of each passage, folded into the latent space, with each query."""
         energy = np.concatenate([[0], np.cumsum(self.squares[own], dtype=np.float64)])
         norm = np.sqrt(energy[stop] - energy[start]) + 1e-9
-        # Sums between the edges of passages first: where passages overlap, every word is added once.
-        known = np.flatnonzero(self.place[own] >= 0)
-        cuts = np.unique(np.concatenate([start, stop]))
-        first = np.searchsorted(known, cuts)
-        sums = np.zeros((len(cuts), self.space.shape[1]), np.float32)
-        filled = np.flatnonzero(np.diff(np.append(first, len(known))) > 0)
-        rows, edges = self.place[own[known]], np.append(first[filled], len(known))
-        for k in range(0, len(filled), _AT_ONCE):  # few rows at a time, so that they stay in the cache
-            stop_at = min(k + _AT_ONCE, len(filled))
-            a, b = edges[k], edges[stop_at]
-            sums[filled[k:stop_at]] = np.add.reduceat(self.weighted[rows[a:b]], edges[k:stop_at] - a, axis=0)
-        low, high = np.searchsorted(cuts, start), np.searchsorted(cuts, stop)
-        latent = sums[low]
-        for step in range(1, int((high - low).max(initial=1))):
-            more = low + step < high
-            latent[more] += sums[low[more] + step]
-        return (latent @ self.queries.T) / norm[:, None].astype(np.float32)
+        out = np.zeros((len(start), len(self.queries)), np.float32)
+        for k, run in enumerate(_runs(own, start, stop)):
+            self.folder.cut(*run)
+            np.matmul(self.folder.folded(), self.queries.T, out=out[k * _PASSAGES :][: len(run[1])])
+        return out / norm[:, None].astype(np.float32)
 
     def found(self, column: pa.Array) -> dict[tuple[int, int], tuple[float, float, int]]:
         """(share in common order, share of the answer, minus the first word) of each (text, item) that is found."""
@@ -327,30 +388,11 @@ def _blocks(docs: DataFrame, benchmark: DataFrame) -> Iterator:
         items = [x for x in items if len(x.words)]
         if items:
             if corpus is None:
-                frequencies, n = document_frequencies(docs)
-                corpus = frequencies, n, _sample(docs, n)
-            yield _shared(items, *corpus)
-
-
-def _sample(docs: DataFrame, n: int) -> DataFrame:
-    """(``words``): terms of one passage of each drawn document, about ``SAMPLE_PASSAGES`` of all; drawn by id and text."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            hashes, ends = _blocked(batch.column("text"))
-            terms = _terms(hashes)
-            start, stop, text = _passages(ends)
-            # The place is drawn by the document's number of words.
-            _, first, many = np.unique(text, return_index=True, return_counts=True)
-            pick = first + (np.diff(ends)[text[first]] * 7919) % many if len(first) else first
-            yield pa.RecordBatch.from_arrays([pa.array([terms[a:b].tolist() for a, b in zip(start[pick], stop[pick])], pa.list_(pa.int64()))], ["words"])
-
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(min(1.0, SAMPLE_PASSAGES / max(n, 1)) * (1 << 40)))
-    return written(docs.where(draw).select("text").mapInArrow(cut, "words array<bigint>"), "latent-sample")
+                corpus = document_frequencies(docs)
+            yield _shared(docs, items, *corpus)
 
 
-def _shared(items: list[Item], frequencies: np.ndarray, n: int, sample: DataFrame):
-    spark = sample.sparkSession
+def _shared(docs: DataFrame, items: list[Item], frequencies: np.ndarray, n: int, n_passages: int):
     idf = np.log((1.0 + n) / (1.0 + frequencies)) + 1e-3
     own, owners, answers = [], [], []
     for i, item in enumerate(items):
@@ -360,11 +402,10 @@ def _shared(items: list[Item], frequencies: np.ndarray, n: int, sample: DataFram
         owners += [i] * len(start)
         telling = item.answer[frequencies[_terms(item.answer)] <= max(COMMON_DOCUMENTS, COMMON * n)]
         answers.append(telling if len(telling) >= ANSWER_WORDS else telling[:0])
-    bench = spark.createDataFrame(pa.table({"words": pa.array([x.tolist() for x in own], pa.list_(pa.int64()))}))
-    terms, space = latent_space(sample.unionByName(bench).coalesce(8), idf)
+    terms, space = latent_space(docs, own, idf, n_passages)
     place = {int(t): k for k, t in enumerate(terms)}
     queries = np.stack([
         sum((idf[t] * space[place[t]] for t in x.tolist() if t in place), np.zeros(space.shape[1], np.float32)) for x in own])
     queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-9)
-    return spark.sparkContext.broadcast((
+    return docs.sparkSession.sparkContext.broadcast((
         [x.item_id for x in items], [x.words for x in items], answers, idf, terms, space, queries.astype(np.float32), np.array(owners)))

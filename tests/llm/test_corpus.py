@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,36 @@ def test_recall_on_a_full_block(spark, make_docs, monkeypatch):
     assert decontaminate.leaks(make_docs(texts), bench).count() == 0
 
 
+def test_the_latent_space_is_fitted_on_all_passages(spark, make_docs, monkeypatch):
+    """Its directions are those of the Gram matrix of every passage of every document, whatever their number."""
+    monkeypatch.setattr(decontaminate, "CORPUS_WEIGHT", 40)
+    rng = random.Random(16)
+    items, texts = [passage(rng, 30) for _ in range(4)], [passage(rng, rng.choice((0, 3, 64, 65, 200))) for _ in range(90)]
+    texts += ["only the last document has these words " * 30 + passage(rng, 5)]
+    docs = make_docs(texts)
+    frequencies, n, n_passages = decontaminate.document_frequencies(docs)
+    idf = np.log((1.0 + n) / (1.0 + frequencies)) + 1e-3
+    own = [decontaminate._terms(x) for x in decontaminate._words(items)]
+    terms, space = decontaminate.latent_space(docs, own, idf, n_passages)
+
+    place, cut = {t: k for k, t in enumerate(terms.tolist())}, []
+    for words in (decontaminate._terms(x).tolist() for x in decontaminate._words(texts)):
+        last = max(0, -(-(len(words) - decontaminate.WINDOW) // decontaminate.STEP))
+        cut += [words[k * decontaminate.STEP :][: decontaminate.WINDOW] for k in range(last + 1) if words]
+    assert (n, n_passages) == (len(texts), len(cut))
+    gram = np.zeros((len(terms), len(terms)))
+    for words, weight in [(x.tolist(), 1.0) for x in own] + [(x, 40 / len(cut)) for x in cut]:
+        full = {t: words.count(t) * idf[t] for t in set(words)}
+        row = np.zeros(len(terms))
+        for t, v in full.items():
+            if t in place:
+                row[place[t]] = v / np.sqrt(sum(x * x for x in full.values()))
+        gram += weight * np.outer(row, row)
+    values, vectors = np.linalg.eigh(gram)
+    assert values[-1] > 1.05 * values[-2] and abs(vectors[:, -1] @ space[:, 0]) > 0.999
+    assert np.allclose(space.T @ gram @ space, np.diag(values[::-1][: space.shape[1]]), atol=1e-3 * values[-1])
+
+
 def test_an_answer_of_common_words_decides_nothing(spark, make_docs):
     rng = random.Random(15)
     item = passage(rng, 40) + ".\nIs the was that of."
