@@ -356,3 +356,40 @@ def test_files_without_a_hit_are_passed_over_early(make_files, monkeypatch):
     assert all(0 < n < coded.count() for n in kept.values())
     monkeypatch.setattr(structural, "MAY_HIT", {})
     assert with_look == {g: rows(g) for g in groups} and all(with_look.values())
+
+
+def test_plain_parameters_need_no_stack(make_files):
+    """Parameters counted on a line are those of the stack, which runs only over files where a look at the line cannot tell."""
+    from lintlake.rules import spans
+
+    heads = ["a, b", "", " ", "a,", "a: Map<string>, b", "a: Map<string, number>, b", "{ a, b }, c", "a = [1, 2], b", "f: (x) => y, b", "a < 1, b", "é, b", "a,\n b"]
+    files = make_files({f"f{i}.ts": f"const q = 1; function run({h}) {{\n  if (a) {{ go(1, 2, 3); }}\n}}" for i, h in enumerate(heads)})
+    rows = {r["path"]: r["params"] for r in spans.function_spans(files).collect()}
+    assert [rows[f"f{i}.ts"] for i in range(len(heads))] == [nested(f"({h})")[0][-1 if h != "f: (x) => y, b" else 0][5] for h in heads]
+    blocks = spans.with_blocks(files.withColumn("code", F.col("content")), nested=True)
+    open_ended = blocks.where("code LIKE '%string, number%'").count()
+    assert open_ended == 1 and "parens" not in blocks.columns
+
+
+def test_rules_of_one_kind_give_the_rows_of_all(make_files):
+    """A rule of the complexity group alone, which passes over files and measures only what it reads, has the rows it has among all."""
+    body = "\n".join(f"{'  ' * i}if (a{i} && b) {{" for i in range(7)) + "\n" + "}\n" * 7
+    deep = f"function deep(a, b, c, d, e, f) {{\n{body}}}"
+    files = make_files({"deep.ts": deep, "long.ts": LONG, "twice.ts": deep + "\n" + LONG, "none.ts": "const a = 1;", "empty.ts": ""})
+    rows = lambda found: sorted(map(str, found.collect()))
+    whole = structural.script_issues(files, ["complexity"]).cache()
+    for rule in structural.COMPLEXITY:
+        alone = rows(structural.script_issues(files, ["complexity"], complexity=[rule]))
+        assert alone == rows(whole.where(F.col("rule_id") == rule)) and (alone or rule == "cyclomatic"), rule
+
+
+def test_positions_by_line_breaks_and_runs(make_files):
+    """Symbols find their line by the breaks before them, literals are counted by runs, one number of a line needs no sums."""
+    from lintlake.rules import symbols
+
+    text = "\n\nconst\n  a = 1;\nlet b = 2\n\n\nexport const c = 777 + x;\nrun(777, 1.5); go(1.5);\nrun(98765);\n\ntype T = A;"
+    files = make_files({"s.ts": text})
+    assert sorted((r["name"], r["line_start"]) for r in symbols.symbols(files).collect()) == [("T", 11), ("a", 2), ("b", 4), ("c", 7)]
+    assert [(r["value"], r["occurrences"]) for r in structural.repeated_literals(files).collect()] == [("1.5", 2)]
+    numbers = structural.script_issues(files, ["magic-numbers"]).collect()
+    assert sorted((r["line_start"], r["col_start"], r["col_end"]) for r in numbers) == [(8, 4, 7), (9, 4, 9)]
