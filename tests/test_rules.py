@@ -383,6 +383,22 @@ def test_rules_of_one_kind_give_the_rows_of_all(make_files):
         assert alone == rows(whole.where(F.col("rule_id") == rule)) and (alone or rule == "cyclomatic"), rule
 
 
+def test_many_parameters_are_told_without_bodies(make_files):
+    """The rule on parameters looks at the lines where functions start, at no brace, and has the rows it has among all rules."""
+    heads = ["a, b, c, d, e, f", "a, b, c, d, e", "a, b, c, d, e, f,", "a = [1, 2, 3, 4, 5, 6], b", "a: Map<x, y>, b, c, d, e", "{ a, b, c, d, e, f }",
+             "a,\n b, c, d, e, f", "a = g(1, 2), b, c, d, e, f", "(", "a, [[[[[[[[[ b), c, d, e, f", "f: (x) => y, b, c, d, e, g", "é, b, c, d, e, f"]
+    shapes = ["function run({h}) {{\n  go(1, 2, 3, 4, 5, 6);\n}}", "class A {{\n  static run({h}) {{\n  }}\n}}", "const run = async ({h}) => go(1, '{h}');",
+              "go(1); let q = x => x; function run({h}) {{ }}", "// function run({h}) {{\nconst t = `function run({h})`; run({h});"]
+    files = make_files({f"f{i}_{k}.ts": shape.format(h=h) for i, h in enumerate(heads) for k, shape in enumerate(shapes)})
+    rows = lambda found: sorted(map(str, found.collect()))
+    for limit in (0, 1, 5):
+        given = {"max_params": limit}
+        whole = structural.script_issues(files, ["complexity"], given).where(F.col("rule_id") == "params")
+        alone = structural.script_issues(files, ["complexity"], given, complexity=["params"])
+        assert rows(alone) == rows(whole) and len(rows(alone)) > 10
+    assert "closings" not in alone._jdf.queryExecution().toString() and "closings" in whole._jdf.queryExecution().toString()
+
+
 def test_positions_by_line_breaks_and_runs(make_files):
     """Symbols find their line by the breaks before them, literals are counted by runs, one number of a line needs no sums."""
     from lintlake.rules import symbols
