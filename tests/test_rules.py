@@ -399,6 +399,35 @@ def test_many_parameters_are_told_without_bodies(make_files):
     assert "closings" not in alone._jdf.queryExecution().toString() and "closings" in whole._jdf.queryExecution().toString()
 
 
+ODD_BODIES = [
+    "function f(a) {{\n{x}\n}}", "if (a)\n  function f() {{\n{x}\n}}\n{x}", "while (a) {{\nconst f = () => {{\n{x}\n}};\n}}", "class A {{\n run() {{\n{x}\n", "}} }}\nfunction f() {{\n{x}\n}} }} }}\n{x}",
+    "function f() {{ return a => b; }}\n{x}", "function f()\n{{\n{x}\n}}", "run() {{\nfunction g() {{\n{x}\n}}\n{x}\n}}", "{x}", "function f() {{ `\n{x}\n`; }}",
+]
+ODD_STATEMENTS = [
+    "if (a && b || c) {\n for (;;) { x ? y : z; }\n} else if (d) {\n do {\n try { b ?? c; } catch (e) { while (f) { g?.h; } }\n } while (k)\n}",
+    "if (a)\n if (b)\n  if (c) return d ? e : f;", "a ???? b; // if (x) { while (y) {\nswitch (c) { case 1: if (d) { e(); } }", "}\nif (a) { b(); } }\n{ {", "go(1);\n" * 5 + "if (a) { }",
+]
+
+
+def odd_functions(make_files):
+    return make_files({f"f{i}_{k}.ts": body.format(x=x) for i, body in enumerate(ODD_BODIES) for k, x in enumerate(ODD_STATEMENTS)})
+
+
+def test_long_functions_need_room(make_files, spark):
+    """The rule on lengths ends only functions that a file has lines enough for, and has the rows it has among all rules."""
+    from lintlake.rules import spans
+
+    files = odd_functions(make_files)
+    rows = lambda found: sorted(map(str, found.collect()))
+    for limit in (0, 1, 7):
+        given = {"max_function_length": limit}
+        whole = structural.script_issues(files, ["complexity"], given).where(F.col("rule_id") == "func-length")
+        assert rows(structural.script_issues(files, ["complexity"], given, complexity=["func-length"])) == rows(whole) and whole.count() > 5
+    coded = spark.createDataFrame([("function a() {\n}\n\nfunction b() {\n}\n",)], "code string")
+    named = lambda least: [b["name"] for b in spans.with_blocks(coded, kinds=("function", "method"), bare=True, least=least).first()["blocks"]]
+    assert (named(0), named(2), named(3), named(5), named(6)) == (["a", "b"], ["a", "b"], ["a"], ["a"], [])
+
+
 def test_positions_by_line_breaks_and_runs(make_files):
     """Symbols find their line by the breaks before them, literals are counted by runs, one number of a line needs no sums."""
     from lintlake.rules import symbols
