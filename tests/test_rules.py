@@ -428,6 +428,19 @@ def test_long_functions_need_room(make_files, spark):
     assert (named(0), named(2), named(3), named(5), named(6)) == (["a", "b"], ["a", "b"], ["a"], ["a"], [])
 
 
+def test_cognitive_bound_keeps_every_function(make_files):
+    """The bound on the cognitive complexity passes over no function above the limit; no bracket is matched for the rule alone."""
+    files = odd_functions(make_files)
+    rows = lambda found: sorted(map(str, found.collect()))
+    for limit in (0, 4, 15):
+        given = {"max_cognitive": limit}
+        whole = structural.script_issues(files, ["complexity"], given).where(F.col("rule_id") == "cognitive")
+        alone = structural.script_issues(files, ["complexity"], given, complexity=["cognitive"])
+        assert rows(alone) == rows(whole) and whole.count() > 3, limit
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan(alone) and "ArrowEvalPython" in plan(whole)
+
+
 def test_positions_by_line_breaks_and_runs(make_files):
     """Symbols find their line by the breaks before them, literals are counted by runs, one number of a line needs no sums."""
     from lintlake.rules import symbols
