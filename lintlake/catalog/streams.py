@@ -16,13 +16,13 @@ from lintlake.streaming import changes, live, results, streaks
 
 
 class StreamTables(Tables):
-    """The given tables as streams of change records."""
+    """The given tables as streams of change records; a table is a file or a folder of files, the pattern stands for either."""
 
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return changes.change_stream(self.spark, self.folder, schema, glob=f"{name}.parquet")
+        return changes.change_stream(self.spark, f"{self.folder}/{name}.parque[t]", schema)
 
 
 def _streams(t) -> StreamTables:

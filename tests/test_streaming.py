@@ -41,6 +41,24 @@ def test_watched(spark):
     assert sorted(r.path for r in changes.watched(df).collect()) == ["a/.env.local", "a/x.ts"]
 
 
+def test_watched_files_of_a_stream_are_spread(spark, folder):
+    from lintlake import catalog
+    from lintlake.catalog import bindings
+    from lintlake.catalog.core import Tables
+
+    parts = [(k, f"Brand#{k % 3}", f"red blue {k}", k % 50) for k in range(1, 97)]
+    rows = pd.DataFrame(parts, columns=["p_partkey", "p_brand", "p_name", "p_size"])
+    os.makedirs(f"{folder}/file")
+    os.makedirs(f"{folder}/folder/part.parquet")
+    rows.to_parquet(f"{folder}/file/part.parquet")  # a table is a file, or a folder of files
+    for k in range(2):
+        rows[k::2].to_parquet(f"{folder}/folder/part.parquet/part-{k}.parquet")
+    shown = lambda df: sorted((r.path, r.too_large) for r in df.collect())
+    for where in (f"{folder}/file", f"{folder}/folder"):
+        got = shown(catalog.queries()["X01_file_change_stream"](spark, where))
+        assert got and got == shown(changes.watched(bindings.code_files(Tables(spark, where)), ["**/scripts/**"], large_kilobytes=2))
+
+
 LIVE = "file_path string, issue_id string"
 
 
