@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -16,22 +17,126 @@ from lintlake.functions.paths import ingest_extension
 from lintlake.schema import FILES
 
 
+def mounted(spark: SparkSession, root: str) -> str | None:
+    """The plain path of a folder that the tasks can open themselves; None where only Spark's file systems reach it."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if root.startswith("file:/") or root.startswith("/") and default.startswith("file:"):
+        return re.sub("^(file:)?/+", "/", root).rstrip("/") or "/"
+    return None
+
+
+#: Bytes of content and number of files that a batch of :func:`_read` gathers before it is handed on.
+BATCH_BYTES, BATCH_FILES = 4 << 20, 10_000
+_LISTED = "path string, length long, folder boolean"
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _batched(rows: Iterator[tuple], schema: pa.Schema, weight: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of a bounded number of files and bytes; ``weight`` is the column of the contents."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[weight]) if weight is not None else 0
+        if len(held) >= BATCH_FILES or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _list_in_tasks(spark: SparkSession, base: str, glob: str | None, max_bytes: int | None) -> DataFrame:
+    """``(path, length, content)`` of the files below a mounted folder: a task lists the root, others a folder of it each, others read.
+
+    What Spark's reader leaves out (hidden names, empty files, names off the glob) is left out; nothing of the listing goes to the driver.
+    """
+    # The pattern of the same class that ``pathGlobFilter`` asks.
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern() if glob else None
+    listed = pa.schema([("path", pa.string()), ("length", pa.int64()), ("folder", pa.bool_())])
+    filled = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+    cores = spark.sparkContext.defaultParallelism
+
+    def entries(folder: str, name: re.Pattern | None) -> Iterator[tuple[str, int, bool]]:
+        """The folders and wanted files of a folder, paths relative to the root."""
+        with os.scandir(f"{base}/{folder}") as found:
+            for entry in found:
+                if _hidden(entry.name):
+                    continue
+                path = f"{folder}/{entry.name}" if folder else entry.name
+                try:
+                    if entry.is_dir():
+                        yield path, 0, True
+                    elif name is None or name.fullmatch(entry.name):
+                        length = entry.stat().st_size
+                        if length and (max_bytes is None or length <= max_bytes):
+                            yield path, length, False
+                except FileNotFoundError:  # a link that leads nowhere
+                    continue
+
+    def below(path: str, length: int, folder: bool, name: re.Pattern | None) -> Iterator[tuple[str, int, bool]]:
+        if not folder:
+            yield path, length, folder
+            return
+        open_folders = [path]
+        while open_folders:
+            for entry in entries(open_folders.pop(), name):
+                if entry[2]:
+                    open_folders.append(entry[0])
+                else:
+                    yield entry
+
+    def compiled() -> re.Pattern | None:
+        return re.compile(named, re.DOTALL) if named is not None else None
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield from _batched(entries("", compiled()), listed)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = compiled()
+        rows = (row for batch in batches for given in zip(*(c.to_pylist() for c in batch.columns)) for row in below(*given, name))
+        yield from _batched(rows, listed)
+
+    def content(path: str) -> bytes:
+        with open(f"{base}/{path}", "rb") as file:
+            return file.read()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((path, length, content(path)) for batch in batches
+                for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()))
+        yield from _batched(rows, filled, weight=2)
+
+    tops = spark.range(1, numPartitions=1).mapInArrow(top, _LISTED).repartition(4 * cores)
+    every = tops.mapInArrow(walk, _LISTED).repartition(8 * cores)
+    return every.mapInArrow(read, "path string, length long, content binary")
+
+
 def read_files(spark: SparkSession, root: str, project_id: str = "project", glob: str | None = None,
                max_bytes: int | None = None) -> DataFrame:
     """Every file below ``root`` as one row, paths relative to it.
 
     Name and size limits apply to the listing (``pathGlobFilter`` and the file's length), before any
     content is read. Bytes that are not UTF-8 become replacement characters, never a failed job.
+
+    A mounted folder is listed in tasks. Elsewhere Spark's reader lists all files in the driver, whose memory then bounds their number.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
-    if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
-    base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
-    plain = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-    relative = F.substr(plain, F.lit(len(base) + 2))
+    base = mounted(spark, root)
+    if base is not None and os.path.isdir(base):
+        raw, relative = _list_in_tasks(spark, base, glob, max_bytes), F.col("path")
+    else:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        raw = reader.load(root)
+        if max_bytes is not None:
+            raw = raw.where(F.col("length") <= max_bytes)
+        base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:")
+        plain = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
+        relative = F.substr(plain, F.lit(len(base) + 2))
     rows = raw.select(
         F.lit(project_id).alias("project_id"),
         relative.alias("path"),
@@ -51,11 +156,10 @@ def write_files(files: DataFrame, root: str) -> None:
     On a mounted folder the tasks write their rows' files themselves, into folders by ranges of the id: Spark's writer changes the
     mode of every file, folder and checksum in a process of its own there. A repeated task writes the same files again.
     """
-    default = files.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-    if not (root.startswith("file:/") or root.startswith("/") and default.startswith("file:")):
+    base = mounted(files.sparkSession, root)
+    if base is None:
         files.select("file_id", "content").write.partitionBy("file_id").text(root)
         return
-    base = re.sub("^(file:)?/+", "/", root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, made, n = fs.LocalFileSystem(), set(), 0

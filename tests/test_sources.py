@@ -53,6 +53,27 @@ def test_read_files(spark, folder):
     assert rows["src/a.ts"].content == "one\ntwo" and rows["src/a.ts"].size == 7 and rows["src/a.ts"].language == "ts"
 
 
+def test_folders_are_listed_in_tasks(spark, folder):
+    """The files that Spark's reader finds, without a listing in the driver."""
+    import os
+
+    contents = {"a.ts": b"one", "b/part-1": b"x" * 10, "b/part-2": b"y" * 40, "b/c/d/part-3": b"z", "b/c/empty": b"", "b/.hidden": b"h", ".git/part-4": b"g",
+                "_tmp/part-5": b"t", "_SUCCESS": b"s", "k=1/_x=2/part-6": b"u", "n/part-7._COPYING_": b"c", "sp ace/\u00e9%20+#.ts": b"\xff\xfeok", "\u4e2d.py": b"\x00[\n"}
+    for path, data in contents.items():
+        os.makedirs(os.path.dirname(f"{folder}/in/{path}"), exist_ok=True)
+        Path(f"{folder}/in/{path}").write_bytes(data)
+    os.symlink(f"{folder}/nowhere", f"{folder}/in/broken")
+    for glob, limit in ((None, None), ("part-*", None), ("part-*", 20), ("{a.ts,part-[1-2]}", 20), ("*.p[!x]", None), ("none", None)):
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(f"{folder}/in")
+        raw = raw.select(F.substring_index("path", f"{folder}/in/", -1), F.make_valid_utf8(F.col("content").cast("string")), "length").where(f"length <= {limit or 10**9}")
+        for root in (f"{folder}/in", f"file://{folder}/in/", f"file:{folder}/in"):
+            read = sources.read_files(spark, root, glob=glob, max_bytes=limit)
+            assert sorted((r.path, r.content, r.size) for r in read.collect()) == sorted(map(tuple, raw.collect())), (glob, limit, root)
+    assert "binaryFile" not in read._jdf.queryExecution().toString()  # a relation that holds the status of every file
+    assert len(sources.read_files(spark, f"{folder}/in/a.ts").collect()) == 1
+
+
 def test_archives(spark, folder):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
