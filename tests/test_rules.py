@@ -358,6 +358,50 @@ def test_files_without_a_hit_are_passed_over_early(make_files, monkeypatch):
     assert with_look == {g: rows(g) for g in groups} and all(with_look.values())
 
 
+def test_needed_texts_of_patterns():
+    from lintlake.rules.needs import needed
+
+    cases = {
+        r"\beval\s*\(": (("eval", False),), r"(?i)//\s*(TODO|FIXME)\b": (("todo", True), ("fixme", True)), r"(?i)\b==\b": (("==", False),), r"a|bc": None,
+        r"(?:abc)?d": None, r"(?:abc)+d": (("abc", False),), r"(?:abc){0,2}": None, r"[abc]+": None, r"(?:ab*+|cde)x": None, r"x(?i:Ab)y": (("ab", True),),
+        r"(?:[^\W{x]|ab)": None, r"\Qa.b\E": None, r"[a-z&&[^b]]word": None, r"[a[b]]": None, r"(?<![\w.])(?=abc)\d": None, "\\t\\n": None, "é!é!": None, "": None,
+    }
+    assert {p: needed(p) for p in cases} == cases
+    assert all(needed(r.pattern) for r in MATCH_RULES if r.id != "bug-missing-await")
+
+
+def test_short_looks_pass_over_no_finding(make_files, monkeypatch):
+    """With and without the short looks before the searches the findings are the same, in every case and spelling."""
+    from lintlake.rules import lines, matches
+    from lintlake.rules.spec import MatchRule
+
+    texts = {path: text for path, text, _, _ in CASES}
+    texts |= {f"up_{path}": text.upper() for path, text in texts.items()} | {"null.ts": None, "empty.ts": "", "w.md": "abc==d", "src/__tests__/k.ts": "TOKEN: \u212aey;\nconst Api_Key = 'x1', authToken = \"y\";"}
+    files = make_files(texts)
+    user = (MatchRule("u1", "U", "bug", "MINOR", 50, "d", pattern=r"[\w&&[^e]]+==", profile="user"), MatchRule("u2", "U", "bug", "MINOR", 50, "d", pattern="(?i)API.key", profile="user"))
+    rows = lambda: sorted(map(str, scan(files, "all", user_rules=user).collect()))
+    looked = rows()
+    monkeypatch.setattr(matches, "may_match", lambda text, pattern: None)
+    monkeypatch.setattr(lines, "worth_testing", lambda rules, web=None: None)
+    assert looked == rows() and {"u1", "u2"} <= {i for r in looked for i in ("u1", "u2") if f"'{i}'" in r}
+
+
+def test_lines_no_rule_looks_at_leave_early(make_files):
+    """Of prose and code only lines that some rule of the file may find something in are tested; brackets only where React calls are."""
+    from lintlake.rules import lines
+
+    files = make_files({"a.ts": "const a = 1;\nrun(a);\nif (a == b) {\n}\n" + "x" * 121, "b.sql": "SELECT a\nFROM b\nUPDATE c\nWHERE d", "c.sh": "#!/bin/sh\ndone"})
+    families = ("style", "sql", "shell")
+    shown = lambda **o: sorted((r.path, r.line_no) for r in lines.file_lines(files, families, **o).collect())
+    rules = [r for r in LINE_RULES if r.family in families]
+    assert len(shown()) == 11
+    assert shown(worth=lines.worth_testing(rules)) == [("a.ts", 2), ("a.ts", 4), ("b.sql", 0), ("b.sql", 2), ("c.sh", 0), ("c.sh", 1)]
+    coded = make_files({"a.ts": "f(1);", "a.tsx": "f(1);", "b.tsx": "useEffect(f);"}).withColumns(
+        {"code": F.col("content"), "ext": F.concat(F.lit("."), F.substring_index("path", ".", -1))})
+    base, _ = structural.with_script_hits(coded, ["effects", "conditional-hooks"])
+    assert {r["path"]: len(r["parens"]) for r in base.collect()} == {"a.ts": 0, "a.tsx": 0, "b.tsx": 1}
+
+
 def test_plain_parameters_need_no_stack(make_files):
     """Parameters counted on a line are those of the stack, which runs only over files where a look at the line cannot tell."""
     from lintlake.rules import spans
