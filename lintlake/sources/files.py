@@ -25,29 +25,11 @@ def mounted(spark: SparkSession, root: str) -> str | None:
     return None
 
 
-#: Bytes of content and number of files that a batch of :func:`_read` gathers before it is handed on.
+#: Bytes of content and number of files that a batch of rows gathers before it is handed on.
 BATCH_BYTES, BATCH_FILES = 4 << 20, 10_000
 _LISTED = "path string, length long, folder boolean"
 
 
-def _hidden(name: str) -> bool:
-    """Names that Spark's readers pass over."""
-    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
-
-
-def _batched(rows: Iterator[tuple], schema: pa.Schema, weight: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of a bounded number of files and bytes; ``weight`` is the column of the contents."""
-    held, size = [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row[weight]) if weight is not None else 0
-        if len(held) >= BATCH_FILES or size >= BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
 def _list_in_tasks(spark: SparkSession, base: str, glob: str | None, max_bytes: int | None) -> DataFrame:
     """``(path, length, content)`` of the files below a mounted folder: a task lists the root, others a folder of it each, others read.
 
@@ -59,11 +41,28 @@ def _list_in_tasks(spark: SparkSession, base: str, glob: str | None, max_bytes:
     filled = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
     cores = spark.sparkContext.defaultParallelism
 
+    # Inner functions travel by value: the tasks need no module of this package.
+    def hidden(name: str) -> bool:
+        """Names that Spark's readers pass over."""
+        return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+    def batched(rows: Iterator[tuple], schema: pa.Schema, weight: int | None = None) -> Iterator[pa.RecordBatch]:
+        """Rows as batches of a bounded number of files and bytes; ``weight`` is the column of the contents."""
+        held, size = [], 0
+        for row in rows:
+            held.append(row)
+            size += len(row[weight]) if weight is not None else 0
+            if len(held) >= BATCH_FILES or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
     def entries(folder: str, name: re.Pattern | None) -> Iterator[tuple[str, int, bool]]:
         """The folders and wanted files of a folder, paths relative to the root."""
         with os.scandir(f"{base}/{folder}") as found:
             for entry in found:
-                if _hidden(entry.name):
+                if hidden(entry.name):
                     continue
                 path = f"{folder}/{entry.name}" if folder else entry.name
                 try:
@@ -94,12 +93,12 @@ def _list_in_tasks(spark: SparkSession, base: str, glob: str | None, max_bytes:
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _ in range(batch.num_rows):
-                yield from _batched(entries("", compiled()), listed)
+                yield from batched(entries("", compiled()), listed)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = compiled()
         rows = (row for batch in batches for given in zip(*(c.to_pylist() for c in batch.columns)) for row in below(*given, name))
-        yield from _batched(rows, listed)
+        yield from batched(rows, listed)
 
     def content(path: str) -> bytes:
         with open(f"{base}/{path}", "rb") as file:
@@ -108,7 +107,7 @@ def _list_in_tasks(spark: SparkSession, base: str, glob: str | None, max_bytes:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((path, length, content(path)) for batch in batches
                 for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()))
-        yield from _batched(rows, filled, weight=2)
+        yield from batched(rows, filled, weight=2)
 
     tops = spark.range(1, numPartitions=1).mapInArrow(top, _LISTED).repartition(4 * cores)
     every = tops.mapInArrow(walk, _LISTED).repartition(8 * cores)
